@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm.common import table
+from tideline.llm.jaccard_join import near_duplicates
 from tideline.llm.packing import pack
 from tideline.llm.rollups import maintain_counts
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -17,5 +22,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain_counts(table(spark, sf_dir, "documents")).totals()
 
 
-QUERIES = {f.__name__: f for f in (op8_best_fit_packing, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op8_best_fit_packing, op9_token_counts)}
 ORACLE: dict[str, str] = {}
