@@ -3,17 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tideline.llm.common import table
+from tideline.llm import langid, toxicity
+from tideline.llm.common import fold, table
 from tideline.llm.jaccard_join import near_duplicates
 from tideline.llm.packing import pack
 from tideline.llm.rollups import maintain_counts
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.learn_profiles(langid.learning_rows(docs))
+    return langid.identify(docs.select("doc_id", "text"), profiles).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "language.lang_pred", "language.score")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -22,5 +36,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain_counts(table(spark, sf_dir, "documents")).totals()
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op8_best_fit_packing, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_ngram_jaccard_join, op7_language_id, op8_best_fit_packing, op9_token_counts)}
 ORACLE: dict[str, str] = {}
