@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import langid, toxicity
+from tideline.llm import langid, toxicity, warc
 from tideline.llm.common import fold, table
 from tideline.llm.jaccard_join import near_duplicates
 from tideline.llm.packing import pack
@@ -22,6 +22,12 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages"))
+    places = warc.locate_records(archives)
+    return warc.with_payload_bytes(warc.read_records(places)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = langid.learn_profiles(langid.learning_rows(docs))
@@ -36,5 +42,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain_counts(table(spark, sf_dir, "documents")).totals()
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_ngram_jaccard_join, op7_language_id, op8_best_fit_packing, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_ngram_jaccard_join, op6_warc, op7_language_id, op8_best_fit_packing, op9_token_counts)}
 ORACLE: dict[str, str] = {}
