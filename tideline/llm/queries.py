@@ -7,11 +7,18 @@ from pyspark.sql import functions as F
 
 from tideline.llm import langid, toxicity, warc
 from tideline.llm.common import fold, table
+from tideline.llm.decontamination import mark_leaks
 from tideline.llm.jaccard_join import near_duplicates
+from tideline.llm.line_dedup import deduplicate_lines
 from tideline.llm.packing import pack
 from tideline.llm.rollups import maintain_counts
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = deduplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "dedup.n_lines", "dedup.n_dropped", "dedup.words_dropped", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -42,5 +49,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain_counts(table(spark, sf_dir, "documents")).totals()
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_ngram_jaccard_join, op6_warc, op7_language_id, op8_best_fit_packing, op9_token_counts)}
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_toxicity, op4_ngram_jaccard_join, op6_warc, op7_language_id, op8_best_fit_packing, op9_token_counts, op10_benchmark_decontamination)}
 ORACLE: dict[str, str] = {}
