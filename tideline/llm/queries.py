@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import langid, toxicity, warc
-from tideline.llm.common import fold, table
+from tideline.llm import langid, quality, toxicity, warc
+from tideline.llm.common import fold, in_sample, sample_share, table
 from tideline.llm.decontamination import mark_leaks
 from tideline.llm.jaccard_join import near_duplicates
 from tideline.llm.line_dedup import deduplicate_lines
@@ -19,6 +19,15 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "dedup.n_lines", "dedup.n_dropped", "dedup.words_dropped", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learning reads the labelled documents' statistics; scoring reads every document's."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    labelled = docs.where(in_sample("doc_id", sample_share(labels.count(), 20_000))).join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    rules = quality.learn_rules(quality.with_statistics(labelled).select("doc_id", "stats"), labels)
+    judged = quality.judge(quality.with_statistics(docs), rules)
+    return judged.select("doc_id", "base.*", "base_failed", "kept")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -53,5 +62,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return mark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_toxicity, op4_ngram_jaccard_join, op6_warc, op7_language_id, op8_best_fit_packing, op9_token_counts, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_toxicity, op4_ngram_jaccard_join, op6_warc, op7_language_id, op8_best_fit_packing, op9_token_counts, op10_benchmark_decontamination)}
 ORACLE: dict[str, str] = {}
