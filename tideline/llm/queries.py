@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import langid, quality, toxicity, warc
+from tideline.llm import langid, pii, quality, toxicity, warc
 from tideline.llm.common import fold, in_sample, sample_share, table
 from tideline.llm.decontamination import mark_leaks
 from tideline.llm.jaccard_join import near_duplicates
@@ -38,6 +38,20 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.detect(docs, pii.learn(docs))
+    counts = [F.size(F.filter("base_spans", _of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined("base_spans"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
+def _of_kind(kind: str):
+    def test(x):
+        return x["kind"] == kind
+
+    return test
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(table(spark, sf_dir, "pages"))
     places = warc.locate_records(archives)
@@ -62,5 +76,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return mark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_toxicity, op4_ngram_jaccard_join, op6_warc, op7_language_id, op8_best_fit_packing, op9_token_counts, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_toxicity, op4_ngram_jaccard_join, op5_pii, op6_warc, op7_language_id, op8_best_fit_packing, op9_token_counts, op10_benchmark_decontamination)}
 ORACLE: dict[str, str] = {}
