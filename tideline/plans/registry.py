@@ -27,4 +27,4 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from tideline.plans import evaluation, fusion, models, scalars, semantics, sequences, sourcing, streams  # noqa: E402, F401
+from tideline.plans import evaluation, fusion, models, scalars, scenarios, semantics, sequences, sourcing, streams  # noqa: E402, F401

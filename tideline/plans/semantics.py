@@ -195,6 +195,6 @@ def a30_slot_summary(spark, d):
     return s.groupBy("o_custkey", "day").agg(B.ordered_join(text, [F.col("slot")], " | ").alias("summary"))
 
 
-@query()
+@query("SELECT p_partkey, 'item_' || substr(sha1(coalesce(p_name, '') || '||' || coalesce(p_brand, '')), 1, 12) AS item_id FROM part")
 def f06_stable_id(spark, d):
     return load(spark, d, "part").select("p_partkey", S.stable_id("item", F.col("p_name"), F.col("p_brand")).alias("item_id"))

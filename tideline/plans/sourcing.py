@@ -1 +1,79 @@
-"""Queries are added here."""
+"""Queries on reading and shaping exports. Text forms are derived from the tables and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tideline.functions import scalars as S
+from tideline.plans.registry import load, query
+from tideline.sources import exports as X
+
+
+@query("SELECT event_id, CAST(user_id AS VARCHAR) AS k_user, event_type AS k_type, '{' || event_type || ',x}' AS k_set, CAST(4 AS BIGINT) AS n_keys FROM events")
+def s04_s06_kv_entries(spark, d):
+    ev = load(spark, d, "events")
+    text = F.concat(F.lit("[user="), F.col("user_id").cast("string"), F.lit(", set={"), F.col("event_type"), F.lit(",x}, list=[1,2], type="), F.col("event_type"), F.lit("]"))
+    m = X.parse_kv_entries(text)
+    return ev.select("event_id", m["user"].alias("k_user"), m["type"].alias("k_type"), m["set"].alias("k_set"), F.size(m).cast("long").alias("n_keys"))
+
+
+@query("SELECT event_id, CAST(user_id AS VARCHAR) AS a, event_type AS b, CAST(NULL AS VARCHAR) AS c FROM events")
+def s05_zip_keys_values(spark, d):
+    m = X.zip_keys_values(F.lit("a,b,c"), F.concat_ws(",", F.col("user_id").cast("string"), F.col("event_type")))
+    return load(spark, d, "events").select("event_id", m["a"].alias("a"), m["b"].alias("b"), m["c"].alias("c"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS DOUBLE) / 1000 AS k_grams FROM events")
+def s07_s08_json_fields(spark, d):
+    """Fields of a JSON text, and of one that lies inside another JSON text."""
+    ev = load(spark, d, "events").withColumn("outer", F.to_json(F.struct(F.col("props").alias("inner"))))
+    inner = X.json_fields(X.json_fields(F.col("outer"), "inner string")["inner"], "k double")
+    return ev.select("event_id", X.json_fields(F.col("props"), "k bigint")["k"].alias("k"), (inner["k"] / 1000).alias("k_grams"))
+
+
+@query("SELECT DISTINCT user_id AS entity_id, CAST(ts AS DATE) AS day, event_type FROM events WHERE value IS NOT NULL")
+def s13_u03_canonical_events(spark, d):
+    mapping = {"entity_id": ("user_id", "bigint"), "day": ("ts", "date"), "event_type": ("event_type", "string"), "value": ("value", "double")}
+    return X.canonical_events(load(spark, d, "events"), mapping, ["value"], ["entity_id", "day", "event_type"]).drop("value")
+
+
+@query("SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, max(o_totalprice) AS top, round(avg(o_totalprice), 4) AS mean_price FROM orders GROUP BY 1, 2")
+def s15_canonical_daily(spark, d):
+    return load(spark, d, "orders").groupBy("o_custkey", F.to_date("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("top"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"))
+
+
+@query("SELECT event_id, event_type, CASE WHEN event_type = 'purchase' THEN value END AS amount, CASE WHEN event_type = 'view' THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS item FROM events WHERE event_type IN ('purchase', 'view')")
+def s16_s17_action_fanout(spark, d):
+    k = X.json_fields(F.col("props"), "k bigint")["k"]
+    kind = F.col("event_type")
+    return load(spark, d, "events").where(kind.isin("purchase", "view")).select("event_id", "event_type", F.when(kind == "purchase", F.col("value")).alias("amount"), F.when(kind == "view", k).alias("item"))
+
+
+@query("SELECT user_id, event_id, value FROM events WHERE value IS NOT NULL")
+def s18_columnar_json(spark, d):
+    """Each user's events as one JSON text of arrays, and then as rows again."""
+    packed = load(spark, d, "events").where("value is not null").groupBy("user_id").agg(F.collect_list(F.struct("event_id", "value")).alias("rows"))
+    packed = packed.select("user_id", F.to_json(F.struct(F.col("rows.event_id").alias("event_id"), F.col("rows.value").alias("value"))).alias("landed"))
+    return packed.select("user_id", F.inline(X.columnar_json_rows(F.col("landed"), {"event_id": "bigint", "value": "double"})))
+
+
+@query("SELECT doc_id, coalesce(l.quality, -1) AS quality, CASE WHEN l.doc_id IS NULL THEN 'seed' ELSE 'snapshot' END AS origin FROM documents d LEFT JOIN labels l USING (doc_id)")
+def s19_s20_snapshot_or_seed(spark, d):
+    labels = load(spark, d, "labels").select("doc_id", "quality", F.lit("snapshot").alias("origin"))
+    return X.snapshot_or_seed([labels, load(spark, d, "documents").select("doc_id", F.lit(-1).alias("quality"), F.lit("seed").alias("origin"))], "doc_id").select("doc_id", "quality", "origin")
+
+
+@query("WITH p AS (SELECT 'events' AS name, count(*) AS n_rows, count(DISTINCT CAST(ts AS DATE)) AS n_days FROM events UNION ALL SELECT 'orders', count(*), count(DISTINCT CAST(o_orderdate AS DATE)) FROM orders) SELECT name, n_rows, n_days, 1.0::DOUBLE AS time_rate, round(n_rows / n_days::DOUBLE, 6) AS rows_per_day, row_number() OVER (ORDER BY n_rows / n_days::DOUBLE DESC, name) AS place FROM p")
+def s22_rank_sources(spark, d):
+    from pyspark.sql import Window
+
+    ev = X.source_profile(load(spark, d, "events").withColumn("day", F.to_date("ts")), "ts", "day", "user_id").withColumn("name", F.lit("events"))
+    od = X.source_profile(load(spark, d, "orders").withColumn("day", F.to_date("o_orderdate")), "o_orderdate", "day", "o_custkey").withColumn("name", F.lit("orders"))
+    place = F.row_number().over(Window.orderBy(F.desc("rows_per_day"), "name"))  # one row for each source
+    return ev.unionByName(od).select("name", "n_rows", "n_days", "time_rate", F.round("rows_per_day", 6).alias("rows_per_day"), place.cast("long").alias("place"))
+
+
+@query("SELECT event_id, CAST(ts AS DATE) AS day FROM events")
+def f25_f26_multi_format_day(spark, d):
+    written = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "dd.MM.yyyy HH:mm")).otherwise(F.date_format("ts", "yyyy/MM/dd HH:mm:ss"))
+    return load(spark, d, "events").select("event_id", F.to_date(S.multi_format_time(written, ["dd.MM.yyyy HH:mm", "yyyy/MM/dd HH:mm:ss"])).alias("day"))

@@ -1 +1,45 @@
-"""Queries are added here."""
+"""Queries that run a stream over the tables' files to its end and return what it wrote."""
+
+from __future__ import annotations
+
+
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tideline.plans.registry import load, query
+from tideline.sources.shared import shared_path
+from tideline.streaming import slots as W
+
+
+def _source(spark, d) -> DataFrame:
+    schema = load(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(f"{d}/").withColumnRenamed("user_id", "entity_id")
+
+
+@query("SELECT user_id AS entity_id, time_bucket(INTERVAL 15 MINUTE, ts) AS slot, round(avg(value), 6) AS level, round(sum(value), 6) AS amount, count(*) AS n FROM events GROUP BY 1, 2")
+def x01_stream_slot_rollup(spark, d):
+    """The stream writes complete results, since these files come as one batch and all their slots are wanted."""
+    out = shared_path(spark, "stream-slots")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/slots")
+
+    job = W.slot_rollup(_source(spark, d)).writeStream.outputMode("complete").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
+    job.awaitTermination()
+    slots = spark.read.parquet(f"{out}/slots")
+    return slots.select("entity_id", F.col("slot").cast("timestamp_ntz").alias("slot"), F.round("level", 6).alias("level"), F.round("amount", 6).alias("amount"), "n")
+
+
+@query("WITH q AS (SELECT user_id, quantile_cont(value, 0.1) AS lo, quantile_cont(value, 0.9) AS hi FROM events WHERE event_type <> 'purchase' GROUP BY 1) SELECT e.event_id, e.user_id AS entity_id, e.value FROM events e JOIN q USING (user_id) WHERE e.event_type = 'purchase' AND (e.value < lo OR e.value > hi)")
+def x02_stream_watch(spark, d):
+    out = shared_path(spark, "stream-watch")
+    history = load(spark, d, "events").where("event_type <> 'purchase'").withColumnRenamed("user_id", "entity_id")
+    check = W.watch_checks(history)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        check(batch.select("event_id", "entity_id", "value")).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+
+    job = _source(spark, d).where("event_type = 'purchase'").writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
+    job.awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("event_id", "entity_id", "value")
