@@ -9,7 +9,7 @@ from tideline.llm.common import drop_table, stage_table
 
 
 def connected_components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
-    """For each node that has a link: node and component, the smallest node it reaches.
+    """Of each node that reaches a smaller one: node and component, the smallest it reaches. All others are their own.
 
     Each round's links are a written table in the shared folder, so the lineage
     stays short. A node with very many links costs one pre-aggregated minimum
