@@ -12,13 +12,15 @@ from pyspark.sql import types as T
 def read_device_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV files whose first line is a banner and whose second names the columns.
 
-    Lines are told by what they hold (the names themselves, or too few fields
-    for a row), so it doesn't matter which task reads a file's first lines.
+    A file's first line is the least of its first block; the names are told by
+    what they hold. So it doesn't matter how files are dealt to tasks.
     """
     names = ",".join(schema.names)
-    lines = spark.read.text(path).where((F.trim("value") != "") & ~F.regexp_replace("value", " ", "").startswith(names))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    banners = lines.where("block = 0").groupBy("file").agg(F.min("at").alias("at"))
+    body = lines.join(banners, ["file", "at"], "left_anti").where((F.trim("value") != "") & ~F.regexp_replace("value", " ", "").startswith(names))
     row = F.from_csv("value", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema))
-    return lines.where(F.size(F.split("value", ",")) >= len(schema)).select(row.alias("r")).select("r.*")
+    return body.select(row.alias("r")).select("r.*")
 
 
 def read_log_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
