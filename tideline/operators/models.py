@@ -112,9 +112,9 @@ def permutation_importance(model: PipelineModel, df: DataFrame, columns: Sequenc
     def rated(frame: DataFrame) -> float:
         return E.confusion(predict(model, frame), [], 0.5).first()["balanced_accuracy"]
 
-    base, out = rated(df), []
+    base, out, buckets = rated(df), [], max(1, df.count() // 5_000)
     for c in columns:
-        bucket = F.pmod(F.xxhash64("id"), F.lit(64)).alias("_b")
+        bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("_b")
         w = Window.partitionBy("_b")
         rows = df.select("*", bucket).withColumn("_n", F.row_number().over(w.orderBy("id")))
         values = df.select(bucket, "id", F.col(c).alias("_v")).withColumn("_n", F.row_number().over(w.orderBy(F.xxhash64("id", F.lit(seed)), "id"))).drop("id")
@@ -153,3 +153,14 @@ def seed_robustness(df: DataFrame, numeric: Sequence[str], seeds: Sequence[int],
         t = E.confusion(predict(model, df.where(F.col(split) == "test")), [], 0.5).select(F.lit(seed).alias("seed"), "balanced_accuracy")
         out = t if out is None else out.unionByName(t)
     return out.agg(F.count("*").alias("n_seeds"), F.avg("balanced_accuracy").alias("mean"), F.stddev_pop("balanced_accuracy").alias("std"))
+
+
+def compare_regressors(df: DataFrame, numeric: Sequence[str], split: str = "split") -> DataFrame:
+    """Errors on test of a mean and of all regressors, fitted on what is not test."""
+    train, test = df.where(F.col(split) != "test"), df.where(F.col(split) == "test")
+    mean = train.agg(F.avg("label")).first()[0] or 0.0
+    out = E.regression(test.withColumn("prediction", F.lit(float(mean))), "label", "prediction").withColumn("model", F.lit("mean"))
+    for name, kind in regressors().items():
+        scored = Pipeline(stages=[*feature_stages(numeric), kind]).fit(train).transform(test)
+        out = out.unionByName(E.regression(scored, "label", "prediction").withColumn("model", F.lit(name)))
+    return out

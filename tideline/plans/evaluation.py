@@ -171,3 +171,34 @@ def u10_overlapping_predictions(spark, d):
     w = Window.partitionBy("source", "y")
     k = scored(spark, d).withColumn("i", F.row_number().over(w.orderBy(F.desc("p"), "doc_id"))).withColumn("n", F.count("*").over(w))
     return k.where("i = 1").select("source", "doc_id", (F.col("n") > 1).alias("overlaps"))
+
+
+@query(f"WITH {SCORED} SELECT split, count(*) AS n, round(avg(y), 6) AS event_rate, round(avg(CASE WHEN p >= 0.5 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS rate_at_half, round(avg(CASE WHEN p >= 0.3 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS rate_at_threshold FROM scored GROUP BY 1")
+def e21_diagnostics(spark, d):
+    rate = lambda t: F.round(F.avg((F.col("p") >= t).cast("double")), 6)
+    return scored(spark, d).groupBy("split").agg(F.count("*").alias("n"), F.round(F.avg("y"), 6).alias("event_rate"), rate(0.5).alias("rate_at_half"), rate(0.3).alias("rate_at_threshold"))
+
+
+@query("WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), o AS (SELECT day, row_number() OVER (ORDER BY day DESC) - 1 AS back FROM d), f AS (SELECT range AS fold FROM range(3)) SELECT fold, day, CASE WHEN back < fold * 4 + 2 THEN 'test' WHEN back < fold * 4 + 5 THEN 'val' ELSE 'train' END AS role FROM o, f WHERE back >= fold * 4")
+def l12_walk_forward_dates(spark, d):
+    """The last folds by unique dates, backwards: two days of test, three of validation, and all before to train."""
+    days = load(spark, d, "events").select(F.to_date("ts").alias("day")).distinct()
+    back = F.row_number().over(Window.orderBy(F.desc("day"))) - 1  # unique dates are few
+    folds = F.broadcast(spark.range(3).withColumnRenamed("id", "fold"))
+    role = F.when(F.col("back") < F.col("fold") * 4 + 2, "test").when(F.col("back") < F.col("fold") * 4 + 5, "val").otherwise("train")
+    return days.withColumn("back", back).join(folds, F.col("back") >= F.col("fold") * 4).select("fold", "day", role.alias("role"))
+
+
+@query(f"WITH {SCORED}, c AS (SELECT lang, (avg(CASE WHEN y = 1 THEN CASE WHEN p >= 0.5 THEN 1.0 ELSE 0.0 END END) + avg(CASE WHEN y = 0 THEN CASE WHEN p < 0.5 THEN 1.0 ELSE 0.0 END END)) / 2 AS ba, count(DISTINCT y) AS k FROM scored GROUP BY 1) SELECT lang, CASE WHEN k < 2 THEN 'single_class' WHEN ba > 0.98 THEN 'near_perfect' WHEN ba < 0.5 THEN 'below_majority' ELSE 'plain' END AS flag FROM c")
+def l19_proxy_flags(spark, d):
+    y, hit = F.col("y"), (F.col("p") >= 0.5).cast("double")
+    c = scored(spark, d).groupBy("lang").agg(((F.avg(F.when(y == 1, hit)) + F.avg(F.when(y == 0, 1 - hit))) / 2).alias("ba"), F.count_distinct("y").alias("k"))
+    return c.select("lang", F.when(F.col("k") < 2, "single_class").when(F.col("ba") > 0.98, "near_perfect").when(F.col("ba") < 0.5, "below_majority").otherwise("plain").alias("flag"))
+
+
+@query(f"WITH {SCORED} SELECT s.doc_id, s.p, d.n_chars FROM scored s JOIN documents d USING (doc_id)")
+def j18_align_by_id(spark, d):
+    """Predictions put beside their documents; an id without a document is an error."""
+    s, docs = scored(spark, d).select("doc_id", "p"), load(spark, d, "documents").select("doc_id", "n_chars")
+    sure = F.assert_true(F.col("n_chars").isNotNull(), F.lit("a prediction has no document"))
+    return s.join(docs, "doc_id", "left").withColumn("ok", sure).where("ok is null").select("doc_id", "p", "n_chars")

@@ -216,3 +216,22 @@ def w19_w20_rank_and_zscore(spark, d):
 @query(f"WITH {DAILY} SELECT count(*) AS n_rows, min(day) AS first_day, max(day) AS last_day, count(DISTINCT entity_id) AS n_entities, CAST(count(*) FILTER (total > 100) AS BIGINT) AS n_hot, round(avg(CASE WHEN total > 100 THEN 1.0 ELSE 0.0 END), 6) AS hot_share FROM daily")
 def s25_profile_table(spark, d):
     return daily(spark, d).agg(F.count("*").alias("n_rows"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count_distinct("entity_id").alias("n_entities"), F.count_if(F.col("total") > 100).alias("n_hot"), F.round(F.avg((F.col("total") > 100).cast("double")), 6).alias("hot_share"))
+
+
+@query("""WITH h AS (SELECT user_id AS entity_id, date_trunc('hour', ts) AS hour, avg(value) AS level FROM events WHERE ts < TIMESTAMP '2024-01-02' GROUP BY 1, 2), e AS (SELECT entity_id, min(hour) AS lo, max(hour) AS hi FROM h GROUP BY 1), g AS (SELECT entity_id, unnest(generate_series(lo, hi, INTERVAL 15 MINUTE)) AS slot FROM e),
+ j AS (SELECT g.entity_id, g.slot, h.level, row_number() OVER (PARTITION BY g.entity_id, g.slot ORDER BY h.hour DESC) AS i FROM g JOIN h ON h.entity_id = g.entity_id AND h.hour <= g.slot) SELECT entity_id, slot, round(level, 6) AS level FROM j WHERE i = 1""")
+def j07_ffill_align(spark, d):
+    """Hourly levels carried forward on a 15-minute grid. The day is the feature's range."""
+    hours = load(spark, d, "events").where("ts < timestamp_ntz'2024-01-02'").groupBy(F.col("user_id").alias("entity_id"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("slot")).agg(F.avg("value").alias("level"))
+    grid = TS.slot_spine(hours, "entity_id", "slot")
+    carried = F.last("level", ignorenulls=True).over(TS.by("entity_id", "slot").rowsBetween(Window.unboundedPreceding, 0))
+    return grid.select("entity_id", "slot", F.round(carried, 6).alias("level"))
+
+
+@query("""WITH m AS (SELECT user_id, 96 * 15.0 AS rest, count(*) AS n FROM events GROUP BY 1), s AS (SELECT e.event_id, e.user_id, e.ts, m.rest / 96 + coalesce(e.value, 0) AS burn FROM events e JOIN m USING (user_id)) SELECT event_id, round(burn, 6)::DOUBLE AS burn, round(sum(burn) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4)::DOUBLE AS burned_today FROM s""")
+def f27_slot_energy(spark, d):
+    """Daily rest energy over 96 slots plus activity, and its running sum of the day."""
+    burn = F.lit(96 * 15.0) / 96 + F.coalesce("value", F.lit(0.0))
+    ev = load(spark, d, "events").withColumn("day", F.to_date("ts")).withColumn("burn", burn)
+    w = TS.by(["user_id", "day"], "ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return ev.select("event_id", F.round("burn", 6).alias("burn"), F.round(F.sum("burn").over(w), 4).alias("burned_today"))

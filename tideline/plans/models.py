@@ -96,3 +96,9 @@ def l11_rolling_backtest(spark, d):
 @query()
 def l18_seed_robustness(spark, d):
     return M.seed_robustness(labelled(spark, d), NUMBERS, [1, 2, 3])
+
+
+@query()
+def l08_regressors(spark, d):
+    """Ridge and forest on a document's length, with the mean as the floor: error on test rows."""
+    return M.compare_regressors(labelled(spark, d).withColumn("label", F.col("n_words")), ["n_lines", "symbol_rate", "upper_rate"])

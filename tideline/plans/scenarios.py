@@ -97,3 +97,39 @@ def u09_portion_variants(spark, d):
     bounded = F.least(F.greatest(price * F.col("m"), F.col("q")[0]), F.col("q")[1])
     amount = F.when(F.col("m") == 1, price).otherwise(bounded)
     return v.where((F.col("m") == 1) | F.abs(bounded - price).between(0.035 * price, 0.12 * price)).select("p_partkey", "variant", F.round(amount + 1e-7, 4).alias("amount"))
+
+
+POOL = f"WITH {TEMPLATES}, p AS (SELECT template_id, slot, 'k' || kinds AS kind, amount BETWEEN 50000 AND 150000 AS is_core FROM templates), n1 AS (SELECT slot, count(*) AS n FROM p GROUP BY 1), n2 AS (SELECT kind, count(*) AS n FROM p GROUP BY 1), w AS (SELECT DISTINCT slot, kind FROM p), t AS (SELECT w.slot, w.kind, CASE WHEN n1.n >= 3500 THEN 1 WHEN n2.n >= 4000 THEN 2 ELSE 3 END AS tier FROM w JOIN n1 USING (slot) JOIN n2 USING (kind))"
+
+
+@query(POOL + " SELECT t.slot, t.kind, t.tier, count(*) AS n_candidates, min(p.template_id) AS first_template FROM t JOIN p ON (tier = 1 AND p.slot = t.slot) OR (tier = 2 AND p.kind = t.kind) OR (tier = 3 AND p.is_core) GROUP BY 1, 2, 3")
+def r02_candidate_pool(spark, d):
+    """Pools by slot where a slot has many templates, else by kind, else the core band."""
+    t = templates(spark, d).select("template_id", "slot", F.concat(F.lit("k"), F.col("kinds").cast("string")).alias("kind"), F.col("amount").between(50000, 150000).alias("is_core"), F.lit(0.0).alias("score"))
+    pool = C.candidate_pool(t, t.select("slot", "kind").distinct(), "slot", "kind", 3500, 4000)
+    return pool.groupBy("slot", "kind", "tier").agg(F.count("*").alias("n_candidates"), F.min("template_id").alias("first_template"))
+
+
+@query(f"""WITH {TEMPLATES}, b AS (SELECT o_custkey, day, count(*) AS n_baskets, round(sum(amount), 4) AS total, round(avg(size), 6) AS mean_size, bool_or(slot = '1-URGENT') AS has_urgent, string_agg(slot, '>' ORDER BY slot, template_id) AS signature FROM templates GROUP BY 1, 2), m AS (SELECT median(total) AS middle FROM b)
+ SELECT o_custkey, day, n_baskets, total, mean_size, has_urgent, signature, round(CASE WHEN has_urgent THEN total ELSE middle END, 4) AS planned FROM b, m""")
+def a22_day_template_library(spark, d):
+    signature = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "template_id"))), lambda x: x["slot"]), ">")
+    b = templates(spark, d).groupBy("o_custkey", "day").agg(F.count("*").alias("n_baskets"), F.round(F.sum("amount"), 4).alias("total"), F.round(F.avg("size"), 6).alias("mean_size"), F.bool_or(F.col("slot") == "1-URGENT").alias("has_urgent"), signature.alias("signature"))
+    middle = b.agg(F.median("total").alias("middle"))
+    return b.crossJoin(F.broadcast(middle)).select(*b.columns, F.round(F.when(F.col("has_urgent"), F.col("total")).otherwise(F.col("middle")), 4).alias("planned"))
+
+
+@query(f"WITH {TEMPLATES} SELECT o_custkey, template_id, rank() OVER (PARTITION BY o_custkey ORDER BY (kinds >= 2) DESC, size DESC, template_id) AS place FROM templates")
+def t07_rank_plans(spark, d):
+    """Promoted ones first, then by size."""
+    w = Window.partitionBy("o_custkey").orderBy(F.desc(F.col("kinds") >= 2), F.desc("size"), "template_id")
+    return templates(spark, d).select("o_custkey", "template_id", F.rank().over(w).cast("long").alias("place"))
+
+
+@query("WITH k AS (SELECT * FROM (VALUES ('ring', 1), ('bolt', 2), ('hot', 3)) v(word, rank)), h AS (SELECT p_partkey, word, 1 AS tier, rank FROM part JOIN k ON contains(p_name, word) UNION ALL SELECT p_partkey, 'ring', 2, 1 FROM part WHERE p_type = 'LARGE' UNION ALL SELECT p_partkey, 'any', 3, 1 FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY tier, rank, word) AS i FROM h) SELECT p_partkey, word AS template, tier FROM r WHERE i = 1")
+def j16_contains_join(spark, d):
+    """The first template whose word an item's name contains, else one by its type, else any; words are a fixed list."""
+    name = F.col("p_name")
+    tier = F.when(name.contains("ring") | name.contains("bolt") | name.contains("hot"), 1).when(F.col("p_type") == "LARGE", 2).otherwise(3)
+    word = F.when(name.contains("ring"), "ring").when(name.contains("bolt"), "bolt").when(name.contains("hot"), "hot").when(F.col("p_type") == "LARGE", "ring").otherwise("any")
+    return load(spark, d, "part").select("p_partkey", word.alias("template"), tier.alias("tier"))

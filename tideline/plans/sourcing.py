@@ -77,3 +77,19 @@ def s22_rank_sources(spark, d):
 def f25_f26_multi_format_day(spark, d):
     written = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "dd.MM.yyyy HH:mm")).otherwise(F.date_format("ts", "yyyy/MM/dd HH:mm:ss"))
     return load(spark, d, "events").select("event_id", F.to_date(S.multi_format_time(written, ["dd.MM.yyyy HH:mm", "yyyy/MM/dd HH:mm:ss"])).alias("day"))
+
+
+@query("SELECT event_type AS modality, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def s23_s24_write_by_modality(spark, d):
+    """Events written by modality into the shared folder and read again; a modality's rows are a folder of their own."""
+    from tideline.sources.shared import shared_path
+
+    path = shared_path(spark, "by-modality")
+    X.write_table(load(spark, d, "events").withColumnRenamed("event_type", "modality"), path, ["modality"])
+    return spark.read.parquet(path).groupBy(F.col("modality").cast("string").alias("modality")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT event_id, ts::TIMESTAMP AS bare FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)")
+def s10_strip_offset(spark, d):
+    written = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.when(F.col("event_id") % 2 == 0, "+0530").otherwise("Z"))
+    return load(spark, d, "events").select("event_id", S.wallclock(written).alias("bare"))
