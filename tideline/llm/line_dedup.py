@@ -14,6 +14,7 @@ near-duplicate operator to judge.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -24,10 +25,9 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import stage_table
 
-VARIABLE = 0
-WORDS_KEPT = 1_000_000
+VARIABLE, MASK = 0, b"\0"
+DIGIT = re.compile(rb"[0-9]")
 LEAF_BITS = 1 << 22
-_tokens: dict[bytes, int] = {}
 
 
 @dataclass(frozen=True)
@@ -49,34 +49,29 @@ class TreeSettings:
     copy_overlap: float = 0.4
 
 
-def _hash(token: bytes) -> int:
+def _token_hash(token: bytes) -> int:
     from xxhash import xxh3_64_intdigest
 
-    if any(48 <= c <= 57 for c in token):
-        return VARIABLE
-    return xxh3_64_intdigest(token) | 1
+    return VARIABLE if token == MASK else xxh3_64_intdigest(token) | 1
 
 
-def line_keys(text: str | None, depth: int) -> list[tuple[int, np.ndarray, int, int]]:
-    """Of each line with a word: its number, token hashes, template and leaf."""
+def line_keys(text: str | None, depth: int) -> Iterator[tuple[int, list[bytes], int]]:
+    """Of each line with a word: its number, its words with those with digits masked, and its leaf."""
     from xxhash import xxh3_64_intdigest
 
-    out = []
-    if len(_tokens) > WORDS_KEPT:
-        _tokens.clear()
     for number, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
         words = line.split()
         if not words:
             continue
-        found = list(map(_tokens.get, words))
-        if None in found:
-            for i, v in enumerate(found):
-                if v is None:
-                    found[i] = _tokens[words[i]] = _hash(words[i])
-        ids = np.array(found, np.uint64)
-        head = np.append(ids[:depth], np.uint64(len(ids))).astype(np.uint64)
-        out.append((number, ids, xxh3_64_intdigest(ids.tobytes()), xxh3_64_intdigest(head.tobytes(), 7)))
-    return out
+        if DIGIT.search(line):
+            words = [MASK if DIGIT.search(w) else w for w in words]
+        yield number, words, xxh3_64_intdigest(b" ".join(words[:depth]), len(words))
+
+
+def template_hash(words: list[bytes]) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(b" ".join(words))
 
 
 def _signed(values: list[int]) -> pa.Array:
@@ -90,11 +85,11 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
         for batch in batches:
             ids, numbers, words, templates, leaves = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for number, tokens, template, leaf in line_keys(text.as_py(), depth):
+                for number, tokens, leaf in line_keys(text.as_py(), depth):
                     ids.append(doc_id)
                     numbers.append(number)
                     words.append(len(tokens))
-                    templates.append(template)
+                    templates.append(template_hash(tokens))
                     leaves.append(leaf)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), pa.array(words, pa.int64()), _signed(templates), _signed(leaves)], names=["doc_id", "line", "words", "template", "leaf"])
 
@@ -114,14 +109,14 @@ def _leaf_templates(docs: DataFrame, leaves: DataFrame, depth: int) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = shared.value.tolist()
         for batch in batches:
             found: dict[tuple[int, int], np.ndarray] = {}
             for text in batch.column(0):
-                for _, tokens, template, leaf in line_keys(text.as_py(), depth):
+                for _, tokens, leaf in line_keys(text.as_py(), depth):
                     bit = leaf % LEAF_BITS  # 2**64 is a multiple of it, so this is the signed value's pmod too
-                    if known[bit >> 5] >> np.uint32(bit & 31) & 1:
-                        found[leaf, template] = tokens
+                    if known[bit >> 5] >> (bit & 31) & 1:
+                        found[leaf, template_hash(tokens)] = np.array(list(map(_token_hash, tokens)), np.uint64)
             ends = np.cumsum([0, *map(len, found.values())]).astype(np.int32)
             flat = np.concatenate([np.empty(0, np.uint64), *found.values()])
             yield pa.RecordBatch.from_arrays([_signed([x for x, _ in found]), _signed([x for _, x in found]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], names=["leaf", "template", "tokens"])
