@@ -137,13 +137,16 @@ class Lexicon:
     benign: frozenset[str] = frozenset()
     context: dict[str, float] = field(default_factory=dict)
     window: int = 5
+    flexible: frozenset[str] | None = None  # terms that misspellings are sought for; None: all
 
     def __post_init__(self):
-        self.fuzzy, self.known = FuzzyLexicon(self.terms), {}
         self.stem_sizes = sorted({len(x) for x in self.stems}, reverse=True)
+        # Forms of a stem need no fuzzy match of their own: the stem matches whatever ends they have.
+        self.fuzzy = FuzzyLexicon({t: w for t, w in self.terms.items() if (self.flexible is None or t in self.flexible) and not self.stem_of(t)})
+        self.known: dict[str, tuple[float, int]] = {}
 
     def __getstate__(self):
-        return {k: getattr(self, k) for k in ("terms", "stems", "benign", "context", "window")}
+        return {k: getattr(self, k) for k in ("terms", "stems", "benign", "context", "window", "flexible")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -161,9 +164,12 @@ class Lexicon:
             return self.terms[word], 0
         if word in self.benign:
             return 0.0, 0
-        stem = next((self.stems[word[:n]] for n in self.stem_sizes if word[:n] in self.stems), 0.0)
+        stem = self.stem_of(word)
         return (stem, 0) if stem else self.fuzzy.match(word)
 
+    def stem_of(self, word: str) -> float:
+        return next((self.stems[word[:n]] for n in self.stem_sizes if word[:n] in self.stems), 0.0)
+
     def hits(self, text: str | None) -> tuple[list[str], list[tuple[int, float, int, bool]]]:
         """Tokens of a text, and of each match its place, weight, distance and whether it is quoted."""
         tokens = (text or "").lower().split()
@@ -202,14 +208,14 @@ def _labelled(docs: DataFrame, labels: DataFrame, max_docs: int) -> DataFrame:
     """Learning rows: doc_id, text and toxic; at most about ``max_docs``, by a sample that depends on doc_id alone."""
     usable = labels.where(F.col("toxic").isNotNull() & (fold("doc_id", 5) != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     share = sample_share(usable.count(), max_docs)
-    return docs.where(fold("doc_id", 5) != 0).where(in_sample("doc_id", share)).select("doc_id", "text").join(usable, "doc_id")
+    return docs.where(fold("doc_id", 5) != 0).where(in_sample("doc_id", share)).select("doc_id", "text", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("digest")).join(usable, "doc_id")
 
 
 def _words(column: str = "text"):
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit(r"(\p{L}+)"), 1))
 
 
-def learn_lexicon(rows: DataFrame, max_terms: int = 2_000, least_gain: float = 3.0) -> Lexicon:
+def learn_lexicon(rows: DataFrame, max_terms: int = 2_000, least_gain: float = 3.0, max_flexible: int = 150) -> Lexicon:
     """Words by the log of how much oftener toxic documents have them, out of document counts over all learning rows.
 
     A term needs support that grows with the toxic rows, so that a word of one
@@ -220,15 +226,18 @@ def learn_lexicon(rows: DataFrame, max_terms: int = 2_000, least_gain: float = 3
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         return Lexicon({})
-    counts = rows.select("toxic", F.explode(_words()).alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    counts = rows.dropDuplicates(["digest"]).select("toxic", F.explode(_words()).alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     gain = F.ln((F.col("bad") + 0.5) / (bad + 1)) - F.ln((F.col("good") + 0.5) / (good + 1))
     counts = stage_table(rows.sparkSession, counts.withColumn("gain", gain), "toxic-words")
     support = max(3, bad // 150)
     best = counts.where((F.col("bad") >= support) & (F.col("gain") >= least_gain) & (F.length("word") > 2)).orderBy(F.desc(F.col("gain") * F.ln("bad")), "word").limit(max_terms).collect()
     begins = counts.select(F.explode(F.transform(F.sequence(F.lit(4), F.lit(7)), lambda n: F.substring("word", F.lit(1), n))).alias("stem"), "word", "bad", "good").where(F.length("word") > F.length("stem"))
-    stems = begins.groupBy("stem").agg(F.count("*").alias("words"), F.sum("bad").alias("bad"), F.sum("good").alias("good")).where((F.col("words") >= 4) & (F.col("bad") >= 3 * support))
+    stems = begins.groupBy("stem").agg(F.count("*").alias("words"), F.max("bad").alias("most"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    stems = stems.where((F.col("words") >= 4) & (F.col("bad") >= 3 * support) & (2 * F.col("most") <= F.col("bad")))
     stems = stems.withColumn("gain", gain).where(F.col("gain") >= least_gain).orderBy(F.desc(F.col("gain") * F.ln("bad")), "stem").limit(max_terms).collect()
-    draft = Lexicon({r["word"]: float(r["gain"]) for r in best}, {r["stem"]: float(r["gain"]) for r in stems})
+    # Words of a few copied documents pass for terms too; misspellings are sought for widespread ones only.
+    common = sorted((r for r in best if r["bad"] >= max(support, bad // 40)), key=lambda r: (-r["bad"], r["word"]))[:max_flexible]
+    draft = Lexicon({r["word"]: float(r["gain"]) for r in best}, {r["stem"]: float(r["gain"]) for r in stems}, flexible=frozenset(r["word"] for r in common))
     shared = rows.sparkSession.sparkContext.broadcast(draft)
 
     @F.pandas_udf("boolean")
@@ -237,7 +246,7 @@ def learn_lexicon(rows: DataFrame, max_terms: int = 2_000, least_gain: float = 3
 
     # Clean texts' own words that lie near a term are no misspellings of it.
     others = counts.where((F.col("good") > 0) & (F.col("gain") < least_gain / 2)).where(near("word")).orderBy(F.desc("good"), "word").limit(20_000).collect()
-    return Lexicon(draft.terms, draft.stems, frozenset(r["word"] for r in others), learn_context(rows, draft))
+    return Lexicon(draft.terms, draft.stems, frozenset(r["word"] for r in others), learn_context(rows, draft), flexible=draft.flexible)
 
 
 def learn_context(rows: DataFrame, lexicon: Lexicon, least: int = 20) -> dict[str, float]:
