@@ -60,7 +60,7 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(mixed)
 
 
-SLACK = 25
+SLACK = 16
 
 
 def slack(n: int) -> int:
@@ -68,49 +68,52 @@ def slack(n: int) -> int:
     return 1 + n // SLACK
 
 
-def frequent_shingles(docs: DataFrame, width: int, sample_docs: int = 20_000, least: int = 4, most: int = 65_536) -> np.ndarray:
-    """Shingles that are frequent in a sample, rarest first: these go last in the global order.
+LEVELS, LEVEL_BITS = (2, 8, 32), 1 << 23
 
-    They only order shingles, and the join is exact under any order; so the
-    sample and the bound (which makes the list small enough to send to every
-    task) change the work and never the result.
+
+def frequency_levels(docs: DataFrame, width: int, share: int = 14) -> np.ndarray:
+    """Bitmaps of hashed shingles that are in two, eight and 32 documents of a sample of one in ``share``.
+
+    They only order shingles (seldom ones first), and the join is exact under
+    any order; so the sample, the bitmaps' fixed size and false hits change the
+    work and never the result.
     """
     import pyarrow as pa
 
-    rows = docs.count()
-    picked = docs if rows <= sample_docs else docs.where(F.pmod(F.xxhash64("doc_id", F.lit("order")), F.lit(rows)) < sample_docs)
+    picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("order")), F.lit(share)) == 0)
 
     def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(x, width) for x in batch.column(0).to_pylist()]
             keys, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
-
-    counts = picked.select("text").mapInArrow(explode, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    top = counts.orderBy(F.desc("n"), "h").limit(most).collect()
-    return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int32))], names=["h", "n"])
+
+    counts = picked.select("text").mapInArrow(explode, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= LEVELS[0])
+    placed = counts.select("n", F.pmod("h", F.lit(LEVEL_BITS)).alias("bit")).selectExpr("shiftright(bit, 5) as w", "shiftleft(1L, cast(bit % 32 as int)) as x", "n")
+    words = placed.groupBy("w").agg(*(F.coalesce(F.bit_or(F.when(F.col("n") >= n, F.col("x"))), F.lit(0)).cast("long").alias(f"x{n}") for n in LEVELS)).toPandas()
+    out = np.zeros((len(LEVELS), LEVEL_BITS // 32), np.uint32)
+    for k, n in enumerate(LEVELS):
+        out[k, words["w"].to_numpy(np.int64)] = words[f"x{n}"].to_numpy(np.int64).astype(np.uint32)
+    return out
 
 
-def _prefixes(docs: DataFrame, width: int, percent: int, last: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -> DataFrame:
     """doc_id, n, digest of the text and the first shingles of each document."""
     import pyarrow as pa
 
-    order = np.argsort(last)
-    sorted_last = last[order]
-    shared = docs.sparkSession.sparkContext.broadcast((sorted_last, order.astype(np.int64)))
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = shared.value
+        known = shared.value
         for batch in batches:
             sizes, parts = [], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), width)
                 n = len(s)
                 sizes.append(n)
-                if len(known) and n:
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    late = known[at] == s
-                    s = np.concatenate([s[~late], s[late][np.argsort(rank[at[late]])]])
+                at = (s % np.uint64(LEVEL_BITS)).astype(np.int64)
+                level = ((known[:, at >> 5] >> (at & 31).astype(np.uint32)) & 1).sum(0)
+                s = s[np.argsort(level, kind="stable")]
                 keep = n - -(-percent * n // 100) + slack(n) if n else 0
                 parts.append(s[:keep].view(np.int64))
             ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
@@ -197,7 +200,7 @@ def _may_link(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _verify(rows: DataFrame, percent: int) -> DataFrame:
-    """Links found in each pair of nodes: enough of them to connect what is linked (a spanning forest of each pair)."""
+    """Links of each node with a batch of others, or within it (batch -1): a spanning forest of what is linked there."""
     import pyarrow as pa
 
     def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -244,11 +247,11 @@ def _verify(rows: DataFrame, percent: int) -> DataFrame:
 
         def close() -> None:
             if key is not None and len(group[0]) > 1:
-                out.extend(links(*group, both=key[0:2] != key[2:4]))
+                out.extend(links(*group, both=key[2] >= 0))
 
         for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
-            sides, ids, sets = batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6)
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            sides, ids, sets = batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)
             flat, ends = sets.flatten().to_numpy(), (sets.offsets.to_numpy() - sets.offsets[0].as_py())
             for i, k in enumerate(keys):
                 if k != key:
@@ -263,11 +266,25 @@ def _verify(rows: DataFrame, percent: int) -> DataFrame:
         close()
         yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-    key = ["cluster_a", "block_a", "cluster_b", "block_b"]
+    key = ["cluster", "block", "batch"]
     return rows.repartition(*key).sortWithinPartitions(*key).select(*key, "side", "doc_id", "shingles").mapInArrow(verify, "a long, b long")
 
 
-def similar_links(docs: DataFrame, width: int = 5, percent: int = 75, node_docs: int = 512, node_shingles: int = 400_000) -> tuple[DataFrame, DataFrame]:
+def _crossing(shared: DataFrame, of: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Sizes of clusters, and the pairs of clusters of which two documents have enough common shingles to be linked."""
+    spark = shared.sparkSession
+    spans = stage_table(spark, of.groupBy("cluster").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("docs")), "cluster-sizes")
+    seen = shared.select("h", "doc_id").join(of.select("doc_id", "cluster"), "doc_id").select("h", "cluster").distinct()
+    several = seen.groupBy("h").count().where("count > 1").select("h")
+    seen = stage_table(spark, seen.join(several, "h").join(spans.select("cluster", "lo", "hi"), "cluster"), "cluster-postings")
+    fits = (100 * F.col("x.hi") >= percent * F.col("y.lo")) & (100 * F.col("y.hi") >= percent * F.col("x.lo"))
+    crossing = seen.alias("x").join(seen.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.cluster") < F.col("y.cluster")) & fits)
+    crossing = crossing.groupBy(F.col("x.cluster").alias("cluster_a"), F.col("y.cluster").alias("cluster_b")).agg(F.count("*").alias("votes"), F.first(F.least("x.lo", "y.lo")).alias("lo"))
+    crossing = crossing.where(F.col("votes") >= 1 + F.floor(F.col("lo") / SLACK))
+    return spans, stage_table(spark, crossing.select("cluster_a", "cluster_b"), "crossing")
+
+
+def similar_links(docs: DataFrame, width: int = 5, percent: int = 75, node_docs: int = 512, node_shingles: int = 400_000, jumps: int = 3) -> tuple[DataFrame, DataFrame]:
     """Set sizes of all documents (doc_id, n), and links (a, b) that connect all documents that are linked.
 
     Exact copies are linked to the smallest doc_id that has their text. A hot
@@ -276,8 +293,7 @@ def similar_links(docs: DataFrame, width: int = 5, percent: int = 75, node_docs:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    last = frequent_shingles(docs, width)
-    facts = stage_table(spark, _prefixes(docs, width, percent, last), "prefixes")
+    facts = stage_table(spark, _prefixes(docs, width, percent, frequency_levels(docs, width)), "prefixes")
     copies = facts.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")).where("times > 1").select("digest", "first")
     copied = stage_table(spark, facts.select("doc_id", "digest").join(copies, "digest").where("doc_id <> first").select("doc_id", "first").distinct(), "copies")
     unique = facts.where("n > 0").select("doc_id", "n", "prefix").join(copied.select("doc_id"), "doc_id", "left_anti")
@@ -285,16 +301,16 @@ def similar_links(docs: DataFrame, width: int = 5, percent: int = 75, node_docs:
     dealt = postings.repartition("h")
     heads = dealt.groupBy("h").agg(F.min("doc_id").alias("head"), F.count("*").alias("times")).where("times > 1").select("h", "head")
     shared = stage_table(spark, dealt.join(heads, "h"), "postings")
-    voted = shared.where("doc_id <> head").groupBy("doc_id", "head").count().groupBy("doc_id").agg(F.max_by("head", F.struct("count", -F.col("head"))).alias("cluster"))
-    of = stage_table(spark, shared.select("doc_id").distinct().join(voted, "doc_id", "left").join(facts.select("doc_id", "n").distinct(), "doc_id").select("doc_id", "n", F.coalesce("cluster", "doc_id").alias("cluster")), "clusters")
-    spans = of.groupBy("cluster").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("docs"))
-    seen = shared.select("h", "doc_id").join(of.select("doc_id", "cluster"), "doc_id").select("h", "cluster").distinct().repartition("h")
-    several = seen.groupBy("h").count().where("count > 1").select("h")
-    seen = seen.join(several, "h")
-    crossing = seen.alias("x").join(seen.alias("y"), "h").where("x.cluster < y.cluster").groupBy(F.col("x.cluster").alias("cluster_a"), F.col("y.cluster").alias("cluster_b")).agg(F.count("*").alias("votes"))
-    a, b = (spans.select(*(F.col(c).alias(f"{c}_{s}") for c in ("cluster", "lo", "hi"))) for s in "ab")
-    least = 1 + F.floor(F.least("lo_a", "lo_b") / SLACK)
-    crossing = crossing.join(a, "cluster_a").join(b, "cluster_b").where((F.col("votes") >= least) & (100 * F.col("hi_a") >= percent * F.col("lo_b")) & (100 * F.col("hi_b") >= percent * F.col("lo_a")))
+    voted = shared.where("doc_id <> head").groupBy("doc_id", "head").count().groupBy("doc_id").agg(F.max(F.struct("count", (-F.col("head")).alias("minus_head"))).alias("best"))
+    # A head with too few common shingles to be linked, even if it is the smallest set that may be, founds no cluster.
+    enough = F.col("best.count") >= 1 + F.floor(percent * F.col("n") / (100 * SLACK))
+    of = shared.select("doc_id").distinct().join(voted, "doc_id", "left").join(facts.select("doc_id", "n").distinct(), "doc_id")
+    of = of.select("doc_id", "n", F.when(enough, -F.col("best.minus_head")).otherwise(F.col("doc_id")).alias("cluster"))
+    for _ in range(jumps):  # a head that has a head of its own brings its cluster along
+        heads_of = of.select(F.col("doc_id").alias("head_id"), F.col("cluster").alias("above"))
+        of = of.join(heads_of, F.col("cluster") == F.col("head_id"), "left").select("doc_id", "n", F.coalesce("above", "cluster").alias("cluster"))
+        of = stage_table(spark, of, "clusters")
+    spans, crossing = _crossing(shared, of, percent)
     inside = spans.where("docs > 1").select(F.col("cluster").alias("cluster_a"), F.col("cluster").alias("cluster_b"))
     meeting = stage_table(spark, crossing.select("cluster_a", "cluster_b").unionByName(inside), "cluster-pairs")
     active = meeting.select(F.col("cluster_a").alias("cluster")).unionByName(meeting.select(F.col("cluster_b").alias("cluster"))).distinct()
@@ -303,15 +319,24 @@ def similar_links(docs: DataFrame, width: int = 5, percent: int = 75, node_docs:
     before = F.sum("n").over(by_size) - F.col("n")
     blocked = wanted.withColumn("block", F.greatest(F.floor(before / node_shingles), F.floor((F.count("*").over(by_size) - 1) / node_docs)).cast("long"))
     sets = stage_table(spark, _sets(docs, wanted.select("doc_id"), width).drop("n").join(blocked, "doc_id"), "sets")
-    boxes = stage_table(spark, _boxes(sets), "boxes")
-    na, nb = (boxes.select(*(F.col(c).alias(f"{c}_{s}") for c in ("cluster", "block", "lo", "hi", "box"))) for s in "ab")
+    sizes = sets.groupBy("cluster", "block").agg(F.count("*").alias("docs"))
+    boxes = stage_table(spark, _boxes(sets).join(sizes, ["cluster", "block"]), "boxes")
+    na, nb = (boxes.select(*(F.col(c).alias(f"{c}_{s}") for c in ("cluster", "block", "docs", "lo", "hi", "box"))) for s in "ab")
     pairs = meeting.join(na, "cluster_a").join(nb, "cluster_b").where((F.col("cluster_a") < F.col("cluster_b")) | (F.col("block_a") <= F.col("block_b")))
     pairs = pairs.where((100 * F.col("hi_a") >= percent * F.col("lo_b")) & (100 * F.col("hi_b") >= percent * F.col("lo_a")))
-    pairs = stage_table(spark, _may_link(pairs, percent).select("cluster_a", "block_a", "cluster_b", "block_b"), "node-pairs")
+    a, b = (F.struct(F.col(f"cluster_{s}").alias("cluster"), F.col(f"block_{s}").alias("block"), F.col(f"docs_{s}").alias("docs")) for s in "ab")
+    larger = F.col("docs_b") > F.col("docs_a")
+    pairs = _may_link(pairs, percent).select(F.when(larger, b).otherwise(a).alias("host"), F.when(larger, a).otherwise(b).alias("guest"))
+    # A host's guests come in batches, so its documents are sent once for each batch and not once for each guest.
+    by_guest = Window.partitionBy("host").orderBy("guest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.sum("guest.docs").over(by_guest) - F.col("guest.docs")
+    pairs = stage_table(spark, pairs.withColumn("batch", F.when(F.col("host") == F.col("guest"), -1).otherwise(F.floor(before / node_docs)).cast("long")), "node-pairs")
     members = sets.select("cluster", "block", "doc_id", "shingles")
-    left = pairs.join(members, (F.col("cluster_a") == F.col("cluster")) & (F.col("block_a") == F.col("block"))).withColumn("side", F.lit(0))
-    right = pairs.where("cluster_a <> cluster_b or block_a <> block_b").join(members, (F.col("cluster_b") == F.col("cluster")) & (F.col("block_b") == F.col("block"))).withColumn("side", F.lit(1))
-    links = _verify(left.unionByName(right).drop("cluster", "block"), percent)
+    hosts = pairs.select("host.cluster", "host.block", "batch").distinct()
+    left = hosts.join(members, ["cluster", "block"]).select("cluster", "block", "batch", F.lit(0).alias("side"), "doc_id", "shingles")
+    guests = pairs.where("batch >= 0").select(F.col("host.cluster").alias("host_cluster"), F.col("host.block").alias("host_block"), "batch", "guest.cluster", "guest.block")
+    right = guests.join(members, ["cluster", "block"]).select(F.col("host_cluster").alias("cluster"), F.col("host_block").alias("block"), "batch", F.lit(1).alias("side"), "doc_id", "shingles")
+    links = _verify(left.unionByName(right), percent)
     links = links.unionByName(copied.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
     return facts.select("doc_id", "n"), links
 
