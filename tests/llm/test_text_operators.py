@@ -14,7 +14,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import common, components, decontamination, jaccard_join, langid, line_dedup, packing, pii, quality, rollups, tokens, toxicity, warc
+import corpus_pipeline
+from tideline.llm import common, components, decontamination, jaccard_join, langid, line_dedup, packing, pii, quality, queries, rollups, tokens, toxicity, warc
 
 WORDS = [a + b for a in ("ta", "lo", "mi", "ser", "ka", "ne") for b in ("ra", "no", "vel", "ti", "go", "lum")]
 DOC = "doc_id long, text string, lang string, source string, n_chars long, language string, base string, dedup string"
@@ -339,6 +340,19 @@ def test_copies_are_left_whole(spark):
     assert line_dedup.dropped_lines(frame(spark, texts)).count() == 0
 
 
+@pytest.mark.parametrize("shared", [60, 80])
+def test_a_shared_passage_stays_once_whatever_the_overlap(spark, tmp_path, shared):
+    """Pairs at 0.43 and 0.67 of their words, which the near-duplicate rule does not link."""
+    rng = random.Random(15)
+    passage = words(rng, shared)
+    docs = frame(spark, {i: "\n".join([words(rng, 100 - shared), passage]) for i in (1, 2)})
+    assert jaccard_join.near_duplicates(docs).where("component_id <> doc_id").count() == 0
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_dropped for r in queries.op1_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
+    staged = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, str(tmp_path)).collect()}
+    assert passage in staged[1] and passage not in staged[2]
+
+
 def test_leaks_with_other_values(spark):
     item = "A farmer named Olga sells 12 apples and 7 pears each day to Pavel, who pays 3 dollars for every bag of 5 km delivery on time."
     other = item.replace("Olga", "Mara").replace("Pavel", "Igor").replace("12", "40").replace("7 pears", "9 pears")

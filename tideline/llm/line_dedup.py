@@ -6,10 +6,11 @@ token that few of them have in its place is a variable field too, as long as
 most of the line stays constant. A template that recurs across documents stays
 in the document with the smallest doc_id and is dropped from the others.
 
-A document that shares most of its words with one other document is a copy of
-it rather than a page with the same boilerplate. Dropping the shared lines
-would leave odd scraps of it, so what it shares with that document stays for a
-near-duplicate operator to judge.
+With ``copy_overlap`` a document that shares that much of its words with one
+other document is taken for a copy of it, and what the two share stays. No
+near-duplicate rule is sure to drop such a pair later, so op1 and the pipeline
+run without it (``EVERY_LINE``): every recurring line goes, and of a copy only
+the lines of its own are left.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ class TreeSettings:
     ``siblings``: templates a leaf needs before fields are learned. ``support``:
     share of a leaf's templates that makes a token constant. ``constant``: share
     of a line that must stay constant. ``copy_overlap``: shared words over all
-    words of two documents from which one is taken for a copy of the other.
+    words of two documents from which one is taken for a copy of the other;
+    None: recurring lines go whatever two documents share.
     """
 
     depth: int = 3
@@ -46,7 +48,10 @@ class TreeSettings:
     siblings: int = 8
     support: float = 0.2
     constant: float = 0.6
-    copy_overlap: float = 0.4
+    copy_overlap: float | None = 0.4
+
+
+EVERY_LINE = TreeSettings(copy_overlap=None)
 
 
 def _token_hash(token: bytes) -> int:
@@ -149,6 +154,8 @@ def dropped_lines(docs: DataFrame, settings: TreeSettings = TreeSettings()) -> D
     lines = stage_table(spark, lines, "templates")
     owned = lines.where(F.col("words") >= s.least_tokens).groupBy("template", "doc_id").agg(F.lit(1).alias("x")).groupBy("template").agg(F.count("*").alias("documents"), F.min("doc_id").alias("owner")).where(F.col("documents") >= s.documents)
     again = stage_table(spark, lines.where(F.col("words") >= s.least_tokens).join(owned.select("template", "owner"), "template").where("doc_id <> owner"), "recurring")
+    if s.copy_overlap is None:
+        return again
     totals = lines.groupBy("doc_id").agg(F.sum("words").alias("all_words"))
     shares = again.groupBy("doc_id", "owner", "template").agg(F.max("words").alias("words")).groupBy("doc_id", "owner").agg(F.sum("words").alias("shared"))
     shares = shares.join(totals, "doc_id").join(totals.select(F.col("doc_id").alias("owner"), F.col("all_words").alias("owner_words")), "owner")
