@@ -278,6 +278,37 @@ def test_automata_find_all_terms_in_reach():
         assert lexicon.match(word) == ((-want[1], want[0]) if want else (0.0, 0))
 
 
+def test_misspelt_stems_and_forms_of_stems_are_found():
+    lexicon = toxicity.Lexicon({"idiot": 4.0, "idiotic": 3.0}, {"idio": 3.5, "moron": 5.0})
+    assert [lexicon.weigh_word(w) for w in ("ediot", "iddiot", "idjotic")] == [(4.0, 1), (4.0, 1), (3.0, 1)]
+    assert [lexicon.weigh_word(w) for w in ("morronish", "maronically", "moderate", "table")] == [(5.0, 1), (5.0, 1), (0.0, 0), (0.0, 0)]
+
+
+def test_stems_are_found_at_the_beginning_of_all_words_in_reach():
+    rng = random.Random(16)
+    stems = {"".join(rng.choice("abcde") for _ in range(rng.randrange(4, 12))): rng.random() + 0.1 for _ in range(40)}
+    lexicon = toxicity.FuzzyLexicon({}, stems)
+    for _ in range(800):
+        word = list(rng.choice(list(stems)) + "".join(rng.choice("abcde") for _ in range(rng.randrange(5))))
+        for _ in range(rng.randrange(0, 4)):
+            k = rng.randrange(len(word) + 1)
+            word[k : k + rng.randrange(0, 2)] = rng.choice(["", "a", "c", "e"])
+        word = "".join(word)
+        reach = [(min(distance(word[:n], t) for n in range(len(word) + 1)), -w, t) for t, w in stems.items()]
+        want = min(((d, w) for d, w, t in reach if d <= toxicity.edits_of_length(len(t)) > 0), default=None)
+        assert lexicon.match_stem(word) == ((-want[1], want[0]) if want else (0.0, 0))
+
+
+def test_misspellings_of_rare_terms_are_found(spark):
+    """Terms in few of the toxic texts each, and more of them than 150."""
+    rng = random.Random(17)
+    terms = ["".join(rng.choice(string.ascii_lowercase) for _ in range(10)) for _ in range(300)]
+    rows = [(i, f"{words(rng, 10)} {' '.join(rng.sample(terms, 8)) if i % 2 else ''}", i % 2, str(i)) for i in range(1200)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, toxic int, digest string"))
+    assert len(set(terms) & set(lexicon.terms)) > 150
+    assert all(lexicon.weigh_word(t[:4] + "ü" + t[5:])[1] == 1 for t in terms if t in lexicon.terms)
+
+
 def test_toxicity_learns_words_and_misspellings(spark):
     rng = random.Random(7)
     texts, labels = {}, []

@@ -52,26 +52,21 @@ class Trie:
             node.edits = max(node.edits, allowed)
             node.weight = max(node.weight, weight)
 
-    def below(self, prefix: str) -> Node:
-        node = self.root
-        for letter in prefix:
-            node = node.children[letter]
-        return node
-
     @staticmethod
-    def nearest(word: str, node: Node, depth: int, row: list[int], best: tuple[int, float]) -> tuple[int, float]:
+    def nearest(word: str, node: Node, depth: int, row: list[int], best: tuple[int, float], beginning: bool = False) -> tuple[int, float]:
         """Walk the trie and the word's automaton together; ``row`` is the automaton's state at ``node``.
 
         A state holds the edit distance from the letters so far to each prefix
         of the word; a branch ends where every distance is beyond what the
         terms below may have. Gives the least distance and the heaviest weight
-        for it, as (distance, -weight).
+        for it, as (distance, -weight). With ``beginning`` the distance is to
+        the nearest beginning of the word.
         """
         width, stack = len(word) + 1, [(node, depth, row)]
         while stack:
             node, depth, row = stack.pop()
-            if node.weight and row[-1] <= edits_of_length(depth):
-                best = min(best, (row[-1], -node.weight))
+            if node.weight and (d := min(row) if beginning else row[-1]) <= edits_of_length(depth):
+                best = min(best, (d, -node.weight))
             for letter, child in node.children.items():
                 new = [row[0] + 1]
                 last = new[0]
@@ -84,42 +79,56 @@ class Trie:
         return best
 
 
+def shortened(word: str, edits: int) -> set[str]:
+    """The word and what is left of it without up to ``edits`` of its letters."""
+    out = last = {word}
+    for _ in range(edits):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        out = out | last
+    return out
+
+
+def by_remnant(terms: Iterable[str]) -> dict[int, dict[str, list[str]]]:
+    """Terms by the edits they may have and by each of their remnants; terms that may have none are left out."""
+    out: dict[int, dict[str, list[str]]] = {}
+    for t in terms:
+        if d := edits_of_length(len(t)):
+            for x in shortened(t, d):
+                out.setdefault(d, {}).setdefault(x, []).append(t)
+    return out
+
+
 class FuzzyLexicon:
     """Finds the nearest term of a word.
 
-    With d edits one of d + 1 parts of a term is left whole. So only branches
-    below a term's first part, or in the trie of reversed terms below its last
-    part, are walked; the trie of long terms is walked from its root where a
-    middle part occurs.
+    A term within d edits of a word has a remnant in common with it once up to
+    d letters are taken out of each. So a word's automaton is walked over the
+    trie of the terms that share a remnant with it, and no match is lost.
+    Stems are matched at the beginning of a word, within the edits that their
+    own length allows.
     """
 
-    def __init__(self, terms: dict[str, float]):
-        flexible = {t: w for t, w in terms.items() if edits_of_length(len(t))}
-        forward, backward = Trie(flexible), Trie({t[::-1]: w for t, w in flexible.items()})
-        self.long = Trie({t: w for t, w in flexible.items() if edits_of_length(len(t)) > 1})
-        self.starts: dict[str, Node] = {}
-        self.ends: dict[str, Node] = {}
-        self.middles: set[str] = set()
-        for t in flexible:
-            parts = edits_of_length(len(t)) + 1
-            cuts = [len(t) * k // parts for k in range(parts + 1)]
-            self.starts[t[: cuts[1]]] = forward.below(t[: cuts[1]])
-            self.ends[t[cuts[-2] :][::-1]] = backward.below(t[cuts[-2] :][::-1])
-            self.middles.update(t[x:y] for x, y in zip(cuts[1:-2], cuts[2:-1], strict=True))
-        self.sizes = [sorted({len(x) for x in s}) for s in (self.starts, self.ends, self.middles)]
-        self.lengths = (min(map(len, flexible), default=1) - 2, max(map(len, flexible), default=0) + 2)
+    def __init__(self, terms: dict[str, float], stems: dict[str, float] | None = None):
+        self.terms, self.stems = terms, stems or {}
+        self.near, self.near_stems = by_remnant(self.terms), by_remnant(self.stems)
+        self.longest = max(map(len, self.terms), default=0) + 2
+        self.stem_sizes = {d: sorted({n for t in self.stems if edits_of_length(len(t)) == d for n in range(len(t) - d, len(t) + d + 1)}) for d in self.near_stems}
 
     def match(self, word: str) -> tuple[float, int]:
         """Weight and distance of the nearest term (the heaviest of equals), or (0, 0)."""
-        if not self.lengths[0] <= len(word) <= self.lengths[1]:
+        if len(word) > self.longest:
             return 0.0, 0
-        best = (99, 0.0)
-        for x, nodes, sizes in ((word, self.starts, self.sizes[0]), (word[::-1], self.ends, self.sizes[1])):
-            for n in sizes:
-                if (node := nodes.get(x[:n])) is not None and n <= len(x):
-                    best = Trie.nearest(x, node, n, [abs(i - n) for i in range(len(x) + 1)], best)
-        if best[0] and any(word[i : i + n] in self.middles for n in self.sizes[2] for i in range(len(word) - n + 1)):
-            best = Trie.nearest(word, self.long.root, 0, list(range(len(word) + 1)), best)
+        found = {t for d, near in self.near.items() for x in shortened(word, d) for t in near.get(x, ())}
+        return self._nearest(word, {t: self.terms[t] for t in found})
+
+    def match_stem(self, word: str) -> tuple[float, int]:
+        """Weight and distance of the nearest stem to any beginning of the word, or (0, 0)."""
+        found = {t for d, near in self.near_stems.items() for n in self.stem_sizes[d] for x in shortened(word[:n], d) for t in near.get(x, ())}
+        return self._nearest(word[: max(map(len, found), default=0) + 2], {t: self.stems[t] for t in found}, beginning=True)
+
+    @staticmethod
+    def _nearest(word: str, found: dict[str, float], beginning: bool = False) -> tuple[float, int]:
+        best = Trie.nearest(word, Trie(found).root, 0, list(range(len(word) + 1)), (99, 0.0), beginning) if found else (99, 0.0)
         return (-best[1], best[0]) if best[0] < 99 else (0.0, 0)
 
 
@@ -137,16 +146,14 @@ class Lexicon:
     benign: frozenset[str] = frozenset()
     context: dict[str, float] = field(default_factory=dict)
     window: int = 5
-    flexible: frozenset[str] | None = None  # terms that misspellings are sought for; None: all
 
     def __post_init__(self):
         self.stem_sizes = sorted({len(x) for x in self.stems}, reverse=True)
-        # Forms of a stem need no fuzzy match of their own: the stem matches whatever ends they have.
-        self.fuzzy = FuzzyLexicon({t: w for t, w in self.terms.items() if (self.flexible is None or t in self.flexible) and not self.stem_of(t)})
+        self.fuzzy = FuzzyLexicon(self.terms, self.stems)
         self.known: dict[str, tuple[float, int]] = {}
 
     def __getstate__(self):
-        return {k: getattr(self, k) for k in ("terms", "stems", "benign", "context", "window", "flexible")}
+        return {k: getattr(self, k) for k in ("terms", "stems", "benign", "context", "window")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -159,13 +166,15 @@ class Lexicon:
         return best
 
     def weigh_word(self, word: str) -> tuple[float, int]:
-        """Weight and distance of a word: as a term, by its stem, or as a misspelling."""
+        """Weight and distance of a word: as a term, by its stem, or as a misspelling of a term or of a stem."""
         if word in self.terms:
             return self.terms[word], 0
         if word in self.benign:
             return 0.0, 0
-        stem = self.stem_of(word)
-        return (stem, 0) if stem else self.fuzzy.match(word)
+        if stem := self.stem_of(word):
+            return stem, 0
+        found = [x for x in (self.fuzzy.match(word), self.fuzzy.match_stem(word)) if x[0]]
+        return min(found, key=lambda x: (x[1], -x[0]), default=(0.0, 0))
 
     def stem_of(self, word: str) -> float:
         return next((self.stems[word[:n]] for n in self.stem_sizes if word[:n] in self.stems), 0.0)
@@ -215,7 +224,7 @@ def _words(column: str = "text"):
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit(r"(\p{L}+)"), 1))
 
 
-def learn_lexicon(rows: DataFrame, max_terms: int = 2_000, least_gain: float = 3.0, max_flexible: int = 150) -> Lexicon:
+def learn_lexicon(rows: DataFrame, max_terms: int = 2_000, least_gain: float = 3.0) -> Lexicon:
     """Words by the log of how much oftener toxic documents have them, out of document counts over all learning rows.
 
     A term needs support that grows with the toxic rows, so that a word of one
@@ -235,9 +244,7 @@ def learn_lexicon(rows: DataFrame, max_terms: int = 2_000, least_gain: float = 3
     stems = begins.groupBy("stem").agg(F.count("*").alias("words"), F.max("bad").alias("most"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     stems = stems.where((F.col("words") >= 4) & (F.col("bad") >= 3 * support) & (2 * F.col("most") <= F.col("bad")))
     stems = stems.withColumn("gain", gain).where(F.col("gain") >= least_gain).orderBy(F.desc(F.col("gain") * F.ln("bad")), "stem").limit(max_terms).collect()
-    # Words of a few copied documents pass for terms too; misspellings are sought for widespread ones only.
-    common = sorted((r for r in best if r["bad"] >= max(support, bad // 40)), key=lambda r: (-r["bad"], r["word"]))[:max_flexible]
-    draft = Lexicon({r["word"]: float(r["gain"]) for r in best}, {r["stem"]: float(r["gain"]) for r in stems}, flexible=frozenset(r["word"] for r in common))
+    draft = Lexicon({r["word"]: float(r["gain"]) for r in best}, {r["stem"]: float(r["gain"]) for r in stems})
     shared = rows.sparkSession.sparkContext.broadcast(draft)
 
     @F.pandas_udf("boolean")
@@ -246,7 +253,7 @@ def learn_lexicon(rows: DataFrame, max_terms: int = 2_000, least_gain: float = 3
 
     # Clean texts' own words that lie near a term are no misspellings of it.
     others = counts.where((F.col("good") > 0) & (F.col("gain") < least_gain / 2)).where(near("word")).orderBy(F.desc("good"), "word").limit(20_000).collect()
-    return Lexicon(draft.terms, draft.stems, frozenset(r["word"] for r in others), learn_context(rows, draft), flexible=draft.flexible)
+    return Lexicon(draft.terms, draft.stems, frozenset(r["word"] for r in others), learn_context(rows, draft))
 
 
 def learn_context(rows: DataFrame, lexicon: Lexicon, least: int = 20) -> dict[str, float]:
