@@ -309,6 +309,18 @@ def test_misspellings_of_rare_terms_are_found(spark):
     assert all(lexicon.weigh_word(t[:4] + "ü" + t[5:])[1] == 1 for t in terms if t in lexicon.terms)
 
 
+def test_copies_shift_no_gains(spark):
+    """A lexicon of texts with many copies, some under both labels, is that of the distinct texts."""
+    rng = random.Random(18)
+    rows = [(f"{words(rng, 10)} {'nitwit' if i % 2 and i % 5 else ''}", i % 2, str(i)) for i in range(200)]
+    rows += [(*rows[0][:1], 1, rows[0][2])]
+    copied = rows + [rows[1]] * 900 + [rows[0]] * 100
+    learned = [toxicity.learn_lexicon(spark.createDataFrame(x, "text string, toxic int, digest string").withColumn("doc_id", F.monotonically_increasing_id())) for x in (rows, copied)]
+    assert learned[0].terms == learned[1].terms and "nitwit" in learned[0].terms
+    bad, good = 101, 100
+    assert learned[1].terms["nitwit"] == pytest.approx(np.log((80 + 0.5) / (bad + 1)) - np.log(0.5 / (good + 1)))
+
+
 def test_toxicity_learns_words_and_misspellings(spark):
     rng = random.Random(7)
     texts, labels = {}, []

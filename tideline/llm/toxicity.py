@@ -225,17 +225,18 @@ def _words(column: str = "text"):
 
 
 def learn_lexicon(rows: DataFrame, max_terms: int = 2_000, least_gain: float = 3.0) -> Lexicon:
-    """Words by the log of how much oftener toxic documents have them, out of document counts over all learning rows.
+    """Words by the log of how much oftener toxic documents have them, out of counts of distinct texts over all learning rows.
 
-    A term needs support that grows with the toxic rows, so that a word of one
+    A text counts once for each label it has, in the words' counts and in the
+    totals that these are held against. A term needs support that grows with the toxic rows, so that a word of one
     copied document is no term. A stem is a word beginning that several words
     share and that is as telling by itself. Ties are settled by the word.
     """
-    totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    totals = {r["toxic"]: r["count"] for r in rows.select("digest", "toxic").distinct().groupBy("toxic").count().collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         return Lexicon({})
-    counts = rows.dropDuplicates(["digest"]).select("toxic", F.explode(_words()).alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    counts = rows.dropDuplicates(["digest", "toxic"]).select("toxic", F.explode(_words()).alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     gain = F.ln((F.col("bad") + 0.5) / (bad + 1)) - F.ln((F.col("good") + 0.5) / (good + 1))
     counts = stage_table(rows.sparkSession, counts.withColumn("gain", gain), "toxic-words")
     support = max(3, bad // 150)
