@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,8 +64,8 @@ def columnar_json_rows(c: Column, fields: Mapping[str, str]) -> Column:
 
 
 def read_review_batches(spark: SparkSession, root: str, kinds: Sequence[str], schema: T.StructType) -> DataFrame:
-    """All reviews below a root of folders, tagged by folder; folders that lack a kind are left out."""
-    rows = spark.read.schema(schema).option("recursiveFileLookup", True).json(root).withColumn("_path", F.col("_metadata.file_path"))
+    """All reviews below a root of folders, tagged by folder; folders that lack a kind are left out. A kind is a file, or a folder of part files."""
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).json(root).withColumn("_path", F.regexp_replace(F.col("_metadata.file_path"), r"(\.[a-z]+)/part-[^/]*$", "$1"))
     rows = rows.withColumn("folder", F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1)).withColumn("kind", F.regexp_extract("_path", r"/([^/.]+)\.[^/]*$", 1)).drop("_path")
     complete = rows.where(F.col("kind").isin(*kinds)).groupBy("folder").agg(F.count_distinct("kind").alias("n")).where(F.col("n") == len(kinds)).select("folder")
     return rows.join(complete, "folder", "left_semi")
@@ -85,5 +86,28 @@ def source_profile(df: DataFrame, time: str, day: str, key: str) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.avg(F.col(time).cast("string").try_cast("timestamp_ntz").isNotNull().cast("double")).alias("time_rate"), F.avg(F.col(key).isNotNull().cast("double")).alias("key_rate"), F.count_distinct(day).alias("n_days")).withColumn("rows_per_day", F.col("n_rows") / F.greatest(F.col("n_days"), F.lit(1)))
 
 
+# Points of a source's score. The bands of rows a day go up to their bound; beyond the last, each row a day costs.
+ROLE_POINTS = {"id": 4.0, "time": 3.0, "day": 3.0, "order": 1.0}
+HIT_POINTS, PAIR_POINTS, LABEL_POINTS, COUNT_POINTS, PARSED_POINTS = 2.0, 4.0, 2.0, 1.0, 2.0
+COUNT_RANGE = (50, 500_000)
+DENSITY_POINTS, DENSE_FROM, DENSE_COST, DENSE_MOST = ((1, -3.0), (12, 8.0), (24, 1.0)), 24.0, 0.35, 18.0
+
+
+def rank_sources(profiles: DataFrame) -> DataFrame:
+    """Profiles with a score and a place, best first (ties by name).
+
+    ``profiles`` has a row for each source: name, boost (what its name is
+    worth), has_id, has_time, has_day, has_order, hits (how many columns of
+    meaning it has), has_pair, has_label, n_rows, time_rate and rows_per_day.
+    """
+    roles = reduce(lambda a, b: a + b, (F.when(F.col(f"has_{k}"), v).otherwise(0.0) for k, v in ROLE_POINTS.items()))
+    meaning = HIT_POINTS * F.col("hits") + F.when(F.col("has_pair"), PAIR_POINTS).otherwise(0.0) + F.when(F.col("has_label"), LABEL_POINTS).otherwise(0.0)
+    usable = F.when(F.col("n_rows").between(*COUNT_RANGE), COUNT_POINTS).otherwise(0.0) + F.when(F.col("has_time"), PARSED_POINTS * F.col("time_rate")).otherwise(0.0)
+    rate = F.col("rows_per_day")
+    density = reduce(lambda out, band: out.when(rate <= band[0], band[1]), DENSITY_POINTS, F.when(rate.isNull(), 0.0)).otherwise(-F.least(F.lit(DENSE_MOST), DENSE_COST * (rate - DENSE_FROM)))
+    scored = profiles.withColumn("score", F.col("boost") + roles + meaning + usable + density)
+    return scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "name")).cast("long"))  # one row for each source
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), kind: str = "parquet") -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).format(kind).save(path)
