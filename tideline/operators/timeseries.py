@@ -6,10 +6,12 @@ serves all of them. ``e`` is the entity column and ``t`` the order column.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def spine(df: DataFrame, e: str, day: str) -> DataFrame:
@@ -44,25 +46,35 @@ def latest_wins(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame
 def carried_ema(df: DataFrame, e: str, t: str, value: str, spans: Sequence[int]) -> DataFrame:
     """Recursive averages without adjustment, for each span: a null carries the last average and fades its weight.
 
-    A fold over an entity's ordered values. The fold copies its output, so it
-    is meant for daily or coarser series, of some thousand rows an entity.
+    Each task walks its sorted rows once and holds one state, so an entity may
+    have any number of rows. Gives e, t, value and ``ema_`` columns.
     """
-    rows = df.groupBy(e).agg(F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(value).cast("double").alias("v")))).alias("_rows"))
-    shape = "struct<avg:double,weight:double,out:array<double>>"
-    for span in spans:
-        alpha = 2.0 / (span + 1.0)
-
-        def step(s: Column, x: Column) -> Column:
-            faded = s["weight"] * (1 - alpha)
-            fresh = (faded * s["avg"] + alpha * x["v"]) / (faded + alpha)
-            avg = F.when(x["v"].isNull(), s["avg"]).when(s["avg"].isNull(), x["v"]).otherwise(fresh)
-            weight = F.when(s["avg"].isNull(), F.lit(1.0)).when(x["v"].isNull(), faded).otherwise(F.lit(1.0))
-            return F.struct(avg.alias("avg"), weight.alias("weight"), F.concat(s["out"], F.array(avg)).alias("out"))
-
-        start = F.struct(F.lit(None).cast("double").alias("avg"), F.lit(1.0).alias("weight"), F.array().cast("array<double>").alias("out")).cast(shape)
-        rows = rows.withColumn(f"_ema{span}", F.aggregate("_rows", start, step, lambda s: s["out"]))
-    zipped = F.arrays_zip(F.col("_rows.t").alias(t), F.col("_rows.v").alias(value), *(F.col(f"_ema{s}").alias(f"ema_{s}") for s in spans))
-    return rows.select(e, F.inline(zipped))
+    kept = df.select(e, t, F.col(value).cast("double").alias(value))
+    schema = T.StructType([*kept.schema, *(T.StructField(f"ema_{s}", T.DoubleType()) for s in spans)])
+    alphas = [2.0 / (s + 1.0) for s in spans]
+
+    def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        entity, states = None, []
+        for batch in batches:
+            out = []
+            for key, x in zip(batch[e], batch[value], strict=True):
+                if key != entity:
+                    entity, states = key, [(None, 1.0)] * len(alphas)
+                missing = x != x
+                after = []
+                for alpha, (avg, weight) in zip(alphas, states, strict=True):
+                    if avg is None:
+                        after.append((None if missing else x, 1.0))
+                    elif missing:
+                        after.append((avg, weight * (1 - alpha)))
+                    else:
+                        faded = weight * (1 - alpha)
+                        after.append(((faded * avg + alpha * x) / (faded + alpha), 1.0))
+                states = after
+                out.append([avg for avg, _ in states])
+            yield batch.assign(**{f"ema_{s}": [x[i] for x in out] for i, s in enumerate(spans)})
+
+    return kept.repartition(e).sortWithinPartitions(e, t).mapInPandas(walk, schema)
 
 
 def interpolate(df: DataFrame, e: str, t: str, value: str, limit: int = 8) -> DataFrame:
@@ -87,9 +99,14 @@ def streak(df: DataFrame, e: str, t: str, flag: Column, out: str) -> DataFrame:
     return df.withColumn(out, F.when(F.col("_on"), F.sum(F.col("_on").cast("int")).over(by([e, "_run"], t))).otherwise(0).cast("long")).drop("_on", "_run")
 
 
-def next_targets(df: DataFrame, e: str, t: str, columns: Sequence[str], h: int = 1) -> DataFrame:
-    """Values h rows ahead, their differences, the days to them, and whether that gap is as expected."""
+def next_targets(df: DataFrame, e: str, t: str, columns: Sequence[str], h: int = 1, categories: Sequence[str] = ()) -> DataFrame:
+    """Values h rows ahead, their differences, the days to them, and whether that gap is as expected.
+
+    Of categories, the next one and whether it is the same (null where either is null).
+    """
     w = by(e, t)
+    for c in categories:
+        df = df.withColumn(f"y_next_{c}", F.lead(c, h).over(w)).withColumn(f"y_same_{c}", F.col(f"y_next_{c}") == F.col(c))
     for c in columns:
         df = df.withColumn(f"y_next_{c}", F.lead(c, h).over(w)).withColumn(f"y_delta_next_{c}", F.col(f"y_next_{c}") - F.col(c))
     days = F.datediff(F.lead(t, h).over(w), t)

@@ -13,6 +13,9 @@ DAILY = "daily AS (SELECT user_id AS entity_id, CAST(ts AS DATE) AS day, count(*
 SPINE = DAILY + ", ends AS (SELECT entity_id, min(day) AS lo, max(day) AS hi FROM daily GROUP BY 1), spine AS (SELECT entity_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM ends), full_days AS (SELECT s.entity_id, s.day, d.n, d.total, d.mean_value, d.top FROM spine s LEFT JOIN daily d USING (entity_id, day))"
 
 
+LEVEL = "CASE WHEN total IS NULL THEN NULL WHEN total <= 50 THEN 'low' WHEN total <= 150 THEN 'middle' ELSE 'high' END"
+
+
 def daily(spark, d) -> DataFrame:
     return load(spark, d, "events").groupBy(F.col("user_id").alias("entity_id"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.avg("value").alias("mean_value"), F.max("value").alias("top"))
 
@@ -22,17 +25,17 @@ def full_days(spark, d) -> DataFrame:
 
 
 @query(f"""WITH {SPINE}, w AS (SELECT entity_id, day, coalesce(total, 0) AS total, avg(coalesce(total, 0)) OVER (PARTITION BY entity_id ORDER BY day ROWS 6 PRECEDING) AS mean_7,
- lead(coalesce(total, 0)) OVER (PARTITION BY entity_id ORDER BY day) AS y_next_total, row_number() OVER (PARTITION BY entity_id ORDER BY day) - 1 AS i, lead(day) OVER (PARTITION BY entity_id ORDER BY day) - day AS days_to_next FROM full_days),
- kept AS (SELECT *, count(*) OVER (PARTITION BY entity_id) AS c, row_number() OVER (PARTITION BY entity_id ORDER BY day) - 1 AS k FROM w WHERE days_to_next IS NOT NULL)
- SELECT entity_id, day, round(total, 6) AS total, round(mean_7, 6) AS mean_7, round(y_next_total, 6) AS y_next_total, round(y_next_total - total, 6) AS y_delta_next_total, CAST(days_to_next AS BIGINT) AS days_to_next, abs(days_to_next - 1) <= 0.5 AS is_gap_expected,
+ lead(coalesce(total, 0)) OVER (PARTITION BY entity_id ORDER BY day) AS y_next_total, row_number() OVER (PARTITION BY entity_id ORDER BY day) - 1 AS i, lead(day) OVER (PARTITION BY entity_id ORDER BY day) - day AS days_to_next, {LEVEL} AS level FROM full_days), b AS (SELECT *, lead(level) OVER (PARTITION BY entity_id ORDER BY day) AS y_next_level FROM w),
+ kept AS (SELECT *, count(*) OVER (PARTITION BY entity_id) AS c, row_number() OVER (PARTITION BY entity_id ORDER BY day) - 1 AS k FROM b WHERE days_to_next IS NOT NULL)
+ SELECT entity_id, day, round(total, 6) AS total, round(mean_7, 6) AS mean_7, round(y_next_total, 6) AS y_next_total, round(y_next_total - total, 6) AS y_delta_next_total, CAST(days_to_next AS BIGINT) AS days_to_next, abs(days_to_next - 1) <= 0.5 AS is_gap_expected, y_next_level, y_next_level = level AS y_same_level,
  y_next_total - total <= -0.5 AS is_drop, CASE WHEN k < (CASE WHEN c < 10 THEN c WHEN c < 30 THEN floor(0.7 * c) ELSE floor(0.8 * c) END) THEN 'train' WHEN k < (CASE WHEN c < 10 THEN c WHEN c < 30 THEN floor(0.85 * c) ELSE floor(0.9 * c) END) THEN 'val' ELSE 'test' END AS split FROM kept""")
 def flagship_daily_targets(spark, d):
-    """A01, J05, W05, W11, W13, P11, P13: daily rollup on a spine, 7-day mean, next-day targets and split."""
-    days = full_days(spark, d).select("entity_id", "day", F.coalesce("total", F.lit(0.0)).alias("total"))
+    """A01, J05, W05, W11, W13, P11, P13: daily rollup on a spine, 7-day mean, next-day targets (numbers and a category) and split."""
+    days = full_days(spark, d).select("entity_id", "day", F.coalesce("total", F.lit(0.0)).alias("total"), S.band(F.col("total"), [50, 150], ["low", "middle", "high"]).alias("level"))
     days = days.withColumn("mean_7", TS.rolling(F.col("total"), F.avg, 7, TS.by("entity_id", "day")))
-    days = TS.temporal_split(TS.next_targets(days, "entity_id", "day", ["total"]), "entity_id", "day")
+    days = TS.temporal_split(TS.next_targets(days, "entity_id", "day", ["total"], categories=["level"]), "entity_id", "day")
     rounded = [F.round(c, 6).alias(c) for c in ("total", "mean_7", "y_next_total", "y_delta_next_total")]
-    return days.select("entity_id", "day", *rounded, "days_to_next", "is_gap_expected", (F.col("y_next_total") - F.col("total") <= -0.5).alias("is_drop"), "split")
+    return days.select("entity_id", "day", *rounded, "days_to_next", "is_gap_expected", "y_next_level", "y_same_level", (F.col("y_next_total") - F.col("total") <= -0.5).alias("is_drop"), "split")
 
 
 @query(f"WITH {SPINE} SELECT entity_id, day, coalesce(n, 0) AS n, round(coalesce(total, 0), 6) AS total, round(mean_value, 6) AS mean_value, top FROM full_days")
@@ -40,11 +43,11 @@ def a01_j05_daily_spine(spark, d):
     return full_days(spark, d).select("entity_id", "day", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("total", F.lit(0.0)), 6).alias("total"), F.round("mean_value", 6).alias("mean_value"), "top")
 
 
-@query("""WITH s AS (SELECT user_id AS entity_id, time_bucket(INTERVAL 15 MINUTE, ts) AS slot, avg(value) AS level, sum(value) AS amount FROM events WHERE ts < TIMESTAMP '2024-01-03' GROUP BY 1, 2), e AS (SELECT entity_id, min(slot) lo, max(slot) hi FROM s GROUP BY 1),
+@query("""WITH s AS (SELECT user_id AS entity_id, time_bucket(INTERVAL 15 MINUTE, ts) AS slot, avg(value) AS level, sum(value) AS amount FROM events GROUP BY 1, 2), e AS (SELECT entity_id, min(slot) lo, max(slot) hi FROM s GROUP BY 1),
  g AS (SELECT entity_id, unnest(generate_series(lo, hi, INTERVAL 15 MINUTE)) AS slot FROM e) SELECT g.entity_id, g.slot, round(level, 6) AS level, round(coalesce(amount, 0), 6) AS amount FROM g LEFT JOIN s USING (entity_id, slot)""")
 def a03_slot_rollup(spark, d):
-    """Levels are means and empty slots have none; amounts are sums and empty slots have 0. The days are the feature's range."""
-    slots = load(spark, d, "events").where("ts < timestamp_ntz'2024-01-03'").groupBy(F.col("user_id").alias("entity_id"), S.slot_start(F.col("ts")).alias("slot")).agg(F.avg("value").alias("level"), F.sum("value").alias("amount"))
+    """Levels are means and empty slots have none; amounts are sums and empty slots have 0."""
+    slots = load(spark, d, "events").groupBy(F.col("user_id").alias("entity_id"), S.slot_start(F.col("ts")).alias("slot")).agg(F.avg("value").alias("level"), F.sum("value").alias("amount"))
     return TS.slot_spine(slots, "entity_id", "slot").select("entity_id", "slot", F.round("level", 6).alias("level"), F.round(F.coalesce("amount", F.lit(0.0)), 6).alias("amount"))
 
 
@@ -213,16 +216,23 @@ def w19_w20_rank_and_zscore(spark, d):
     return daily(spark, d).select("entity_id", "day", F.round(F.cume_dist().over(TS.by("entity_id", "total")), 6).alias("percentile_rank"), F.round(z, 4).alias("z"))
 
 
-@query(f"WITH {DAILY} SELECT count(*) AS n_rows, min(day) AS first_day, max(day) AS last_day, count(DISTINCT entity_id) AS n_entities, CAST(count(*) FILTER (total > 100) AS BIGINT) AS n_hot, round(avg(CASE WHEN total > 100 THEN 1.0 ELSE 0.0 END), 6) AS hot_share FROM daily")
+@query(f"""WITH {DAILY}, o AS (SELECT *, lead(day) OVER (PARTITION BY entity_id ORDER BY day) - day AS gap, lead(total) OVER (PARTITION BY entity_id ORDER BY day) AS nxt FROM daily), k AS (SELECT *, count(*) OVER (PARTITION BY entity_id) AS c, row_number() OVER (PARTITION BY entity_id ORDER BY day) - 1 AS i FROM o WHERE gap IS NOT NULL),
+ s AS (SELECT *, CASE WHEN i < (CASE WHEN c < 10 THEN c WHEN c < 30 THEN floor(0.7 * c) ELSE floor(0.8 * c) END) THEN 'train' WHEN i < (CASE WHEN c < 10 THEN c WHEN c < 30 THEN floor(0.85 * c) ELSE floor(0.9 * c) END) THEN 'val' ELSE 'test' END AS split FROM k)
+ SELECT count(*) AS n_rows, min(day) AS first_day, max(day) AS last_day, count(DISTINCT entity_id) AS n_entities, count(nxt) AS n_target, CAST(count(*) FILTER (nxt - total <= -0.5) AS BIGINT) AS n_drops, CAST(count(*) FILTER (split = 'train') AS BIGINT) AS n_train, CAST(count(*) FILTER (split = 'val') AS BIGINT) AS n_val, CAST(count(*) FILTER (split = 'test') AS BIGINT) AS n_test, round(100.0 * count(*) FILTER (abs(gap - 1) <= 0.5) / count(*), 4)::DOUBLE AS pct_gap_expected, 'day,mean_value,n,top,total' AS value_columns FROM s""")
 def s25_profile_table(spark, d):
-    return daily(spark, d).agg(F.count("*").alias("n_rows"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count_distinct("entity_id").alias("n_entities"), F.count_if(F.col("total") > 100).alias("n_hot"), F.round(F.avg((F.col("total") > 100).cast("double")), 6).alias("hot_share"))
+    """The manifest of a table of targets: rows, dates, entities, targets, binaries, splits and expected gaps, in one pass."""
+    days = daily(spark, d)
+    columns = ",".join(sorted(c for c in days.columns if c != "entity_id"))
+    rows = TS.temporal_split(TS.next_targets(days, "entity_id", "day", ["total"]), "entity_id", "day")
+    split = {f"n_{x}": F.count_if(F.col("split") == x) for x in ("train", "val", "test")}
+    return rows.agg(F.count("*").alias("n_rows"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count_distinct("entity_id").alias("n_entities"), F.count("y_next_total").alias("n_target"), F.count_if(F.col("y_delta_next_total") <= -0.5).alias("n_drops"), *(c.alias(k) for k, c in split.items()), F.round(100.0 * F.count_if("is_gap_expected") / F.count("*"), 4).alias("pct_gap_expected"), F.lit(columns).alias("value_columns"))
 
 
-@query("""WITH h AS (SELECT user_id AS entity_id, date_trunc('hour', ts) AS hour, avg(value) AS level FROM events WHERE ts < TIMESTAMP '2024-01-02' GROUP BY 1, 2), e AS (SELECT entity_id, min(hour) AS lo, max(hour) AS hi FROM h GROUP BY 1), g AS (SELECT entity_id, unnest(generate_series(lo, hi, INTERVAL 15 MINUTE)) AS slot FROM e),
- j AS (SELECT g.entity_id, g.slot, h.level, row_number() OVER (PARTITION BY g.entity_id, g.slot ORDER BY h.hour DESC) AS i FROM g JOIN h ON h.entity_id = g.entity_id AND h.hour <= g.slot) SELECT entity_id, slot, round(level, 6) AS level FROM j WHERE i = 1""")
+@query("""WITH h AS (SELECT user_id AS entity_id, date_trunc('hour', ts) AS hour, avg(value) AS level FROM events GROUP BY 1, 2), e AS (SELECT entity_id, min(hour) AS lo, max(hour) AS hi FROM h GROUP BY 1), g AS (SELECT entity_id, unnest(generate_series(lo, hi, INTERVAL 15 MINUTE)) AS slot FROM e),
+ j AS (SELECT g.entity_id, g.slot, h.level FROM g ASOF JOIN h ON h.entity_id = g.entity_id AND h.hour <= g.slot) SELECT entity_id, slot, round(level, 6) AS level FROM j""")
 def j07_ffill_align(spark, d):
-    """Hourly levels carried forward on a 15-minute grid. The day is the feature's range."""
-    hours = load(spark, d, "events").where("ts < timestamp_ntz'2024-01-02'").groupBy(F.col("user_id").alias("entity_id"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("slot")).agg(F.avg("value").alias("level"))
+    """Hourly levels carried forward on a 15-minute grid."""
+    hours = load(spark, d, "events").groupBy(F.col("user_id").alias("entity_id"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("slot")).agg(F.avg("value").alias("level"))
     grid = TS.slot_spine(hours, "entity_id", "slot")
     carried = F.last("level", ignorenulls=True).over(TS.by("entity_id", "slot").rowsBetween(Window.unboundedPreceding, 0))
     return grid.select("entity_id", "slot", F.round(carried, 6).alias("level"))

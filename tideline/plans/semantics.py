@@ -142,13 +142,13 @@ def j02_j03_enrich_left(spark, d):
     return B.checked_join(B.checked_join(li, su, ["s_suppkey"]), load(spark, d, "nation").select("n_nationkey", "n_name"), ["n_nationkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "s_name", "n_name")
 
 
-@query("""WITH s AS (SELECT p_brand, p_size, min(p_partkey) AS k FROM part WHERE p_partkey >= 100 GROUP BY 1, 2), l AS (SELECT p_brand, min(p_partkey) AS k FROM part WHERE p_partkey >= 100 GROUP BY 1)
- SELECT p.p_partkey, coalesce(s.k, l.k) AS match_key, CASE WHEN s.k IS NOT NULL THEN 'strict' WHEN l.k IS NOT NULL THEN 'loose' END AS stage FROM part p LEFT JOIN s USING (p_brand, p_size) LEFT JOIN l USING (p_brand) WHERE p.p_partkey < 100""")
+@query("""WITH s AS (SELECT p_brand, p_size, min(p_partkey) AS k FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2), l AS (SELECT p_brand, min(p_partkey) AS k FROM part WHERE p_partkey % 2 = 0 GROUP BY 1)
+ SELECT p.p_partkey, coalesce(s.k, l.k) AS match_key, CASE WHEN s.k IS NOT NULL THEN 'strict' WHEN l.k IS NOT NULL THEN 'loose' END AS stage FROM part p LEFT JOIN s USING (p_brand, p_size) LEFT JOIN l USING (p_brand) WHERE p.p_partkey % 2 = 1""")
 def j04_two_stage_join(spark, d):
-    """Newer parts look for an older one of their brand and size, else of their brand."""
+    """Parts with odd keys look for one with an even key of their brand and size, else of their brand."""
     part = load(spark, d, "part").select("p_partkey", "p_brand", "p_size")
-    dim = part.where("p_partkey >= 100").select("p_brand", "p_size", F.col("p_partkey").alias("match_key"))
-    return B.two_stage_join(part.where("p_partkey < 100"), dim, ["p_brand", "p_size"], ["p_brand"], "match_key", "match_key").select("p_partkey", "match_key", "stage")
+    dim = part.where("p_partkey % 2 = 0").select("p_brand", "p_size", F.col("p_partkey").alias("match_key"))
+    return B.two_stage_join(part.where("p_partkey % 2 = 1"), dim, ["p_brand", "p_size"], ["p_brand"], "match_key", "match_key").select("p_partkey", "match_key", "stage")
 
 
 @query("SELECT o_orderpriority, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 10")

@@ -50,10 +50,9 @@ def p18_feature_groups(spark, d):
     return ev.agg(F.count("*").alias("n_rows")).select(counted, "n_rows").select("g.*", "n_rows")
 
 
-@query("SELECT event_id, user_id AS entity_id, ts AS event_time, value AS src__value, props AS src__props, event_type AS src__event_type, user_id AS src__user_id, ts AS src__ts, event_id AS src__event_id FROM events WHERE value > 50")
+@query("SELECT event_id, user_id AS entity_id, ts AS event_time, value AS src__value, props AS src__props, event_type AS src__event_type, user_id AS src__user_id, ts AS src__ts, event_id AS src__event_id FROM events WHERE ts IS NOT NULL")
 def p14_p21_standardize_source(spark, d):
-    ev = load(spark, d, "events").where("value > 50")
-    return R.standardize(ev, {"event_id": "event_id", "entity_id": "user_id", "event_time": "ts"}, required=["event_time"])
+    return R.standardize(load(spark, d, "events"), {"event_id": "event_id", "entity_id": "user_id", "event_time": "ts"}, required=["event_time"])
 
 
 @query("SELECT event_id, CAST(NULL AS DOUBLE) AS value, event_type FROM events")
