@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,7 +12,18 @@ from pyspark.sql import functions as F
 # Texts that mean yes and no.
 YES = ("1", "true", "t", "yes", "y")
 NO = ("0", "false", "f", "no", "n")
-SIZE_WORDS = ("small", "medium", "large", "mini", "regular", "serving")
+
+# Rules of the additive scores. A score begins at its base; each rule adds its points where a text holds
+# one of the words, or where a count is above zero, and the sum is clipped to 0..1.
+SCORE_BASES = {"comfort": 0.45, "fresh": 0.40, "indulgence": 0.40}
+SCORE_WORDS = (
+    ("prep", ("fried", "crispy", "breaded", "packaged"), {"indulgence": 0.2, "comfort": 0.1, "fresh": -0.15}),
+    ("kind", ("salad", "bowl"), {"fresh": 0.2}),
+    ("kind", ("pizza", "burger", "pasta", "dessert"), {"comfort": 0.2, "indulgence": 0.2, "fresh": -0.1}),
+)
+SCORE_DESSERT, SCORE_LONE_DRINK = {"indulgence": 0.15}, {"fresh": 0.05}
+DENSITY_CUTS, SATIETY_CUTS = (("high", 900), ("moderate", 500)), (("high", 30, 8), ("moderate", 15, 4))
+COHERENCE_CUTS, COHERENCE_REST, MANY_ROLES = ((2, 0.8), (4, 0.65)), 0.5, (4, 0.1)
 
 
 def binary_coerce(c: Column) -> Column:
@@ -51,7 +63,16 @@ def band(x: Column, edges: Sequence[float], labels: Sequence[str], closed: str =
 
 
 def season(month: Column) -> Column:
-    return F.when(month.isin(12, 1, 2), "winter").when(month.isin(3, 4, 5), "spring").when(month.isin(6, 7, 8), "summer").when(month.isNotNull(), "autumn")
+    return F.when(month.isin(12, 1, 2), "winter").when(month.isin(3, 4, 5), "spring").when(month.isin(6, 7, 8), "summer").when(month.isNotNull(), "fall")
+
+
+def month_name(date: Column) -> Column:
+    return F.date_format(date, "MMMM")
+
+
+def slot_group(slot: Column, snacks: Sequence[str]) -> Column:
+    """Slots as they are, but all snacks are one group."""
+    return F.when(slot.isin(*snacks), "snack").otherwise(slot)
 
 
 def threshold_flag(x: Column, op: str, value: float) -> Column:
@@ -88,15 +109,16 @@ def band_order(c: Column) -> Column:
     return F.create_map(*(F.lit(x) for pair in (("low", 0), ("watch", 1), ("high", 2)) for x in pair))[c]
 
 
-def normalize_text(c: Column, size_words: Sequence[str] = SIZE_WORDS) -> Column:
-    """Lower case, 'and' for &, nothing in brackets, plain characters, no size words, single spaces."""
-    x = F.lower(F.coalesce(c, F.lit("")))
-    x = F.regexp_replace(F.regexp_replace(x, "[‘’`]", "'"), "&", " and ")
-    x = F.regexp_replace(x, r"\[[^\]]*\]|\([^)]*\)", " ")
-    x = F.regexp_replace(x, r"[^a-z0-9+'\-/ ]", " ")
-    x = F.regexp_replace(x, rf"\b({'|'.join(size_words)})\b", " ")
-    x = F.trim(F.regexp_replace(x, " +", " "))
-    return F.coalesce(F.nullif(x, F.lit("")), F.lit("unknown_item"))
+# What stands for what in item names, as pattern and text, in the order in which they apply.
+NAME_RULES = (("[‘’`]", "'"), ("&", " and "), (r"\[[^\]]*\]|\([^)]*\)", " "), (r"[^a-z0-9+'\-/ ]", " "))
+NO_NAME = "unknown_item"
+
+
+def normalize_text(c: Column, size_words: Sequence[str], rules: Sequence[tuple[str, str]] = NAME_RULES) -> Column:
+    """Lower-case names after some rules, without words for sizes, with single spaces; NO_NAME where nothing is left."""
+    words = (rf"\b({'|'.join(size_words)})\b", " ")
+    x = reduce(lambda out, rule: F.regexp_replace(out, *rule), [*rules, words, (" +", " ")], F.lower(F.coalesce(c, F.lit(""))))
+    return F.coalesce(F.nullif(F.trim(x), F.lit("")), F.lit(NO_NAME))
 
 
 def pattern_flag(c: Column, words: Sequence[str]) -> Column:
@@ -120,9 +142,11 @@ def clean_tokens(c: Column, stop: Sequence[str] = ("the", "and", "with", "of"))
 
 
 def cluster_key(*columns: Column, fallback: Column) -> Column:
-    """The known categories joined by |, with the first sorted token where they don't tell."""
-    known = F.concat_ws("|", *(F.coalesce(F.lower(c), F.lit("unknown")) for c in columns))
-    return F.concat_ws("|", known, F.try_element_at(clean_tokens(fallback), F.lit(1)))
+    """The categories joined by |, and behind them the fallback's first word in order where a category is not known."""
+    names = [F.coalesce(F.nullif(F.lower(c), F.lit("")), F.lit("unknown")) for c in columns]
+    vague = reduce(lambda a, b: a | b, (n.isin("unknown", "none") for n in names))
+    first = F.coalesce(F.try_element_at(clean_tokens(fallback), F.lit(1)), F.lit("unknown"))
+    return F.concat_ws("|", *names, F.when(vague, first))
 
 
 def keyword_family(texts: Sequence[Column], rules: Sequence[tuple[str, Sequence[str]]], default: str) -> Column:
@@ -165,6 +189,16 @@ def cyclic_year(date: Column) -> tuple[Column, Column]:
     return F.sin(angle), F.cos(angle)
 
 
+def solar_shift(ts: Column, hours: float) -> Column:
+    """A time moved by hours, which may be broken or negative."""
+    return ts + F.make_dt_interval(secs=F.lit(round(hours * 3600.0, 6)))
+
+
+def is_daylight(ts: Column, rise: Column, fall: Column) -> Column:
+    """Whether a time lies in the half-open stretch from sunrise to sunset; null where a bound is null."""
+    return (ts >= rise) & (ts < fall)
+
+
 def log1p_clip(x: Column) -> Column:
     return F.when(x.isNotNull(), F.log1p(F.greatest(x, F.lit(0.0))))
 
@@ -191,6 +225,45 @@ def epoch_ms_date(c: Column) -> Column:
     return F.to_date(F.timestamp_millis(c))
 
 
+def additive_scores(prep: Column, kind: Column, desserts: Column, drinks: Column, items: Column) -> dict[str, Column]:
+    """Comfort, fresh and indulgence: a base and the points of every rule that holds, from 0 to 1."""
+    texts = {"prep": F.lower(F.coalesce(prep, F.lit(""))), "kind": F.lower(F.coalesce(kind, F.lit("")))}
+    rules = [(texts[of].rlike("|".join(words)), points) for of, words, points in SCORE_WORDS]
+    rules += [(desserts > 0, SCORE_DESSERT), ((drinks > 0) & (items.isNull() | (items == 1)), SCORE_LONE_DRINK)]
+    out = {}
+    for score, base in SCORE_BASES.items():
+        added = (F.when(held, points[score]).otherwise(0.0) for held, points in rules if score in points)
+        out[score] = clip(reduce(lambda a, b: a + b, added, F.lit(base)), 0.0, 1.0)
+    return out
+
+
+def density_style(energy: Column) -> Column:
+    return reduce(lambda out, cut: out.when(energy >= cut[1], cut[0]), DENSITY_CUTS, F.when(energy.isNull(), None)).otherwise("light")
+
+
+def satiety_style(protein: Column, fibre: Column) -> Column:
+    """By protein or fibre, whichever tells more; null where both are unknown."""
+    p, f = F.coalesce(protein, F.lit(0.0)), F.coalesce(fibre, F.lit(0.0))
+    return reduce(lambda out, cut: out.when((p >= cut[1]) | (f >= cut[2]), cut[0]), SATIETY_CUTS, F.when(protein.isNull() & fibre.isNull(), None)).otherwise("light")
+
+
+def coherence_score(items: Column, roles: Sequence[Column]) -> Column:
+    """Few items hang together; many different roles do less."""
+    base = reduce(lambda out, cut: out.when(items <= cut[0], cut[1]), COHERENCE_CUTS, F.when(items.isNull(), COHERENCE_REST)).otherwise(COHERENCE_REST)
+    filled = reduce(lambda a, r: a + F.coalesce((r > 0).cast("int"), F.lit(0)), roles, F.lit(0))
+    return clip(base - F.when(filled >= MANY_ROLES[0], MANY_ROLES[1]).otherwise(0.0), 0.0, 1.0)
+
+
+def explain(separator: str, first: Column, *rules: tuple[Column, str]) -> Column:
+    """A text and the notes of the rules that hold, joined."""
+    return F.concat_ws(separator, first, *(F.when(held, note) for held, note in rules))
+
+
+def code_map(c: Column, names: Mapping[str, str]) -> Column:
+    """What a code stands for; null for other codes."""
+    return reduce(lambda out, pair: out.when(c == pair[0], pair[1]), names.items(), F.when(c.isNull(), None))
+
+
 def portion_scale(amount: Column, factor: float) -> Column:
     return amount * factor
 
