@@ -46,19 +46,36 @@ def by_score(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.where("y is not null and p is not null").groupBy(*keys, "p").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum((1 - F.col("y")).cast("long")).alias("neg"))
 
 
+def cumulated(s: DataFrame, keys: Sequence[str], columns: Sequence[str], down: bool, own: bool, buckets: int = 1024) -> DataFrame:
+    """Running sums ``cum_`` over the scores of a group, from below or from above, with or without a score's own.
+
+    Scores lie from 0 to 1, so they fall into a fixed number of buckets. Sums
+    of buckets come first and go to the rows of a bucket, which are ranked among
+    themselves; no task sees all scores of a group.
+    """
+    bucket = F.floor(F.least(F.greatest("p", F.lit(0.0)), F.lit(1.0)) * buckets).cast("int")
+    s = s.withColumn("_b", bucket)
+    order = (lambda c: F.desc(c)) if down else F.col
+    sums = s.groupBy(*keys, "_b").agg(*(F.sum(c).alias(c) for c in columns))
+    earlier = Window.partitionBy(*keys).orderBy(order("_b")).rowsBetween(Window.unboundedPreceding, -1)  # at most a row for each bucket
+    sums = sums.select(*keys, "_b", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_e_{c}") for c in columns))
+    inside = Window.partitionBy(*keys, "_b").orderBy(order("p")).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    s = s.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_i_{c}") for c in columns)).join(sums, [*keys, "_b"])
+    return s.select(*keys, "p", *columns, *((F.col(f"_e_{c}") + F.col(f"_i_{c}")).alias(f"cum_{c}") for c in columns))
+
+
 def roc_auc(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mann-Whitney's statistic with half credit for ties; no row for a group of one class."""
-    below = Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    s = by_score(df, keys).withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    total = s.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)).alias("u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    s = cumulated(by_score(df, keys), keys, ["neg", "pos"], down=False, own=False)
+    total = s.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("cum_neg") + F.col("neg") / 2.0)).alias("u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return total.where("n_pos > 0 and n_neg > 0").select(*keys, (F.col("u") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
 def average_precision(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Area under the steps of precision over recall, from the highest score down."""
-    down = Window.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    s = by_score(df, keys).withColumn("tp", F.sum("pos").over(down)).withColumn("n", F.sum(F.col("pos") + F.col("neg")).over(down))
-    return s.groupBy(*keys).agg((F.sum(F.col("pos") * F.col("tp") / F.col("n")) / F.nullif(F.sum("pos"), F.lit(0))).alias("average_precision"))
+    s = cumulated(by_score(df, keys), keys, ["pos", "neg"], down=True, own=True)
+    precision = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
+    return s.groupBy(*keys).agg((F.sum(F.col("pos") * precision) / F.nullif(F.sum("pos"), F.lit(0))).alias("average_precision"))
 
 
 def brier_and_log_loss(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -72,16 +89,35 @@ def bucket(p: Column, n: int) -> Column:
     return F.greatest(F.lit(0), F.ceil(F.round(p * n, 9)) - 1).cast("int")
 
 
-def reliability(df: DataFrame, n: int = 10) -> DataFrame:
+def reliability(df: DataFrame, n: int = 10, keys: Sequence[str] = ()) -> DataFrame:
     """Rows, mean score and event rate of each bin, empty bins included."""
-    spine = df.sparkSession.range(n).select(F.col("id").cast("int").alias("bin"))
-    filled = df.where("y is not null").groupBy(bucket(F.col("p"), n).alias("bin")).agg(F.count("*").alias("n_rows"), F.avg("p").alias("mean_p"), F.avg(F.col("y").cast("double")).alias("event_rate"))
-    return spine.join(filled, "bin", "left").select("bin", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "mean_p", "event_rate")
+    held = df.where("y is not null")
+    spine = held.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    spine = spine.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin"))
+    filled = held.groupBy(*keys, bucket(F.col("p"), n).alias("bin")).agg(F.count("*").alias("n_rows"), F.avg("p").alias("mean_p"), F.avg(F.col("y").cast("double")).alias("event_rate"))
+    return spine.join(filled, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "mean_p", "event_rate")
+
+
+def calibration_error(df: DataFrame, n: int = 10, keys: Sequence[str] = ()) -> DataFrame:
+    return reliability(df, n, keys).groupBy(*keys).agg((F.sum(F.col("n_rows") * F.abs(F.col("mean_p") - F.col("event_rate"))) / F.sum("n_rows")).alias("ece"))
 
 
-def calibration_error(df: DataFrame, n: int = 10) -> DataFrame:
-    r = reliability(df, n)
-    return r.agg((F.sum(F.col("n_rows") * F.abs(F.col("mean_p") - F.col("event_rate"))) / F.sum("n_rows")).alias("ece"))
+def calibration_compare(df: DataFrame, bins: int = 8) -> DataFrame:
+    """Of each ``series`` of scores: the threshold that is best on val rows, and on test rows the error of calibration and the metrics at it."""
+    val, test = df.where("split = 'val'"), df.where("split = 'test'")
+    best = best_threshold(threshold_scan(val, ["series"]), ["series"]).select("series", "threshold")
+    cells = test.where("y is not null").join(best, "series").groupBy("series", "threshold").agg(*(c.alias(k) for k, c in counts(F.col("y"), F.col("p") >= F.col("threshold")).items()))
+    return with_rates(cells).join(calibration_error(test, bins, ["series"]), "series")
+
+
+def fold_summary(metrics: DataFrame, fold: str, columns: Sequence[str], choose: str = "balanced_accuracy") -> DataFrame:
+    """Of each fold the best ``model`` (ties by name); then each metric's mean, population spread, least and most over the folds, and how often each model was best."""
+    w = Window.partitionBy(fold).orderBy(F.desc(choose), "model")
+    best = metrics.withColumn("_nth", F.row_number().over(w)).where("_nth = 1")
+    long = best.select(fold, *columns).unpivot(fold, list(columns), "name", "v")
+    spread = long.groupBy(F.lit("metric").alias("kind"), "name").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("std"), F.min("v").alias("least"), F.max("v").alias("most"))
+    chosen = best.groupBy(F.lit("chosen").alias("kind"), F.col("model").alias("name")).agg(F.count("*").alias("n"))
+    return spread.unionByName(chosen, allowMissingColumns=True)
 
 
 def threshold_scan(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -118,7 +154,33 @@ def regression(df: DataFrame, y: str, pred: str) -> DataFrame:
     return df.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.sum(e * e) / F.nullif(F.var_pop(y) * F.count(y), F.lit(0.0))).alias("r2"))
 
 
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], cuts: int = 255) -> DataFrame:
+    """keys and ``q``, the exact quantiles (linear between neighbours) of each group, without one group's values in one task.
+
+    Approximate quantiles cut a group into buckets. Counts of distinct values
+    are summed by bucket, and running sums over the buckets tell where a rank
+    lies; values are ranked inside their bucket only.
+    """
+    held = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    edges = held.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("v", [k / (cuts + 1) for k in range(1, cuts + 1)], 4 * cuts).alias("_edges"))
+    seen = held.groupBy(*keys, "v").agg(F.count("*").alias("_c"))
+    # One row for each group; its size grows with the groups, so Spark chooses how to join it.
+    seen = (seen.join(edges, list(keys)) if keys else seen.crossJoin(F.broadcast(edges))).withColumn("_b", F.size(F.filter("_edges", lambda x: x < F.col("v")))).drop("_edges")
+    sums = seen.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"))
+    sums = sums.withColumn("_e", F.coalesce(F.sum("_s").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    ranked = seen.withColumn("_i", F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("v"))).join(sums, [*keys, "_b"]).withColumn("_hi", F.col("_e") + F.col("_i")).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    parts = []
+    for i, share in enumerate(shares):
+        at = F.lit(share) * (F.col("_n") - 1)
+        for name, rank in (("a", F.floor(at)), ("b", F.ceil(at))):
+            parts.append(F.max(F.when((F.col("_lo") <= rank) & (rank < F.col("_hi")), F.col("v"))).alias(f"_{name}{i}"))
+    found = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *parts)
+    fraction = [F.lit(s) * (F.col("_n") - 1) - F.floor(F.lit(s) * (F.col("_n") - 1)) for s in shares]
+    return found.select(*keys, F.array(*(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * f for i, f in enumerate(fraction))).alias("q"))
+
+
 def distribution(df: DataFrame, keys: Sequence[str], value: str = "p") -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q")
-    out = df.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"), q)
+    """Rows, mean, spread, ends and exact quantiles of each group."""
+    out = df.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"))
+    out = out.join(exact_quantiles(df, keys, value, (0.05, 0.5, 0.95)), list(keys), "left")
     return out.select(*keys, "n_rows", "mean", "std", "least", "most", F.col("q")[0].alias("q05"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q95"))

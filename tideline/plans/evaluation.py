@@ -151,12 +151,38 @@ def u07_unpivot_metrics(spark, d):
     return long.groupBy("metric").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"))
 
 
-@query(f"WITH {SCORED}, f AS (SELECT range AS fold_no, range * 100 AS lo, range * 100 + 150 AS hi FROM range(8)) SELECT fold_no, CASE WHEN doc_id < lo THEN 'train' WHEN doc_id < lo + 50 THEN 'val' ELSE 'test' END AS role, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives FROM scored, f WHERE doc_id < hi GROUP BY 1, 2")
+@query(f"WITH {SCORED}, x AS (SELECT max(doc_id) + 1 AS top FROM scored), f AS (SELECT range AS fold_no, (range + 2) * top // 10 AS lo, (range + 3) * top // 10 AS mid, CASE WHEN range = 7 THEN top ELSE (range + 4) * top // 10 END AS hi FROM range(8), x) SELECT fold_no, CASE WHEN doc_id < lo THEN 'train' WHEN doc_id < mid THEN 'val' ELSE 'test' END AS role, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives FROM scored, f WHERE doc_id < hi GROUP BY 1, 2")
 def j17_l11_l13_fold_ranges(spark, d):
-    """Folds are a table of ranges; it has a fixed number of rows, so it goes to every task."""
-    folds = F.broadcast(spark.range(8).select(F.col("id").alias("fold_no"), (F.col("id") * 100).alias("lo"), (F.col("id") * 100 + 150).alias("hi")))
-    role = F.when(F.col("doc_id") < F.col("lo"), "train").when(F.col("doc_id") < F.col("lo") + 50, "val").otherwise("test")
-    return scored(spark, d).join(folds, F.col("doc_id") < F.col("hi")).groupBy("fold_no", role.alias("role")).agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
+    """Eight expanding folds over tenths of all ids; the table of their ranges has eight rows, so it goes to every task."""
+    s = scored(spark, d)
+    tenth = lambda n: F.floor((F.col("id") + n) * F.col("top") / 10)
+    folds = F.broadcast(spark.range(8).crossJoin(s.agg((F.max("doc_id") + 1).alias("top"))).select(F.col("id").alias("fold_no"), tenth(2).alias("lo"), tenth(3).alias("mid"), F.when(F.col("id") == 7, F.col("top")).otherwise(tenth(4)).alias("hi")))
+    role = F.when(F.col("doc_id") < F.col("lo"), "train").when(F.col("doc_id") < F.col("mid"), "val").otherwise("test")
+    return s.join(folds, F.col("doc_id") < F.col("hi")).groupBy("fold_no", role.alias("role")).agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
+
+
+@query(f"""WITH {SCORED}, m AS (SELECT unnest(['plain', 'steep', 'flat']) AS model, unnest([1.0, 2.0, 0.5])::DOUBLE AS power), c AS (SELECT fold, model, {CONF.format(t='0.5').replace('p >=', 'power(p, power) >=').replace('p <', 'power(p, power) <')} FROM scored, m GROUP BY 1, 2), r AS (SELECT fold, model, {RATES} FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY balanced_accuracy DESC, model) AS i FROM r), b AS (SELECT * FROM k WHERE i = 1),
+ u AS (SELECT unnest(['accuracy', 'balanced_accuracy', 'f1']) AS name, unnest([accuracy, balanced_accuracy, f1]) AS v FROM b) SELECT 'metric' AS kind, name, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, min(v) AS least, max(v) AS most FROM u GROUP BY 1, 2 UNION ALL SELECT 'chosen', model, count(*), NULL, NULL, NULL, NULL FROM b GROUP BY 1, 2""")
+def a24_fold_summary(spark, d):
+    """The best of three models in each fold, and how their metrics and choices spread over the folds."""
+    models = F.inline(F.array(*(F.struct(F.lit(n).alias("model"), F.lit(x).alias("power")) for n, x in (("plain", 1.0), ("steep", 2.0), ("flat", 0.5)))))
+    rows = scored(spark, d).select("fold", "y", "p", models).withColumn("p", F.pow("p", "power"))
+    return E.fold_summary(E.confusion(rows, ["fold", "model"], 0.5), "fold", ["accuracy", "balanced_accuracy", "f1"])
+
+
+SERIES = "z AS (SELECT split, y, unnest(['raw', 'squared', 'shrunk']) AS series, unnest([p, p * p, 0.25 + p / 2])::DOUBLE AS q FROM scored)"
+
+
+@query(f"""WITH {SCORED}, {SERIES}, t AS (SELECT DISTINCT series, threshold FROM (SELECT series, round(q, 4) AS threshold FROM z WHERE split = 'val' UNION ALL SELECT series, round(0.05 * range, 2)::DOUBLE FROM range(1, 20), (SELECT DISTINCT series FROM z WHERE split = 'val'))),
+ v AS (SELECT t.series, threshold, {CONF.format(t='threshold')} FROM t JOIN (SELECT series, y, round(q, 4) AS p FROM z WHERE split = 'val') USING (series) GROUP BY 1, 2), r AS (SELECT series, threshold, {RATES} FROM v), k AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY balanced_accuracy DESC, threshold) AS i FROM r), b AS (SELECT series, threshold FROM k WHERE i = 1),
+ e AS (SELECT series, CAST(greatest(0, ceil(round(q * 8, 9)) - 1) AS INTEGER) AS bin, count(*) AS n, avg(q) AS mq, avg(y) AS rate FROM z WHERE split = 'test' GROUP BY 1, 2), ec AS (SELECT series, sum(n * abs(mq - rate)) / sum(n) AS ece FROM e GROUP BY 1),
+ c AS (SELECT series, threshold, {CONF.format(t='threshold').replace('p >=', 'q >=').replace('p <', 'q <')} FROM z JOIN b USING (series) WHERE split = 'test' GROUP BY 1, 2) SELECT series, threshold, round(ece, 6)::DOUBLE AS ece, tp, fp, tn, fn, {RATES} FROM c JOIN ec USING (series)""")
+def e17_calibration_compare(spark, d):
+    """Series of scores for the same rows: error of calibration on test rows, and metrics there at the threshold that is best on val rows."""
+    p = F.col("p")
+    series = F.inline(F.array(*(F.struct(F.lit(n).alias("series"), x.alias("q")) for n, x in (("raw", p), ("squared", p * p), ("shrunk", 0.25 + p / 2)))))
+    out = E.calibration_compare(scored(spark, d).select("split", "y", "p", series).drop("p").withColumnRenamed("q", "p"))
+    return out.withColumn("ece", F.round("ece", 6))
 
 
 @query(f"WITH {SCORED}, a AS (SELECT doc_id, split, p AS p_a FROM scored WHERE lang <> 'de'), b AS (SELECT doc_id, split, 1 - p AS p_b FROM scored WHERE lang <> 'fr') SELECT doc_id, split, p_a, p_b FROM a FULL JOIN b USING (doc_id, split)")

@@ -5,46 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.functions import scalars as S
+from tideline.operators import evaluation as E
 from tideline.operators import scenarios as C
 from tideline.plans.registry import load, query
+from tideline.sources.shared import staged
 
 TEMPLATES = """t0 AS (SELECT o_orderkey AS template_id, o_custkey, o_orderpriority AS slot, CAST(o_orderdate AS DATE) AS day, count(*) AS size, count(DISTINCT l_returnflag) AS kinds, sum(l_extendedprice) AS amount FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3, 4),
  sl AS (SELECT slot, count(*) AS n FROM t0 GROUP BY 1), templates AS (SELECT t0.*, n / (SELECT count(*) FROM t0)::DOUBLE AS support FROM t0 JOIN sl USING (slot)), usual AS (SELECT o_custkey, avg(amount) AS usual_amount, avg(size)::DOUBLE AS usual_size FROM templates GROUP BY 1)"""
-SCORE = "least(greatest(0.22 * least(greatest(1 - abs(amount * factor - usual_amount) / greatest(usual_amount, 1), 0), 1) + 0.20 * least(greatest(1 - abs(greatest(size + shift, 1) - usual_size) / greatest(usual_size, 1), 0), 1) + 0.20 * least(greatest(kinds / greatest(size + shift, 1)::DOUBLE, 0), 1) + 0.28 * support + 0.10 * (1 - support), 0), 1)"
+SCORE = "least(greatest(0.30 * least(greatest(1 - abs(amount * factor - usual_amount) / greatest(usual_amount, 1), 0), 1) + 0.15 * least(greatest(1 - abs(greatest(size + shift, 1) - usual_size) / greatest(usual_size, 1), 0), 1) + 0.15 * least(greatest(kinds / greatest(size + shift, 1)::DOUBLE, 0), 1) + 0.25 * support + 0.15 * (1 - support), 0), 1)"
 GRID = "g AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {f}::DOUBLE, {s})" for n, f, s in C.STRESSES) + ") v(stress, factor, shift))"
 
 
 def templates(spark, d) -> DataFrame:
+    """Orders with what their lines add up to, and the share of orders in their slot. Written once: counts, means and scores all read it."""
     o = load(spark, d, "orders").select(F.col("o_orderkey").alias("template_id"), "o_custkey", F.col("o_orderpriority").alias("slot"), F.to_date("o_orderdate").alias("day"))
     li = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("template_id")).agg(F.count("*").alias("size"), F.count_distinct("l_returnflag").alias("kinds"), F.sum("l_extendedprice").alias("amount"))
-    t = o.join(li, "template_id")
+    t = staged(o.join(li, "template_id"), "templates")
     n = t.groupBy("slot").agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("total"))
     return t.join(n.crossJoin(F.broadcast(total)).select("slot", (F.col("n") / F.col("total")).alias("support")), "slot")
 
 
-def usual(t: DataFrame) -> DataFrame:
-    return t.groupBy("o_custkey").agg(F.avg("amount").alias("usual_amount"), F.avg("size").alias("usual_size"))
+def stressed(spark, d) -> DataFrame:
+    return C.score_under_stress(C.with_usual(templates(spark, d), ["o_custkey"]))
 
 
 @query(f"WITH {TEMPLATES}, {GRID} SELECT template_id, stress, round({SCORE} + 1e-9, 6) AS score FROM templates JOIN usual USING (o_custkey), g")
 def r01_r04_j15_stress_scores(spark, d):
-    t = templates(spark, d)
-    return C.score_under_stress(t, usual(t), ["o_custkey"]).select("template_id", "stress", F.round(F.col("score") + 1e-9, 6).alias("score"))
+    return stressed(spark, d).select("template_id", "stress", F.round(F.col("score") + 1e-9, 6).alias("score"))
 
 
 @query(f"WITH {TEMPLATES}, {GRID}, s AS (SELECT template_id, {SCORE} AS score FROM templates JOIN usual USING (o_custkey), g) SELECT template_id, round(least(greatest(0.8 * avg(score) + 0.2 * min(score) - 0.5 * stddev_pop(score), 0), 1) + 1e-9, 5) AS robust, round(max(score) - min(score) + 1e-9, 5) AS fragility FROM s GROUP BY 1")
 def r05_robust_score(spark, d):
-    t = templates(spark, d)
-    r = C.robust_score(C.score_under_stress(t, usual(t), ["o_custkey"]), "template_id")
+    r = C.robust_score(stressed(spark, d), "template_id")
     return r.select("template_id", F.round(F.col("robust") + 1e-9, 5).alias("robust"), F.round(F.col("fragility") + 1e-9, 5).alias("fragility"))
 
 
 @query(f"WITH {TEMPLATES}, {GRID}, s AS (SELECT template_id, o_custkey, slot, {SCORE} AS score FROM templates JOIN usual USING (o_custkey), g WHERE stress = 'none'), k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY round(score, 6) DESC, template_id) AS i FROM s) SELECT o_custkey, string_agg(slot, '>' ORDER BY i) AS plan, count(DISTINCT slot) AS n_slots, count(*) < 3 OR count(DISTINCT slot) < 2 AS rejected, CASE WHEN count(*) < 3 THEN 'incomplete' WHEN count(DISTINCT slot) < 2 THEN 'repeats' ELSE '' END AS reason FROM k WHERE i <= 3 GROUP BY 1")
 def r06_r07_w21_plans(spark, d):
     """A plan of a customer's three best templates by place, and why one is rejected."""
-    t = templates(spark, d)
-    s = C.score_under_stress(t, usual(t), ["o_custkey"]).where("stress = 'none'")
+    s = stressed(spark, d).where("stress = 'none'")
     k = s.withColumn("i", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc(F.round("score", 6)), "template_id"))).where("i <= 3")
     plan = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "slot"))), lambda x: x["slot"]), ">")
     p = k.groupBy("o_custkey").agg(plan.alias("plan"), F.count_distinct("slot").alias("n_slots"), F.count("*").alias("n"))
@@ -80,7 +81,8 @@ def r09_r10_next_item(spark, d):
 def r11_r12_rerank(spark, d):
     """Ranks under a pressure that is one row of context, which a caller may override."""
     t = templates(spark, d)
-    x = t.agg(F.avg("amount").alias("mean_amount"), F.coalesce(F.lit(None).cast("double"), F.percentile("amount", F.lit(0.75))).alias("pressure"))
+    quarter = E.exact_quantiles(t, [], "amount", [0.75]).select(F.coalesce(F.lit(None).cast("double"), F.col("q")[0]).alias("pressure"))
+    x = t.agg(F.avg("amount").alias("mean_amount")).crossJoin(quarter)
     adjusted = F.col("support") * F.when(F.col("pressure") > F.col("mean_amount"), 0.6).otherwise(0.8) + F.when(F.col("amount") > F.col("pressure"), -0.1).otherwise(0.1)
     s = t.crossJoin(F.broadcast(x)).select("template_id", "o_custkey", adjusted.alias("a"))
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc(F.round("a", 6)), "template_id"))
@@ -106,8 +108,8 @@ POOL = f"WITH {TEMPLATES}, p AS (SELECT template_id, slot, 'k' || kinds AS kind,
 def r02_candidate_pool(spark, d):
     """Pools by slot where a slot has many templates, else by kind, else the core band."""
     t = templates(spark, d).select("template_id", "slot", F.concat(F.lit("k"), F.col("kinds").cast("string")).alias("kind"), F.col("amount").between(50000, 150000).alias("is_core"), F.lit(0.0).alias("score"))
-    pool = C.candidate_pool(t, t.select("slot", "kind").distinct(), "slot", "kind", 3500, 4000)
-    return pool.groupBy("slot", "kind", "tier").agg(F.count("*").alias("n_candidates"), F.min("template_id").alias("first_template"))
+    pools = C.pool_members(t, "slot", "kind").groupBy("pool").agg(F.count("*").alias("n_candidates"), F.min("template_id").alias("first_template"))
+    return C.candidate_tiers(t, t.select("slot", "kind").distinct(), "slot", "kind", 3500, 4000).join(pools, "pool").drop("pool")
 
 
 @query(f"""WITH {TEMPLATES}, b AS (SELECT o_custkey, day, count(*) AS n_baskets, round(sum(amount), 4) AS total, round(avg(size), 6) AS mean_size, bool_or(slot = '1-URGENT') AS has_urgent, string_agg(slot, '>' ORDER BY slot, template_id) AS signature FROM templates GROUP BY 1, 2), m AS (SELECT median(total) AS middle FROM b)
@@ -115,7 +117,8 @@ def r02_candidate_pool(spark, d):
 def a22_day_template_library(spark, d):
     signature = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "template_id"))), lambda x: x["slot"]), ">")
     b = templates(spark, d).groupBy("o_custkey", "day").agg(F.count("*").alias("n_baskets"), F.round(F.sum("amount"), 4).alias("total"), F.round(F.avg("size"), 6).alias("mean_size"), F.bool_or(F.col("slot") == "1-URGENT").alias("has_urgent"), signature.alias("signature"))
-    middle = b.agg(F.median("total").alias("middle"))
+    b = staged(b, "day-templates")
+    middle = E.exact_quantiles(b, [], "total", [0.5]).select(F.col("q")[0].alias("middle"))
     return b.crossJoin(F.broadcast(middle)).select(*b.columns, F.round(F.when(F.col("has_urgent"), F.col("total")).otherwise(F.col("middle")), 4).alias("planned"))
 
 
@@ -126,10 +129,24 @@ def t07_rank_plans(spark, d):
     return templates(spark, d).select("o_custkey", "template_id", F.rank().over(w).cast("long").alias("place"))
 
 
-@query("WITH k AS (SELECT * FROM (VALUES ('ring', 1), ('bolt', 2), ('hot', 3)) v(word, rank)), h AS (SELECT p_partkey, word, 1 AS tier, rank FROM part JOIN k ON contains(p_name, word) UNION ALL SELECT p_partkey, 'ring', 2, 1 FROM part WHERE p_type = 'LARGE' UNION ALL SELECT p_partkey, 'any', 3, 1 FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY tier, rank, word) AS i FROM h) SELECT p_partkey, word AS template, tier FROM r WHERE i = 1")
+@query("""WITH t AS (SELECT p_brand AS template_id, string_agg(DISTINCT p_type, '|' ORDER BY p_type) FILTER (p_size > 40) AS signature, max(p_type) AS top_category, round(avg(p_retailprice), 6) AS score FROM part GROUP BY 1), i AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'X-' || p_type ELSE p_type END AS category FROM part), c AS (SELECT DISTINCT category FROM i),
+ m AS (SELECT category, template_id, CASE WHEN contains(signature, category) THEN 1 WHEN top_category = category THEN 2 ELSE 3 END AS tier, row_number() OVER (PARTITION BY category ORDER BY CASE WHEN contains(signature, category) THEN 1 WHEN top_category = category THEN 2 ELSE 3 END, score DESC, template_id) AS n FROM c, t) SELECT p_partkey, template_id, tier FROM i JOIN m USING (category) WHERE n = 1""")
 def j16_contains_join(spark, d):
-    """The first template whose word an item's name contains, else one by its type, else any; words are a fixed list."""
-    name = F.col("p_name")
-    tier = F.when(name.contains("ring") | name.contains("bolt") | name.contains("hot"), 1).when(F.col("p_type") == "LARGE", 2).otherwise(3)
-    word = F.when(name.contains("ring"), "ring").when(name.contains("bolt"), "bolt").when(name.contains("hot"), "hot").when(F.col("p_type") == "LARGE", "ring").otherwise("any")
-    return load(spark, d, "part").select("p_partkey", word.alias("template"), tier.alias("tier"))
+    """Each brand is a template with the types of its larger parts as its signature; a part looks for one by its own type."""
+    part = load(spark, d, "part")
+    signature = F.array_join(F.array_sort(F.collect_set(F.when(F.col("p_size") > 40, F.col("p_type")))), "|")
+    t = part.groupBy(F.col("p_brand").alias("template_id")).agg(F.nullif(signature, F.lit("")).alias("signature"), F.max("p_type").alias("top_category"), F.round(F.avg("p_retailprice"), 6).alias("score"))
+    items = part.select("p_partkey", F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("X-"), "p_type")).otherwise(F.col("p_type")).alias("category"))
+    return items.join(C.contains_join(items.select("category").distinct(), t), "category").select("p_partkey", "template_id", "tier")
+
+
+@query("""WITH i AS (SELECT p_partkey, p_retailprice, lower(p_type) || '|' || CASE WHEN p_size % 4 = 0 THEN 'unknown' ELSE 'size' || p_size % 4 END || CASE WHEN p_size % 4 = 0 THEN '|' || coalesce(list_sort(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: length(x) > 2 AND x NOT IN ('the', 'and', 'with', 'of')))[1], 'unknown') ELSE '' END AS cluster FROM part), q AS (SELECT cluster, count(*) AS n, arg_max(p_partkey, (p_retailprice, -p_partkey)) AS kept, min(p_retailprice) AS least, max(p_retailprice) AS most, avg(p_retailprice) AS mean FROM i GROUP BY 1)
+ SELECT p_partkey, cluster, n, kept, p_partkey = kept AS is_kept, round(least(greatest(mean / p_retailprice, 0.85), 1.15) + 1e-9, 6) AS portion FROM i JOIN q USING (cluster)""")
+def r10_f08_cluster_items(spark, d):
+    """Near-identical items share a key (their first word counts where the kind is not known); the dearest stands for them, and portions are guided to the mean within bounds."""
+    size = F.when(F.col("p_size") % 4 > 0, F.concat(F.lit("size"), (F.col("p_size") % 4).cast("string")))
+    i = load(spark, d, "part").select("p_partkey", "p_retailprice", S.cluster_key(F.col("p_type"), size, fallback=F.col("p_name")).alias("cluster"))
+    q = i.groupBy("cluster").agg(F.count("*").alias("n"), F.max(F.struct("p_retailprice", (-F.col("p_partkey")).alias("k"))).alias("top"), F.avg("p_retailprice").alias("mean"))
+    portion = S.clip(F.col("mean") / F.col("p_retailprice"), 0.85, 1.15)
+    kept = (-F.col("top.k")).alias("kept")
+    return i.join(q, "cluster").select("p_partkey", "cluster", "n", kept, (F.col("p_partkey") == -F.col("top.k")).alias("is_kept"), F.round(portion + 1e-9, 6).alias("portion"))
