@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.sources.shared import staged
+
 
 def ordered_join(values: Column, order: Sequence[Column], separator: str = " + ", most: int | None = None) -> Column:
     """An aggregate: texts in the given order, joined; at most the first ``most`` where that is the feature."""
@@ -79,8 +81,11 @@ def overlay(base: DataFrame, review: DataFrame, key: str, columns: Sequence[str]
 
 
 def batches(df: DataFrame, size: int, *order: Column) -> DataFrame:
-    """Priority-ordered batches of a size. Places come from counts by range partition, so no task sorts all rows."""
-    parted = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    """Priority-ordered batches of a size. Places come from counts by range partition, so no task sorts all rows.
+
+    The dealt table is written once, since ranges are sampled anew each time.
+    """
+    parted = staged(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     inside = parted.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     before = inside.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return inside.join(before.select("_part", "_before"), "_part").withColumn("batch", F.floor((F.col("_before") + F.col("_nth") - 1) / size).cast("long")).drop("_part", "_nth", "_before")

@@ -48,7 +48,7 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     c = df.groupBy(label).agg(F.count("*").alias("_n"))
     total = c.agg(F.sum("_n").alias("_all"), F.count("*").alias("_classes"))
     w = c.crossJoin(F.broadcast(total)).select(label, (F.col("_all") / (F.col("_classes") * F.col("_n"))).alias("weight"))
-    return df.join(F.broadcast(w), label)  # one row for each class
+    return df.join(w, label)
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -134,14 +134,24 @@ def ablation(df: DataFrame, sets: Mapping[str, Sequence[str]], split: str = "spl
     return out
 
 
-def rolling_backtest(df: DataFrame, order: str, folds: Sequence[tuple[float, float, float]], numeric: Sequence[str]) -> DataFrame:
-    """A fit for each fold of (train end, val end, test end) on the order column, and its test metrics."""
+def rolling_backtest(df: DataFrame, order: str, folds: Sequence[tuple[float, float, float]], numeric: Sequence[str], kinds: Sequence[str] = ("logistic", "forest")) -> DataFrame:
+    """For each fold of (train end, val end, test end) on the order column, the test metrics of the kind that is best on val.
+
+    Kinds are fitted on what lies before the train end and chosen by balanced
+    accuracy up to the val end (a tie goes to the first); the chosen one is
+    fitted again on all before the val end.
+    """
     out = None
     for number, (a, b, c) in enumerate(folds):
-        train = class_weights(df.where(F.col(order) < b))
-        model = Pipeline(stages=[*feature_stages(numeric), classifiers()["logistic"]]).fit(train)
-        test = predict(model, df.where((F.col(order) >= b) & (F.col(order) < c)))
-        t = E.confusion(test, [], 0.5).withColumn("fold", F.lit(number))
+        x = F.col(order)
+        first, val, both = class_weights(df.where(x < a)), df.where((x >= a) & (x < b)), class_weights(df.where(x < b))
+        rated = {}
+        for name in kinds:
+            row = E.confusion(predict(Pipeline(stages=[*feature_stages(numeric), classifiers()[name]]).fit(first), val), [], 0.5).first()
+            rated[name] = row["balanced_accuracy"] if row else 0.0
+        best = max(kinds, key=lambda k: rated[k])
+        model = Pipeline(stages=[*feature_stages(numeric), classifiers()[best]]).fit(both)
+        t = E.confusion(predict(model, df.where((x >= b) & (x < c))), [], 0.5).withColumn("fold", F.lit(number)).withColumn("model", F.lit(best))
         out = t if out is None else out.unionByName(t)
     return out
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 def _blocks(df: DataFrame, id_: str, vector: str, rows: int, total: int, prefix: str) -> DataFrame:
     """Rows of about ``rows`` vectors each: ids and vectors as arrays."""
+    df = df.where(F.col(vector).isNotNull())
     block = F.pmod(F.xxhash64(id_), F.lit(max(1, -(-total // rows)))).alias("block")
     packed = df.select(block, F.struct(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).alias("x"))
     return packed.groupBy("block").agg(F.collect_list("x").alias("x")).select(F.col("x.id").alias(f"{prefix}_ids"), F.flatten("x.v").alias(f"{prefix}_flat"))
@@ -22,7 +23,7 @@ def cosine_knn(queries: DataFrame, table: DataFrame, id_: str, vector: str, k: i
 
     Queries and rows meet as blocks of vectors, one matrix product for each
     pair of blocks; only the k best of a query leave a pair. A zero vector is
-    similar to nothing (similarity 0).
+    similar to nothing (similarity 0). Rows without a vector are left out.
     """
     q = _blocks(queries, id_, vector, block, queries.count(), "q")
     t = _blocks(table, id_, vector, block, table.count(), "t")
@@ -64,8 +65,9 @@ def svd_embed(df: DataFrame, id_: str, vector: str, k: int) -> DataFrame:
 
     Tasks sum Gram matrices of their rows; what reaches the driver has the size
     of the vectors squared, whatever the number of rows. Each axis points to
-    where its largest part is positive.
+    where its largest part is positive. Rows without a vector are left out.
     """
+    df = df.where(F.col(vector).isNotNull())
     rows = df.select(F.col(vector).cast("array<double>").alias("v"))
 
     def gram(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

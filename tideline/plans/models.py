@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.operators import evaluation as E
 from tideline.operators import models as M
 from tideline.operators import roles as R
 from tideline.operators import similarity as V
 from tideline.plans.registry import load, query
+from tideline.sources.shared import staged
 
 NUMBERS = ["n_chars", "n_words", "n_lines", "symbol_rate", "upper_rate"]
 KNN = "q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS source_id, e.vec_id AS neighbor_id, q.label AS own, e.label AS other, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS similarity FROM q JOIN embeddings e ON e.vec_id <> q.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY round(similarity, 12) DESC, neighbor_id) AS neighbor_rank FROM s)"
@@ -45,10 +47,11 @@ def labelled(spark, d) -> DataFrame:
     n = F.greatest(F.length("text"), F.lit(1))
     rates = {"symbol_rate": r"[^\p{L}\p{N}\s]", "upper_rate": r"\p{Lu}"}
     share = F.pmod(F.xxhash64("doc_id"), F.lit(10))
-    return docs.select(
+    numbers = docs.select(
         F.col("doc_id").alias("id"), "lang", F.col("quality").cast("double").alias("label"), F.when(share < 7, "train").when(share < 8, "val").otherwise("test").alias("split"),
         F.col("n_chars").cast("double").alias("n_chars"), F.size(F.split("text", r"\s+")).cast("double").alias("n_words"), F.size(F.split("text", "\n")).cast("double").alias("n_lines"), *(((F.length("text") - F.length(F.regexp_replace("text", p, ""))) / n).alias(k) for k, p in rates.items()),
     )
+    return staged(numbers, "labelled")  # every fit and every prediction reads it
 
 
 @query("WITH c AS (SELECT quality AS label, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1) SELECT label::DOUBLE AS label, n, round(sum(n) OVER () / (count(*) OVER () * n), 6)::DOUBLE AS weight FROM c")
@@ -63,13 +66,21 @@ def l01_l07_l10_compare_and_select(spark, d):
 
 
 @query()
-def l14_l20_e17_calibrated_history(spark, d):
+def l14_l20_calibrated_history(spark, d):
     """Scores of all labelled documents: raw, Platt's, isotonic."""
     df = labelled(spark, d)
     model = M.fit_compare_select(df, NUMBERS, ["lang"])[2]
     return M.calibrate(M.predict(model, df)).select("id", "split", "y", "p", "platt", "isotonic")
 
 
+@query()
+def l14_e17_calibration_compare(spark, d):
+    """Raw, Platt's and isotonic scores against each other on test rows; e17_calibration_compare holds the comparison against SQL."""
+    scores = l14_l20_calibrated_history(spark, d)
+    series = F.inline(F.array(*(F.struct(F.lit(n).alias("series"), F.col(c).alias("q")) for n, c in (("raw", "p"), ("platt", "platt"), ("isotonic", "isotonic")))))
+    return E.calibration_compare(scores.select("split", "y", series).withColumnRenamed("q", "p").where("p is not null"))
+
+
 @query()
 def l15_l16_drivers(spark, d):
     df = labelled(spark, d)
