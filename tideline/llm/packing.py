@@ -10,6 +10,7 @@ rank. No piece ever reaches the driver.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import stage_table
+from tideline.llm.common import slices, stage_table
 from tideline.llm.tokens import encoder, vocabulary
 
 Plan = list[tuple[tuple[int, ...], int]]
@@ -39,18 +40,18 @@ def cut_into_pieces(docs: DataFrame, path: str | None = None, capacity: int = 10
     path = path or vocabulary()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(coder.ids(text.as_py() or "").astype("<u4"), np.uint32(end_id)).astype("<u4")
-                begin, end = 0, len(ids) % capacity or capacity
-                for piece in range(-(-len(ids) // capacity)):
-                    rows.append((doc_id, piece, begin, end - begin, zlib.crc32(ids[begin:end].tobytes())))
-                    begin, end = end, end + capacity
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=PIECES.names)
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        with encoder(path) as coder:
+            for batch in slices(batches):
+                rows: list[tuple] = []
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    ids = np.append(coder.ids(text.as_py() or "").astype("<u4"), np.uint32(end_id)).astype("<u4")
+                    begin, end = 0, len(ids) % capacity or capacity
+                    for piece in range(-(-len(ids) // capacity)):
+                        rows.append((doc_id, piece, begin, end - begin, zlib.crc32(ids[begin:end].tobytes())))
+                        begin, end = end, end + capacity
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=PIECES.names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
@@ -178,15 +179,16 @@ def _slots(plan: Plan) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def assign(pieces: DataFrame, plan: Plan, rows: int, bucket_rows: int = 50_000) -> DataFrame:
+def assign(pieces: DataFrame, plan: Plan, rows: int) -> DataFrame:
     """Give each piece its sequence and offset by its rank among the pieces of its length.
 
-    Ranks are counted in buckets of an id hash first, so that a length that very
-    many pieces have does not meet in one task. The slots are a few for each of
+    Ranks are counted in buckets of an id hash first, as many as the root of all
+    rows, so that of a length that very many pieces have neither the pieces nor
+    the buckets' counts are too many for one task. The slots are a few for each of
     the ``capacity`` lengths, so they are small enough to send to every task.
     """
     spark = pieces.sparkSession
-    buckets = max(1, rows // bucket_rows)
+    buckets = max(1, math.isqrt(rows))
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     local = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,19 +1,23 @@
-"""Token ids of whole texts, with a bounded cache of short segments in each Python worker."""
+"""Token ids of whole texts, with a cache of short segments that is bounded by its bytes and ends with the task."""
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import re
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tideline.llm.common import slices
 
 TOUCHING = re.compile(r" \s|\s ")
 CUT = re.compile(r"(?<=\S)(?= \S)")
 LINE = "\n"  # a token of its own between segments that have no line break
-CACHE_ENTRIES = 600_000
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 190
 LONGEST_CACHED = 48
 _encoders: dict[str, SegmentEncoder] = {}
 
@@ -37,6 +41,7 @@ class SegmentEncoder:
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.added = re.compile("|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         self.cache: dict[str, bytes] = {}
+        self.room = CACHE_BYTES
         self.ranks = None
         ranks = Path(path).with_suffix(".tiktoken")
         if ranks.exists():
@@ -47,9 +52,14 @@ class SegmentEncoder:
             self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
             self.line_id = self.ranks.encode_ordinary(LINE)[0]
 
+    def forget(self) -> None:
+        self.cache.clear()
+        self.room = CACHE_BYTES
+
     def _learn(self, segments: set[str]) -> None:
-        if len(self.cache) + len(segments) > CACHE_ENTRIES:
-            self.cache.clear()
+        if self.room <= 0:
+            self.forget()
+        self.room -= sum(map(len, segments)) + ENTRY_BYTES * len(segments)
         plain = self.ranks is not None and not self.added.search(" ".join(segments))
         together = [x for x in segments if LINE not in x] if plain else []
         ids = np.array(self.ranks.encode_ordinary(LINE.join(together)), self.dtype) if together else np.empty(0, self.dtype)
@@ -92,14 +102,18 @@ class SegmentEncoder:
         return np.frombuffer(b"".join(found), self.dtype)
 
 
-def encoder(path: str) -> SegmentEncoder:
-    """The worker's own encoder; reused by later tasks of the same worker."""
+@contextlib.contextmanager
+def encoder(path: str) -> Iterator[SegmentEncoder]:
+    """The worker's own encoder, which later tasks of the worker use again; its cache ends with the task."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _encoders:
         _encoders[path] = SegmentEncoder(path)
-    return _encoders[path]
+    try:
+        yield _encoders[path]
+    finally:
+        _encoders[path].forget()
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -108,22 +122,24 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def with_token_counts(docs: DataFrame, path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
-    """All columns but the text, plus the number of token ids of the whole text (null: 0)."""
+def with_token_counts(docs: DataFrame, path: str, **texts: str) -> DataFrame:
+    """All columns but the texts, plus the number of token ids of each whole text (null: 0).
+
+    ``texts`` names the count's column and the text that it is of; a column
+    that has a count's name is replaced.
+    """
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    if out in docs.columns:
-        docs = docs.drop(out)
-    keep = [c for c in docs.columns if c != text]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, T.LongType())])
+    keep = [c for c in docs.columns if c not in (*texts, *texts.values())]
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, T.LongType()) for out in texts])
+    docs = docs.select(*keep, *(F.col(text).alias(f"_text_of_{out}") for out, text in texts.items()))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            n = [len(coder.ids(x)) if x else 0 for x in batch.column(at).to_pylist()]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], names=[*keep, out])
+        with encoder(path) as coder:
+            for batch in slices(batches):
+                columns = [batch.column(i) for i in range(len(keep))]
+                n = [pa.array([len(coder.ids(x.as_py() or "")) for x in batch.column(len(keep) + i)], pa.int64()) for i in range(len(texts))]
+                yield pa.RecordBatch.from_arrays([*columns, *n], names=[*keep, *texts])
 
     return docs.mapInArrow(count, schema)
