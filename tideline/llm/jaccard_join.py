@@ -25,31 +25,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest
 
-from tideline.llm.common import stage_table
+from tideline.llm.common import drop_tables, join_hot, slices, stage_table
 from tideline.llm.components import connected_components
 
-WORDS_KEPT = 1_000_000
 GROUPS = 256
-_words: dict[bytes, int] = {}
 
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams of a text (A-Z lower-cased); all words at once if fewer."""
-    from xxhash import xxh3_64_intdigest
-
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_words) > WORDS_KEPT:
-        _words.clear()
-    found = list(map(_words.get, words))
-    if None in found:
-        for i, w in enumerate(words):
-            if found[i] is None:
-                found[i] = _words[w] = xxh3_64_intdigest(w)
-    ids = np.array(found, np.uint64)
+    ids = np.array(list(map(xxh3_64_intdigest, words)), np.uint64)
     mixed = np.zeros(max(1, len(ids) - width + 1), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(min(width, len(ids))):
@@ -83,8 +72,8 @@ def frequency_levels(docs: DataFrame, width: int, share: int = 14) -> np.ndarray
     picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("order")), F.lit(share)) == 0)
 
     def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(x, width) for x in batch.column(0).to_pylist()]
+        for batch in slices(batches):
+            found = [shingles(x.as_py(), width) for x in batch.column(0)]
             keys, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int32))], names=["h", "n"])
 
@@ -98,30 +87,31 @@ def frequency_levels(docs: DataFrame, width: int, share: int = 14) -> np.ndarray
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """doc_id, n, digest of the text and the first shingles of each document."""
+    """doc_id, n, digest of the text and the first shingles of each document, and how many of these, at the end, are of the most common."""
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
-            sizes, parts = [], []
+        for batch in slices(batches):
+            sizes, parts, common = [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), width)
                 n = len(s)
                 sizes.append(n)
                 at = (s % np.uint64(LEVEL_BITS)).astype(np.int64)
                 level = ((known[:, at >> 5] >> (at & 31).astype(np.uint32)) & 1).sum(0)
-                s = s[np.argsort(level, kind="stable")]
+                order = np.argsort(level, kind="stable")
                 keep = n - -(-percent * n // 100) + slack(n) if n else 0
-                parts.append(s[:keep].view(np.int64))
+                parts.append(s[order[:keep]].view(np.int64))
+                common.append(int((level[order[:keep]] == len(LEVELS)).sum()))
             ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), batch.column(2), prefix], names=["doc_id", "n", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), batch.column(2), prefix, pa.array(common, pa.int32())], names=["doc_id", "n", "digest", "prefix", "common"])
 
     digest = F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    return docs.select("doc_id", "text", digest.alias("digest")).mapInArrow(first, "doc_id long, n long, digest string, prefix array<long>")
+    return docs.select("doc_id", "text", digest.alias("digest")).mapInArrow(first, "doc_id long, n long, digest string, prefix array<long>, common int")
 
 
 def id_filter(ids: DataFrame, bits: int = 1 << 22) -> np.ndarray:
@@ -142,7 +132,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.column(2).to_numpy(zero_copy_only=False)
             rows = np.flatnonzero((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1)
             ids, texts = batch.column(0).take(pa.array(rows)), batch.column(1)
@@ -270,74 +260,117 @@ def _verify(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition(*key).sortWithinPartitions(*key).select(*key, "side", "doc_id", "shingles").mapInArrow(verify, "a long, b long")
 
 
-def _crossing(shared: DataFrame, of: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Sizes of clusters, and the pairs of clusters of which two documents have enough common shingles to be linked."""
+SALTS = 64
+
+
+def _headed(unique: DataFrame) -> DataFrame:
+    """doc_id, h and head, the smallest document that has h, of each shingle that several documents have in their prefixes.
+
+    Shingles that the sample showed to be common are dealt out with a salt, so
+    that one of them does not meet in one task; their heads are the smallest of
+    the salts' smallest.
+    """
+    place = F.posexplode("prefix").alias("place", "h")
+    common = F.col("place") >= F.size("prefix") - F.col("common")
+    salt = F.when(common, 1 + F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0)
+    dealt = unique.select("doc_id", "prefix", "common", place).select("doc_id", "h", salt.cast("int").alias("salt")).repartition("h", "salt")
+    parts = dealt.groupBy("h", "salt").agg(F.min("doc_id").alias("head"), F.count("*").alias("times"))
+    salted = parts.where("salt > 0")
+    whole = salted.groupBy("h").agg(F.min("head").alias("head"), F.sum("times").alias("times")).where("times > 1")
+    heads = parts.where("salt = 0 and times > 1").select("h", "salt", "head").unionByName(salted.select("h", "salt").join(whole.select("h", "head"), "h"))
+    return dealt.join(heads, ["h", "salt"]).drop("salt")
+
+
+def _crossing(shared: DataFrame, of: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Sizes of clusters, the pairs of clusters of which two documents have enough common shingles to be linked, and tables to drop.
+
+    A document with fewer shared shingles than any link of its asks for takes
+    no part, so a passage that many else unlike documents hold makes no pairs.
+    """
     spark = shared.sparkSession
     spans = stage_table(spark, of.groupBy("cluster").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("docs")), "cluster-sizes")
-    seen = shared.select("h", "doc_id").join(of.select("doc_id", "cluster"), "doc_id").select("h", "cluster").distinct()
+    able = shared.groupBy("doc_id").agg(F.count("*").alias("held")).join(of, "doc_id").where(F.col("held") >= 1 + F.floor(percent * F.col("n") / (100 * SLACK)))
+    seen = shared.select("h", "doc_id").join(able.select("doc_id", "cluster"), "doc_id").select("h", "cluster").distinct()
     several = seen.groupBy("h").count().where("count > 1").select("h")
     seen = stage_table(spark, seen.join(several, "h").join(spans.select("cluster", "lo", "hi"), "cluster"), "cluster-postings")
     fits = (100 * F.col("x.hi") >= percent * F.col("y.lo")) & (100 * F.col("y.hi") >= percent * F.col("x.lo"))
     crossing = seen.alias("x").join(seen.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.cluster") < F.col("y.cluster")) & fits)
     crossing = crossing.groupBy(F.col("x.cluster").alias("cluster_a"), F.col("y.cluster").alias("cluster_b")).agg(F.count("*").alias("votes"), F.first(F.least("x.lo", "y.lo")).alias("lo"))
-    crossing = crossing.where(F.col("votes") >= 1 + F.floor(F.col("lo") / SLACK))
-    return spans, stage_table(spark, crossing.select("cluster_a", "cluster_b"), "crossing")
+    crossing = stage_table(spark, crossing.where(F.col("votes") >= 1 + F.floor(F.col("lo") / SLACK)).select("cluster_a", "cluster_b"), "crossing")
+    return spans, crossing, [spans, seen, crossing]
+
+
+def _in_blocks(wanted: DataFrame, node_docs: int, node_shingles: int) -> DataFrame:
+    """Rows of doc_id, n and cluster with their leaf node (block): by size, at most about so many documents and shingles.
+
+    Only the sizes that a cluster has are put in order. Documents of one size
+    are spread by a hash over as many stretches as their number asks for.
+    """
+    spark, part = wanted.sparkSession, max(1, node_docs // 4)
+    before = Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = wanted.groupBy("cluster", "n").agg(F.count("*").alias("times"))
+    earlier = [F.coalesce(F.sum(c).over(before), F.lit(0)) for c in (F.col("times"), F.col("times") * F.col("n"))]
+    sizes = stage_table(spark, sizes.select("cluster", "n", "times", earlier[0].alias("docs_before"), earlier[1].alias("shingles_before")), "cluster-blocks")
+    nth = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.ceil(F.col("times") / part)) * part
+    block = F.greatest(F.floor((F.col("docs_before") + nth) / node_docs), F.floor((F.col("shingles_before") + nth * F.col("n")) / node_shingles))
+    return join_hot(wanted, sizes, ["cluster", "n"]).select("doc_id", "n", "cluster", block.cast("long").alias("block"))
 
 
 def similar_links(docs: DataFrame, width: int = 5, percent: int = 75, node_docs: int = 512, node_shingles: int = 400_000, jumps: int = 3) -> tuple[DataFrame, DataFrame]:
     """Set sizes of all documents (doc_id, n), and links (a, b) that connect all documents that are linked.
 
     Exact copies are linked to the smallest doc_id that has their text. A hot
-    shingle's list meets other lists by cluster, not by document, and its
-    minimum is pre-aggregated before the shuffle.
+    shingle's list is dealt out in parts and meets other lists by cluster, not
+    by document. Tables that are staged on the way are dropped at the end.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     facts = stage_table(spark, _prefixes(docs, width, percent, frequency_levels(docs, width)), "prefixes")
-    copies = facts.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")).where("times > 1").select("digest", "first")
-    copied = stage_table(spark, facts.select("doc_id", "digest").join(copies, "digest").where("doc_id <> first").select("doc_id", "first").distinct(), "copies")
-    unique = facts.where("n > 0").select("doc_id", "n", "prefix").join(copied.select("doc_id"), "doc_id", "left_anti")
-    postings = unique.select("doc_id", F.explode("prefix").alias("h"))
-    dealt = postings.repartition("h")
-    heads = dealt.groupBy("h").agg(F.min("doc_id").alias("head"), F.count("*").alias("times")).where("times > 1").select("h", "head")
-    shared = stage_table(spark, dealt.join(heads, "h"), "postings")
+    texts = facts.where("n > 0")
+    copies = stage_table(spark, texts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")).where("times > 1"), "texts")
+    copied = stage_table(spark, join_hot(texts.select("doc_id", "digest"), copies, ["digest"]).where("doc_id <> first").select("doc_id", "first").distinct(), "copies")
+    unique = texts.select("doc_id", "n", "prefix", "common").join(copied.select("doc_id"), "doc_id", "left_anti")
+    shared = stage_table(spark, _headed(unique), "postings")
     voted = shared.where("doc_id <> head").groupBy("doc_id", "head").count().groupBy("doc_id").agg(F.max(F.struct("count", (-F.col("head")).alias("minus_head"))).alias("best"))
     # A head with too few common shingles to be linked, even if it is the smallest set that may be, founds no cluster.
     enough = F.col("best.count") >= 1 + F.floor(percent * F.col("n") / (100 * SLACK))
     of = shared.select("doc_id").distinct().join(voted, "doc_id", "left").join(facts.select("doc_id", "n").distinct(), "doc_id")
     of = of.select("doc_id", "n", F.when(enough, -F.col("best.minus_head")).otherwise(F.col("doc_id")).alias("cluster"))
+    of = stage_table(spark, of, "clusters")
     for _ in range(jumps):  # a head that has a head of its own brings its cluster along
         heads_of = of.select(F.col("doc_id").alias("head_id"), F.col("cluster").alias("above"))
-        of = of.join(heads_of, F.col("cluster") == F.col("head_id"), "left").select("doc_id", "n", F.coalesce("above", "cluster").alias("cluster"))
-        of = stage_table(spark, of, "clusters")
-    spans, crossing = _crossing(shared, of, percent)
+        after = stage_table(spark, of.join(heads_of, F.col("cluster") == F.col("head_id"), "left").select("doc_id", "n", F.coalesce("above", "cluster").alias("cluster")), "clusters")
+        drop_tables(spark, of)
+        of = after
+    spans, crossing, used = _crossing(shared, of, percent)
     inside = spans.where("docs > 1").select(F.col("cluster").alias("cluster_a"), F.col("cluster").alias("cluster_b"))
     meeting = stage_table(spark, crossing.select("cluster_a", "cluster_b").unionByName(inside), "cluster-pairs")
     active = meeting.select(F.col("cluster_a").alias("cluster")).unionByName(meeting.select(F.col("cluster_b").alias("cluster"))).distinct()
-    wanted = of.join(active, "cluster")
-    by_size = Window.partitionBy("cluster").orderBy("n", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.sum("n").over(by_size) - F.col("n")
-    blocked = wanted.withColumn("block", F.greatest(F.floor(before / node_shingles), F.floor((F.count("*").over(by_size) - 1) / node_docs)).cast("long"))
-    sets = stage_table(spark, _sets(docs, wanted.select("doc_id"), width).drop("n").join(blocked, "doc_id"), "sets")
-    sizes = sets.groupBy("cluster", "block").agg(F.count("*").alias("docs"))
-    boxes = stage_table(spark, _boxes(sets).join(sizes, ["cluster", "block"]), "boxes")
-    na, nb = (boxes.select(*(F.col(c).alias(f"{c}_{s}") for c in ("cluster", "block", "docs", "lo", "hi", "box"))) for s in "ab")
+    blocked = stage_table(spark, _in_blocks(stage_table(spark, of.join(active, "cluster", "left_semi"), "met"), node_docs, node_shingles), "blocks")
+    sets = stage_table(spark, _sets(docs, blocked.select("doc_id"), width).drop("n").join(blocked, "doc_id"), "sets")
+    totals = sets.groupBy("cluster", "block").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
+    boxes = stage_table(spark, _boxes(sets).join(totals, ["cluster", "block"]), "boxes")
+    na, nb = (boxes.select(*(F.col(c).alias(f"{c}_{s}") for c in ("cluster", "block", "docs", "total", "lo", "hi", "box"))) for s in "ab")
     pairs = meeting.join(na, "cluster_a").join(nb, "cluster_b").where((F.col("cluster_a") < F.col("cluster_b")) | (F.col("block_a") <= F.col("block_b")))
     pairs = pairs.where((100 * F.col("hi_a") >= percent * F.col("lo_b")) & (100 * F.col("hi_b") >= percent * F.col("lo_a")))
-    a, b = (F.struct(F.col(f"cluster_{s}").alias("cluster"), F.col(f"block_{s}").alias("block"), F.col(f"docs_{s}").alias("docs")) for s in "ab")
+    a, b = (F.struct(*(F.col(f"{c}_{s}").alias(c) for c in ("cluster", "block", "docs", "total"))) for s in "ab")
     larger = F.col("docs_b") > F.col("docs_a")
-    pairs = _may_link(pairs, percent).select(F.when(larger, b).otherwise(a).alias("host"), F.when(larger, a).otherwise(b).alias("guest"))
+    pairs = stage_table(spark, _may_link(pairs, percent).select(F.when(larger, b).otherwise(a).alias("host"), F.when(larger, a).otherwise(b).alias("guest")), "node-pairs")
     # A host's guests come in batches, so its documents are sent once for each batch and not once for each guest.
-    by_guest = Window.partitionBy("host").orderBy("guest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.sum("guest.docs").over(by_guest) - F.col("guest.docs")
-    pairs = stage_table(spark, pairs.withColumn("batch", F.when(F.col("host") == F.col("guest"), -1).otherwise(F.floor(before / node_docs)).cast("long")), "node-pairs")
+    others = pairs.where("host <> guest")
+    loads = others.groupBy("host").agg(F.sum("guest.docs").alias("docs"), F.sum("guest.total").alias("total"))
+    batches = F.greatest(F.lit(1), F.ceil(F.col("docs") / node_docs), F.ceil(F.col("total") / node_shingles)).cast("long")
+    others = others.join(loads, "host").withColumn("batch", F.pmod(F.xxhash64("guest"), batches))
+    own = pairs.where("host = guest").select("host", "guest", F.lit(-1).cast("long").alias("batch"))
+    pairs = stage_table(spark, others.select("host", "guest", "batch").unionByName(own), "node-batches")
     members = sets.select("cluster", "block", "doc_id", "shingles")
     hosts = pairs.select("host.cluster", "host.block", "batch").distinct()
     left = hosts.join(members, ["cluster", "block"]).select("cluster", "block", "batch", F.lit(0).alias("side"), "doc_id", "shingles")
     guests = pairs.where("batch >= 0").select(F.col("host.cluster").alias("host_cluster"), F.col("host.block").alias("host_block"), "batch", "guest.cluster", "guest.block")
     right = guests.join(members, ["cluster", "block"]).select(F.col("host_cluster").alias("cluster"), F.col("host_block").alias("block"), "batch", F.lit(1).alias("side"), "doc_id", "shingles")
     links = _verify(left.unionByName(right), percent)
-    links = links.unionByName(copied.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
+    links = stage_table(spark, links.unionByName(copied.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))), "linked")
+    drop_tables(spark, copies, copied, shared, of, *used, meeting, blocked, sets, boxes, pairs)
     return facts.select("doc_id", "n"), links
 
 
