@@ -1,140 +1,134 @@
 """Toxicity scores from a learned lexicon, matched through Levenshtein automata.
 
 The lexicon holds the words that labelled toxic documents have far more often
-than others. A word is matched by walking the lexicon's trie and the word's
-automaton together, so misspellings within a bounded distance are found. Each
-match is weighed by its window: between quotation marks or next to words that
-clean documents put around such terms it counts as quoted. A logistic model
-over a document's sums gives the score.
+than others. A word is matched by walking the lexicon's trie and the Levenshtein
+automata of all its terms together, one letter at a time, so misspellings
+within a bounded distance are found; a misspelling weighs what its term weighs.
+Each match is judged by its window: between quotation marks or next to words
+that clean documents put around such terms it counts as quoted, and quoted
+matches can only lower the score. A logistic model over a document's sums gives
+the score.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import fold, in_sample, sample_share, stage_table
+from tideline.llm.common import Memo, fold, in_sample, sample_share, stage_table
 
-FEATURES = ("hits", "strongest", "quoted", "density", "misspelt")
+FEATURES = ("hits", "strongest", "density", "quoted")
 QUOTES = frozenset("\"'«»“”‘’„`")
 LETTERS = re.compile(r"[^\W\d_]+")
 # Characters that stand for letters in disguised spellings.
 DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
-WORDS_KEPT = 600_000
+DISGUISED = re.compile(r"[^\W\d_][013457@$!]|[013457@$!][^\W\d_]")
+STATES_KEPT = 60_000
 
 
-class Node:
-    """A trie node: children by letter, the weight of a term that ends here, and the most edits a term below may have."""
+def edits_of_length(n: int) -> int:
+    """Edits allowed for a term: none below 5 letters, one below 9, else two."""
+    return 0 if n < 5 else 1 if n < 9 else 2
 
-    __slots__ = ("children", "edits", "weight")
 
-    def __init__(self):
-        self.children: dict[str, Node] = {}
-        self.weight, self.edits = 0.0, 0
+class State:
+    """A state of the walk: the next states by letter, and the least distance and heaviest weight of the terms that end here."""
 
+    __slots__ = ("best", "places", "then")
 
-class Trie:
-    """Lexicon terms with weights."""
-
-    def __init__(self, terms: dict[str, float]):
-        self.root = Node()
-        for term, weight in terms.items():
-            node, allowed = self.root, edits_of_length(len(term))
-            for letter in term:
-                node.edits = max(node.edits, allowed)
-                node = node.children.setdefault(letter, Node())
-            node.edits = max(node.edits, allowed)
-            node.weight = max(node.weight, weight)
-
-    @staticmethod
-    def nearest(word: str, node: Node, depth: int, row: list[int], best: tuple[int, float], beginning: bool = False) -> tuple[int, float]:
-        """Walk the trie and the word's automaton together; ``row`` is the automaton's state at ``node``.
-
-        A state holds the edit distance from the letters so far to each prefix
-        of the word; a branch ends where every distance is beyond what the
-        terms below may have. Gives the least distance and the heaviest weight
-        for it, as (distance, -weight). With ``beginning`` the distance is to
-        the nearest beginning of the word.
-        """
-        width, stack = len(word) + 1, [(node, depth, row)]
-        while stack:
-            node, depth, row = stack.pop()
-            if node.weight and (d := min(row) if beginning else row[-1]) <= edits_of_length(depth):
-                best = min(best, (d, -node.weight))
-            for letter, child in node.children.items():
-                new = [row[0] + 1]
-                last = new[0]
-                for i in range(1, width):
-                    d = row[i - 1] if word[i - 1] == letter else 1 + min(row[i - 1], row[i], last)
-                    new.append(d)
-                    last = d
-                if min(new) <= child.edits:
-                    stack.append((child, depth + 1, new))
-        return best
-
-
-def shortened(word: str, edits: int) -> set[str]:
-    """The word and what is left of it without up to ``edits`` of its letters."""
-    out = last = {word}
-    for _ in range(edits):
-        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
-        out = out | last
-    return out
-
-
-def by_remnant(terms: Iterable[str]) -> dict[int, dict[str, list[str]]]:
-    """Terms by the edits they may have and by each of their remnants; terms that may have none are left out."""
-    out: dict[int, dict[str, list[str]]] = {}
-    for t in terms:
-        if d := edits_of_length(len(t)):
-            for x in shortened(t, d):
-                out.setdefault(d, {}).setdefault(x, []).append(t)
-    return out
+    def __init__(self, places: dict[int, int], best: tuple[int, float] | None):
+        self.places, self.best, self.then = places, best, {}
 
 
 class FuzzyLexicon:
-    """Finds the nearest term of a word.
-
-    A term within d edits of a word has a remnant in common with it once up to
-    d letters are taken out of each. So a word's automaton is walked over the
-    trie of the terms that share a remnant with it, and no match is lost.
-    Stems are matched at the beginning of a word, within the edits that their
-    own length allows.
+    """The trie of the terms intersected with their Levenshtein automata, determinised as words need it.
+
+    A place is a trie node with the least edits that lead there. A state is a
+    set of places, so all terms are followed at once, and a word whose state is
+    empty is given up. States are made when a word first leads to them and are
+    shared by all words with the same beginnings; beyond ``STATES_KEPT`` of
+    them the walk begins anew with none, which costs time only. With
+    ``beginning`` a term matches the beginning of a word.
     """
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float] | None = None):
-        self.terms, self.stems = terms, stems or {}
-        self.near, self.near_stems = by_remnant(self.terms), by_remnant(self.stems)
-        self.longest = max(map(len, self.terms), default=0) + 2
-        self.stem_sizes = {d: sorted({n for t in self.stems if edits_of_length(len(t)) == d for n in range(len(t) - d, len(t) + d + 1)}) for d in self.near_stems}
+    def __init__(self, terms: dict[str, float], beginning: bool = False):
+        self.beginning = beginning
+        self.children: list[dict[str, int]] = [{}]
+        self.allowed, self.weight, self.most = [0], [0.0], [0]
+        for term, weight in terms.items():
+            if not (edits := edits_of_length(len(term))):
+                continue
+            node = 0
+            self.most[0] = max(self.most[0], edits)
+            for letter in term:
+                if letter not in self.children[node]:
+                    self.children[node][letter] = len(self.children)
+                    self.children.append({})
+                    for x, zero in ((self.allowed, 0), (self.weight, 0.0), (self.most, 0)):
+                        x.append(zero)
+                node = self.children[node][letter]
+                self.most[node] = max(self.most[node], edits)
+            self.allowed[node], self.weight[node] = edits, max(self.weight[node], weight)
+        self._restart()
+
+    def _restart(self) -> None:
+        self.states: dict[tuple, State | None] = {}
+        self.start = self._state({0: 0} if len(self.children) > 1 else {})
+
+    def _state(self, places: dict[int, int]) -> State | None:
+        """The state of these places and of those that leaving out letters of terms leads to."""
+        waiting = list(places.items())
+        while waiting:
+            node, edits = waiting.pop()
+            if edits == places[node]:
+                for child in self.children[node].values():
+                    if edits + 1 <= self.most[child] and edits + 1 < places.get(child, 99):
+                        places[child] = edits + 1
+                        waiting.append((child, edits + 1))
+        if not places:
+            return None
+        key = tuple(sorted(places.items()))
+        if key not in self.states:
+            ends = [(e, -self.weight[n]) for n, e in places.items() if self.weight[n] and e <= self.allowed[n]]
+            self.states[key] = State(places, min(ends, default=None))
+        return self.states[key]
+
+    def _next(self, state: State, letter: str) -> State | None:
+        """The state behind a letter: it is the terms' own, stands for another, or is one too many."""
+        after: dict[int, int] = {}
+        for node, edits in state.places.items():
+            if edits < self.most[node] and edits + 1 < after.get(node, 99):
+                after[node] = edits + 1
+            for own, child in self.children[node].items():
+                e = edits + (own != letter)
+                if e <= self.most[child] and e < after.get(child, 99):
+                    after[child] = e
+        state.then[letter] = found = self._state(after)
+        return found
 
     def match(self, word: str) -> tuple[float, int]:
         """Weight and distance of the nearest term (the heaviest of equals), or (0, 0)."""
-        if len(word) > self.longest:
-            return 0.0, 0
-        found = {t for d, near in self.near.items() for x in shortened(word, d) for t in near.get(x, ())}
-        return self._nearest(word, {t: self.terms[t] for t in found})
-
-    def match_stem(self, word: str) -> tuple[float, int]:
-        """Weight and distance of the nearest stem to any beginning of the word, or (0, 0)."""
-        found = {t for d, near in self.near_stems.items() for n in self.stem_sizes[d] for x in shortened(word[:n], d) for t in near.get(x, ())}
-        return self._nearest(word[: max(map(len, found), default=0) + 2], {t: self.stems[t] for t in found}, beginning=True)
-
-    @staticmethod
-    def _nearest(word: str, found: dict[str, float], beginning: bool = False) -> tuple[float, int]:
-        best = Trie.nearest(word, Trie(found).root, 0, list(range(len(word) + 1)), (99, 0.0), beginning) if found else (99, 0.0)
-        return (-best[1], best[0]) if best[0] < 99 else (0.0, 0)
-
-
-def edits_of_length(n: int) -> int:
-    """Edits allowed for a term: none below 5 letters, one below 9, else two."""
-    return 0 if n < 5 else 1 if n < 9 else 2
+        if len(self.states) > STATES_KEPT:
+            self._restart()
+        state, best = self.start, None
+        for letter in word:
+            if state is None:
+                break
+            if self.beginning and state.best and (best is None or state.best < best):
+                best = state.best
+            try:
+                state = state.then[letter]
+            except KeyError:
+                state = self._next(state, letter)
+        if state is not None and state.best and (not self.beginning or best is None or state.best < best):
+            best = state.best
+        return (-best[1], best[0]) if best else (0.0, 0)
 
 
 @dataclass
@@ -149,8 +143,7 @@ class Lexicon:
 
     def __post_init__(self):
         self.stem_sizes = sorted({len(x) for x in self.stems}, reverse=True)
-        self.fuzzy = FuzzyLexicon(self.terms, self.stems)
-        self.known: dict[str, tuple[float, int]] = {}
+        self.fuzzy, self.fuzzy_stems = FuzzyLexicon(self.terms), FuzzyLexicon(self.stems, beginning=True)
 
     def __getstate__(self):
         return {k: getattr(self, k) for k in ("terms", "stems", "benign", "context", "window")}
@@ -159,11 +152,14 @@ class Lexicon:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def _weigh(self, token: str) -> tuple[float, int]:
-        best = (0.0, 0)
-        for word in {*LETTERS.findall(token), *LETTERS.findall(token.translate(DISGUISE))}:
-            best = max(best, self.weigh_word(word))
-        return best
+    def weigh_token(self, token: str) -> tuple[float, int]:
+        """The heaviest match of a token's words, as they stand and with disguised letters read as what they stand for."""
+        if token.isalpha():
+            return self.weigh_word(token)
+        words = set(LETTERS.findall(token))
+        if DISGUISED.search(token):
+            words.update(LETTERS.findall(token.translate(DISGUISE)))
+        return max(map(self.weigh_word, words), default=(0.0, 0))
 
     def weigh_word(self, word: str) -> tuple[float, int]:
         """Weight and distance of a word: as a term, by its stem, or as a misspelling of a term or of a stem."""
@@ -171,30 +167,21 @@ class Lexicon:
             return self.terms[word], 0
         if word in self.benign:
             return 0.0, 0
-        if stem := self.stem_of(word):
-            return stem, 0
-        found = [x for x in (self.fuzzy.match(word), self.fuzzy.match_stem(word)) if x[0]]
-        return min(found, key=lambda x: (x[1], -x[0]), default=(0.0, 0))
+        for n in self.stem_sizes:
+            if word[:n] in self.stems:
+                return self.stems[word[:n]], 0
+        a, b = self.fuzzy.match(word), self.fuzzy_stems.match(word)
+        return min((x for x in (a, b) if x[0]), key=lambda x: (x[1], -x[0]), default=(0.0, 0))
 
-    def stem_of(self, word: str) -> float:
-        return next((self.stems[word[:n]] for n in self.stem_sizes if word[:n] in self.stems), 0.0)
+    def memo(self) -> Memo:
+        """Matches by token, for one task."""
+        return Memo(self.weigh_token)
 
-    def hits(self, text: str | None) -> tuple[list[str], list[tuple[int, float, int, bool]]]:
+    def hits(self, text: str | None, known: Memo | None = None) -> tuple[list[str], list[tuple[int, float, int, bool]]]:
         """Tokens of a text, and of each match its place, weight, distance and whether it is quoted."""
         tokens = (text or "").lower().split()
-        if len(self.known) > WORDS_KEPT:
-            self.known = {}
-        known = self.known
-        found = list(map(known.get, tokens))
-        if None in found:
-            for i, v in enumerate(found):
-                if v is None:
-                    token = tokens[i]
-                    if (v := known.get(token)) is None:
-                        v = known[token] = self._weigh(token)
-                    found[i] = v
-        places = [i for i, v in enumerate(found) if v[0]]
-        return tokens, [(i, *found[i], self.quoted(tokens, i)) for i in places]
+        found = list(map((known if known is not None else self.memo()).__getitem__, tokens))
+        return tokens, [(i, *x, self.quoted(tokens, i)) for i, x in enumerate(found) if x[0]]
 
     def quoted(self, tokens: list[str], at: int) -> bool:
         before, after = tokens[max(0, at - self.window) : at], tokens[at + 1 : at + 1 + self.window]
@@ -204,57 +191,83 @@ class Lexicon:
         around = sum(self.context.get(x, 0.0) for x in (*before, *after)) if self.context else 0.0
         return (opened and closed) or around > 1.0
 
-    def features(self, text: str | None) -> tuple[float, ...]:
-        tokens, hits = self.hits(text)
-        plain = [w for _, w, d, q in hits if not q]
-        misspelt = sum(w for _, w, d, q in hits if d and not q)
-        quoted = sum(w for _, w, d, q in hits if q)
+    def features(self, text: str | None, known: Memo | None = None) -> tuple[float, ...]:
+        """FEATURES of a text. A match counts by its weight, whether it is misspelt or not."""
+        tokens, hits = self.hits(text, known)
+        plain = [w for _, w, _, q in hits if not q]
+        quoted = sum(w for _, w, _, q in hits if q)
         total = sum(plain)
-        return float(np.log1p(total)), max(plain, default=0.0), float(np.log1p(quoted)), float(np.log1p(100 * total / max(20, len(tokens)))), float(np.log1p(misspelt))
+        return float(np.log1p(total)), max(plain, default=0.0), float(np.log1p(100 * total / max(20, len(tokens)))), float(np.log1p(quoted))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, max_docs: int) -> DataFrame:
-    """Learning rows: doc_id, text and toxic; at most about ``max_docs``, by a sample that depends on doc_id alone."""
-    usable = labels.where(F.col("toxic").isNotNull() & (fold("doc_id", 5) != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    share = sample_share(usable.count(), max_docs)
-    return docs.where(fold("doc_id", 5) != 0).where(in_sample("doc_id", share)).select("doc_id", "text", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("digest")).join(usable, "doc_id")
+    """Learning rows, staged: text, toxic and digest; at most about ``max_docs``, by a sample that depends on doc_id alone.
+
+    Of a doc_id with several labels one counts (the toxic one). The sampled
+    labels are few whatever the corpus, so they go to the documents and no text
+    is shuffled.
+    """
+    usable = labels.where(F.col("toxic").isNotNull() & (fold("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    share = sample_share(labels.where(F.col("toxic").isNotNull() & (fold("doc_id", 5) != 0)).count(), max_docs)
+    picked = docs.where(fold("doc_id", 5) != 0).where(in_sample("doc_id", share)).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = picked.join(F.broadcast(usable.where(in_sample("doc_id", share))), "doc_id").select("text", "toxic", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+    return stage_table(docs.sparkSession, rows, "toxic-rows")
 
 
 def _words(column: str = "text"):
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit(r"(\p{L}+)"), 1))
+    return F.regexp_extract_all(F.lower(column), F.lit(r"(\p{L}+)"), 1)
+
+
+def _ways(texts: DataFrame) -> DataFrame:
+    """word and ways, the number of different pairs of neighbours that it has in the texts."""
+    listed = texts.select(_words().alias("words"))
+    places = F.arrays_zip(F.concat(F.array(F.lit("")), "words").alias("before"), F.col("words").alias("word"), F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1))).alias("after"))
+    each = listed.select(F.inline(places)).where("word is not null").select("word", F.xxhash64("before", "after").alias("around"))
+    return each.distinct().groupBy("word").agg(F.count("*").alias("ways"))
 
 
-def learn_lexicon(rows: DataFrame, max_terms: int = 2_000, least_gain: float = 3.0) -> Lexicon:
-    """Words by the log of how much oftener toxic documents have them, out of counts of distinct texts over all learning rows.
+def learn_lexicon(rows: DataFrame, least_gain: float = 3.0) -> Lexicon:
+    """Words by the log of how much oftener toxic documents have them, out of counts over all learning rows.
 
-    A text counts once for each label it has, in the words' counts and in the
-    totals that these are held against. A term needs support that grows with the toxic rows, so that a word of one
-    copied document is no term. A stem is a word beginning that several words
-    share and that is as telling by itself. Ties are settled by the word.
+    ``rows`` has text, toxic and digest. A text counts once for each label it
+    has, in the words' counts and in the totals that these are held against. A
+    term needs support that grows with the toxic rows, in documents and in
+    different pairs of neighbours, which must be three for ten documents at
+    least: near copies repeat a word's neighbours, so a word that only copies of
+    one document have is no term. A stem is a word beginning that
+    several words share and that is as telling by itself. All that reach these
+    thresholds are kept; the bounded learning rows bound how many there are.
     """
+    spark = rows.sparkSession
     totals = {r["toxic"]: r["count"] for r in rows.select("digest", "toxic").distinct().groupBy("toxic").count().collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         return Lexicon({})
-    counts = rows.dropDuplicates(["digest", "toxic"]).select("toxic", F.explode(_words()).alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    texts = rows.dropDuplicates(["digest", "toxic"])
+    counts = texts.select("toxic", F.explode(F.array_distinct(_words())).alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     gain = F.ln((F.col("bad") + 0.5) / (bad + 1)) - F.ln((F.col("good") + 0.5) / (good + 1))
-    counts = stage_table(rows.sparkSession, counts.withColumn("gain", gain), "toxic-words")
+    counts = counts.join(_ways(texts.where("toxic = 1")), "word", "left").fillna(0, ["ways"]).withColumn("gain", gain)
+    counts = stage_table(spark, counts, "toxic-words")
     support = max(3, bad // 150)
-    best = counts.where((F.col("bad") >= support) & (F.col("gain") >= least_gain) & (F.length("word") > 2)).orderBy(F.desc(F.col("gain") * F.ln("bad")), "word").limit(max_terms).collect()
-    begins = counts.select(F.explode(F.transform(F.sequence(F.lit(4), F.lit(7)), lambda n: F.substring("word", F.lit(1), n))).alias("stem"), "word", "bad", "good").where(F.length("word") > F.length("stem"))
-    stems = begins.groupBy("stem").agg(F.count("*").alias("words"), F.max("bad").alias("most"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    stems = stems.where((F.col("words") >= 4) & (F.col("bad") >= 3 * support) & (2 * F.col("most") <= F.col("bad")))
-    stems = stems.withColumn("gain", gain).where(F.col("gain") >= least_gain).orderBy(F.desc(F.col("gain") * F.ln("bad")), "stem").limit(max_terms).collect()
-    draft = Lexicon({r["word"]: float(r["gain"]) for r in best}, {r["stem"]: float(r["gain"]) for r in stems})
-    shared = rows.sparkSession.sparkContext.broadcast(draft)
+    varied = (F.col("ways") >= max(5, support)) & (F.col("ways") >= 0.3 * F.col("bad"))
+    supported = (F.col("bad") >= support) & varied & (F.col("gain") >= least_gain)
+    terms = counts.where(supported & (F.length("word") > 2)).select("word", "gain").collect()
+    begins = counts.select(F.explode(F.transform(F.sequence(F.lit(4), F.lit(7)), lambda n: F.substring("word", F.lit(1), n))).alias("stem"), "word", "bad", "good", "ways").where(F.length("word") > F.length("stem"))
+    stems = begins.groupBy("stem").agg(F.count("*").alias("words"), F.max("bad").alias("most"), F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum("ways").alias("ways"))
+    stems = stems.where((F.col("words") >= 4) & (F.col("bad") >= 3 * support) & varied & (2 * F.col("most") <= F.col("bad")))
+    stems = stems.withColumn("gain", gain).where(F.col("gain") >= least_gain).select("stem", "gain").collect()
+    draft = Lexicon({r["word"]: float(r["gain"]) for r in terms}, {r["stem"]: float(r["gain"]) for r in stems})
+    shared = spark.sparkContext.broadcast(draft)
 
     @F.pandas_udf("boolean")
     def near(words: pd.Series) -> pd.Series:
         return pd.Series([w not in shared.value.terms and shared.value.weigh_word(w)[0] > 0 for w in words], dtype=bool)
 
     # Clean texts' own words that lie near a term are no misspellings of it.
-    others = counts.where((F.col("good") > 0) & (F.col("gain") < least_gain / 2)).where(near("word")).orderBy(F.desc("good"), "word").limit(20_000).collect()
-    return Lexicon(draft.terms, draft.stems, frozenset(r["word"] for r in others), learn_context(rows, draft))
+    others = counts.where((F.col("good") > 0) & (F.col("gain") < least_gain / 2)).where(near("word")).select("word").collect()
+    lexicon = Lexicon(draft.terms, draft.stems, frozenset(r["word"] for r in others))
+    lexicon.context = learn_context(rows, lexicon)
+    return lexicon
 
 
 def learn_context(rows: DataFrame, lexicon: Lexicon, least: int = 20) -> dict[str, float]:
@@ -265,65 +278,82 @@ def learn_context(rows: DataFrame, lexicon: Lexicon, least: int = 20) -> dict[st
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
 
     @F.pandas_udf("array<string>")
-    def around(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            tokens, hits = shared.value.hits(text)
-            out.append([t for i, _, d, _ in hits if not d for t in {*tokens[max(0, i - shared.value.window) : i], *tokens[i + 1 : i + 1 + shared.value.window]}])
-        return pd.Series(out, dtype=object)
+    def around(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lexicon = shared.value
+        known, n = lexicon.memo(), lexicon.window
+        for texts in batches:
+            out = []
+            for text in texts:
+                tokens, hits = lexicon.hits(text, known)
+                out.append([t for i, _, d, _ in hits if not d for t in {*tokens[max(0, i - n) : i], *tokens[i + 1 : i + 1 + n]}])
+            yield pd.Series(out, dtype=object)
 
     seen = rows.select("toxic", F.explode(around("text")).alias("word")).groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("good"), F.sum("toxic").alias("bad"))
-    seen = seen.where(F.col("good") >= 3).orderBy(F.desc("good"), "word").limit(5_000).collect()
-    good, bad = sum(r["good"] for r in seen), sum(r["bad"] for r in seen)
-    if good < least * lexicon.window:
+    seen = stage_table(rows.sparkSession, seen.where(F.col("good") >= 3), "toxic-context")
+    good, bad = seen.agg(F.sum("good"), F.sum("bad")).first()
+    if (good or 0) < least * lexicon.window:
         return {}
-    gains = {r["word"]: float(np.log((r["good"] + 0.5) / (good + 1)) - np.log((r["bad"] + 0.5) / (bad + 1))) for r in seen}
-    return {w: g for w, g in gains.items() if g > 1.0}
+    gain = F.ln((F.col("good") + 0.5) / (good + 1)) - F.ln((F.col("bad") + 0.5) / (bad + 1))
+    return {r["word"]: float(r["gain"]) for r in seen.select("word", gain.alias("gain")).where("gain > 1").collect()}
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
+    """Weights of FEATURES: the first three are 0 at least, that of quoted matches 0 at most."""
+
     lexicon: Lexicon
     weights: tuple[float, ...]
     bias: float
 
-    def score(self, features: Iterable[float]) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.bias + sum(w * x for w, x in zip(self.weights, features, strict=True)), -40, 40))))
-
 
 def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 40_000) -> ToxicityModel:
     """Lexicon and logistic model from labelled learning rows; ``max_docs`` bounds how many.
 
-    Without both labels among them the model gives 0.5 or the sole label's rate.
+    The weights are bounded by their meaning: no match lowers the score of a
+    text, but for quoted ones, which never raise it. Without both labels among
+    the rows the model gives 0.5 or the sole label's rate.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.linalg import DenseMatrix
 
     spark = docs.sparkSession
     rows = _labelled(docs, labels, max_docs)
     lexicon = learn_lexicon(rows)
-    shared = spark.sparkContext.broadcast(lexicon)
-
-    @F.pandas_udf(", ".join(f"{f} double" for f in FEATURES))
-    def describe(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.features(x) for x in texts], columns=list(FEATURES))
-
-    described = stage_table(spark, rows.select("toxic", describe("text").alias("f")).select(F.col("toxic").cast("double").alias("label"), "f.*"), "toxic-features")
+    described = rows.select("toxic", describer(spark, lexicon)("text").alias("f"))
+    described = stage_table(spark, described.select(F.col("toxic").cast("double").alias("label"), "f.*"), "toxic-features")
     totals = {int(r["label"]): r["count"] for r in described.groupBy("label").count().collect()}
     if len(totals) < 2:
         return ToxicityModel(lexicon, (0.0,) * len(FEATURES), 0.0 if not totals else 5.0 if 1 in totals else -5.0)
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(described)
-    model = LogisticRegression(featuresCol="x", labelCol="label", regParam=0.001, maxIter=60).fit(data)
+    least, most = ([0.0] * 3 + [-50.0], [50.0] * 3 + [0.0])
+    bounds = {"lowerBoundsOnCoefficients": DenseMatrix(1, 4, least), "upperBoundsOnCoefficients": DenseMatrix(1, 4, most)}
+    model = LogisticRegression(featuresCol="x", labelCol="label", regParam=0.001, maxIter=60, **bounds).fit(data)
     return ToxicityModel(lexicon, tuple(map(float, model.coefficients)), float(model.intercept))
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """All columns and ``toxicity`` from 0 to 1. Null and empty texts get the score of a text without matches."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def describer(spark: SparkSession, lexicon: Lexicon):
+    """A column function from texts to FEATURES."""
+    shared = spark.sparkContext.broadcast(lexicon)
+
+    @F.pandas_udf(", ".join(f"{f} double" for f in FEATURES))
+    def describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = shared.value.memo()
+        for texts in batches:
+            yield pd.DataFrame([shared.value.features(x, known) for x in texts], columns=list(FEATURES))
 
-    @F.pandas_udf("double")
-    def rate(texts: pd.Series) -> pd.Series:
-        m = shared.value
-        return pd.Series([m.score(m.lexicon.features(x)) for x in texts], dtype=float)
+    return describe
 
-    return docs.withColumn("toxicity", rate(F.col("text").cast("string")))
+
+def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """All columns and ``toxicity`` from 0 to 1 (a column of that name is replaced).
+
+    Null and empty texts get the score of a text without matches. Whole texts
+    are read, however long; repeated rows give equal scores, and no rows none.
+    """
+    f = describer(docs.sparkSession, model.lexicon)(F.col("text").cast("string"))
+    margin = F.lit(model.bias)
+    described = docs.drop("toxicity", "_toxic").withColumn("_toxic", f)
+    for name, weight in zip(FEATURES, model.weights, strict=True):
+        margin = margin + weight * F.col("_toxic")[name]
+    return described.withColumn("toxicity", 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), margin))))).drop("_toxic")
