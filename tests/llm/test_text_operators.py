@@ -197,10 +197,11 @@ def test_rollups_are_signed_and_idempotent(spark, plain_tokenizer):
 
 
 def test_archives_give_back_every_page(spark):
-    pages = [(1, "http://a", "<p>é</p>"), (2, "http://b", "<p>é</p>"), (9, None, "<p>é</p>"), (3, "x y", None), (4, "", ""), (5, "http://c", "z" * 50_000), (5, "http://c", "z" * 50_000)]
+    pages = [(1, "http://a", "<p>é</p>"), (2, "http://b", "<p>é</p>"), (9, None, "<p>é</p>"), (3, "x y", None), (4, "", ""), (5, "http://c", "z" * 50_000), (5, "http://c", "z" * 50_000), (7, "u", "one"), (7, "u", "other"), (8, "v", "other")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("payload", F.lit(1))
-    places = warc.locate_records(warc.write_archives(df, archive_bytes=300))
-    got = sorted(tuple(r) for r in warc.with_payload_bytes(warc.read_records(places)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect())
+    archives = warc.write_archives(df, archive_bytes=300)
+    records = warc.read_records(warc.locate_records(archives), archives)
+    got = sorted(tuple(r) for r in records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect())
     last = {}
     for i, _, h in pages:
         last[h or ""] = max(i, last.get(h or "", 0))
@@ -211,7 +212,8 @@ def test_archives_give_back_every_page(spark):
 
 def test_small_payloads_are_never_revisits(spark):
     df = spark.createDataFrame([(1, "a", "x"), (2, "b", "x")], "page_id long, url string, html string")
-    records = warc.read_records(warc.locate_records(warc.write_archives(df, least_revisit=2)))
+    archives = warc.write_archives(df, least_revisit=2)
+    records = warc.read_records(warc.locate_records(archives), archives)
     assert {r.record_type for r in records.collect()} == {"response"}
 
 
@@ -287,7 +289,7 @@ def test_misspelt_stems_and_forms_of_stems_are_found():
 def test_stems_are_found_at_the_beginning_of_all_words_in_reach():
     rng = random.Random(16)
     stems = {"".join(rng.choice("abcde") for _ in range(rng.randrange(4, 12))): rng.random() + 0.1 for _ in range(40)}
-    lexicon = toxicity.FuzzyLexicon({}, stems)
+    lexicon = toxicity.FuzzyLexicon(stems, beginning=True)
     for _ in range(800):
         word = list(rng.choice(list(stems)) + "".join(rng.choice("abcde") for _ in range(rng.randrange(5))))
         for _ in range(rng.randrange(0, 4)):
@@ -296,7 +298,7 @@ def test_stems_are_found_at_the_beginning_of_all_words_in_reach():
         word = "".join(word)
         reach = [(min(distance(word[:n], t) for n in range(len(word) + 1)), -w, t) for t, w in stems.items()]
         want = min(((d, w) for d, w, t in reach if d <= toxicity.edits_of_length(len(t)) > 0), default=None)
-        assert lexicon.match_stem(word) == ((-want[1], want[0]) if want else (0.0, 0))
+        assert lexicon.match(word) == ((-want[1], want[0]) if want else (0.0, 0))
 
 
 def test_misspellings_of_rare_terms_are_found(spark):
@@ -344,10 +346,40 @@ def test_toxicity_learns_words_and_misspellings(spark):
     assert toxicity.score(extra, none).count() == 10
 
 
+def test_misspellings_raise_and_quotes_lower_the_score_after_learning(spark):
+    """Clean documents quote the terms too, as in reports of abuse."""
+    rng = random.Random(19)
+    texts, labels = {}, []
+    for i in range(600):
+        w, term = words(rng, 30).split(), rng.choice(["blockhead", "nitwit", "dimwitted"])
+        if i % 4 == 0:
+            w[10:10] = [term, "you", term]
+        elif i % 4 == 1 and i % 3 == 0:
+            w[10:10] = ["they", "wrote", f'"{term}"', "in", "the", "report"]
+        texts[i] = " ".join(w)
+        labels.append((i, 1, int(i % 4 == 0)))
+    model = toxicity.learn(frame(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert all(x >= 0 for x in model.weights[:3]) and model.weights[3] <= 0
+    base = words(rng, 12)
+    cases = [f"{base} {words(rng, 12)}", f"{base} you blockhaed and nitwitt {words(rng, 12)}", f"{base} you blockhead and nitwit {words(rng, 12)}", f'{base} they wrote "blockhead" in the report {words(rng, 12)}', f"{base} you blockhead {words(rng, 12)}"]
+    clean, misspelt, plain, quoted, unquoted = (r.toxicity for r in toxicity.score(frame(spark, cases), model).orderBy("doc_id").collect())
+    assert misspelt > 0.5 > clean and misspelt == pytest.approx(plain, abs=0.2)
+    assert quoted < unquoted and quoted < 0.5
+
+
+def test_words_of_near_copies_are_no_terms(spark):
+    rng = random.Random(20)
+    copied = words(rng, 40).split()
+    rows = [(words(rng, 20), 0, str(i)) for i in range(150)]
+    rows += [(" ".join([*copied[:k], words(rng, 1), *copied[k + 1 :]]), 1, f"c{k}") for k in range(40)]
+    rows += [(f"{words(rng, 10)} nitwit {words(rng, 10)}", 1, f"n{i}") for i in range(20)]
+    assert set(toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int, digest string")).terms) == {"nitwit"}
+
+
 def test_quoted_terms_weigh_apart():
     lexicon = toxicity.Lexicon({"nitwit": 3.0})
     plain, quoted = lexicon.features("he is a nitwit for sure"), lexicon.features('he wrote "a nitwit" once')
-    assert plain[0] > 0 == plain[2] and quoted[0] == 0 < quoted[2]
+    assert plain[0] > 0 == plain[3] and quoted[0] == 0 < quoted[3]
 
 
 # ---- lines and benchmark ---------------------------------------------------
@@ -376,13 +408,6 @@ def test_fields_vary_within_a_template(spark):
     assert not gone[0] and all(gone[i] == {1, 2} for i in range(1, 12))
 
 
-def test_copies_are_left_whole(spark):
-    rng = random.Random(10)
-    lines = [words(rng, 30) for _ in range(6)]
-    texts = {1: "\n".join(lines), 2: "\n".join([*lines[:5], words(rng, 30)]), 3: words(rng, 100)}
-    assert line_dedup.dropped_lines(frame(spark, texts)).count() == 0
-
-
 @pytest.mark.parametrize("shared", [60, 80])
 def test_a_shared_passage_stays_once_whatever_the_overlap(spark, tmp_path, shared):
     """Pairs at 0.43 and 0.67 of their words, which the near-duplicate rule does not link."""

@@ -1,16 +1,14 @@
 """Line deduplication by a log-template tree.
 
 A line's path in the tree is its token count and its leading tokens; tokens
-with digits are variable from the start. In a leaf with several templates a
-token that few of them have in its place is a variable field too, as long as
-most of the line stays constant. A template that recurs across documents stays
-in the document with the smallest doc_id and is dropped from the others.
-
-With ``copy_overlap`` a document that shares that much of its words with one
-other document is taken for a copy of it, and what the two share stays. No
-near-duplicate rule is sure to drop such a pair later, so op1 and the pipeline
-run without it (``EVERY_LINE``): every recurring line goes, and of a copy only
-the lines of its own are left.
+with digits are variable from the start, as long as enough plain tokens are
+left to tell the line by (else the line is compared as it is). In a leaf with
+several templates, fields are learned: first tokens that no other template of
+the leaf has in their place, then, in rounds, the place in which most templates
+differ that agree in all others. Counts are absolute, so what becomes a field
+does not depend on how many unlike lines a leaf holds. A template that recurs
+across documents stays in the document with the smallest doc_id and is dropped
+from the others, whatever else two documents share.
 """
 
 from __future__ import annotations
@@ -21,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from tideline.llm.common import stage_table
+from tideline.llm.common import drop_tables, hash_bitmap, join_hot, slices, stage_table
 
 VARIABLE, MASK = 0, b"\0"
 DIGIT = re.compile(rb"[0-9]")
@@ -33,150 +32,174 @@ LEAF_BITS = 1 << 22
 
 @dataclass(frozen=True)
 class TreeSettings:
-    """``depth``: leading tokens of a path. ``least_tokens``: shorter lines never recur. ``documents``: how many make a template recur.
+    """``depth``: leading tokens of a path. ``constant``: share of a line that must stay constant, and ``least_plain`` tokens at least.
 
-    ``siblings``: templates a leaf needs before fields are learned. ``support``:
-    share of a leaf's templates that makes a token constant. ``constant``: share
-    of a line that must stay constant. ``copy_overlap``: shared words over all
-    words of two documents from which one is taken for a copy of the other;
-    None: recurring lines go whatever two documents share.
+    ``least_constant``: constant tokens that a line with learned fields must
+    have, so that short prose with a common opening is not taken for a
+    template. ``rounds``: how many fields are learned beyond tokens that are
+    unlike all others in their place.
     """
 
     depth: int = 3
-    least_tokens: int = 3
-    documents: int = 2
-    siblings: int = 8
-    support: float = 0.2
     constant: float = 0.6
-    copy_overlap: float | None = 0.4
+    least_plain: int = 2
+    least_constant: int = 6
+    rounds: int = 2
 
 
-EVERY_LINE = TreeSettings(copy_overlap=None)
-
-
-def _token_hash(token: bytes) -> int:
-    from xxhash import xxh3_64_intdigest
-
-    return VARIABLE if token == MASK else xxh3_64_intdigest(token) | 1
-
-
-def line_keys(text: str | None, depth: int) -> Iterator[tuple[int, list[bytes], int]]:
-    """Of each line with a word: its number, its words with those with digits masked, and its leaf."""
-    from xxhash import xxh3_64_intdigest
-
+def line_keys(text: str | None, s: TreeSettings) -> Iterator[tuple[int, list[bytes], int]]:
+    """Of each line with a word: its number, its words with those with digits masked (where enough are left), and its leaf."""
     for number, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
         words = line.split()
         if not words:
             continue
         if DIGIT.search(line):
-            words = [MASK if DIGIT.search(w) else w for w in words]
-        yield number, words, xxh3_64_intdigest(b" ".join(words[:depth]), len(words))
+            masked = [MASK if DIGIT.search(w) else w for w in words]
+            plain = len(masked) - masked.count(MASK)
+            if plain >= s.least_plain and plain >= s.constant * len(masked):
+                words = masked
+        yield number, words, xxh3_64_intdigest(b" ".join(words[: s.depth]), len(words))
 
 
 def template_hash(words: list[bytes]) -> int:
-    from xxhash import xxh3_64_intdigest
-
     return xxh3_64_intdigest(b" ".join(words))
 
 
-def _signed(values: list[int]) -> pa.Array:
+def _token_hash(token: bytes) -> int:
+    return VARIABLE if token == MASK else xxh3_64_intdigest(token) | 1
+
+
+def _longs(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, line, words, template and leaf of each line with a word."""
+def _lines(docs: DataFrame, s: TreeSettings) -> DataFrame:
+    """doc_id, text_key, line, words, template and leaf of each line with a word. Token counts are part of a template's key."""
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, numbers, words, templates, leaves = [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for number, tokens, leaf in line_keys(text.as_py(), depth):
-                    ids.append(doc_id)
+        for batch in slices(batches):
+            rows, numbers, words, templates, leaves = [], [], [], [], []
+            for row, text in enumerate(batch.column(2)):
+                for number, tokens, leaf in line_keys(text.as_py(), s):
+                    rows.append(row)
                     numbers.append(number)
                     words.append(len(tokens))
                     templates.append(template_hash(tokens))
                     leaves.append(leaf)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), pa.array(words, pa.int64()), _signed(templates), _signed(leaves)], names=["doc_id", "line", "words", "template", "leaf"])
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(words, pa.int32()), _longs(templates), _longs(leaves)], names=["doc_id", "text_key", "line", "words", "template", "leaf"])
 
-    return docs.select("doc_id", "text").mapInArrow(parse, "doc_id long, line long, words long, template long, leaf long")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(parse, "doc_id long, text_key long, line int, words int, template long, leaf long")
 
 
-def _leaf_templates(docs: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
-    """leaf, template and token hashes of the templates in the given leaves, from the texts.
+def _leaf_templates(docs: DataFrame, leaves: DataFrame, s: TreeSettings) -> DataFrame:
+    """leaf, template, words, token hashes, and first and last document of the templates in the given leaves, from the texts.
 
     The leaves go to the tasks as a bitmap of fixed size that lets some more
     lines through; a join drops these.
     """
-    hashed = leaves.select(F.pmod("leaf", F.lit(LEAF_BITS)).alias("bit"))
-    bits = np.zeros(LEAF_BITS // 32, np.uint32)
-    for r in hashed.selectExpr("shiftright(bit, 5) as w", "shiftleft(1L, cast(bit % 32 as int)) as x").groupBy("w").agg(F.bit_or("x").alias("x")).collect():
-        bits[r["w"]] = r["x"]
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(hash_bitmap(leaves, "leaf", LEAF_BITS))
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value.tolist()
-        for batch in batches:
-            found: dict[tuple[int, int], np.ndarray] = {}
-            for text in batch.column(0):
-                for _, tokens, leaf in line_keys(text.as_py(), depth):
-                    bit = leaf % LEAF_BITS  # 2**64 is a multiple of it, so this is the signed value's pmod too
-                    if known[bit >> 5] >> (bit & 31) & 1:
-                        found[leaf, template_hash(tokens)] = np.array(list(map(_token_hash, tokens)), np.uint64)
-            ends = np.cumsum([0, *map(len, found.values())]).astype(np.int32)
-            flat = np.concatenate([np.empty(0, np.uint64), *found.values()])
-            yield pa.RecordBatch.from_arrays([_signed([x for x, _ in found]), _signed([x for _, x in found]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], names=["leaf", "template", "tokens"])
-
-    picked = docs.select("text").mapInArrow(pick, "leaf long, template long, tokens array<long>")
-    return picked.join(leaves.select("leaf", "siblings"), "leaf").dropDuplicates(["leaf", "template"])
-
-
-def _generalised(docs: DataFrame, lines: DataFrame, s: TreeSettings) -> DataFrame:
-    """template and the general template it falls under, for those that have learned fields."""
-    spark = docs.sparkSession
-    own = lines.where(F.col("words") > s.depth).select("leaf", "template").distinct()
-    leaves = stage_table(spark, own.groupBy("leaf").agg(F.count("*").alias("siblings")).where(F.col("siblings") >= s.siblings), "leaves")
-    templates = stage_table(spark, _leaf_templates(docs, leaves, s.depth), "leaf-templates")
-    places = templates.select("leaf", "template", "siblings", F.posexplode("tokens").alias("place", "token"))
-    counts = places.groupBy("leaf", "place", "token").agg(F.count("*").alias("n"))
-    fixed = (F.col("n") >= F.greatest(F.lit(3), s.support * F.col("siblings"))) & (F.col("token") != VARIABLE)
-    marked = places.join(counts, ["leaf", "place", "token"]).withColumn("token", F.when(fixed, F.col("token")).otherwise(VARIABLE))
-    rebuilt = marked.groupBy("leaf", "template").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("tokens"), F.avg((F.col("token") != VARIABLE).cast("double")).alias("constant"))
-    return rebuilt.where((F.col("constant") >= s.constant) & (F.col("constant") < 1)).select("template", F.xxhash64("leaf", F.transform("tokens", lambda x: x["token"])).alias("general"))
+        for batch in slices(batches):
+            found: dict[tuple[int, int, int], tuple[np.ndarray, list[int]]] = {}
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for _, tokens, leaf in line_keys(text.as_py(), s):
+                    bit = leaf % LEAF_BITS
+                    if doc_id is not None and known[bit >> 5] >> (bit & 31) & 1 and len(tokens) > s.least_constant:
+                        key = (leaf, template_hash(tokens), len(tokens))
+                        if key in found:
+                            ids = found[key][1]
+                            ids[:] = min(ids[0], doc_id), max(ids[1], doc_id), ids[2] + 1
+                        else:
+                            found[key] = np.array(list(map(_token_hash, tokens)), np.uint64), [doc_id, doc_id, 1]
+            ends = np.cumsum([0, *(len(x) for x, _ in found.values())]).astype(np.int32)
+            flat = np.concatenate([np.empty(0, np.uint64), *(x for x, _ in found.values())])
+            ids = [pa.array([x[i] for _, x in found.values()], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([_longs([x[0] for x in found]), _longs([x[1] for x in found]), pa.array([x[2] for x in found], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), *ids], names=["leaf", "template", "words", "tokens", "lo", "hi", "times"])
+
+    picked = docs.select("doc_id", "text").mapInArrow(pick, "leaf long, template long, words int, tokens array<long>, lo long, hi long, times long")
+    return picked.join(leaves, "leaf", "left_semi").groupBy("leaf", "template", "words").agg(F.first("tokens").alias("tokens"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("times").alias("times"))
+
+
+def _enough(tokens: Column, s: TreeSettings) -> Column:
+    """Whether enough of a template is constant."""
+    constants = F.size(F.filter(tokens, lambda x: x != VARIABLE))
+    return (constants >= s.least_constant) & (constants >= s.constant * F.size(tokens))
+
+
+def _general(leaf: str, tokens: str) -> Column:
+    return F.xxhash64(leaf, tokens)
+
+
+def _learn_fields(templates: DataFrame, s: TreeSettings) -> DataFrame:
+    """template, words, lo, hi, times and general, the template with its fields learned, of each template of the leaves."""
+    spark = templates.sparkSession
+    places = templates.select("leaf", "template", F.posexplode("tokens").alias("place", "token"))
+    lonely = places.groupBy("leaf", "place", "token").agg(F.min("template").alias("template"), F.count("*").alias("n")).where(f"n = 1 and token <> {VARIABLE}")
+    lonely = lonely.groupBy("leaf", "template").agg(F.collect_set("place").alias("alone"))
+    masked = F.transform("tokens", lambda x, i: F.when(F.array_contains("alone", i), F.lit(VARIABLE).cast("long")).otherwise(x))
+    joined = templates.join(lonely, ["leaf", "template"], "left").withColumn("masked", F.when(F.col("alone").isNotNull(), masked))
+    joined = joined.withColumn("tokens", F.when(F.coalesce(_enough(F.col("masked"), s), F.lit(False)), F.col("masked")).otherwise(F.col("tokens")))
+    held = stage_table(spark, joined.select("leaf", "template", "words", "lo", "hi", "times", "tokens", _general("leaf", "tokens").alias("general")), "line-generals")
+    for _ in range(s.rounds):
+        generals = held.select("leaf", "general", "tokens").dropDuplicates(["general"])
+        several = generals.groupBy("leaf").count().where("count > 1").select("leaf")
+        generals = generals.join(several, "leaf", "left_semi")
+        # One number for all tokens in their places, from which one token's own can be taken out again.
+        whole = F.aggregate("tokens", F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("h")), lambda a, x: F.struct((a["i"] + 1).alias("i"), a["h"].bitwiseXOR(F.xxhash64(a["i"], x)).alias("h")), lambda a: a["h"])
+        others = generals.select("leaf", "general", whole.alias("whole"), F.posexplode("tokens").alias("place", "token")).where(F.col("token") != VARIABLE)
+        others = others.select("general", "place", F.xxhash64("leaf", "place", F.col("whole").bitwiseXOR(F.xxhash64("place", "token"))).alias("rest"))
+        alike = others.groupBy("rest").agg(F.count("*").alias("n")).where("n > 1")
+        best = others.join(alike, "rest").groupBy("general").agg(F.max(F.struct("n", (-F.col("place")).alias("minus"))).alias("best")).select("general", (-F.col("best.minus")).alias("field"))
+        field = F.transform("tokens", lambda x, i: F.when(i == F.col("field"), F.lit(VARIABLE).cast("long")).otherwise(x))
+        more = held.join(best, "general", "left").withColumn("masked", F.when(F.col("field").isNotNull(), field))
+        more = more.withColumn("tokens", F.when(F.coalesce(_enough(F.col("masked"), s), F.lit(False)), F.col("masked")).otherwise(F.col("tokens")))
+        after = stage_table(spark, more.select("leaf", "template", "words", "lo", "hi", "times", "tokens", _general("leaf", "tokens").alias("general")), "line-generals")
+        drop_tables(spark, held)
+        held = after
+    return held.drop("leaf", "tokens")
 
 
 def dropped_lines(docs: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame:
-    """doc_id and line (from 0) of the lines to drop, with their words, template and owner, the document that keeps it."""
+    """doc_id, text_key, line (from 0), words, template and owner (the document that keeps it) of the lines to drop.
+
+    ``text_key`` is the hash of the row's text, so rows that share a doc_id but
+    not a text lose their own lines only.
+    """
     s, spark = settings, docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    lines = stage_table(spark, _lines(docs, s.depth), "lines")
-    general = stage_table(spark, _generalised(docs, lines, s).dropDuplicates(["template"]), "general-templates")
-    lines = lines.join(general, "template", "left").select("doc_id", "line", "words", F.coalesce("general", "template").alias("template"))
-    lines = stage_table(spark, lines, "templates")
-    owned = lines.where(F.col("words") >= s.least_tokens).groupBy("template", "doc_id").agg(F.lit(1).alias("x")).groupBy("template").agg(F.count("*").alias("documents"), F.min("doc_id").alias("owner")).where(F.col("documents") >= s.documents)
-    again = stage_table(spark, lines.where(F.col("words") >= s.least_tokens).join(owned.select("template", "owner"), "template").where("doc_id <> owner"), "recurring")
-    if s.copy_overlap is None:
-        return again
-    totals = lines.groupBy("doc_id").agg(F.sum("words").alias("all_words"))
-    shares = again.groupBy("doc_id", "owner", "template").agg(F.max("words").alias("words")).groupBy("doc_id", "owner").agg(F.sum("words").alias("shared"))
-    shares = shares.join(totals, "doc_id").join(totals.select(F.col("doc_id").alias("owner"), F.col("all_words").alias("owner_words")), "owner")
-    copies = shares.where(F.col("shared") >= s.copy_overlap * (F.col("all_words") + F.col("owner_words") - F.col("shared"))).select("doc_id", "owner")
-    return again.join(copies, ["doc_id", "owner"], "left_anti")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+    lines = stage_table(spark, _lines(docs, s), "lines")
+    own = lines.where(F.col("words") > s.least_constant).select("leaf", "template", "words").distinct()
+    leaves = stage_table(spark, own.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf"), "leaves")
+    templates = stage_table(spark, _leaf_templates(docs, leaves, s), "leaf-templates")
+    learned = _learn_fields(templates, s)
+    groups = learned.groupBy("general").agg(F.min("lo").alias("owner"), F.max("hi").alias("last")).where("owner < last")
+    by_field = learned.join(groups, "general").select("template", "words", "owner", "times")
+    plain = lines.groupBy("template", "words").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("times")).where("owner < last")
+    plain = plain.drop("last").join(learned.select("template", "words"), ["template", "words"], "left_anti")
+    owned = stage_table(spark, plain.unionByName(by_field), "recurring")
+    drop_tables(spark, leaves, templates)
+    found = join_hot(lines.select("doc_id", "text_key", "line", "words", "template"), owned, ["template", "words"])
+    return found.where("doc_id <> owner").drop("times")
 
 
 def deduplicate_lines(docs: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame:
     """All columns with the text without recurring lines, and ``dedup``: n_lines, n_dropped and words_dropped.
 
-    Lines end at line feeds. Null texts stay null, blank lines and lines under
-    ``least_tokens`` stay. The document with the smallest doc_id keeps a
-    template, with all lines that have it; rows with one doc_id count as one
-    document. A column called dedup is replaced.
+    Lines end at line feeds; blank lines stay, and null texts stay null. Of a
+    line of any length, the document with the smallest doc_id keeps all that
+    have its template. Rows with one doc_id are one document and take no lines
+    from each other; rows without a doc_id stay whole. A column called dedup is
+    replaced. No rows give no rows.
     """
-    drops = dropped_lines(docs, settings).groupBy("doc_id").agg(F.collect_set("line").alias("gone"), F.sum("words").alias("gone_words"))
-    drops = drops.select(F.col("doc_id").alias("drop_id"), "gone", "gone_words")
-    lines = F.split(F.col("text").cast("string"), "\n", -1)
-    numbers = F.sequence(F.lit(0).cast("long"), F.size("parts").cast("long") - 1)
-    joined = docs.drop("dedup").join(drops, docs["doc_id"].cast("long") == F.col("drop_id"), "left").withColumn("parts", lines)
-    kept = F.transform(F.array_except(numbers, F.col("gone")), lambda i: F.element_at("parts", (i + 1).cast("int")))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    dedup = F.struct(F.coalesce(F.size("parts"), F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_dropped"), F.coalesce("gone_words", F.lit(0)).alias("words_dropped"))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns if c != "dedup"], dedup.alias("dedup"))
+    drops = dropped_lines(docs, settings).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("gone"), F.collect_set(F.struct("line", "words")).alias("sizes"))
+    drops = drops.select(F.col("doc_id").alias("_drop_id"), F.col("text_key").alias("_drop_key"), F.col("gone").alias("_gone"), F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("_gone_words"))
+    text = F.col("text").cast("string")
+    numbers = F.sequence(F.lit(0), F.size("_parts") - 1)
+    joined = docs.drop("dedup", "_parts").join(drops, (docs["doc_id"].cast("long") == F.col("_drop_id")) & (F.xxhash64(text) == F.col("_drop_key")), "left").withColumn("_parts", F.split(text, "\n", -1))
+    kept = F.transform(F.array_except(numbers, F.col("_gone")), lambda i: F.element_at("_parts", i + 1))
+    left = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    dedup = F.struct(F.coalesce(F.size("_parts"), F.lit(0)).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_dropped"), F.coalesce("_gone_words", F.lit(0)).alias("words_dropped"))
+    return joined.select(*[left.alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in ("dedup", "_parts")], dedup.alias("dedup"))

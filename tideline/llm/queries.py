@@ -9,13 +9,13 @@ from tideline.llm import langid, pii, quality, toxicity, warc
 from tideline.llm.common import fold, in_sample, sample_share, table
 from tideline.llm.decontamination import mark_leaks
 from tideline.llm.jaccard_join import near_duplicates
-from tideline.llm.line_dedup import EVERY_LINE, deduplicate_lines
+from tideline.llm.line_dedup import deduplicate_lines
 from tideline.llm.packing import pack
 from tideline.llm.rollups import maintain_counts
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = deduplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), EVERY_LINE)
+    done = deduplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "dedup.n_lines", "dedup.n_dropped", "dedup.words_dropped", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
@@ -54,8 +54,8 @@ def _of_kind(kind: str):
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(table(spark, sf_dir, "pages"))
-    places = warc.locate_records(archives)
-    return warc.with_payload_bytes(warc.read_records(places)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = warc.read_records(warc.locate_records(archives), archives)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import shared_path, stage_table
+from tideline.llm.common import join_hot, shared_path, stage_table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 # Fixed values of the ZIP format: signatures of its records, and the marker of a value kept in the ZIP64 field.
@@ -49,12 +49,12 @@ def record_id(page_id: int) -> str:
 
 
 def warc_record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record; a revisit carries its HTTP head and the full payload's digest, and names the response."""
+    """One record; a revisit carries its HTTP head and the full payload's digest and length, and names the response."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = head if refers_to is not None else head + payload
     fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Target-URI", " ".join((url or "").split()) or f"page:{page_id}"), ("X-Page-ID", str(page_id)), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if refers_to is not None:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page", str(refers_to))]
+        fields += [("X-Payload-Length", str(len(payload))), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page", str(refers_to))]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -68,7 +68,7 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 class ArchiveWriter:
-    """Collects records in a spool and writes one ZIP; a retried task replaces the same file as a whole."""
+    """Collects compressed records in memory, up to an archive's size, and writes one ZIP; a retried task replaces the same file as a whole."""
 
     def __init__(self, level: int = 1):
         self.data, self.lines, self.level = io.BytesIO(), [], level
@@ -78,7 +78,7 @@ class ArchiveWriter:
         self.data.write(gzip.compress(record, self.level, mtime=0))
         self.lines.append(json.dumps({"page_id": page_id, "offset": begin, "length": self.data.tell() - begin}))
 
-    def close(self, url: str) -> tuple[str, int]:
+    def close(self, url: str) -> tuple[str, int, int]:
         store, path = open_store(url)
         store.create_dir(path.rpartition("/")[0], recursive=True)
         draft = f"{path}.{uuid.uuid4().hex}.tmp"
@@ -87,7 +87,7 @@ class ArchiveWriter:
                 with z.open(zipfile.ZipInfo(name), "w", force_zip64=True) as member:
                     member.write(content)
         store.move(draft, path)
-        return url, len(self.lines)
+        return url, len(self.lines), self.data.tell()
 
 
 @dataclass(frozen=True)
@@ -151,23 +151,28 @@ def member_start(file, member: Member) -> int:
     return member.header + 30 + sum(struct.unpack("<HH", head[26:30]))
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: int = 48 << 20, least_revisit: int = 0) -> DataFrame:
-    """Write one WARC record for each page, and give the archives: url and records.
+def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: int = 32 << 20, least_revisit: int = 0) -> DataFrame:
+    """Write one WARC record for each page, and give the archives: url, records and bytes.
 
     Of pages with equal payloads of at least ``least_revisit`` bytes the one
     with the largest page_id is the response and others revisit it; smaller
-    payloads are always responses. Equal payloads are found by their digests,
-    of which each shuffle task sees one row for each of its inputs. A null html
-    is an empty payload; a null url is replaced by the page's id.
+    payloads are always responses. Rows that share a page_id are judged each by
+    its own payload; of equal rows that are the response each is one. Equal
+    payloads are found by their digests: the largest page_id of each is taken
+    before the shuffle too, and that of a payload that very many pages have is
+    broadcast to them. A null html is an empty payload;
+    a null url is replaced by the page's id. Payloads may be of any length;
+    other columns are ignored, and no pages give no archives.
     """
     spark = pages.sparkSession
     folder = folder or shared_path(spark, "archives")
     pages = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     pages = pages.withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
-    large = F.octet_length("html") >= least_revisit
-    kept = pages.where(large).groupBy("sha1").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select(F.col("sha1").alias("kept_sha1"), "first_id")
-    marked = pages.select("page_id", "sha1").where(large).join(kept, F.col("sha1") == F.col("kept_sha1")).where("page_id <> first_id").select(F.col("page_id").alias("again_id"), "first_id").dropDuplicates(["again_id"])
-    known = pages.join(marked, F.col("page_id") == F.col("again_id"), "left").select("page_id", "url", "html", F.col("first_id").alias("refers_to"))
+    digests = pages.where(F.octet_length("html") >= least_revisit).select("page_id", "sha1")
+    kept = digests.groupBy("sha1").agg(F.max("page_id").alias("first_id"), F.min("page_id").alias("least_id"), F.count("*").alias("times"))
+    kept = stage_table(spark, kept.where("least_id < first_id").drop("least_id"), "payloads")
+    again = join_hot(digests, kept, ["sha1"]).where("page_id < first_id").select(F.col("page_id").alias("again_id"), F.col("sha1").alias("again_sha1"), "first_id").distinct()
+    known = pages.join(again, (F.col("page_id") == F.col("again_id")) & (F.col("sha1") == F.col("again_sha1")), "left").select("page_id", "url", "html", F.col("first_id").alias("refers_to"))
 
     def write(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -182,9 +187,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
                     number, writer = number + 1, ArchiveWriter()
         if writer.lines:
             done.append(writer.close(f"{folder}/part-{part:06d}-{number:04d}.wacz"))
-        yield pd.DataFrame(done, columns=["url", "records"])
+        yield pd.DataFrame(done, columns=["url", "records", "bytes"])
 
-    return stage_table(spark, known.mapInPandas(write, "url string, records long"), "archive-list")
+    return stage_table(spark, known.mapInPandas(write, "url string, records long, bytes long"), "archive-list")
 
 
 def locate_records(archives: DataFrame) -> DataFrame:
@@ -205,15 +210,19 @@ def locate_records(archives: DataFrame) -> DataFrame:
     return archives.select("url").mapInPandas(locate, "url string, page_id long, start long, length long")
 
 
-RECORDS = "page_id long, target string, record_type string, payload_digest string, refers_to long, payload binary"
+RECORDS = "page_id long, target string, record_type string, payload_digest string, refers_to long, payload_bytes long, payload binary"
 
 
-def read_records(places: DataFrame, run_bytes: int = 4 << 20) -> DataFrame:
-    """Range-read records: page_id, target, record_type, payload_digest, refers_to and payload (null for revisits).
+def read_records(places: DataFrame, archives: DataFrame, run_bytes: int = 1 << 20, task_bytes: int = 128 << 20) -> DataFrame:
+    """Range-read records: page_id, target, record_type, payload_digest, refers_to, payload_bytes and payload (null for revisits).
 
-    Records that lie side by side in a file are fetched in runs of up to
-    ``run_bytes``. A response whose payload doesn't fit its digest is an error.
+    Places are dealt out by stretches of their file, to as many tasks as the
+    archives' bytes need at ``task_bytes`` each and Spark runs at once. Records that lie side by side
+    in a file are fetched in runs of up to ``run_bytes``. The size of a
+    revisit's full payload is the one that its record states, or null. A
+    response whose payload doesn't fit its digest is an error.
     """
+    total = archives.agg(F.sum("bytes")).first()[0] or 0
 
     def read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -230,24 +239,18 @@ def read_records(places: DataFrame, run_bytes: int = 4 << 20) -> DataFrame:
                         digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
                         if kind == "response" and base32_sha1(payload) != digest:
                             raise ValueError(f"{url}: the payload at {start} doesn't fit its digest")
-                        again = fields.get("X-Refers-To-Page")
-                        rows.append((int(fields["X-Page-ID"]), fields["WARC-Target-URI"], kind, digest, int(again) if again else None, None if kind == "revisit" else payload))
+                        again, stated = fields.get("X-Refers-To-Page"), fields.get("X-Payload-Length")
+                        full = len(payload) if kind == "response" else int(stated) if stated else None
+                        rows.append((int(fields["X-Page-ID"]), fields["WARC-Target-URI"], kind, digest, int(again) if again else None, full, None if kind == "revisit" else payload))
                         if len(rows) >= 500:
                             yield _frame(rows)
                             rows = []
                 yield _frame(rows)
 
-    dealt = places.repartition("url", F.floor(F.col("start") / (16 * run_bytes)))
+    dealt = places.repartition(max(places.sparkSession.sparkContext.defaultParallelism, total // task_bytes), "url", F.floor(F.col("start") / run_bytes))
     return dealt.mapInPandas(read, RECORDS)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["page_id", "target", "record_type", "payload_digest", "refers_to", "payload"])
-    return out.astype({"refers_to": "Int64"})
-
-
-def with_payload_bytes(records: DataFrame) -> DataFrame:
-    """All records without payloads but with the full payload's size, which a revisit takes from its response."""
-    sized = records.withColumn("own_bytes", F.octet_length("payload").cast("long")).drop("payload")
-    full = sized.where("record_type = 'response'").select(F.col("page_id").alias("response_id"), F.col("own_bytes").alias("response_bytes")).dropDuplicates(["response_id"])
-    return sized.join(full, F.col("refers_to") == F.col("response_id"), "left").withColumn("payload_bytes", F.coalesce("own_bytes", "response_bytes")).drop("own_bytes", "response_id", "response_bytes")
+    out = pd.DataFrame(rows, columns=["page_id", "target", "record_type", "payload_digest", "refers_to", "payload_bytes", "payload"])
+    return out.astype({"refers_to": "Int64", "payload_bytes": "Int64"})
