@@ -354,7 +354,7 @@ def test_misspellings_raise_and_quotes_lower_the_score_after_learning(spark):
         w, term = words(rng, 30).split(), rng.choice(["blockhead", "nitwit", "dimwitted"])
         if i % 4 == 0:
             w[10:10] = [term, "you", term]
-        elif i % 4 == 1 and i % 3 == 0:
+        elif i % 60 == 5:
             w[10:10] = ["they", "wrote", f'"{term}"', "in", "the", "report"]
         texts[i] = " ".join(w)
         labels.append((i, 1, int(i % 4 == 0)))
