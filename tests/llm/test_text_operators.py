@@ -175,6 +175,47 @@ def test_bin_completion_is_optimal_on_small_cases(seed):
     assert packing.lower_bound(np.bincount(lengths, minlength=31), 30) <= sum(n for _, n in plan)
 
 
+def test_branching_beats_best_fit():
+    """Best fit takes four sequences here, and dominated fillings are left out."""
+    lengths = [44, 24, 24, 22, 21, 17, 8, 8, 6, 6]
+    assert sum(n for _, n in packing.complete_bins(Counter(lengths), 60)) == 3
+    assert packing.dominates((8, 8), (8, 6)) and packing.dominates((9, 5), (5, 4, 4)) and not packing.dominates((9, 5), (7, 7))
+    counts = np.bincount(lengths, minlength=61)
+    ways = packing.fillings(counts, 16)
+    assert all(not packing.dominates(a, b) for a in ways for b in ways if a != b)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_random_packings_come_near_the_bound(seed):
+    rng = random.Random(100 + seed)
+    lengths = Counter(rng.randrange(1, 1025) for _ in range(3000))
+    plan = packing.complete_bins(lengths, 1024)
+    used = Counter()
+    for filling, times in plan:
+        assert sum(filling) <= 1024
+        for x in filling:
+            used[x] += times
+    assert used == lengths
+    assert sum(n for _, n in plan) <= 1.01 * packing.lower_bound(np.array([lengths[i] for i in range(1025)]), 1024) + 1
+
+
+def test_repeated_rows_count_once_and_compaction_changes_nothing(spark, plain_tokenizer):
+    line = "same line\nsame line\nother line"
+    df = spark.createDataFrame([(1, line, "en", "s"), (1, line, "en", "s"), (2, "a b c", "en", "s"), (1, "a b c", "de", "t"), (3, None, None, None), (3, None, None, None)], "doc_id long, text string, lang string, source string")
+    store = rollups.maintain_counts(df)
+    count = lambda t: len(plain_tokenizer.encode(t, add_special_tokens=False).ids)
+    want = {("s", "en"): (1, count("same line\nother line")), ("t", "de"): (1, count("a b c")), (None, None): (2, 0)}
+    totals = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in store.totals().collect()}
+    assert totals == want
+    store.compact()
+    assert {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in store.totals().collect()} == want
+    assert rollups.maintain_counts(df.limit(0), store=store) is store and not store.commit("1-insert", df)
+    more = spark.createDataFrame([("t", "de", "byte_bpe_50k", -1, -count("a b c"))], "source string, lang string, tokenizer string, docs int, tokens long")
+    assert store.commit("4-delete", more)
+    store.compact()
+    assert {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in store.totals().collect()} == {**want, ("t", "de"): (0, 0)}
+
+
 def test_rollups_are_signed_and_idempotent(spark, plain_tokenizer):
     rng = random.Random(3)
     a, b = words(rng, 30), "same line\nsame line\nother line"

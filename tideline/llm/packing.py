@@ -10,6 +10,7 @@ rank. No piece ever reaches the driver.
 
 from __future__ import annotations
 
+import logging
 import math
 import zlib
 from collections import Counter
@@ -56,12 +57,40 @@ def cut_into_pieces(docs: DataFrame, path: str | None = None, capacity: int = 10
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
+def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether b's pieces fit into a's, several into one: then wherever b is used a can be, and b's pieces take a's places.
+
+    Both are in descending order.
+    """
+    if sum(b) > sum(a) or (b and b[0] > a[0]):
+        return False
+    left = list(a)
+
+    def place(i: int) -> bool:
+        if i == len(b):
+            return True
+        tried = set()
+        for k, room in enumerate(left):
+            if room >= b[i] and room not in tried:
+                tried.add(room)
+                left[k] -= b[i]
+                if place(i + 1):
+                    return True
+                left[k] += b[i]
+        return False
+
+    return place(0)
+
+
 def fillings(counts: np.ndarray, room: int, width: int = 24) -> list[tuple[int, ...]]:
     """Undominated ways to fill ``room`` from the lengths that are left, least waste first.
 
-    A filling of one length that leaves no waste dominates all others. Sets of
-    up to three lengths are tried; the last of a set is always the largest that
-    fits, since a smaller one is dominated. The first answer is best fit's.
+    A filling of one length that leaves no waste dominates all others. Else the
+    ``width`` largest lengths are tried as the first of a filling and, for each,
+    the ``width`` largest that still fit as the second; what is left is filled
+    by the largest that fits, since a smaller one is dominated. Fillings whose
+    pieces fit into those of another are dropped. The first answer is best
+    fit's.
     """
     present = np.flatnonzero(counts[: room + 1])
     present = present[present > 0]
@@ -94,7 +123,11 @@ def fillings(counts: np.ndarray, room: int, width: int = 24) -> list[tuple[int,
                     found.add(tuple(sorted(greedy((a, b)), reverse=True)))
         if any(sum(x) == room for x in found):
             break
-    return sorted(found, key=lambda x: (-sum(x), len(x), tuple(-y for y in x)))
+    kept: list[tuple[int, ...]] = []
+    for x in sorted(found, key=lambda x: (-sum(x), len(x), tuple(-y for y in x))):
+        if not any(dominates(y, x) for y in kept):
+            kept.append(x)
+    return kept
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -111,13 +144,16 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def complete_bins(histogram: dict[int, int], capacity: int = 1024, nodes: int = 4000) -> Plan:
+def complete_bins(histogram: dict[int, int], capacity: int = 1024, nodes: int = 4000, width: int = 24) -> Plan:
     """Branch and bound over fillings around the largest length left.
 
     A filling is repeated as often as the counts allow, so a plan has a few
     entries for each length at most. Waste beyond what the incumbent's count of
     sequences allows prunes a branch; the incumbent begins as best fit's plan.
-    The search ends at the lower bound or after ``nodes`` fillings.
+    The search ends at the lower bound, when no branch is left, or after
+    ``nodes`` fillings; in the last case a warning is logged, with the bound.
+    ``nodes`` and ``width`` (see fillings) bound the driver's time, never what
+    is packed.
     """
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
@@ -134,7 +170,7 @@ def complete_bins(histogram: dict[int, int], capacity: int = 1024, nodes: int =
     def options(counts: np.ndarray) -> list[tuple[int, ...]]:
         largest = int(np.flatnonzero(counts)[-1])
         counts[largest] -= 1
-        out = fillings(counts, capacity - largest)
+        out = fillings(counts, capacity - largest, width)
         counts[largest] += 1
         return out
 
@@ -145,7 +181,10 @@ def complete_bins(histogram: dict[int, int], capacity: int = 1024, nodes: int =
     while stack:
         counts, ways, at, waste = stack.pop()
         del plan[len(stack) :]
-        if at >= len(ways) or (best and seen >= nodes):
+        if best and seen >= nodes:
+            logging.getLogger(__name__).warning("the search ended after %d fillings with %d sequences; %d are the least that could do", seen, best_bins, bound)
+            break
+        if at >= len(ways):
             continue
         stack.append((counts, ways, at + 1, waste))
         filling, times = used(counts, ways, at)
@@ -201,13 +240,16 @@ def assign(pieces: DataFrame, plan: Plan, rows: int) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_id: int = 2, nodes: int = 4000) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_id: int = 2, nodes: int = 4000, width: int = 24) -> DataFrame:
     """Pack whole documents into sequences of at most ``capacity`` tokens.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id and offset. No
     documents give no rows. Ties between equal pieces go by doc_id and piece.
+    Whole texts are packed, however long; a null text counts as empty, repeated
+    rows are packed as often as they come, and other columns are ignored.
+    ``nodes`` and ``width`` are complete_bins'.
     """
     spark: SparkSession = docs.sparkSession
     pieces = stage_table(spark, cut_into_pieces(docs, path, capacity, end_id), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
-    return assign(pieces, complete_bins(histogram, capacity, nodes), sum(histogram.values()))
+    return assign(pieces, complete_bins(histogram, capacity, nodes, width), sum(histogram.values()))
