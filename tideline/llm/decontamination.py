@@ -29,7 +29,7 @@ UNITS = frozenset("mm cm m km in ft yd mi inch inches foot feet yard yards mile
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?$")
 MEASURED = re.compile(r"([+-]?\d[\d.,]*)([a-z]+)$")
 EDGES = "\"'“”‘’«»()[]{}<>.,;:!?*_-–—…`"
-ENDS, STOPS = ".!?", ".!?,;:"
+ENDS, STOPS = ".!?:", ".!?,;:"
 LITERAL, NUM, NAME, MEASURE = 0, 1, 2, 3
 CAPITAL, ENDING, STOP, UNIT = 4, 8, 16, 32
 FLAGS = np.uint64(63)
@@ -42,10 +42,11 @@ class LeakRule:
     """When a document holds an item.
 
     ``window``: template tokens of a window. ``literals``: how many of them
-    must be plain words. ``windows``: matched windows that make a leak, or
-    ``coverage`` of the item's. ``least``: an item of fewer tokens matches
-    nothing, as it can't be told from chance. ``common``: windows that more
-    template classes than this have are looked up for candidates only.
+    must be plain words. A document holds an item if it matches ``windows`` of
+    the item's windows that at most ``common`` template classes have (so not a
+    phrase that all questions begin with), or ``coverage`` of all of them.
+    ``least``: an item of fewer tokens matches nothing, as it can't be told
+    from chance.
     """
 
     window: int = 8
@@ -90,14 +91,14 @@ class Canonical:
         return " ".join(self.tokens[self.begins[i] : self.begins[i + 1]]).strip(EDGES).lower()
 
 
-def canonical(text: str | None, known: Callable[[str], int] = describe, cased: bool = True) -> Canonical:
+def canonical(text: str | None, known: Callable[[str], int] = describe, cased: bool = True, begun: bool = True) -> Canonical:
     """A text in template form.
 
     A capitalised word (not one in capitals throughout) is a name unless it
     begins the text or a sentence; a unit is part of a measure behind a number
     or in one token with it. Neighbouring names are one placeholder, and so are
     neighbouring numbers with their units, unless a mark stands between them.
-    Without ``cased`` names are plain words, as they are in texts that are in
+    Without ``begun`` the text does not begin a sentence. Without ``cased`` names are plain words, as they are in texts that are in
     small letters or capitals throughout.
     """
     tokens = (text or "").split()
@@ -109,7 +110,7 @@ def canonical(text: str | None, known: Callable[[str], int] = describe, cased: b
     behind = np.append(False, kinds[:-1] == NUM)
     kinds = np.where((flags & UNIT > 0) & behind & (kinds == LITERAL), MEASURE, kinds)
     if cased:
-        begins = np.append(True, flags[:-1] & ENDING > 0)
+        begins = np.append(begun, flags[:-1] & ENDING > 0)
         kinds = np.where((kinds == LITERAL) & (flags & CAPITAL > 0) & ~begins, NAME, kinds)
     family = np.where(kinds == MEASURE, NUM, kinds)
     joined = np.append(False, (family[1:] == family[:-1]) & (family[1:] > 0) & (flags[:-1] & STOP == 0))
@@ -162,6 +163,17 @@ def item_windows(text: Canonical, rule: LeakRule) -> tuple[Key, np.ndarray, np.n
     return key, *windows(text, key)
 
 
+def item_forms(text: str | None, rule: LeakRule) -> list[tuple[Canonical, Key, np.ndarray, np.ndarray]]:
+    """An item as it stands and as it is in other case; and if it is one window as a whole, as it is inside a sentence too."""
+    out = []
+    for cased, begun in ((True, True), (False, True), (True, False)):
+        form = canonical(text, cased=cased, begun=begun)
+        key, places, hashes = item_windows(form, rule)
+        if begun or key != (rule.window, TEMPLATE):
+            out.append((form, key, places, hashes))
+    return out
+
+
 def _item_rows(benchmark: DataFrame, rule: LeakRule) -> DataFrame:
     """item_id, class, width, form, place, h and slots of each item's windows; slots are numbered by their value's first place in the item."""
     schema = "item_id long, class long, width int, form int, place long, h long, slots array<int>"
@@ -170,9 +182,7 @@ def _item_rows(benchmark: DataFrame, rule: LeakRule) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for cased in (True, False):
-                    form = canonical(text.as_py(), cased=cased)
-                    key, places, hashes = item_windows(form, rule)
+                for form, key, places, hashes in item_forms(text.as_py(), rule):
                     values: dict[str, int] = {}
                     slots = [values.setdefault(form.slot(i), i) if form.kinds[i] else -1 for i in range(len(form.codes))] if key[1] == TEMPLATE else []
                     codes = form.codes if key[1] == TEMPLATE else form.hashes
@@ -216,14 +226,14 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule) -> tuple[DataF
     items = rows.groupBy("class", "place", "h").agg(F.first("slots").alias("item_slots")).withColumnRenamed("place", "item_place")
     times = items.groupBy("h").agg(F.countDistinct("class").alias("classes"))
     in_class = Window.partitionBy("class")  # no longer than one item
-    need = F.least(F.lit(rule.windows), F.ceil(rule.coverage * F.col("item_windows")))
+    need = F.ceil(rule.coverage * F.col("item_windows"))
     items = items.join(times, "h").withColumn("item_windows", F.count("*").over(in_class)).withColumn("nth", F.row_number().over(in_class.orderBy("classes", "h", "item_place")))
-    # Of its windows a leak has at least ``need``, so it has one of the others' number and one more, the least common first.
+    # Of its windows a leak by coverage has at least ``need``, so it has one of the others' number and one more, the least common first.
     items = stage_table(spark, items.withColumn("telling", F.col("nth") <= F.col("item_windows") - need + 1).drop("nth"), "benchmark-classes")
     keys = sorted((r["width"], r["form"]) for r in rows.select("width", "form").distinct().collect())
     bits = spark.sparkContext.broadcast(hash_bitmap(items, "h", BITS))
     hits = stage_table(spark, _hits(docs, rule, keys, bits), "benchmark-hits")
-    own = ["doc_id", "place", "slots", "class", "item_place", "item_slots", "item_windows"]
+    own = ["doc_id", "place", "slots", "class", "item_place", "item_slots", "item_windows", "classes"]
     met = hits.join(items.where(F.col("classes") <= rule.common), "h").select(own)
     widespread = items.where(F.col("classes") > rule.common)
     if widespread.head(1):  # only for documents that hold another telling window of the class
@@ -231,12 +241,13 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule) -> tuple[DataF
         spread = hits.join(widespread.select("h").distinct(), "h", "left_semi")
         met = met.unionByName(spread.join(likely, "doc_id").join(widespread, ["class", "h"]).select(own))
     slots = F.arrays_zip(F.col("item_slots").alias("was"), F.col("slots").alias("now"))
-    met = met.select("doc_id", "class", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", "item_windows", slots.alias("slots"))
+    met = met.select("doc_id", "class", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", "item_windows", (F.col("classes") <= rule.common).alias("own"), slots.alias("slots"))
     # One shift of one class in one document is one occurrence, so a group is no larger than the item.
-    runs = met.groupBy("doc_id", "class", "shift").agg(F.countDistinct("item_place").alias("matched"), F.first("item_windows").alias("item_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    runs = met.groupBy("doc_id", "class", "shift").agg(F.countDistinct("item_place").alias("matched"), F.countDistinct(F.when(F.col("own"), F.col("item_place"))).alias("matched_own"), F.first("item_windows").alias("item_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     agree = F.size(F.array_distinct(F.transform("slots", lambda x: x["was"]))) == F.size("slots")
-    best = runs.where(agree).groupBy("doc_id", "class").agg(F.max("matched").alias("matched"), F.first("item_windows").alias("item_windows"), F.max_by("slots", F.struct("matched", "shift")).alias("slots"))
-    return best.where((F.col("matched") >= rule.windows) | (F.col("matched") >= rule.coverage * F.col("item_windows"))), members
+    held = (F.col("matched_own") >= rule.windows) | (F.col("matched") >= rule.coverage * F.col("item_windows"))
+    best = runs.where(agree & held).groupBy("doc_id", "class").agg(F.max("matched").alias("matched"), F.first("item_windows").alias("item_windows"), F.max_by("slots", F.struct("matched", "shift")).alias("slots"))
+    return best, members
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule()) -> DataFrame:
