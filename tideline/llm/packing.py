@@ -149,7 +149,9 @@ def complete_bins(histogram: dict[int, int], capacity: int = 1024, nodes: int =
 
     A filling is repeated as often as the counts allow, so a plan has a few
     entries for each length at most. Waste beyond what the incumbent's count of
-    sequences allows prunes a branch; the incumbent begins as best fit's plan.
+    sequences allows prunes a branch. The first incumbent is the best of three
+    descents that always take the first filling: best fit's, and those that try
+    a third of ``width`` and all of it.
     The search ends at the lower bound, when no branch is left, or after
     ``nodes`` fillings; in the last case a warning is logged, with the bound.
     ``nodes`` and ``width`` (see fillings) bound the driver's time, never what
@@ -167,21 +169,36 @@ def complete_bins(histogram: dict[int, int], capacity: int = 1024, nodes: int =
         filling = (largest, *options[at])
         return filling, min(int(counts[x]) // m for x, m in Counter(filling).items())
 
-    def options(counts: np.ndarray) -> list[tuple[int, ...]]:
+    def options(counts: np.ndarray, width: int = width) -> list[tuple[int, ...]]:
         largest = int(np.flatnonzero(counts)[-1])
         counts[largest] -= 1
         out = fillings(counts, capacity - largest, width)
         counts[largest] += 1
         return out
 
-    best: Plan = []
-    best_bins = 1 << 62
+    def without(counts: np.ndarray, filling: tuple[int, ...], times: int) -> np.ndarray:
+        after = counts.copy()
+        for x, m in Counter(filling).items():
+            after[x] -= m * times
+        return after
+
+    def descent(width: int) -> Plan:
+        left, plan = counts, []
+        while left.any():
+            plan.append(used(left, options(left, width), 0))
+            left = without(left, *plan[-1])
+        return plan
+
+    best = min((descent(w) for w in sorted({1, max(1, width // 3), width})), key=lambda p: sum(n for _, n in p))
+    best_bins = sum(n for _, n in best)
+    if best_bins <= bound:
+        return best
     # Each level: the counts before it, its options, the next option, and the waste so far.
     stack, plan, seen = [(counts, options(counts), 0, 0)], [], 0
     while stack:
         counts, ways, at, waste = stack.pop()
         del plan[len(stack) :]
-        if best and seen >= nodes:
+        if seen >= nodes:
             logging.getLogger(__name__).warning("the search ended after %d fillings with %d sequences; %d are the least that could do", seen, best_bins, bound)
             break
         if at >= len(ways):
@@ -189,9 +206,7 @@ def complete_bins(histogram: dict[int, int], capacity: int = 1024, nodes: int =
         stack.append((counts, ways, at + 1, waste))
         filling, times = used(counts, ways, at)
         seen += 1
-        after = counts.copy()
-        for x, m in Counter(filling).items():
-            after[x] -= m * times
+        after = without(counts, filling, times)
         wasted = waste + (capacity - sum(filling)) * times
         plan.append((filling, times))
         if not after.any():
@@ -200,7 +215,7 @@ def complete_bins(histogram: dict[int, int], capacity: int = 1024, nodes: int =
                 best, best_bins = list(plan), bins
             if best_bins <= bound:
                 break
-        elif not best or wasted + total <= (best_bins - 1) * capacity:
+        elif wasted + total <= (best_bins - 1) * capacity:
             stack.append((after, options(after), 0, wasted))
     return best
 
