@@ -183,6 +183,13 @@ def leaks(texts, items, canonical, rule):
 
     found = defaultdict(set)
     forms, places = {i: parts(canonical(t)) for i, t in texts.items()}, {}
+    classes = defaultdict(set)
+    for text in items.values():
+        for cased in (True, False):
+            want, values = parts(canonical(text, cased=cased))
+            pattern = tuple(values.index(v) if v is not None else -1 for v in values)
+            for i in range(len(want) - rule.window + 1):
+                classes[tuple(want[i : i + rule.window])].add((tuple(want), pattern))
     for item, text in items.items():
         for cased in (True, False):
             form = canonical(text, cased=cased)
@@ -194,7 +201,6 @@ def leaks(texts, items, canonical, rule):
                 if sum(k == "word" for k, _ in want) < rule.literals:
                     raise NotImplementedError
                 width, starts = len(want), [0]
-            need = min(rule.windows, math.ceil(rule.coverage * len(starts)))
             for doc, (have, own) in forms.items():
                 if (doc, width) not in places:
                     places[doc, width] = defaultdict(list)
@@ -205,7 +211,8 @@ def leaks(texts, items, canonical, rule):
                     for at in places[doc, width].get(tuple(want[i : i + width]), ()):
                         by_shift[at - i].append(i)
                 for shift, hit in by_shift.items():
-                    if len(hit) >= need:
+                    own_windows = sum(len(classes[tuple(want[i : i + width])]) <= rule.common for i in hit)
+                    if own_windows >= rule.windows or len(hit) >= rule.coverage * len(starts):
                         pairs = {(values[i + k], own[i + shift + k]) for i in hit for k in range(width) if values[i + k] is not None}
                         if len({a for a, _ in pairs}) == len(pairs):
                             found[doc].add(item)

@@ -113,12 +113,13 @@ def learn_profiles(docs: DataFrame, length: int = 400, max_docs: int = 40_000) -
     return Profiles(languages, grams, ranks, length)
 
 
-def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """All columns, and a struct ``language`` of lang_pred, score and known.
+def identify(docs: DataFrame, profiles: Profiles, out: str = "language") -> DataFrame:
+    """All columns, and a struct ``out`` of lang_pred, score and known.
 
     A null text or one without a letter is ``und`` with score 0. A tie goes to
-    the language that comes first in the alphabet. A column called language is
-    replaced. No rows give no rows.
+    the language that comes first in the alphabet. A column of the struct's name
+    is replaced. Whole texts are read, however long; repeated rows give equal
+    answers, and no rows give none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
@@ -126,7 +127,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     def guess(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.identify(x) for x in texts], columns=["lang_pred", "score", "known"])
 
-    return docs.withColumn("language", guess(F.col("text").cast("string")))
+    return docs.withColumn(out, guess(F.col("text").cast("string")))
 
 
 def learning_rows(docs: DataFrame) -> DataFrame:
@@ -136,4 +137,4 @@ def learning_rows(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """The documents that are in a language that was learned: some letters, and some n-grams of its profile."""
-    return identify(docs, profiles).where("language.lang_pred <> 'und' and language.known > 0").drop("language")
+    return identify(docs, profiles, "_language").where("_language.lang_pred <> 'und' and _language.known > 0").select(docs.columns)

@@ -185,21 +185,22 @@ def dropped_lines(docs: DataFrame, settings: TreeSettings = TreeSettings()) -> D
     return found.where("doc_id <> owner").drop("times")
 
 
-def deduplicate_lines(docs: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame:
-    """All columns with the text without recurring lines, and ``dedup``: n_lines, n_dropped and words_dropped.
+def deduplicate_lines(docs: DataFrame, settings: TreeSettings = TreeSettings(), out: str = "dedup") -> DataFrame:
+    """All columns with the text without recurring lines, and a struct ``out``: n_lines, n_dropped and words_dropped.
 
     Lines end at line feeds; blank lines stay, and null texts stay null. Of a
     line of any length, the document with the smallest doc_id keeps all that
     have its template. Rows with one doc_id are one document and take no lines
-    from each other; rows without a doc_id stay whole. A column called dedup is
-    replaced. No rows give no rows.
+    from each other; rows without a doc_id stay whole. A column of the struct's
+    name is replaced. No rows give no rows.
     """
     drops = dropped_lines(docs, settings).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("gone"), F.collect_set(F.struct("line", "words")).alias("sizes"))
     drops = drops.select(F.col("doc_id").alias("_drop_id"), F.col("text_key").alias("_drop_key"), F.col("gone").alias("_gone"), F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("_gone_words"))
-    text = F.col("text").cast("string")
+    # The columns travel as one struct, so their names can't clash with those used here.
+    whole = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    joined = whole.join(drops, (F.col("_id") == F.col("_drop_id")) & (F.xxhash64("_text") == F.col("_drop_key")), "left").withColumn("_parts", F.split("_text", "\n", -1))
     numbers = F.sequence(F.lit(0), F.size("_parts") - 1)
-    joined = docs.drop("dedup", "_parts").join(drops, (docs["doc_id"].cast("long") == F.col("_drop_id")) & (F.xxhash64(text) == F.col("_drop_key")), "left").withColumn("_parts", F.split(text, "\n", -1))
     kept = F.transform(F.array_except(numbers, F.col("_gone")), lambda i: F.element_at("_parts", i + 1))
-    left = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    dedup = F.struct(F.coalesce(F.size("_parts"), F.lit(0)).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_dropped"), F.coalesce("_gone_words", F.lit(0)).alias("words_dropped"))
-    return joined.select(*[left.alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in ("dedup", "_parts")], dedup.alias("dedup"))
+    left = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(F.array_join(kept, "\n"))
+    counts = F.struct(F.coalesce(F.size("_parts"), F.lit(0)).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_dropped"), F.coalesce("_gone_words", F.lit(0)).alias("words_dropped"))
+    return joined.select(*(left.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns if c != out), counts.alias(out))

@@ -77,4 +77,22 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_toxicity, op4_ngram_jaccard_join, op5_pii, op6_warc, op7_language_id, op8_best_fit_packing, op9_token_counts, op10_benchmark_decontamination)}
-ORACLE: dict[str, str] = {}
+
+# DuckDB SQL for the same rows. The other queries learn, search or tokenise, and are tested against brute force.
+ORACLE: dict[str, str] = {
+    "op4_ngram_jaccard_join": r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM t),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ l AS (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
+ e AS (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
+ r AS (SELECT a AS doc_id, a AS node FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.node = e.a),
+ c AS (SELECT doc_id, min(node) AS least FROM r GROUP BY 1)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.least, t.doc_id) AS component_id FROM t LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages), k AS (SELECT h, max(page_id) AS top FROM p GROUP BY 1),
+ d AS (SELECT page_id, h, list_transform(range(8), lambda g: ('0x' || substr(s, CAST(5 * g + 1 AS INTEGER), 5))::BIGINT) AS v FROM p)
+SELECT page_id, strlen(h) AS payload_bytes, array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x >> b) & 31 AS INTEGER) + 1, 1)), '')), '') AS payload_digest,
+ CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM d JOIN k USING (h)""",
+}
