@@ -31,7 +31,9 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     Words are what stands between ASCII white space. A null text has none of
     anything. Three-word windows are compared as words, not by hashes; sorting
     a text's windows brings equal ones together, so a text of n words costs
-    about n log n steps and never n squared.
+    about n log n steps and never n squared. Repeated rows have equal statistics,
+    and no rows give none. Columns called base, stats, base_failed, rule or
+    kept are replaced, and _words, _text, _lines, _sorted and _twice dropped.
     """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     staged = docs.drop("base", "_words", "_text", "_lines", "_sorted").withColumn("_text", whole)
@@ -187,13 +189,15 @@ def learn_rules(stats: DataFrame, labels: DataFrame, max_rows: int = 50_000, bin
         rule = grow(rest)
         if not rule:
             break
-        prune = rest.where(~F.col("grow"))
+        # Every end of the rule is rated in one pass: on pruning rows to choose it, and on all rows to judge it.
         ends = [rule[:k] for k in range(1, len(rule) + 1)]
-        r = prune.agg(*(x for k, e in enumerate(ends) for x in (F.count_if(_all(e, F.col("stats")) & F.col("low")).alias(f"p{k}"), F.count_if(_all(e, F.col("stats")) & ~F.col("low")).alias(f"n{k}")))).first()
-        worth = [((r[f"p{k}"] - r[f"n{k}"]) / max(1, r[f"p{k}"] + r[f"n{k}"]), r[f"p{k}"], -k) for k in range(len(ends))]
-        rule = ends[-max(worth)[2]]
+        low, good, unseen = F.col("low"), ~F.col("low"), ~F.col("grow")
+        cells = {f"{side}{k}{part}": F.count_if(_all(e, F.col("stats")) & of & where) for k, e in enumerate(ends) for side, of in (("p", low), ("n", good)) for part, where in (("u", unseen), ("a", F.lit(True)))}
+        r = rest.agg(*(c.alias(name) for name, c in cells.items())).first()
+        worth = [((r[f"p{k}u"] - r[f"n{k}u"]) / max(1, r[f"p{k}u"] + r[f"n{k}u"]), r[f"p{k}u"], -k) for k in range(len(ends))]
+        chosen = -max(worth)[2]
+        rule, p, n = ends[chosen], r[f"p{chosen}a"], r[f"n{chosen}a"]
         hit = _all(rule, F.col("stats"))
-        p, n = (lambda x: (x["p"], x["n"]))(rest.agg(F.count_if(hit & F.col("low")).alias("p"), F.count_if(hit & ~F.col("low")).alias("n")).first())
         if p < max(3, kinds[True] // 200) or p / (p + n) < least_precision:
             break
         rules.append(rule)
