@@ -122,3 +122,96 @@ def test_knn_blocks_agree_with_one_product(spark):
     want = np.argsort(-s, axis=1)[:, :3]
     assert (got["neighbor_id"].to_numpy().reshape(50, 3) == want).all()
     assert isinstance(got, pd.DataFrame)
+
+
+def test_late_rows_are_dropped_by_the_stream(spark, tmp_path):
+    """Files come one by one; a row for a slot that the watermark has passed changes nothing, and open slots are not written."""
+    from datetime import datetime
+
+    from tideline.streaming import slots
+
+    def write(number, rows):
+        spark.createDataFrame([(1, datetime(2024, 1, 1, h, m), v) for h, m, v in rows], "entity_id long, ts timestamp, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{number}")
+
+    write(0, [(8, 1, 1.0), (8, 5, 3.0), (8, 20, 5.0)])
+    write(1, [(12, 0, 7.0)])
+    write(2, [(8, 2, 100.0), (12, 5, 9.0)])
+    for n in range(3):  # one stream over the folders in order
+        source = spark.readStream.schema("entity_id long, ts timestamp, value double").parquet(f"{tmp_path}/in/[0-{n}]")
+        slots.slot_rollup(source).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    got = sorted((r.slot.hour, r.slot.minute, r.level, r.amount, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(8, 0, 2.0, 4.0, 2), (8, 15, 5.0, 5.0, 1)]
+
+
+def test_exact_quantiles_and_running_sums(spark):
+    import random
+
+    import numpy as np
+
+    from tideline.operators import evaluation as E
+
+    rng = random.Random(2)
+    rows = [(g, rng.choice([0.5, rng.random(), round(rng.random(), 1)]), rng.randrange(2)) for g in ("a", "b") for _ in range(700)] + [("c", 0.25, 1)]
+    df = spark.createDataFrame(rows, "g string, p double, y int")
+    for r in E.exact_quantiles(df, ["g"], "p", [0.05, 0.5, 0.9], cuts=15).collect():
+        assert np.allclose(r.q, np.quantile([p for g, p, _ in rows if g == r.g], [0.05, 0.5, 0.9]))
+    whole = E.exact_quantiles(df, [], "p", [0.5]).first()
+    assert np.isclose(whole.q[0], np.quantile([p for _, p, _ in rows], 0.5))
+    for r in E.roc_auc(df, ["g"]).collect():
+        pos, neg = ([p for g, p, y in rows if g == r.g and y == k] for k in (1, 0))
+        assert np.isclose(r.auc, np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg]))
+
+
+def test_candidate_pools_keep_the_best(spark):
+    from tideline.operators import scenarios as C
+
+    t = spark.createDataFrame([(i, "s" if i < 9 else "r", f"k{i % 2}", i % 3 == 0, float(i % 7)) for i in range(12)], "template_id long, slot string, kind string, is_core boolean, score double")
+    pool = C.candidate_pool(t, spark.createDataFrame([("s", "k0"), ("r", "k1"), ("q", "none")], "slot string, kind string"), "slot", "kind", k=2, least_first=5, least_second=5).collect()
+    got = {(r.slot, r.tier, r.place): r.template_id for r in pool}
+    assert got == {("s", 1, 1): 6, ("s", 1, 2): 5, ("r", 2, 1): 5, ("r", 2, 2): 11, ("q", 3, 1): 6, ("q", 3, 2): 3}
+
+
+def test_calibration_and_ridge_equal_numpy(spark):
+    """Platt's scores are those of a logistic fit on the val rows' scores; isotonic ones rise; ridge has its closed form."""
+    import random
+
+    import numpy as np
+    from pyspark.ml.feature import VectorAssembler
+
+    from tideline.operators import models as M
+
+    rng = random.Random(4)
+    rows = [(i, "val" if i % 2 else "test", int(rng.random() < x), x) for i in range(400) for x in (rng.random(),)]
+    out = M.calibrate(spark.createDataFrame(rows, "id long, split string, y int, p double")).select("p", "platt", "isotonic").toPandas().sort_values("p")
+    x, y = (np.array([r[k] for r in rows if r[1] == "val"], float) for k in (3, 2))
+    w = np.zeros(2)
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-(w[0] + w[1] * x)))
+        a = np.stack([np.ones_like(x), x])
+        w += np.linalg.solve((a * (q * (1 - q))) @ a.T, a @ (y - q))
+    assert np.allclose(out.platt, 1 / (1 + np.exp(-(w[0] + w[1] * out.p))), atol=1e-3)
+    assert (np.diff(out.isotonic) >= -1e-9).all()
+    z = np.random.default_rng(1).normal(size=(60, 2))
+    t = z @ [2.0, -1.0] + 0.5
+    fit = M.regressors()["ridge"].setParams(featuresCol="f", standardization=False).fit(VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(spark.createDataFrame([(float(p), float(q), float(v)) for (p, q), v in zip(z, t)], "a double, b double, label double")))
+    c = z - z.mean(0)
+    assert np.allclose(fit.coefficients.toArray(), np.linalg.solve(c.T @ c / 60 + 0.1 * np.eye(2), c.T @ (t - t.mean()) / 60), atol=0.02)
+
+
+def test_backtest_chooses_on_validation_rows(spark):
+    from tideline.operators import models as M
+
+    rows = [(i, float(i % 2), float(i % 2) + 0.1 * (i % 7)) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, label double, x double")
+    out = M.rolling_backtest(df, "id", [(100, 140, 200), (140, 180, 240)], ["x"], kinds=("logistic",)).collect()
+    assert [(r.fold, r.model, r.tp + r.fp + r.tn + r.fn) for r in sorted(out, key=lambda r: r.fold)] == [(0, "logistic", 60), (1, "logistic", 60)]
+
+
+def test_fixed_scores_of_the_additive_rules(spark):
+    from tideline.functions import scalars as S
+
+    rows = [("Fried", "burger", 1, 0, 2, 950.0, 31.0, None), (None, "salad", 0, 1, 1, 400.0, None, 4.0), ("x", None, None, None, None, None, None, None)]
+    c = F.col
+    scores = S.additive_scores(c("prep"), c("kind"), c("desserts"), c("drinks"), c("n"))
+    got = spark.createDataFrame(rows, "prep string, kind string, desserts int, drinks int, n int, kcal double, protein double, fibre double").select(*(F.round(v, 6).alias(k) for k, v in scores.items()), S.density_style(c("kcal")).alias("d"), S.satiety_style(c("protein"), c("fibre")).alias("s"), S.coherence_score(c("n"), [c("desserts"), c("drinks")]).alias("h"))
+    assert [tuple(r) for r in got.collect()] == [(0.75, 0.15, 0.95, "high", "high", 0.8), (0.45, 0.65, 0.4, "light", "moderate", 0.8), (0.45, 0.4, 0.4, None, None, 0.5)]
