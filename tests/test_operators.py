@@ -172,7 +172,7 @@ def test_candidate_pools_keep_the_best(spark):
 
 
 def test_calibration_and_ridge_equal_numpy(spark):
-    """Platt's scores are those of a logistic fit on the val rows' scores; isotonic ones rise; ridge has its closed form."""
+    """Platt's scores are those of a logistic fit on the val rows' scores; isotonic ones rise; ridge has its closed form (Spark divides the penalty by the label's spread)."""
     import random
 
     import numpy as np
@@ -195,7 +195,7 @@ def test_calibration_and_ridge_equal_numpy(spark):
     t = z @ [2.0, -1.0] + 0.5
     fit = M.regressors()["ridge"].setParams(featuresCol="f", standardization=False).fit(VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(spark.createDataFrame([(float(p), float(q), float(v)) for (p, q), v in zip(z, t)], "a double, b double, label double")))
     c = z - z.mean(0)
-    assert np.allclose(fit.coefficients.toArray(), np.linalg.solve(c.T @ c / 60 + 0.1 * np.eye(2), c.T @ (t - t.mean()) / 60), atol=0.02)
+    assert np.allclose(fit.coefficients.toArray(), np.linalg.solve(c.T @ c / 60 + 0.1 / t.std(ddof=1) * np.eye(2), c.T @ (t - t.mean()) / 60), atol=0.02)
 
 
 def test_backtest_chooses_on_validation_rows(spark):
