@@ -42,12 +42,14 @@ def p16_eligible_filter(spark, d):
     return R.eligible(ev, ["value", "view"]).select("event_id", "user_id", "value", F.lit(True).alias("eligible"))
 
 
-@query("SELECT 'weather' AS feature_group, CAST(1 AS BIGINT) AS n_features, (SELECT count(*) FROM events) AS n_rows UNION ALL SELECT 'temporal', 2, (SELECT count(*) FROM events) UNION ALL SELECT 'other', 1, (SELECT count(*) FROM events)")
+@query("WITH t AS (SELECT CASE WHEN event_type = 'error' THEN NULL ELSE value END AS temp_mean, event_type FROM events) SELECT 'weather' AS feature_group, CAST(1 AS BIGINT) AS n_features, count(temp_mean) AS n_known, count(*) AS n_rows FROM t UNION ALL SELECT 'temporal', 2, 2 * count(*), count(*) FROM t UNION ALL SELECT 'other', 1, count(event_type), count(*) FROM t")
 def p18_feature_groups(spark, d):
-    ev = load(spark, d, "events").select(F.col("value").alias("temp_mean"), F.hour("ts").alias("hour_no"), F.weekday("ts").alias("weekday_no"), "event_type")
+    """Columns by what their names say, and how many known values each group has."""
+    ev = load(spark, d, "events").select(F.when(F.col("event_type") != "error", F.col("value")).alias("temp_mean"), F.hour("ts").alias("hour_no"), F.weekday("ts").alias("weekday_no"), "event_type")
     groups = R.group_features(ev.columns, {"weather": ["temp", "rain"], "temporal": ["hour", "weekday"]})
-    counted = F.explode(F.array(*(F.struct(F.lit(g).alias("feature_group"), F.lit(len(c)).cast("long").alias("n_features")) for g, c in groups.items()))).alias("g")
-    return ev.agg(F.count("*").alias("n_rows")).select(counted, "n_rows").select("g.*", "n_rows")
+    known = ev.agg(F.count("*").alias("n_rows"), *(F.count(c).alias(c) for c in ev.columns))
+    counted = F.inline(F.array(*(F.struct(F.lit(g).alias("feature_group"), F.lit(len(c)).cast("long").alias("n_features"), sum((F.col(x) for x in c[1:]), F.col(c[0])).alias("n_known")) for g, c in groups.items())))
+    return known.select(counted, "n_rows")
 
 
 @query("SELECT event_id, user_id AS entity_id, ts AS event_time, value AS src__value, props AS src__props, event_type AS src__event_type, user_id AS src__user_id, ts AS src__ts, event_id AS src__event_id FROM events WHERE ts IS NOT NULL")

@@ -19,10 +19,13 @@ def s04_s06_kv_entries(spark, d):
     return ev.select("event_id", m["user"].alias("k_user"), m["type"].alias("k_type"), m["set"].alias("k_set"), F.size(m).cast("long").alias("n_keys"))
 
 
-@query("SELECT event_id, CAST(user_id AS VARCHAR) AS a, event_type AS b, CAST(NULL AS VARCHAR) AS c FROM events")
+@query("SELECT event_id, CAST(user_id AS VARCHAR) AS a, event_type AS b, CASE WHEN event_id % 3 = 1 THEN 'v' || event_id % 5 END AS c, event_id % 3 > 0 AS names_c FROM events")
 def s05_zip_keys_values(spark, d):
-    m = X.zip_keys_values(F.lit("a,b,c"), F.concat_ws(",", F.col("user_id").cast("string"), F.col("event_type")))
-    return load(spark, d, "events").select("event_id", m["a"].alias("a"), m["b"].alias("b"), m["c"].alias("c"))
+    """Each row names its own keys; one that has no value is null, and one that is not named is missing."""
+    third = F.col("event_id") % 3
+    keys = F.concat_ws(",", F.lit("a"), F.lit(" b"), F.when(third > 0, "c"))
+    m = X.zip_keys_values(keys, F.concat_ws(",", F.col("user_id").cast("string"), F.col("event_type"), F.when(third == 1, F.concat(F.lit("v"), (F.col("event_id") % 5).cast("string")))))
+    return load(spark, d, "events").select("event_id", m["a"].alias("a"), m["b"].alias("b"), m["c"].alias("c"), F.map_contains_key(m, "c").alias("names_c"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS DOUBLE) / 1000 AS k_grams FROM events")
