@@ -149,7 +149,8 @@ def _learn_fields(templates: DataFrame, s: TreeSettings) -> DataFrame:
         generals = generals.join(several, "leaf", "left_semi")
         # One number for all tokens in their places, from which one token's own can be taken out again.
         whole = F.aggregate("tokens", F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("h")), lambda a, x: F.struct((a["i"] + 1).alias("i"), a["h"].bitwiseXOR(F.xxhash64(a["i"], x)).alias("h")), lambda a: a["h"])
-        others = generals.select("leaf", "general", whole.alias("whole"), F.posexplode("tokens").alias("place", "token")).where(F.col("token") != VARIABLE)
+        numbered = generals.withColumn("whole", whole)  # before the explosion, so once for each template
+        others = numbered.select("leaf", "general", "whole", F.posexplode("tokens").alias("place", "token")).where(F.col("token") != VARIABLE)
         others = others.select("general", "place", F.xxhash64("leaf", "place", F.col("whole").bitwiseXOR(F.xxhash64("place", "token"))).alias("rest"))
         alike = others.groupBy("rest").agg(F.count("*").alias("n")).where("n > 1")
         best = others.join(alike, "rest").groupBy("general").agg(F.max(F.struct("n", (-F.col("place")).alias("minus"))).alias("best")).select("general", (-F.col("best.minus")).alias("field"))
@@ -196,11 +197,11 @@ def deduplicate_lines(docs: DataFrame, settings: TreeSettings = TreeSettings(),
     """
     drops = dropped_lines(docs, settings).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("gone"), F.collect_set(F.struct("line", "words")).alias("sizes"))
     drops = drops.select(F.col("doc_id").alias("_drop_id"), F.col("text_key").alias("_drop_key"), F.col("gone").alias("_gone"), F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("_gone_words"))
-    # The columns travel as one struct, so their names can't clash with those used here.
-    whole = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    # The other columns travel as one struct, so their names can't clash with those used here.
+    whole = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
     joined = whole.join(drops, (F.col("_id") == F.col("_drop_id")) & (F.xxhash64("_text") == F.col("_drop_key")), "left").withColumn("_parts", F.split("_text", "\n", -1))
     numbers = F.sequence(F.lit(0), F.size("_parts") - 1)
     kept = F.transform(F.array_except(numbers, F.col("_gone")), lambda i: F.element_at("_parts", i + 1))
-    left = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(F.array_join(kept, "\n"))
+    left = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
     counts = F.struct(F.coalesce(F.size("_parts"), F.lit(0)).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_dropped"), F.coalesce("_gone_words", F.lit(0)).alias("words_dropped"))
     return joined.select(*(left.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns if c != out), counts.alias(out))
