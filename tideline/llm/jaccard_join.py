@@ -301,7 +301,7 @@ def _crossing(shared: DataFrame, of: DataFrame, percent: int) -> tuple[DataFrame
 
 
 def _in_blocks(wanted: DataFrame, node_docs: int, node_shingles: int) -> DataFrame:
-    """Rows of doc_id, n and cluster with their leaf node (block): by size, at most about so many documents and shingles.
+    """Staged rows of doc_id, n and cluster with their leaf node (block): by size, at most about so many documents and shingles.
 
     Only the sizes that a cluster has are put in order. Documents of one size
     are spread by a hash over as many stretches as their number asks for.
@@ -313,7 +313,9 @@ def _in_blocks(wanted: DataFrame, node_docs: int, node_shingles: int) -> DataFra
     sizes = stage_table(spark, sizes.select("cluster", "n", "times", earlier[0].alias("docs_before"), earlier[1].alias("shingles_before")), "cluster-blocks")
     nth = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.ceil(F.col("times") / part)) * part
     block = F.greatest(F.floor((F.col("docs_before") + nth) / node_docs), F.floor((F.col("shingles_before") + nth * F.col("n")) / node_shingles))
-    return join_hot(wanted, sizes, ["cluster", "n"]).select("doc_id", "n", "cluster", block.cast("long").alias("block"))
+    out = stage_table(spark, join_hot(wanted, sizes, ["cluster", "n"]).select("doc_id", "n", "cluster", block.cast("long").alias("block")), "blocks")
+    drop_tables(spark, sizes)
+    return out
 
 
 def similar_links(docs: DataFrame, width: int = 5, percent: int = 75, node_docs: int = 512, node_shingles: int = 400_000, jumps: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -346,7 +348,8 @@ def similar_links(docs: DataFrame, width: int = 5, percent: int = 75, node_docs:
     inside = spans.where("docs > 1").select(F.col("cluster").alias("cluster_a"), F.col("cluster").alias("cluster_b"))
     meeting = stage_table(spark, crossing.select("cluster_a", "cluster_b").unionByName(inside), "cluster-pairs")
     active = meeting.select(F.col("cluster_a").alias("cluster")).unionByName(meeting.select(F.col("cluster_b").alias("cluster"))).distinct()
-    blocked = stage_table(spark, _in_blocks(stage_table(spark, of.join(active, "cluster", "left_semi"), "met"), node_docs, node_shingles), "blocks")
+    wanted = stage_table(spark, of.join(active, "cluster", "left_semi"), "wanted")
+    blocked = _in_blocks(wanted, node_docs, node_shingles)
     sets = stage_table(spark, _sets(docs, blocked.select("doc_id"), width).drop("n").join(blocked, "doc_id"), "sets")
     totals = sets.groupBy("cluster", "block").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
     boxes = stage_table(spark, _boxes(sets).join(totals, ["cluster", "block"]), "boxes")
@@ -370,7 +373,7 @@ def similar_links(docs: DataFrame, width: int = 5, percent: int = 75, node_docs:
     right = guests.join(members, ["cluster", "block"]).select(F.col("host_cluster").alias("cluster"), F.col("host_block").alias("block"), "batch", F.lit(1).alias("side"), "doc_id", "shingles")
     links = _verify(left.unionByName(right), percent)
     links = stage_table(spark, links.unionByName(copied.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))), "linked")
-    drop_tables(spark, copies, copied, shared, of, *used, meeting, blocked, sets, boxes, pairs)
+    drop_tables(spark, copies, copied, shared, of, *used, meeting, wanted, blocked, sets, boxes, pairs)
     return facts.select("doc_id", "n"), links
 
 
