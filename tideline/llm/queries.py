@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import langid, pii, quality, toxicity, warc
+from tideline.llm.alignment import align_tokenizers, paths
 from tideline.llm.common import fold, in_sample, sample_share, table
 from tideline.llm.decontamination import mark_leaks
 from tideline.llm.jaccard_join import near_duplicates
 from tideline.llm.line_dedup import deduplicate_lines
+from tideline.llm.neighbours import nearest
 from tideline.llm.packing import pack
 from tideline.llm.rollups import maintain_counts
+from tideline.llm.spelling import group_variants
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +79,21 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return mark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_toxicity, op4_ngram_jaccard_join, op5_pii, op6_warc, op7_language_id, op8_best_fit_packing, op9_token_counts, op10_benchmark_decontamination)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the rows whose vec_id is divisible by 50, against all rows."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents").select("doc_id", "text"), *paths())
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_toxicity, op4_ngram_jaccard_join, op5_pii, op6_warc, op7_language_id, op8_best_fit_packing, op9_token_counts, op10_benchmark_decontamination, op11_spelling_variants, op12_nearest_neighbours, op13_tokenizer_alignment)}
 
 # DuckDB SQL for the same rows. The other queries learn, search or tokenise, and are tested against brute force.
 ORACLE: dict[str, str] = {
