@@ -1,17 +1,20 @@
 """Alignment of two tokenizers' ids over the same texts, with whitespace tokens as anchors.
 
-Both tokenizers encode the whole text after a space. Where a token of either
-ends and the next one of either begins with a space, the text is cut into
-windows of ids. Windows recur, so what a window gives (its groups, links and
-id pairs) is kept by its two tuples of ids.
+Both tokenizers encode the whole text after a space. Where tokens of both end
+and the next ones begin with a space, the text is cut into windows of ids.
+Windows recur, so what a window gives (its groups, links and id pairs) is kept
+by its two tuples of ids.
 """
 
 from __future__ import annotations
 
 import contextlib
+import gc
 import hashlib
 import os
 import re
+from array import array
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -24,10 +27,13 @@ from tideline.llm.tokens import CUT, LONGEST_CACHED, TOUCHING, SegmentEncoder
 
 SPACE_PIECE = "▁"
 WHOLE = re.compile(f"[\x00-\x08{SPACE_PIECE}]")  # texts whose pieces are not looked up by segment
-CACHE_BYTES, SEGMENT_BYTES, WINDOW_BYTES = 96 << 20, 420, 480
+CACHE_BYTES, SEGMENT_BYTES, WINDOW_BYTES = 96 << 20, 330, 400
 BATCH_BYTES = 1 << 19
 HOT_PAIRS = 1 << 17
 COUNTED = 1 << 21  # id pairs that are counted together before they leave a task
+LONG_WINDOW = 512  # bytes of ids; longer windows are not kept, and their links are counted, not listed
+Key = tuple[bytes, bytes]  # a window's ids of either tokenizer
+Window = tuple[str, int, int, int, int, bytes, bytes]  # shown, n_a, n_b, n_groups, n_links, pairs, times
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
@@ -69,8 +75,9 @@ class Aligner:
 
     Neither tokenizer has a token over a single space that stands between two
     other characters (of the pieces this is looked up), so segments from space
-    to space are encoded apart, and only once. Segments whose bytes the tokens
-    don't give back are marked, and so is a text that has one.
+    to space are encoded apart, and only once, and each is a window: both have
+    a shared end before it. Segments whose bytes the tokens don't give back are
+    marked, and a text that has one has no tokens.
     """
 
     def __init__(self, path_a: str, path_b: str):
@@ -82,123 +89,166 @@ class Aligner:
         vocabulary = self.a.tokenizer.get_vocab()
         self.bytes_a, self.bytes_b = byte_table(vocabulary, max(vocabulary.values()) + 1), piece_table(self.b)
         self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        self.lengths_a, self.lengths_b = self.length_a.tolist(), self.length_b.tolist()
+        self.shown = [f"{i}{end}" for table in (self.bytes_a, self.bytes_b) for end in (",", "|" if table is self.bytes_a else ";") for i in range(len(table))]
         self.marked_a, self.marked_b = (np.array([x[:1] == b" " for x in t]) for t in (self.bytes_a, self.bytes_b))
         self.radix = len(self.bytes_b)
         self.apart = not any(SPACE_PIECE in p[1:] and p.strip(SPACE_PIECE) for p in map(self.b.id_to_piece, range(self.radix)))
         self.forget()
 
     def forget(self) -> None:
-        self.segments: dict[str, tuple[bytes, bytes] | None] = {}
-        self.windows: dict[tuple[bytes, bytes], tuple[str, int, int, bytes, bytes]] = {}
+        self.segments: dict[str, Key | None] = {}
+        self.windows: dict[Key, Window] = {}
         self.room_segments = self.room_windows = CACHE_BYTES
 
-    def _verified(self, segment: str, a: bytes, b: list[int]) -> tuple[bytes, bytes] | None:
+    def _verified(self, segment: str, a: bytes, b: list[int]) -> Key | None:
         whole = segment.encode()
         if b"".join([self.bytes_b[i] for i in b]) != whole or b"".join([self.bytes_a[i] for i in np.frombuffer(a, self.a.dtype).tolist()]) != whole:
             return None
         return a, np.array(b, "<u4").tobytes()
 
-    def _learn(self, segments: set[str]) -> dict[str, tuple[bytes, bytes] | None]:
-        """Both tokenizers' ids of segments, each of which begins with a space; the pieces add that space themselves."""
-        coded = self.a.coded(segments)
-        names = list(coded)
-        return {x: self._verified(x, coded[x], b) for x, b in zip(names, self.b.encode([x[1:] for x in names], num_threads=1), strict=True)}
+    def _learn(self, segments: set[str]) -> dict[str, Key | None]:
+        """Both tokenizers' ids of segments, each of which begins with a space; the pieces add that space themselves.
 
-    def encode(self, text: str) -> tuple[bytes, bytes] | None:
-        """Ids of space and text by both, as bytes; None if there is no text or the tokens don't give its bytes back."""
-        if not text:
-            return None
-        if WHOLE.search(text) or not self.apart:
-            return self._verified(" " + text, self.a.ids(" " + text).tobytes(), self.b.encode(text))
-        if text[0] == " " or text[-1] == " " or TOUCHING.search(text):
-            segments = CUT.split(" " + text)
-        else:
-            segments = [" " + x for x in text.split(" ")] if not text[0].isspace() else CUT.split(" " + text)
+        Segments with no other space go through the pieces as one text, which
+        is cut again before its marked pieces. If its bytes are right as a
+        whole, so is each segment.
+        """
+        coded = self.a.coded(segments)
+        names = [x for x in coded if " " not in x[1:] and len(x) > 1]
+        b = np.array(self.b.encode(" ".join([x[1:] for x in names])), "<u4") if names else np.empty(0, "<u4")
+        begins = np.flatnonzero(self.marked_b[b])
+        whole = "".join(names).encode()
+        a = np.frombuffer(b"".join([coded[x] for x in names]), self.a.dtype)
+        found: dict[str, Key | None] = {}
+        if len(begins) == len(names) and b"".join([self.bytes_b[i] for i in b.tolist()]) == whole and b"".join([self.bytes_a[i] for i in a.tolist()]) == whole:
+            raw, at = b.tobytes(), [*(begins * 4).tolist(), 4 * len(b)]
+            found = {x: (coded[x], raw[i:j]) for x, i, j in zip(names, at, at[1:], strict=False)}
+        names = [x for x in coded if x not in found]
+        return found | {x: self._verified(x, coded[x], b) for x, b in zip(names, self.b.encode([x[1:] for x in names], num_threads=1), strict=True)}
+
+    def encode(self, texts: list[str | None]) -> list[list[Key] | None]:
+        """Windows of ids of a space and each text; None if there is no text or the tokens don't give its bytes back."""
+        cut: list[list[str]] = []
+        for text in texts:
+            if not text or WHOLE.search(text) or not self.apart:
+                cut.append([])
+            elif text[0].isspace() or text[-1] == " " or TOUCHING.search(text):
+                cut.append(CUT.split(" " + text))
+            else:
+                cut.append([" " + x for x in text.split(" ")])
         get = self.segments.get
-        found = [get(x, 0) for x in segments]
-        if 0 in found:
-            new = self._learn({x for x, y in zip(segments, found, strict=True) if y == 0})
-            found = [new[x] if y == 0 else y for x, y in zip(segments, found, strict=True)]
+        found = [[get(x, 0) for x in segments] for segments in cut]
+        missing = {x for segments, known in zip(cut, found, strict=True) if 0 in known for x, y in zip(segments, known, strict=True) if y == 0}
+        if missing:
+            new = self._learn(missing)
+            found = [[new[x] if y == 0 else y for x, y in zip(segments, known, strict=True)] if 0 in known else known for segments, known in zip(cut, found, strict=True)]
             short = {x: y for x, y in new.items() if len(x) <= LONGEST_CACHED}
             if self.room_segments <= 0:
                 self.segments.clear()
                 self.room_segments = CACHE_BYTES
             self.room_segments -= SEGMENT_BYTES * len(short)
             self.segments.update(short)
-        if None in found:
+        return [self._whole(text) if text and not known else None if not text or None in known else known for text, known in zip(texts, found, strict=True)]
+
+    def _whole(self, text: str) -> list[Key] | None:
+        """Windows of a text that is encoded as one: cut where both have a shared end before a token that begins with a space."""
+        coded = self._verified(" " + text, self.a.ids(" " + text).tobytes(), self.b.encode(text))
+        if coded is None:
             return None
-        return b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
+        a, b = np.frombuffer(coded[0], self.a.dtype), np.frombuffer(coded[1], "<u4")
+        begins_a, begins_b = np.cumsum(self.length_a[a]) - self.length_a[a], np.cumsum(self.length_b[b]) - self.length_b[b]
+        anchors = np.union1d([0], np.intersect1d(begins_a[self.marked_a[a]], begins_b[self.marked_b[b]]))
+        cuts_a = [*(np.searchsorted(begins_a, anchors) * self.a.dtype.itemsize).tolist(), len(coded[0])]
+        cuts_b = [*(np.searchsorted(begins_b, anchors) * 4).tolist(), len(coded[1])]
+        return [(coded[0][a0:a1], coded[1][b0:b1]) for a0, a1, b0, b1 in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:], strict=False)]
 
-    def window(self, key: tuple[bytes, bytes]) -> tuple[str, int, int, bytes, bytes]:
+    def window(self, key: Key) -> Window:
         """Of a window: its groups as text, their number, the number of links, and the distinct id pairs with how often they are linked."""
-        a, b = np.frombuffer(key[0], self.a.dtype).astype(np.int64), np.frombuffer(key[1], "<u4").astype(np.int64)
+        a, b = np.frombuffer(key[0], self.a.dtype).tolist(), np.frombuffer(key[1], "<u4").tolist()
+        texts, links, pairs = [], 0, {}
+        i = j = end_a = end_b = first_a = first_b = 0
+        while i < len(a):
+            end_a += self.lengths_a[a[i]]
+            i += 1
+            while j < len(b) and end_b < end_a:
+                end_b += self.lengths_b[b[j]]
+                j += 1
+            if end_a == end_b:
+                own_a, own_b = a[first_a:i], b[first_b:j]
+                first_a, first_b = i, j
+                texts.append(",".join(map(str, own_a)) + "|" + ",".join(map(str, own_b)))
+                links += len(own_a) * len(own_b)
+                times_b = Counter(own_b).items()
+                for x, n in Counter(own_a).items():
+                    for y, m in times_b:
+                        pair = x * self.radix + y
+                        pairs[pair] = pairs.get(pair, 0) + n * m
+        return ";".join(texts), len(a), len(b), len(texts), links, array("q", pairs).tobytes(), array("q", pairs.values()).tobytes()
+
+    def windows_of(self, keys: list[Key]) -> list[Window]:
+        """As window, of many at once; a window's pairs then stand there as often as they are linked, and it has no times."""
+        if not keys:
+            return []
+        a, b = np.frombuffer(b"".join([k[0] for k in keys]), self.a.dtype).astype(np.int64), np.frombuffer(b"".join([k[1] for k in keys]), "<u4").astype(np.int64)
+        last_a, last_b = np.cumsum([len(k[0]) // self.a.dtype.itemsize for k in keys]), np.cumsum([len(k[1]) // 4 for k in keys])
         ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
-        shared = np.intersect1d(ends_a, ends_b)
-        cuts_a, cuts_b = [0, *(np.searchsorted(ends_a, shared) + 1).tolist()], [0, *(np.searchsorted(ends_b, shared) + 1).tolist()]
-        texts, links, pairs, times = [], 0, [], []
-        for a0, a1, b0, b1 in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:], strict=False):
-            texts.append(",".join(map(str, a[a0:a1].tolist())) + "|" + ",".join(map(str, b[b0:b1].tolist())))
-            links += (a1 - a0) * (b1 - b0)
-            (u, n), (v, m) = np.unique(a[a0:a1], return_counts=True), np.unique(b[b0:b1], return_counts=True)
-            pairs.append((u[:, None] * self.radix + v[None, :]).ravel())
-            times.append((n[:, None] * m[None, :]).ravel())
-        pairs, times = summed(np.concatenate(pairs), np.concatenate(times))
-        return ";".join(texts), len(texts), links, pairs.tobytes(), times.tobytes()
+        shut_a, shut_b = ends_b[np.searchsorted(ends_b, ends_a)] == ends_a, ends_a[np.searchsorted(ends_a, ends_b)] == ends_b
+        group_a, group_b = np.cumsum(shut_a) - shut_a, np.cumsum(shut_b) - shut_b
+        size_a, size_b = np.bincount(group_a), np.bincount(group_b)
+        # Tokens in the order of the text: a group's of the first tokenizer, then its of the second.
+        order = np.empty(len(a) + len(b), np.int64)
+        before_b, after_a = np.cumsum(size_b) - size_b, np.cumsum(size_a)
+        order[np.arange(len(a)) + before_b[group_a]] = a + len(self.bytes_a) * shut_a
+        order[np.arange(len(b)) + after_a[group_b]] = b + self.radix * shut_b + 2 * len(self.bytes_a)
+        shown = list(map(self.shown.__getitem__, order.tolist()))
+        # Links: each token of the first tokenizer with those of the second in its group.
+        n = size_b[group_a]
+        at = np.repeat(before_b[group_a] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        raw = (np.repeat(a, n) * self.radix + b[at]).tobytes()
+        links, groups, tokens = [0, *np.cumsum(n)[last_a - 1].tolist()], [0, *(group_a[last_a - 1] + 1).tolist()], [0, *(last_a + last_b).tolist()]
+        wide = self.a.dtype.itemsize
+        return [("".join(shown[tokens[i] : tokens[i + 1]])[:-1], len(keys[i][0]) // wide, len(keys[i][1]) // 4, groups[i + 1] - groups[i], links[i + 1] - links[i], raw[8 * links[i] : 8 * links[i + 1]], b"") for i in range(len(keys))]
 
     def align(self, texts: list[str | None]) -> list[tuple]:
         """Of each text n_a, n_b, n_groups, n_links, groups_sha256, pairs and times; zeros and empty ones for texts without tokens."""
-        coded = [self.encode(x) if x else None for x in texts]
-        kept = [x for x in coded if x]
-        out: list[tuple] = [(0, 0, 0, 0, "", b"", b"")] * len(texts)
-        if not kept:
-            return out
-        raw_a, raw_b = b"".join([x[0] for x in kept]), b"".join([x[1] for x in kept])
-        wide = self.a.dtype.itemsize
-        a, b = np.frombuffer(raw_a, self.a.dtype), np.frombuffer(raw_b, "<u4")
-        begins_a, begins_b = np.cumsum(self.length_a[a]) - self.length_a[a], np.cumsum(self.length_b[b]) - self.length_b[b]
-        marked_a, marked_b = begins_a[self.marked_a[a]], begins_b[self.marked_b[b]]
-        at = np.searchsorted(marked_b, marked_a)
-        at[at == len(marked_b)] = 0
-        anchors = marked_a[marked_b[at] == marked_a] if len(marked_b) else marked_a[:0]
-        first_a = np.cumsum([0, *(len(x[0]) // wide for x in kept)])
-        anchors = np.union1d(anchors, begins_a[first_a[:-1]])  # a text's beginning, whatever its tokens
-        cut_a, cut_b = np.searchsorted(begins_a, anchors), np.searchsorted(begins_b, anchors)
-        ends = np.searchsorted(cut_a, first_a).tolist()
-        cuts_a, cuts_b = [*(cut_a * wide).tolist(), len(raw_a)], [*(cut_b * 4).tolist(), len(raw_b)]
-        windows, memo, found = self.windows, self.windows.get, []
-        for a0, a1, b0, b1 in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:], strict=False):
-            key = raw_a[a0:a1], raw_b[b0:b1]
-            x = memo(key)
-            if x is None:
-                x = self.window(key)
-                if len(key[0]) + len(key[1]) <= 128:
-                    if self.room_windows <= 0:
-                        windows.clear()
-                        self.room_windows = CACHE_BYTES
-                    self.room_windows -= WINDOW_BYTES + 3 * len(x[0])
-                    windows[key] = x
-            found.append(x)
-        k = 0
-        for i, x in enumerate(coded):
-            if x:
-                own = found[ends[k] : ends[k + 1]]
-                k += 1
-                pairs, times = summed(np.frombuffer(b"".join([w[3] for w in own]), "<i8"), np.frombuffer(b"".join([w[4] for w in own]), "<i8"))
-                digest = hashlib.sha256(";".join([w[0] for w in own]).encode()).hexdigest()
-                out[i] = (len(x[0]) // wide, len(x[1]) // 4, sum([w[1] for w in own]), sum([w[2] for w in own]), digest, pairs.astype("<u4").tobytes() if self.narrow else pairs.tobytes(), packed(times))
-        return out
+        cut = self.encode(texts)
+        get = self.windows.get
+        found = [[get(k) for k in keys] if keys else [] for keys in cut]
+        missing = list({k for keys, known in zip(cut, found, strict=True) if None in known for k, x in zip(keys, known, strict=True) if x is None})
+        if missing:
+            long = {k for k in missing if len(k[0]) + len(k[1]) > LONG_WINDOW}
+            short = [k for k in missing if k not in long]
+            new = dict(zip(short, self.windows_of(short), strict=True))
+            if self.room_windows <= 0:
+                self.windows.clear()
+                self.room_windows = CACHE_BYTES
+            self.room_windows -= sum([WINDOW_BYTES + 9 * len(k[1]) for k in short])
+            self.windows.update(new)
+            new.update((k, self.window(k)) for k in long)
+            found = [[new[k] if x is None else x for k, x in zip(keys, known, strict=True)] if None in known else known for keys, known in zip(cut, found, strict=True)]
+        return [self._document(known) if known else (0, 0, 0, 0, "", b"", b"") for known in found]
+
+    def _document(self, windows: list[Window]) -> tuple:
+        shown, n_a, n_b, groups, links, pairs, times = zip(*windows, strict=True)
+        keys, n = summed(pairs, times)
+        digest = hashlib.sha256(";".join(shown).encode()).hexdigest()
+        return sum(n_a), sum(n_b), sum(groups), sum(links), digest, keys.astype("<u4").tobytes() if self.narrow else keys.tobytes(), packed(n)
 
     @property
     def narrow(self) -> bool:
         return len(self.bytes_a) * self.radix <= 1 << 32
 
 
-def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, with the sums of their times."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(times[order], first) if len(keys) else times
+def summed(pairs: tuple[bytes, ...], times: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in order and how often they are linked, of windows' pairs and times (none: once each)."""
+    if not any(times):
+        return np.unique(np.frombuffer(b"".join(pairs), "<i8"), return_counts=True)
+    n = [np.frombuffer(t, "<i8") if t else np.ones(len(p) // 8, np.int64) for p, t in zip(pairs, times, strict=True)]
+    keys, at = np.unique(np.frombuffer(b"".join(pairs), "<i8"), return_inverse=True)
+    out = np.zeros(len(keys), np.int64)
+    np.add.at(out, at, np.concatenate(n))
+    return keys, out
 
 
 def packed(times: np.ndarray) -> bytes:
@@ -216,9 +266,11 @@ def aligner(path_a: str, path_b: str) -> Iterator[Aligner]:
     """The worker's own aligner, which later tasks of the worker use again; its caches end with the task."""
     if (path_a, path_b) not in _aligners:
         _aligners[path_a, path_b] = Aligner(path_a, path_b)
+    gc.disable()  # millions of small tuples live in the caches, and none is in a cycle
     try:
         yield _aligners[path_a, path_b]
     finally:
+        gc.enable()
         _aligners[path_a, path_b].forget()
 
 
