@@ -326,7 +326,7 @@ def pair_counts(done: DataFrame, narrow: bool) -> DataFrame:
 def hot_level(pairs: DataFrame, most: int) -> int:
     """The least power of two such that at most ``most`` pairs have that count; it comes from one row for each power."""
     levels = sorted(pairs.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).count().collect(), reverse=True)
-    least, total = 63, 0
+    least, total = 62, 0
     for r in levels:
         total += r["count"]
         if total > most:
