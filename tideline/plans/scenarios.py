@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import scalars as S
 from tideline.operators import evaluation as E
+from tideline.operators import planning as P
 from tideline.operators import scenarios as C
 from tideline.plans.registry import load, query
 from tideline.sources.shared import staged
@@ -53,6 +54,79 @@ def r06_r07_w21_plans(spark, d):
     return p.select("o_custkey", "plan", "n_slots", (reason != "").alias("rejected"), reason.alias("reason"))
 
 
+def _share(weights: dict, factor: float = 1.0, shift: int = 0) -> str:
+    """A weighted score of a template as SQL."""
+    parts = {
+        "amount_fit": f"least(greatest(1 - abs(amount * {factor}::DOUBLE - usual_amount) / greatest(usual_amount, 1), 0), 1)", "size_fit": f"least(greatest(1 - abs(greatest(size + {shift}, 1) - usual_size) / greatest(usual_size, 1), 0), 1)",
+        "mix": f"least(greatest(kinds / greatest(size + {shift}, 1)::DOUBLE, 0), 1)", "support": "support", "novelty": "(1 - support)",
+    }
+    return "least(greatest(" + " + ".join(f"{w}::DOUBLE * {parts[n]}" for n, w in weights.items()) + ", 0), 1)"
+
+
+def _season(x: str) -> str:
+    return f"CASE WHEN month({x}) IN (12, 1, 2) THEN 'winter' WHEN month({x}) <= 5 THEN 'spring' WHEN month({x}) <= 8 THEN 'summer' ELSE 'fall' END"
+
+
+PLAN_TEMPLATES = f"""{TEMPLATES}, parts AS (SELECT l_orderkey AS template_id, bool_or(l_quantity <= 25) AS has_small, bool_or(l_quantity > 25) AS has_large FROM lineitem GROUP BY 1), band AS (SELECT quantile_cont(amount, 0.05) AS lo, quantile_cont(amount, 0.95) AS hi FROM templates),
+ full_t AS (SELECT templates.*, has_small, has_large, usual_amount, usual_size, amount BETWEEN lo AND hi AS is_core, isodow(day) >= 6 AS t_weekend, {_season("day")} AS t_season FROM templates JOIN parts USING (template_id) JOIN usual USING (o_custkey), band)"""
+PLAN_SLOTS = f"""{PLAN_TEMPLATES}, hz AS (SELECT unnest([{", ".join(map(str, P.HORIZONS))}])::INTEGER AS horizon), st AS (SELECT max(day) + 1 AS start FROM templates),
+ ds AS (SELECT c_custkey AS o_custkey, horizon, k::INTEGER AS slot_no, CAST(start + CAST(k AS INTEGER) AS DATE) AS planned_date FROM customer, hz, st, range(7) r(k) WHERE k < horizon), dk AS (SELECT *, isodow(planned_date) >= 6 AS is_weekend, {_season("planned_date")} AS season FROM ds),
+ w AS (SELECT DISTINCT o_custkey, is_weekend, season FROM dk), met AS (SELECT w.is_weekend, w.season, f.*, t_weekend = is_weekend AS dd, t_season = season AS ss FROM full_t f JOIN w USING (o_custkey)),
+ p1 AS (SELECT *, count(*) FILTER (dd) OVER g >= 3 AS ud FROM met WINDOW g AS (PARTITION BY o_custkey, is_weekend, season)), p2 AS (SELECT * FROM p1 WHERE dd OR NOT ud),
+ p3 AS (SELECT *, count(*) FILTER (ss) OVER (PARTITION BY o_custkey, is_weekend, season) >= 2 AS us FROM p2), p4 AS (SELECT * FROM p3 WHERE ss OR NOT us), p5 AS (SELECT *, count(*) FILTER (is_core) OVER (PARTITION BY o_custkey, is_weekend, season) >= 2 AS uc FROM p4), pool AS (SELECT * FROM p5 WHERE is_core OR NOT uc),
+ sc AS ({" UNION ALL ".join(f"SELECT o_custkey, is_weekend, season, template_id, '{n}' AS strategy, round({_share(w)} + 1e-9, 6) AS score FROM pool" for n, w in P.PLAN_STRATEGIES.items())}),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, is_weekend, season, strategy ORDER BY score DESC, template_id) AS rank, least(count(*) OVER (PARTITION BY o_custkey, is_weekend, season, strategy), {P.CYCLE}) AS n FROM sc),
+ sg AS (SELECT unnest([{", ".join(repr(x) for x in P.PLAN_STRATEGIES)}]) AS strategy), slots AS (SELECT dk.o_custkey, sg.strategy, horizon, slot_no, planned_date, dayname(planned_date) AS planned_day_of_week, CAST(rank AS INTEGER) AS rank, template_id, score FROM dk CROSS JOIN sg LEFT JOIN rk ON rk.o_custkey = dk.o_custkey AND rk.is_weekend = dk.is_weekend AND rk.season = dk.season AND rk.strategy = sg.strategy AND rk.rank = slot_no % n + 1)"""
+
+
+def plan_inputs(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Templates with all that plans ask of them (staged), all customers, and the day after the last order."""
+    t = templates(spark, d)
+    li = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("template_id")).agg(F.bool_or(F.col("l_quantity") <= 25).alias("has_small"), F.bool_or(F.col("l_quantity") > 25).alias("has_large"))
+    band = E.exact_quantiles(t, [], "amount", [0.05, 0.95]).select("q")
+    full = C.with_usual(t, ["o_custkey"]).join(li, "template_id").crossJoin(F.broadcast(band)).withColumn("is_core", F.col("amount").between(F.col("q")[0], F.col("q")[1])).drop("q")
+    return staged(full, "plan-templates"), load(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")), t.agg(F.date_add(F.max("day"), 1).alias("start"))
+
+
+def plan_of(spark, d) -> tuple[DataFrame, DataFrame]:
+    t, customers, start = plan_inputs(spark, d)
+    return t, P.plan_slots(t, customers, start, "o_custkey", least_day=3, least_season=2, least_core=2)
+
+
+@query(f"WITH {PLAN_SLOTS} SELECT * FROM slots")
+def r06_plan_slots(spark, d):
+    """A template for each date of three horizons by five strategies, for every customer; pools are the customer's own orders."""
+    return plan_of(spark, d)[1]
+
+
+def _stress_sql() -> str:
+    scores = ", ".join(f"avg({_share(C.WEIGHTS, f, s)}) AS s{i}" for i, (_, f, s) in enumerate(C.STRESSES))
+    fits = " + ".join(_share({"amount_fit": 1.0}, f, s) for _, f, s in C.STRESSES)
+    return f"{scores}, avg(({fits}) / {len(C.STRESSES)}) AS fit"
+
+
+_S = [f"s{i}" for i in range(len(C.STRESSES))]
+_LIMIT = {k: "CASE " + " ".join(f"WHEN horizon <= {row[0]} THEN {row[k]}" for row in P.PLAN_LIMITS) + " END" for k in (1, 2, 3)}
+
+
+@query(f"""WITH {PLAN_SLOTS}, x AS (SELECT s.*, f.* EXCLUDE (template_id, o_custkey, slot), f.slot AS signature FROM slots s LEFT JOIN full_t f USING (template_id)),
+ g AS (SELECT o_custkey, strategy, horizon, count(template_id) AS n_filled, bool_and(is_core) AS in_band, bool_and(coalesce(has_small, false)) AS has_small, bool_and(coalesce(has_large, false)) AS has_large, {_stress_sql()} FROM x GROUP BY 1, 2, 3),
+ c1 AS (SELECT o_custkey, strategy, horizon, max(n) AS most_t FROM (SELECT o_custkey, strategy, horizon, template_id, count(*) AS n FROM x WHERE template_id IS NOT NULL GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3), c2 AS (SELECT o_custkey, strategy, horizon, max(n) AS most_s FROM (SELECT o_custkey, strategy, horizon, signature, count(*) AS n FROM x WHERE template_id IS NOT NULL GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+ c3 AS (SELECT DISTINCT a.o_custkey, a.strategy, a.horizon, true AS again FROM x a JOIN x b ON a.o_custkey = b.o_custkey AND a.strategy = b.strategy AND a.horizon = b.horizon AND a.signature = b.signature AND b.slot_no < a.slot_no AND b.slot_no >= a.slot_no - {_LIMIT[3].replace("horizon", "a.horizon")}),
+ r AS (SELECT *, list_avg([{", ".join(_S)}]) AS m, list_stddev_pop([{", ".join(_S)}]) AS sd, least({", ".join(_S)}) AS lo, greatest({", ".join(_S)}) AS hi FROM g LEFT JOIN c1 USING (o_custkey, strategy, horizon) LEFT JOIN c2 USING (o_custkey, strategy, horizon) LEFT JOIN c3 USING (o_custkey, strategy, horizon)),
+ v AS (SELECT *, CASE WHEN m IS NOT NULL THEN least(greatest(0.8 * m + 0.2 * lo - 0.5 * sd, 0), 1) END AS robust, hi - lo AS fragility FROM r),
+ y AS (SELECT *, concat_ws(';', CASE WHEN n_filled <> horizon THEN 'incomplete_horizon' END, CASE WHEN NOT has_small THEN 'missing_small' END, CASE WHEN NOT has_large THEN 'missing_large' END, CASE WHEN NOT in_band THEN 'outside_core_band' END, CASE WHEN most_t > {_LIMIT[1]} THEN 'template_repeat_above_limit' END,
+  CASE WHEN most_s / n_filled::DOUBLE > {_LIMIT[2]} + 0.001 THEN 'signature_repeat_above_limit' END, CASE WHEN again THEN 'signature_repeated_inside_recent_window' END, CASE WHEN round(robust, 6) < {P.ROBUST_FLOOR} THEN 'robust_score_below_floor' END, CASE WHEN round(fit, 6) < {P.FIT_FLOOR} THEN 'robust_fit_below_floor' END, CASE WHEN round(fragility, 6) > {P.FRAGILITY_CEILING} THEN 'fragility_above_ceiling' END) AS reasons FROM v)
+ SELECT o_custkey, strategy, horizon, n_filled, round(robust + 1e-9, 5) AS robust, round(fragility + 1e-9, 5) AS fragility, round(fit + 1e-9, 5) AS fit, reasons, reasons = '' AS promoted FROM y""")
+def r07_reject_plans(spark, d):
+    """All reasons against each plan of r06_plan_slots, with its robust score, fragility and fit under eight stresses."""
+    t, slots = plan_of(spark, d)
+    facts = P.under_stress(t).join(t.select("template_id", F.col("slot").alias("signature"), "amount", "is_core", "has_small", "has_large"), "template_id")
+    required = ["has_small", "has_large"]
+    judged = P.rejection_reasons(P.plan_summary(slots, facts, "o_custkey", required), required)
+    return judged.select("o_custkey", "strategy", "horizon", "n_filled", *(F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("robust", "fragility", "fit")), F.array_join("reasons", ";").alias("reasons"), "promoted")
+
+
 @query(f"WITH {TEMPLATES}, p AS (SELECT o_custkey, string_agg(slot, '>' ORDER BY day, template_id) AS plan FROM templates GROUP BY 1) SELECT plan, min(o_custkey) AS kept, count(*) AS n FROM p GROUP BY 1")
 def r08_dedupe_plans(spark, d):
     plan = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("day", "template_id", "slot"))), lambda x: x["slot"]), ">")
