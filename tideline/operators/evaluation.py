@@ -154,16 +154,18 @@ def regression(df: DataFrame, y: str, pred: str) -> DataFrame:
     return df.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.sum(e * e) / F.nullif(F.var_pop(y) * F.count(y), F.lit(0.0))).alias("r2"))
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], cuts: int = 255) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], cuts: int = 255, weight: str | None = None) -> DataFrame:
     """keys and ``q``, the exact quantiles (linear between neighbours) of each group, without one group's values in one task.
 
     Approximate quantiles cut a group into buckets. Counts of distinct values
     are summed by bucket, and running sums over the buckets tell where a rank
-    lies; values are ranked inside their bucket only.
+    lies; values are ranked inside their bucket only. A row counts ``weight``
+    times (a column of whole numbers), or once.
     """
-    held = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
-    edges = held.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("v", [k / (cuts + 1) for k in range(1, cuts + 1)], 4 * cuts).alias("_edges"))
-    seen = held.groupBy(*keys, "v").agg(F.count("*").alias("_c"))
+    times = F.col(weight) if weight else F.lit(1)
+    held = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"), times.cast("long").alias("_w"))
+    edges = held.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.percentile_approx("v", [k / (cuts + 1) for k in range(1, cuts + 1)], 4 * cuts).alias("_edges"))
+    seen = held.groupBy(*keys, "v").agg(F.sum("_w").alias("_c"))
     # One row for each group; its size grows with the groups, so Spark chooses how to join it.
     seen = (seen.join(edges, list(keys)) if keys else seen.crossJoin(F.broadcast(edges))).withColumn("_b", F.size(F.filter("_edges", lambda x: x < F.col("v")))).drop("_edges")
     sums = seen.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"))
