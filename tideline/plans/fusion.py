@@ -68,8 +68,8 @@ def w07_ema(spark, d):
 def w08_w09_interpolate(spark, d):
     """With a limit of two days here, since gaps in these tables are short."""
     days = TS.interpolate(full_days(spark, d), "entity_id", "day", "total", limit=2)
-    carried = F.last("total", ignorenulls=True).over(TS.by("entity_id", "day").rowsBetween(Window.unboundedPreceding, 0))
-    return days.select("entity_id", "day", F.round("total_filled", 4).alias("filled"), F.round(carried, 4).alias("carried"))
+    days = TS.forward_fill(days, "entity_id", "day", "total", "carried")
+    return days.select("entity_id", "day", F.round("total_filled", 4).alias("filled"), F.round("carried", 4).alias("carried"))
 
 
 @query(f"""WITH {SPINE}, f AS (SELECT entity_id, day, coalesce(total > 100, false) AS hot FROM full_days), g AS (SELECT *, sum(CASE WHEN hot THEN 0 ELSE 1 END) OVER (PARTITION BY entity_id ORDER BY day) AS run FROM f)
@@ -234,8 +234,7 @@ def j07_ffill_align(spark, d):
     """Hourly levels carried forward on a 15-minute grid."""
     hours = load(spark, d, "events").groupBy(F.col("user_id").alias("entity_id"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("slot")).agg(F.avg("value").alias("level"))
     grid = TS.slot_spine(hours, "entity_id", "slot")
-    carried = F.last("level", ignorenulls=True).over(TS.by("entity_id", "slot").rowsBetween(Window.unboundedPreceding, 0))
-    return grid.select("entity_id", "slot", F.round(carried, 6).alias("level"))
+    return TS.forward_fill(grid, "entity_id", "slot", "level", "carried").select("entity_id", "slot", F.round("carried", 6).alias("level"))
 
 
 @query("""WITH m AS (SELECT user_id, 96 * 15.0 AS rest, count(*) AS n FROM events GROUP BY 1), s AS (SELECT e.event_id, e.user_id, e.ts, m.rest / 96 + coalesce(e.value, 0) AS burn FROM events e JOIN m USING (user_id)) SELECT event_id, round(burn, 6)::DOUBLE AS burn, round(sum(burn) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4)::DOUBLE AS burned_today FROM s""")
