@@ -190,10 +190,18 @@ def leaks(texts, items, canonical, rule):
             pattern = tuple(values.index(v) if v is not None else -1 for v in values)
             for i in range(len(want) - rule.window + 1):
                 classes[tuple(want[i : i + rule.window])].add((tuple(want), pattern))
+    def runs(form_parts):
+        words = [w for kind, w in zip(*[[x[i] for x in form_parts[0]] for i in (0, 1)], strict=True) if kind == "word"]
+        return {tuple(words[i : i + rule.words]) for i in range(len(words) - rule.words + 1)}
+
+    own_runs = {doc: runs(x) for doc, x in forms.items()}
     for item, text in items.items():
         for cased in (True, False):
             form = canonical(text, cased=cased)
             want, values = parts(form)
+            for doc, had in own_runs.items():
+                if had & runs((want, values)):
+                    found[doc].add(item)
             width, starts = rule.window, [i for i in range(len(want) - rule.window + 1) if sum(k == "word" for k, _ in want[i : i + rule.window]) >= rule.literals]
             if not starts:
                 if len(form.tokens) < rule.least:

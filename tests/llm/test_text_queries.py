@@ -238,6 +238,20 @@ def test_many_items_of_one_template(spark):
     assert got[0] == list(range(80)) and got[2] == [items[90][0]]
 
 
+@pytest.mark.parametrize("sharing", [5, 33, 600])
+def test_a_passage_that_many_items_share(spark, sharing):
+    """However many items have a passage, a text that quotes it is found, and unlike items change nothing."""
+    passage = prose(random.Random(99), 24)
+    items = [(i, f"{passage}. {prose(random.Random(i), 28)}") for i in range(sharing)]
+    unlike = [(10_000 + i, prose(random.Random(50_000 + i), 30)) for i in range(40)]
+    docs = spark.createDataFrame([(0, f"{prose(random.Random(7), 60)} {passage} {prose(random.Random(8), 60)}"), (1, prose(random.Random(90_001), 120)), (2, " ".join(passage.split()[:12]))], "doc_id long, text string")
+    for bench in (items, items + unlike):
+        got = {r.doc_id: r.item_ids for r in decontamination.mark_leaks(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+        assert got == {0: list(range(sharing)), 1: [], 2: []}
+    found = decontamination.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(r.item_id for r in found) == list(range(sharing)) and all(r.matched > 0 for r in found)
+
+
 def test_numeric_and_short_lines(spark):
     texts = {1: "12 5 8 9\nRead more\nuser 7 of 9 logged in", 2: "7 44 1 3\nRead more\nuser 8 of 9 logged in", 3: "2020 1999 3 3\nother\n12 5 8 9"}
     gone = defaultdict(set)

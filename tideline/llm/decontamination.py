@@ -44,7 +44,9 @@ class LeakRule:
     ``window``: template tokens of a window. ``literals``: how many of them
     must be plain words. A document holds an item if it matches ``windows`` of
     the item's windows that at most ``common`` template classes have (so not a
-    phrase that all questions begin with), or ``coverage`` of all of them.
+    phrase that all questions begin with), or ``coverage`` of all of them, or if
+    it has ``words`` plain words (a power of two) of the item in a row, whatever
+    stands in the placeholders between them and however many items have them.
     ``least``: an item of fewer tokens matches nothing, as it can't be told
     from chance.
     """
@@ -55,6 +57,7 @@ class LeakRule:
     coverage: float = 0.5
     least: int = 4
     common: int = 32
+    words: int = 16
 
 
 def describe(token: str) -> int:
@@ -135,6 +138,7 @@ def rolled(codes: np.ndarray, width: int, form: int) -> np.ndarray:
 
 
 TEMPLATE, PLAIN = 0, 1
+RUN = -1  # stands for the place of a run of plain words
 Key = tuple[int, int]  # a window's width, and whether it is of the template or of the plain text
 
 
@@ -149,6 +153,18 @@ def windows(text: Canonical, key: Key, literals: int = 0) -> tuple[np.ndarray, n
     return places, hashes[places]
 
 
+def word_windows(text: Canonical, words: int) -> np.ndarray:
+    """Distinct hashes of all runs of so many plain words; each step joins two runs of half the length."""
+    mixed, k = text.codes[text.kinds == LITERAL], 1
+    while k < words and len(mixed) > k:
+        with np.errstate(over="ignore"):
+            mixed = mixed[:-k] * np.uint64(0x9E3779B97F4A7C15) + mixed[k:]
+            mixed ^= mixed >> np.uint64(29)
+            mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        k *= 2
+    return np.unique(mixed) if k >= words else np.empty(0, np.uint64)
+
+
 def item_windows(text: Canonical, rule: LeakRule) -> tuple[Key, np.ndarray, np.ndarray]:
     """The windows of an item: its key, places and hashes.
 
@@ -196,8 +212,23 @@ def _item_rows(benchmark: DataFrame, rule: LeakRule) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
 
 
+def _item_runs(benchmark: DataFrame, rule: LeakRule) -> DataFrame:
+    """item_id and h of the runs of plain words of each item, as it stands and in other case."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, runs = [], []
+            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.unique(np.concatenate([word_windows(canonical(text.as_py(), cased=cased), rule.words) for cased in (True, False)]))
+                ids += [item_id] * len(own)
+                runs += own.view(np.int64).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(runs, pa.int64())], names=["item_id", "h"])
+
+    return benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "item_id long, h long").distinct()
+
+
 def _hits(docs: DataFrame, rule: LeakRule, keys: list[Key], bitmap) -> DataFrame:
-    """doc_id, place, h and slots of the documents' windows that may be the benchmark's; slots are the placeholders' own values."""
+    """doc_id, place, h and slots of the documents' windows and runs that may be the benchmark's; slots are the placeholders' own values."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, known = bitmap.value, Memo(describe, 40 << 20).__getitem__
@@ -213,13 +244,22 @@ def _hits(docs: DataFrame, rule: LeakRule, keys: list[Key], bitmap) -> DataFrame
                         rows[1].append(p)
                         rows[2].append(h)
                         rows[3].append([form.slot(p + i) for i in np.flatnonzero(form.kinds[p : p + key[0]]).tolist()] if key[1] == TEMPLATE else [])
+                runs = word_windows(form, rule.words)
+                runs = runs[in_bitmap(bits, runs)].view(np.int64).tolist()
+                for column, values in zip(rows, ([doc_id] * len(runs), [RUN] * len(runs), runs, [[]] * len(runs)), strict=True):
+                    column.extend(values)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.list_(pa.string()))], names=["doc_id", "place", "h", "slots"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, place long, h long, slots array<string>")
 
 
-def _leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule) -> tuple[DataFrame, DataFrame]:
-    """The template classes that documents hold (doc_id, class, matched, item_windows, slots), and the classes' items."""
+def _leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The template classes that documents hold (doc_id, class, matched, item_windows, slots), and the classes' items.
+
+    Then the sets of items that documents have runs of plain words of (doc_id,
+    set, matched), and the sets' items. Items that share a passage share its
+    runs, and with them a set, so a document meets a set, not each item.
+    """
     spark = docs.sparkSession
     rows = stage_table(spark, _item_rows(benchmark, rule), "benchmark-windows")
     members = rows.select("class", "item_id").distinct()
@@ -231,8 +271,12 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule) -> tuple[DataF
     # Of its windows a leak by coverage has at least ``need``, so it has one of the others' number and one more, the least common first.
     items = stage_table(spark, items.withColumn("telling", F.col("nth") <= F.col("item_windows") - need + 1).drop("nth"), "benchmark-classes")
     keys = sorted((r["width"], r["form"]) for r in rows.select("width", "form").distinct().collect())
-    bits = spark.sparkContext.broadcast(hash_bitmap(items, "h", BITS))
+    owners = _item_runs(benchmark, rule).groupBy("h").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    owners = stage_table(spark, owners.withColumn("set", F.xxhash64("ids")), "benchmark-runs")
+    bits = spark.sparkContext.broadcast(hash_bitmap(items.select("h").unionByName(owners.select("h")), "h", BITS))
     hits = stage_table(spark, _hits(docs, rule, keys, bits), "benchmark-hits")
+    held_sets = hits.where(F.col("place") == RUN).join(owners.select("h", "set"), "h").groupBy("doc_id", "set").agg(F.countDistinct("h").alias("matched"))
+    hits = hits.where(F.col("place") != RUN)
     own = ["doc_id", "place", "slots", "class", "item_place", "item_slots", "item_windows", "classes"]
     met = hits.join(items.where(F.col("classes") <= rule.common), "h").select(own)
     widespread = items.where(F.col("classes") > rule.common)
@@ -247,14 +291,15 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule) -> tuple[DataF
     agree = F.size(F.array_distinct(F.transform("slots", lambda x: x["was"]))) == F.size("slots")
     held = (F.col("matched_own") >= rule.windows) | (F.col("matched") >= rule.coverage * F.col("item_windows"))
     best = runs.where(agree & held).groupBy("doc_id", "class").agg(F.max("matched").alias("matched"), F.first("item_windows").alias("item_windows"), F.max_by("slots", F.struct("matched", "shift")).alias("slots"))
-    return best, members
+    return best, members, held_sets, owners.select("set", "ids").dropDuplicates(["set"])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule()) -> DataFrame:
     """doc_id, item_id, matched windows, the item's windows and slots, of each item that a document has taken up.
 
     Slots are pairs of a value's number in the item and its value in the
-    document. Null and empty texts match nothing. Whole texts are searched,
+    document. Of items that a document has in runs of plain words only, the
+    runs are counted, and there are no slots. Null and empty texts match nothing. Whole texts are searched,
     however long. Repeated rows give what one row gives; of several places (a
     tie goes to the last) the one with most windows counts; other columns are
     ignored, and empty tables give no rows.
@@ -263,20 +308,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule(
     however many there are; what passes it is joined by hash, so other hits do
     no harm.
     """
-    found, members = _leaks(docs, benchmark, rule)
-    per_item = found.join(members, "class").groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "item_windows", "slots")).alias("best"))
-    return per_item.select("doc_id", "item_id", "best.*")
+    found, members, held_sets, sets = _leaks(docs, benchmark, rule)
+    windows = members.join(found, "class").select("doc_id", "item_id", F.struct("matched", "item_windows", "slots").alias("x"))
+    runs = _item_runs(benchmark, rule).groupBy("item_id").agg(F.count("*").alias("item_windows"))
+    by_run = held_sets.join(sets, "set").select("doc_id", F.explode("ids").alias("item_id"), "matched").groupBy("doc_id", "item_id").agg(F.sum("matched").alias("matched")).join(runs, "item_id")
+    none = F.array().cast(found.schema["slots"].dataType)
+    by_run = by_run.select("doc_id", "item_id", F.struct("matched", "item_windows", none.alias("slots")).alias("x")).join(windows.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti")
+    return windows.unionByName(by_run).groupBy("doc_id", "item_id").agg(F.max("x").alias("best")).select("doc_id", "item_id", "best.*")
 
 
 def mark_leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule()) -> DataFrame:
     """doc_id, contaminated, and the items (ascending) of every row of the documents; see find_leaks for odd rows."""
-    found, members = _leaks(docs, benchmark, rule)
+    found, members, held_sets, sets = _leaks(docs, benchmark, rule)
     lists = members.groupBy("class").agg(F.collect_set("item_id").alias("ids"))
-    leaks = found.join(lists, "class").groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("item_ids"))
+    ids = found.join(lists, "class").select("doc_id", "ids").unionByName(held_sets.join(sets, "set").select("doc_id", "ids"))
+    leaks = ids.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("item_ids"))
     empty = F.array().cast("array<bigint>")
     return docs.select("doc_id").join(leaks, "doc_id", "left").select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", empty).alias("item_ids"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule()) -> DataFrame:
     """The rows of documents without any leak, with all their columns."""
-    return docs.join(_leaks(docs, benchmark, rule)[0].select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    found, _, held_sets, _ = _leaks(docs, benchmark, rule)
+    return docs.join(found.select("doc_id").unionByName(held_sets.select("doc_id")).distinct(), "doc_id", "left_anti").select(docs.columns)
