@@ -181,6 +181,28 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequ
     return found.select(*keys, F.array(*(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * f for i, f in enumerate(fraction))).alias("q"))
 
 
+def last_of_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, id_: str, out: str) -> DataFrame:
+    """The first ``n`` rows of each group in an order that breaks all ties, with their place; taken in hash buckets first, so a hot group is dealt out."""
+    few = df.withColumn("_b", F.pmod(F.xxhash64(id_), F.lit(256)))
+    few = few.withColumn(out, F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))).where(F.col(out) <= n)
+    return few.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(out) <= n).drop("_b")
+
+
+def assign_ranges(rows: DataFrame, x: str, ranges: DataFrame, bins: int = 1024) -> DataFrame:
+    """Rows with every range (lo <= x < hi) that holds them, and the ranges' other columns.
+
+    The span of all ranges is cut into bins of one width; a range is copied to
+    the bins that it covers, and rows meet the ranges of their bin only, by an
+    equi-join. Empty ranges, nulls and rows outside all ranges give nothing.
+    """
+    ranges = ranges.where("lo < hi")
+    span = F.broadcast(ranges.agg(F.min("lo").alias("_lo"), F.greatest((F.max("hi") - F.min("lo")) / float(bins), F.lit(1e-300)).alias("_width")))
+    bin_of = lambda c: F.floor((c - F.col("_lo")) / F.col("_width")).cast("long")
+    copied = ranges.crossJoin(span).withColumn("_bin", F.explode(F.sequence(bin_of(F.col("lo")), bin_of(F.col("hi"))))).drop("_lo", "_width")
+    placed = rows.crossJoin(span).withColumn("_bin", bin_of(F.col(x))).drop("_lo", "_width")
+    return placed.join(copied, "_bin").where((F.col("lo") <= F.col(x)) & (F.col(x) < F.col("hi"))).drop("_bin")
+
+
 def distribution(df: DataFrame, keys: Sequence[str], value: str = "p") -> DataFrame:
     """Rows, mean, spread, ends and exact quantiles of each group."""
     out = df.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"))

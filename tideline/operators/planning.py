@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.scalars import season
+from tideline.operators.evaluation import exact_quantiles
 from tideline.operators.scenarios import STRESSES, WEIGHTS, clip, component_scores
 
 # Shares of the component scores by strategy; the cycle of ranks; limits by horizon (longest horizon, most of one
@@ -160,3 +161,40 @@ def rejection_reasons(plans: DataFrame, required: Sequence[str]) -> DataFrame:
     }
     reasons = F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in checks.items())))
     return plans.withColumn("reasons", reasons).withColumn("promoted", F.size("reasons") == 0)
+
+
+# How far a portion may move, the least move that counts, and the rows that a cluster needs.
+PORTION_LOW, PORTION_HIGH, LEAST_MOVE, LEAST_CLUSTER = 0.88, 1.12, 0.035, 3
+
+
+def portion_variants(templates: DataFrame, id_: str, signature: str, category: str, amount: str) -> DataFrame:
+    """Each template as observed, and lighter and heartier within the quartiles of its signature, or of its category where the signature has too few rows.
+
+    A variant must move the amount enough and stay in the table's band from the
+    5th to the 95th percentile. Columns: id, variant, multiplier, amount, scope.
+    """
+    x = F.col(amount)
+    known = templates.where(x.isNotNull())
+    scopes = {}
+    for name, key in (("signature", signature), ("category", category)):
+        sizes = templates.groupBy(key).agg(F.count("*").alias(f"n_{name}"))
+        scopes[name] = sizes.join(exact_quantiles(known, [key], amount, [0.25, 0.75]).withColumnRenamed("q", f"q_{name}"), key, "left")
+    band = exact_quantiles(known, [], amount, [0.05, 0.95]).withColumnRenamed("q", "band")
+    t = templates.select(id_, signature, category, amount).join(scopes["signature"], signature, "left").join(scopes["category"], category, "left").crossJoin(F.broadcast(band))
+    scope = F.when(F.col("n_signature") >= LEAST_CLUSTER, "signature").when(F.col("n_category") >= LEAST_CLUSTER, "category")
+    t = t.withColumn("scope", scope).withColumn("q", F.when(F.col("scope") == "signature", F.col("q_signature")).when(F.col("scope") == "category", F.col("q_category")))
+    move = lambda target: clip(target / F.when(x > 0, x), PORTION_LOW, PORTION_HIGH)
+    lighter, heartier = move(F.greatest(F.col("q")[0], x * PORTION_LOW)), move(F.least(F.col("q")[1], x * PORTION_HIGH))
+    variants = F.inline(F.array(*(F.struct(F.lit(n).alias("variant"), m.alias("multiplier")) for n, m in (("observed", F.lit(1.0)), ("lighter", lighter), ("heartier", heartier)))))
+    v = t.select(id_, amount, "scope", "band", variants)
+    moved = F.abs(F.col("multiplier") - 1) >= LEAST_MOVE
+    inside = (x * F.col("multiplier")).between(F.col("band")[0], F.col("band")[1])
+    return v.where((F.col("variant") == "observed") | (F.col("scope").isNotNull() & (x > 0) & moved & inside)).select(id_, "variant", "multiplier", (x * F.col("multiplier")).alias("amount"), F.when(F.col("variant") != "observed", F.col("scope")).alias("scope"))
+
+
+def override_context(context: DataFrame, overrides: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The context with the values that the overrides supply; a null, or no row, leaves a value as it is. Overrides have one row for each key."""
+    names = [c for c in overrides.columns if c in context.columns and c not in key]
+    given = overrides.select(*key, *(F.col(c).alias(f"_new_{c}") for c in names))
+    joined = context.join(given, list(key), "left")
+    return joined.select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in names else F.col(c) for c in context.columns), F.greatest(F.lit(False), *(F.col(f"_new_{c}").isNotNull() for c in names)).alias("overridden"))

@@ -124,10 +124,10 @@ def e16_false_cases(spark, d):
 
 @query(f"WITH {SCORED}, h AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) AS k FROM scored), r AS (SELECT lang, avg(p) AS recent_mean, stddev_pop(p) AS recent_std, avg(CASE WHEN p >= 0.5 THEN 1.0 ELSE 0.0 END) AS recent_rate FROM h WHERE k <= 20 GROUP BY 1), t AS (SELECT lang, quantile_cont(p, 0.1) AS q10, quantile_cont(p, 0.9) AS q90 FROM h GROUP BY 1), l AS (SELECT lang, p FROM h WHERE k = 1) SELECT lang, l.p AS latest, round(recent_mean, 6) AS recent_mean, round(recent_std, 6) AS recent_std, round(recent_rate, 6)::DOUBLE AS recent_rate, l.p < q10 OR l.p > q90 AS latest_outside, CASE WHEN l.p < q10 OR l.p > q90 THEN 'watch' ELSE 'calm' END AS label FROM r JOIN t USING (lang) JOIN l USING (lang)")
 def e18_e19_f24_watch_checks(spark, d):
-    h = scored(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("doc_id"))))
-    q = F.percentile("p", F.array(F.lit(0.1), F.lit(0.9)))
-    recent = F.col("k") <= 20
-    g = h.groupBy("lang").agg(F.max(F.when(F.col("k") == 1, F.col("p"))).alias("latest"), F.avg(F.when(recent, F.col("p"))).alias("recent_mean"), F.stddev_pop(F.when(recent, F.col("p"))).alias("recent_std"), F.avg(F.when(recent, (F.col("p") >= 0.5).cast("double"))).alias("recent_rate"), q.alias("q"))
+    """The last rows of a group are taken in hash buckets first and its quantiles by bucket, as there are few groups."""
+    s = scored(spark, d)
+    last = E.last_of_group(s, ["lang"], [F.desc("doc_id")], 20, "doc_id", "k").groupBy("lang").agg(F.max(F.when(F.col("k") == 1, F.col("p"))).alias("latest"), F.avg("p").alias("recent_mean"), F.stddev_pop("p").alias("recent_std"), F.avg((F.col("p") >= 0.5).cast("double")).alias("recent_rate"))
+    g = last.join(E.exact_quantiles(s, ["lang"], "p", [0.1, 0.9]), "lang")
     out = (F.col("latest") < F.col("q")[0]) | (F.col("latest") > F.col("q")[1])
     return g.select("lang", "latest", *(F.round(c, 6).alias(c) for c in ("recent_mean", "recent_std", "recent_rate")), out.alias("latest_outside"), F.when(out, "watch").otherwise("calm").alias("label"))
 
@@ -153,12 +153,12 @@ def u07_unpivot_metrics(spark, d):
 
 @query(f"WITH {SCORED}, x AS (SELECT max(doc_id) + 1 AS top FROM scored), f AS (SELECT range AS fold_no, (range + 2) * top // 10 AS lo, (range + 3) * top // 10 AS mid, CASE WHEN range = 7 THEN top ELSE (range + 4) * top // 10 END AS hi FROM range(8), x) SELECT fold_no, CASE WHEN doc_id < lo THEN 'train' WHEN doc_id < mid THEN 'val' ELSE 'test' END AS role, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives FROM scored, f WHERE doc_id < hi GROUP BY 1, 2")
 def j17_l11_l13_fold_ranges(spark, d):
-    """Eight expanding folds over tenths of all ids; the table of their ranges has eight rows, so it goes to every task."""
+    """Eight expanding folds over tenths of all ids, as ranges by role that rows meet in bins."""
     s = scored(spark, d)
     tenth = lambda n: F.floor((F.col("id") + n) * F.col("top") / 10)
-    folds = F.broadcast(spark.range(8).crossJoin(s.agg((F.max("doc_id") + 1).alias("top"))).select(F.col("id").alias("fold_no"), tenth(2).alias("lo"), tenth(3).alias("mid"), F.when(F.col("id") == 7, F.col("top")).otherwise(tenth(4)).alias("hi")))
-    role = F.when(F.col("doc_id") < F.col("lo"), "train").when(F.col("doc_id") < F.col("mid"), "val").otherwise("test")
-    return s.join(folds, F.col("doc_id") < F.col("hi")).groupBy("fold_no", role.alias("role")).agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
+    folds = spark.range(8).crossJoin(F.broadcast(s.agg((F.max("doc_id") + 1).alias("top")))).select(F.col("id").alias("fold_no"), tenth(2).alias("a"), tenth(3).alias("b"), F.when(F.col("id") == 7, F.col("top")).otherwise(tenth(4)).alias("c"))
+    roles = F.inline(F.array(*(F.struct(F.lit(r).alias("role"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi")) for r, lo, hi in (("train", F.lit(0), F.col("a")), ("val", F.col("a"), F.col("b")), ("test", F.col("b"), F.col("c"))))))
+    return E.assign_ranges(s, "doc_id", folds.select("fold_no", roles)).groupBy("fold_no", "role").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("positives"))
 
 
 @query(f"""WITH {SCORED}, m AS (SELECT unnest(['plain', 'steep', 'flat']) AS model, unnest([1.0, 2.0, 0.5])::DOUBLE AS power), c AS (SELECT fold, model, {CONF.format(t='0.5').replace('p >=', 'power(p, power) >=').replace('p <', 'power(p, power) <')} FROM scored, m GROUP BY 1, 2), r AS (SELECT fold, model, {RATES} FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY balanced_accuracy DESC, model) AS i FROM r), b AS (SELECT * FROM k WHERE i = 1),
@@ -194,9 +194,8 @@ def j19_merge_predictions(spark, d):
 
 @query(f"WITH {SCORED}, k AS (SELECT source, doc_id, p, row_number() OVER (PARTITION BY source, y ORDER BY p DESC, doc_id) AS i, count(*) OVER (PARTITION BY source, y) AS n FROM scored) SELECT source, doc_id, n > 1 AS overlaps FROM k WHERE i = 1")
 def u10_overlapping_predictions(spark, d):
-    w = Window.partitionBy("source", "y")
-    k = scored(spark, d).withColumn("i", F.row_number().over(w.orderBy(F.desc("p"), "doc_id"))).withColumn("n", F.count("*").over(w))
-    return k.where("i = 1").select("source", "doc_id", (F.col("n") > 1).alias("overlaps"))
+    best = F.max_by(F.struct("doc_id"), F.struct("p", (-F.col("doc_id")).alias("first"))).alias("best")
+    return scored(spark, d).groupBy("source", "y").agg(best, F.count("*").alias("n")).select("source", "best.doc_id", (F.col("n") > 1).alias("overlaps"))
 
 
 @query(f"WITH {SCORED} SELECT split, count(*) AS n, round(avg(y), 6) AS event_rate, round(avg(CASE WHEN p >= 0.5 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS rate_at_half, round(avg(CASE WHEN p >= 0.3 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS rate_at_threshold FROM scored GROUP BY 1")

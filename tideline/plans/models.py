@@ -87,7 +87,8 @@ def l15_l16_drivers(spark, d):
     model = M.fit_compare_select(df, NUMBERS, ["lang"])[2]
     drivers = M.feature_drivers(model, df).select(F.lit("importance").alias("kind"), "feature", F.col("importance").alias("value"))
     dropped = M.permutation_importance(model, df.where("split = 'test'"), NUMBERS)
-    return drivers.unionByName(dropped.select(F.lit("permutation").alias("kind"), "feature", F.col("drop").alias("value")))
+    parts = F.inline(F.array(F.struct(F.lit("permutation").alias("kind"), F.col("drop").alias("value")), F.struct(F.lit("permutation_spread").alias("kind"), F.col("spread").alias("value"))))
+    return drivers.unionByName(dropped.select("feature", parts).select("kind", "feature", "value"))
 
 
 @query()
@@ -113,3 +114,9 @@ def l18_seed_robustness(spark, d):
 def l08_regressors(spark, d):
     """Ridge and forest on a document's length, with the mean as the floor: error on test rows."""
     return M.compare_regressors(labelled(spark, d).withColumn("label", F.col("n_words")), ["n_lines", "symbol_rate", "upper_rate"])
+
+
+@query()
+def l08_l10_select_regressor(spark, d):
+    """The regressor that is best on val by mean absolute error, then R2, on test rows beside the mean."""
+    return M.fit_select_regressor(labelled(spark, d).withColumn("label", F.col("n_words")), ["n_lines", "symbol_rate", "upper_rate"])[0]

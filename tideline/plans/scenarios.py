@@ -166,7 +166,7 @@ def r11_r12_rerank(spark, d):
 @query("WITH q AS (SELECT p_brand, quantile_cont(p_retailprice, 0.25) AS lo, quantile_cont(p_retailprice, 0.75) AS hi FROM part GROUP BY 1), v AS (SELECT p_partkey, p_brand, p_retailprice, unnest(['base', 'lighter', 'heartier']) AS variant, unnest([1.0, 0.9, 1.1])::DOUBLE AS m FROM part) SELECT p_partkey, variant, round(CASE WHEN m = 1 THEN p_retailprice ELSE least(greatest(p_retailprice * m, lo), hi) END + 1e-7, 4) AS amount FROM v JOIN q USING (p_brand) WHERE m = 1 OR abs(least(greatest(p_retailprice * m, lo), hi) - p_retailprice) BETWEEN 0.035 * p_retailprice AND 0.12 * p_retailprice")
 def u09_portion_variants(spark, d):
     part = load(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice")
-    q = part.groupBy("p_brand").agg(F.percentile("p_retailprice", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = E.exact_quantiles(part, ["p_brand"], "p_retailprice", [0.25, 0.75])
     variants = F.inline(F.array(*(F.struct(F.lit(n).alias("variant"), F.lit(m).alias("m")) for n, m in (("base", 1.0), ("lighter", 0.9), ("heartier", 1.1)))))
     v = part.join(q, "p_brand").select("p_partkey", "p_retailprice", "q", variants)
     price = F.col("p_retailprice")
@@ -224,3 +224,27 @@ def r10_f08_cluster_items(spark, d):
     portion = S.clip(F.col("mean") / F.col("p_retailprice"), 0.85, 1.15)
     kept = (-F.col("top.k")).alias("kept")
     return i.join(q, "cluster").select("p_partkey", "cluster", "n", kept, (F.col("p_partkey") == -F.col("top.k")).alias("is_kept"), F.round(portion + 1e-9, 6).alias("portion"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_brand || '/' || p_type AS signature, p_brand, p_retailprice AS x FROM part), s AS (SELECT signature, count(*) AS ns, quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.75) AS b FROM p GROUP BY 1), c AS (SELECT p_brand, count(*) AS nc, quantile_cont(x, 0.25) AS ca, quantile_cont(x, 0.75) AS cb FROM p GROUP BY 1), bd AS (SELECT quantile_cont(x, 0.05) AS lo, quantile_cont(x, 0.95) AS hi FROM p),
+ t AS (SELECT p_partkey, x, lo, hi, CASE WHEN ns >= 3 THEN 'signature' WHEN nc >= 3 THEN 'category' END AS scope, CASE WHEN ns >= 3 THEN a ELSE ca END AS q1, CASE WHEN ns >= 3 THEN b ELSE cb END AS q3 FROM p JOIN s USING (signature) JOIN c USING (p_brand), bd),
+ v AS (SELECT p_partkey, x, lo, hi, scope, unnest(['observed', 'lighter', 'heartier']) AS variant, unnest([1.0::DOUBLE, least(greatest(greatest(q1, x * 0.88::DOUBLE) / x, 0.88::DOUBLE), 1.12::DOUBLE), least(greatest(least(q3, x * 1.12::DOUBLE) / x, 0.88::DOUBLE), 1.12::DOUBLE)]) AS m FROM t)
+ SELECT p_partkey, variant, round(m + 1e-9, 6) AS multiplier, round(x * m + 1e-7, 4) AS amount, CASE WHEN variant <> 'observed' THEN scope END AS scope FROM v WHERE variant = 'observed' OR (scope IS NOT NULL AND abs(m - 1) >= 0.035 AND x * m BETWEEN lo AND hi)""")
+def u09_bounded_variants(spark, d):
+    """Lighter and heartier parts within the quartiles of their brand and type, or of their brand where those are too few."""
+    part = load(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit("/"), "p_type").alias("signature"), "p_brand", "p_retailprice")
+    v = P.portion_variants(part, "p_partkey", "signature", "p_brand", "p_retailprice")
+    return v.select("p_partkey", "variant", F.round(F.col("multiplier") + 1e-9, 6).alias("multiplier"), F.round(F.col("amount") + 1e-7, 4).alias("amount"), "scope")
+
+
+@query(f"WITH {TEMPLATES}, x AS (SELECT o_custkey, quantile_cont(amount, 0.75) AS pressure, avg(amount) AS mean_amount FROM templates GROUP BY 1), o AS (SELECT c_custkey AS o_custkey, c_acctbal * 20 AS np FROM customer WHERE c_acctbal > 5000), y AS (SELECT x.o_custkey, coalesce(np, pressure) AS pressure, mean_amount, np IS NOT NULL AS overridden FROM x LEFT JOIN o USING (o_custkey)), s AS (SELECT template_id, o_custkey, overridden, support * CASE WHEN pressure > mean_amount THEN 0.6 ELSE 0.8 END + CASE WHEN amount > pressure THEN -0.1 ELSE 0.1 END AS a FROM templates JOIN y USING (o_custkey)) SELECT template_id, round(a + 1e-9, 6) AS adjusted, overridden, row_number() OVER (PARTITION BY o_custkey ORDER BY round(a, 6) DESC, template_id) AS place FROM s")
+def r12_override_and_rerank(spark, d):
+    """Each customer's own pressure, replaced where the customer's balance supplies one, ranks that customer's orders."""
+    t = templates(spark, d)
+    own = t.groupBy("o_custkey").agg(F.avg("amount").alias("mean_amount")).join(E.exact_quantiles(t, ["o_custkey"], "amount", [0.75]).select("o_custkey", F.col("q")[0].alias("pressure")), "o_custkey")
+    given = load(spark, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") * 20).alias("pressure"))
+    x = P.override_context(own, given, ["o_custkey"])
+    adjusted = F.col("support") * F.when(F.col("pressure") > F.col("mean_amount"), 0.6).otherwise(0.8) + F.when(F.col("amount") > F.col("pressure"), -0.1).otherwise(0.1)
+    s = t.join(x, "o_custkey").select("template_id", "o_custkey", "overridden", adjusted.alias("a"))
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc(F.round("a", 6)), "template_id"))
+    return s.select("template_id", F.round(F.col("a") + 1e-9, 6).alias("adjusted"), "overridden", place.cast("long").alias("place"))
