@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tideline.llm import alignment, neighbours, queries, spelling
+from tideline.llm import alignment, neighbours, packing, queries, spelling
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -204,3 +204,31 @@ def test_long_windows_are_counted(spark):
     other = coder.windows_of([key])[0]
     assert (shown, n_a, n_b, groups, links) == other[:5]
     assert dict(zip(*(np.frombuffer(x, "<i8").tolist() for x in (pairs, times)), strict=True)) == Counter(np.frombuffer(other[5], "<i8").tolist())
+
+
+def fewest(pieces: list[int], capacity: int) -> int:
+    """Exact, over all subsets: sequences and what the last one holds."""
+    best = [(0, capacity)] + [(99, 0)] * ((1 << len(pieces)) - 1)
+    for mask in range(len(best)):
+        n, held = best[mask]
+        for i, x in enumerate(pieces):
+            if not mask >> i & 1:
+                after = (n, held + x) if held + x <= capacity else (n + 1, x)
+                best[mask | 1 << i] = min(best[mask | 1 << i], after)
+    return best[-1][0]
+
+
+def test_packing_finds_the_fewest_or_says_so(caplog):
+    rng = np.random.default_rng(12)
+    for _ in range(700):
+        capacity = int(rng.integers(20, 70))
+        pieces = rng.integers(3, max(5, capacity * 2 // 3), rng.integers(6, 11)).tolist()
+        caplog.clear()
+        plan = packing.complete_bins(Counter(pieces), capacity)
+        assert sorted(x for f, n in plan for x in f * n) == sorted(pieces) and all(sum(f) <= capacity for f, _ in plan)
+        assert sum(n for _, n in plan) == fewest(pieces, capacity) or caplog.records
+        assert not caplog.records
+    hard = [30, 30, 27, 25, 21, 20, 16, 16, 15, 11, 10, 8, 5, 5]
+    assert sum(n for _, n in packing.complete_bins(Counter(hard), 60)) == 4
+    caplog.clear()
+    assert sum(n for _, n in packing.complete_bins({400: 3000, 350: 1}, 1024, nodes=5)) >= 1500 and caplog.records

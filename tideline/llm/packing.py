@@ -130,6 +130,80 @@ def fillings(counts: np.ndarray, room: int, width: int = 24) -> list[tuple[int,
     return kept
 
 
+def all_fillings(counts: np.ndarray, room: int, most: int) -> tuple[list[tuple[int, ...]], bool]:
+    """Every way to fill ``room`` to which no piece that is left can be added, without dominated ones; and whether that took no more than ``most`` trials."""
+    lengths = [int(x) for x in np.flatnonzero(counts[: room + 1])[::-1] if x]
+    found: list[tuple[int, ...]] = []
+    tried = 0
+
+    def extend(i: int, chosen: tuple[int, ...], left: int) -> bool:
+        nonlocal tried
+        if i == len(lengths):
+            tried += 1
+            used = Counter(chosen)
+            if not any(x <= left and counts[x] > used[x] for x in lengths):
+                found.append(chosen)
+            return tried <= most
+        x = lengths[i]
+        return all(extend(i + 1, chosen + (x,) * n, left - n * x) for n in range(min(int(counts[x]), left // x), -1, -1))
+
+    # The recursion is as deep as there are lengths, and what it looks at is bounded by its leaves.
+    if len(lengths) > 100 or not extend(0, (), room):
+        return found, False
+    kept: list[tuple[int, ...]] = []
+    for x in sorted(found, key=lambda x: (-sum(x), len(x), tuple(-y for y in x))):
+        if not any(dominates(y, x) for y in kept):
+            kept.append(x)
+    return kept, True
+
+
+def exhaust(counts: np.ndarray, capacity: int, best: Plan, bound: int, nodes: int) -> tuple[Plan, bool]:
+    """The least plan of all, if it is found within ``nodes`` fillings; and whether the search came to its end.
+
+    The largest piece left is put into every undominated filling in turn, one
+    sequence at a time, so fewer repeats are tried too. A state that was
+    reached with as few sequences before is not searched again. Each sequence is
+    a level of the search, so over 400 pieces (far out of reach of ``nodes``)
+    the best plan so far is given back as not proven.
+    """
+    best_bins, least = sum(n for _, n in best), {}
+    lengths = np.arange(capacity + 1)
+    work = 0
+
+    def search(left: np.ndarray, plan: Plan) -> bool:
+        nonlocal best, best_bins, work
+        if not left.any():
+            if len(plan) < best_bins:
+                best, best_bins = list(plan), len(plan)
+            return True
+        need = len(plan) - (-int((lengths * left).sum()) // capacity)
+        key = left.tobytes()
+        if need >= best_bins or least.get(key, best_bins) <= len(plan):
+            return True
+        least[key] = len(plan)
+        largest = int(np.flatnonzero(left)[-1])
+        rest = left.copy()
+        rest[largest] -= 1
+        ways, whole = all_fillings(rest, capacity - largest, 8 * nodes)
+        for way in ways:
+            work += 1
+            if work > nodes:
+                return False
+            after = rest.copy()
+            for x in way:
+                after[x] -= 1
+            if not search(after, [*plan, ((largest, *way), 1)]):
+                return False
+            if best_bins <= bound:
+                return True
+        return whole
+
+    if int(counts.sum()) > 400:
+        return best, False
+    ended = search(counts, [])
+    return best, ended
+
+
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
     """Fewest sequences that could do: total length, and pieces too long to share one (Martello and Toth's bound)."""
     lengths = np.arange(len(counts))
@@ -152,8 +226,10 @@ def complete_bins(histogram: dict[int, int], capacity: int = 1024, nodes: int =
     sequences allows prunes a branch. The first incumbent is the best of three
     descents that always take the first filling: best fit's, and those that try
     a third of ``width`` and all of it.
-    The search ends at the lower bound, when no branch is left, or after
-    ``nodes`` fillings; in the last case a warning is logged, with the bound.
+    That search leaves out fillings and fewer repeats. Where it ends above the
+    lower bound, all undominated fillings are searched (exhaust), so the answer
+    is the least there is. Either search ends after ``nodes`` fillings; if the
+    answer may then be above the least, a warning is logged, with the bound.
     ``nodes`` and ``width`` (see fillings) bound the driver's time, never what
     is packed.
     """
@@ -194,12 +270,12 @@ def complete_bins(histogram: dict[int, int], capacity: int = 1024, nodes: int =
     if best_bins <= bound:
         return best
     # Each level: the counts before it, its options, the next option, and the waste so far.
+    every = counts
     stack, plan, seen = [(counts, options(counts), 0, 0)], [], 0
     while stack:
         counts, ways, at, waste = stack.pop()
         del plan[len(stack) :]
         if seen >= nodes:
-            logging.getLogger(__name__).warning("the search ended after %d fillings with %d sequences; %d are the least that could do", seen, best_bins, bound)
             break
         if at >= len(ways):
             continue
@@ -217,6 +293,11 @@ def complete_bins(histogram: dict[int, int], capacity: int = 1024, nodes: int =
                 break
         elif wasted + total <= (best_bins - 1) * capacity:
             stack.append((after, options(after), 0, wasted))
+    if best_bins > bound:
+        best, proven = exhaust(every, capacity, best, bound, nodes)
+        best_bins = sum(n for _, n in best)
+        if not proven and best_bins > bound:
+            logging.getLogger(__name__).warning("the search ended after %d fillings with %d sequences; %d are the least that could do", seen, best_bins, bound)
     return best
 
 
