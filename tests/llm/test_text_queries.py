@@ -211,6 +211,9 @@ def test_hidden_forms_are_found_through_the_trees(spark):
             good = target is not None and kind == target[0] and start <= target[1] and end >= target[2]
             right, wrong = right + good, wrong + (not good)
     assert right >= 0.8 * 200 and right >= 0.95 * (right + wrong)
+    probes = {"host 10[.]0[.]0[.]1 is down": "ip:5:19", "we met at noon.Then left": "", "isbn 978 3161 484100 4 here": "", 'token = "ede43f42c939b6405768150aa"': "", "ratio 10, 20, 30, 40 of it": ""}
+    got = pii.detect(spark.createDataFrame(list(enumerate(probes)), "doc_id long, text string"), model).select("text", pii.joined("spans").alias("s")).collect()
+    assert {r.text: r.s for r in got} == probes
 
 
 # ---- rule by rule ----------------------------------------------------------
