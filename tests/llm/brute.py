@@ -123,14 +123,14 @@ class Matcher:
         return (-min(near)[1], min(near)[0]) if near else (0.0, 0)
 
     def token(self, t):
-        """Weight, times the reliability of its distance."""
+        """Weight, times the share that unseen rows leave to matches of its distance and weight."""
         if t not in self.known:
             spelled = str.maketrans("013457@$!", "oieastasi")
             letters = re.findall(r"[^\W\d_]+", t)
             if re.search(r"[^\W\d_][013457@$!]|[013457@$!][^\W\d_]", t):
                 letters += re.findall(r"[^\W\d_]+", t.translate(spelled))
             weight, edits = max(map(self.word, letters), default=(0.0, 0))
-            self.known[t] = weight * self.lexicon.reliability[edits]
+            self.known[t] = weight * self.lexicon.reliability.get((edits, weight), 1.0)
         return self.known[t]
 
 

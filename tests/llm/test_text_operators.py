@@ -408,6 +408,17 @@ def test_misspellings_raise_and_quotes_lower_the_score_after_learning(spark):
     assert quoted < unquoted and quoted < 0.5
 
 
+def test_misspellings_near_clean_words_of_other_terms_keep_their_weight(spark):
+    """Clean rows have words near one term; that term's misspellings lose their trust, another's don't."""
+    lexicon = toxicity.Lexicon({"worthless": 7.0, "grumpyish": 4.0})
+    rows = [(f"plain grumqyish text {i}" if i % 3 else f"plain text {i}", 0, str(i)) for i in range(60)] + [(f"you grumpyish one {i}", 1, f"t{i}") for i in range(20)]
+    lexicon.reliability = toxicity.learn_reliability(spark.createDataFrame(rows, "text string, toxic int, digest string"), lexicon)
+    assert set(lexicon.reliability) == {(1, 4.0)} and lexicon.trust(4.0, 1) < 0.05 and lexicon.trust(7.0, 1) == 1 == lexicon.trust(4.0, 0)
+    assert lexicon.features("a wothless thing")[1] == 7.0 and lexicon.features("a grumqyish thing")[1] < 0.2
+    assert lexicon.features('he wrote "wothless" here')[1] == 0
+    assert toxicity.learn_reliability(spark.createDataFrame([], "text string, toxic int, digest string"), lexicon) == {}
+
+
 def test_words_of_near_copies_are_no_terms(spark):
     rng = random.Random(20)
     copied = words(rng, 40).split()
@@ -555,5 +566,23 @@ def test_boosted_trees_are_the_fitted_ones(spark):
     assert [r[0] for r in df.select(m.margin(F.struct(*pii.FEATURES))).collect()] == [1.5, -0.5, 1.0]
 
 
+def test_a_kinds_margin_is_not_paid_for_by_easy_proposals():
+    """Many right ones at the top, wrong ones below; too few; and margins under even odds."""
+    easy, wrong = (4.0, 900, 900, 900.0, 900.0), (1.0, 5, 30, 5.0, 30.0)
+    assert pii.lowest_margin([easy, wrong], 0.95, 20, 25) == 2.5
+    assert pii.lowest_margin([easy, (2.0, 40, 40, 40.0, 40.0), wrong], 0.95, 20, 25) == 1.5
+    assert pii.lowest_margin([(4.0, 19, 19, 19.0, 19.0)], 0.95, 20, 25) is None
+    assert pii.lowest_margin([easy, (-0.5, 900, 900, 900.0, 900.0)], 0.95, 20, 25) == 2.0
+    assert pii.lowest_margin([], 0.95, 20, 25) is None
+
+
+def test_additions_pass_their_kinds_check(spark):
+    """Even a model that selects everything adds no parts of secrets, no cards that fail Luhn, no addresses above 255."""
+    everything = pii.Boosted((0.5,), (1.0,), dict.fromkeys(pii.KINDS, 0.0))
+    cases = {"card 4111.1111.1111.1111 ok": "card:5:24", "card 4111.1111.1111.1112 no": "", 'token = "ede43f42c939b6405768150aa"': "", "isbn 978 3161 484100 4": "", "x5d190bd7c06284de91015a36974748794293dd8a": "", "on 10[.]0[.]0[.]1 now": "ip:3:17", "on 10[.]0[.]300[.]1 now": "", "1 dot 2 dot 3 dot 4": "ip:0:19", "2001:db8:0:0:1:2:3:4 up": "ip:0:20"}
+    out = pii.detect(frame(spark, list(cases)), everything).select("text", pii.joined(F.filter("spans", lambda x: x["kind"] != "phone")).alias("s"))
+    assert {r.text: r.s for r in out.collect()} == cases
+
+
 def test_base32_digest():
     assert warc.base32_sha1(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ" and len(hashlib.sha1(b"").digest()) == 20

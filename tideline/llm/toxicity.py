@@ -4,8 +4,8 @@ The lexicon holds the words that labelled toxic documents have far more often
 than others. A word is matched by walking the lexicon's trie and the Levenshtein
 automata of all its terms together, one letter at a time, so misspellings
 within a bounded distance are found; a misspelling weighs what its term weighs,
-times how reliable matches of its distance are on rows that the lexicon has not
-seen.
+times how reliable matches of its distance to terms of that weight are on rows
+that the lexicon has not seen.
 Each match is judged by its window: between quotation marks or next to words
 that clean documents put around such terms it counts as quoted, and quoted
 matches can only lower the score. A logistic model over a document's sums gives
@@ -142,7 +142,7 @@ class Lexicon:
     benign: frozenset[str] = frozenset()
     context: dict[str, float] = field(default_factory=dict)
     window: int = 5
-    reliability: tuple[float, ...] = (1.0, 1.0, 1.0)
+    reliability: dict[tuple[int, float], float] = field(default_factory=dict)
 
     def __post_init__(self):
         self.stem_sizes = sorted({len(x) for x in self.stems}, reverse=True)
@@ -176,6 +176,10 @@ class Lexicon:
         a, b = self.fuzzy.match(word), self.fuzzy_stems.match(word)
         return min((x for x in (a, b) if x[0]), key=lambda x: (x[1], -x[0]), default=(0.0, 0))
 
+    def trust(self, weight: float, distance: int) -> float:
+        """How much of its term's weight a match counts: all, unless unseen clean rows have such matches."""
+        return self.reliability.get((distance, weight), 1.0)
+
     def memo(self) -> Memo:
         """Matches by token, for one task."""
         return Memo(self.weigh_token)
@@ -195,10 +199,10 @@ class Lexicon:
         return (opened and closed) or around > 1.0
 
     def features(self, text: str | None, known: Memo | None = None) -> tuple[float, ...]:
-        """FEATURES of a text. A match counts by its term's weight and the reliability of its distance."""
+        """FEATURES of a text. A match counts by its term's weight and the trust in such matches."""
         tokens, hits = self.hits(text, known)
-        plain = [w * self.reliability[d] for _, w, d, q in hits if not q]
-        quoted = sum(w * self.reliability[d] for _, w, d, q in hits if q)
+        plain = [w * self.trust(w, d) for _, w, d, q in hits if not q]
+        quoted = sum(w * self.trust(w, d) for _, w, d, q in hits if q)
         total = sum(plain)
         return float(np.log1p(total)), max(plain, default=0.0), float(np.log1p(100 * total / max(20, len(tokens)))), float(np.log1p(quoted))
 
@@ -274,34 +278,34 @@ def learn_lexicon(rows: DataFrame, least_gain: float = 3.0) -> Lexicon:
     return lexicon
 
 
-def learn_reliability(rows: DataFrame, lexicon: Lexicon, prior: float = 5.0, least: float = 0.02) -> tuple[float, ...]:
-    """For each distance, how telling a match of it is on unseen rows, as a share of what terms weigh on average.
+def learn_reliability(rows: DataFrame, lexicon: Lexicon, prior: float = 1.0, least: float = 0.02) -> dict[tuple[int, float], float]:
+    """By distance and term weight, how telling such misspellings are on unseen rows, as a share of what terms weigh on average.
 
-    ``prior`` documents speak for a share of 1, so where nothing is misspelt
-    misspellings count in full; it is never under ``least``.
+    Terms of one weight have the same counts, so they share an entry. Terms that
+    lie among clean texts' own words lose their misspellings and others keep
+    theirs: what some terms' neighbours are says nothing of the rest. ``prior``
+    documents speak for a share of 1, so a misspelling that unseen rows don't
+    have counts in full; a share is never under ``least``.
     """
     if not lexicon.terms:
-        return (1.0, 1.0, 1.0)
+        return {}
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
 
-    @F.pandas_udf("array<int>")
-    def distances(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("array<struct<d:int,w:double>>")
+    def misspelt(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = shared.value.memo()
         for texts in batches:
-            yield pd.Series([sorted({d for _, _, d, q in shared.value.hits(x, known)[1] if not q}) for x in texts], dtype=object)
+            yield pd.Series([[{"d": d, "w": w} for d, w in sorted({(d, w) for _, w, d, q in shared.value.hits(x, known)[1] if d and not q})] for x in texts], dtype=object)
 
-    seen = rows.select("toxic", distances("text").alias("d"))
-    seen = stage_table(rows.sparkSession, seen, "toxic-distances")
+    seen = stage_table(rows.sparkSession, rows.select("toxic", misspelt("text").alias("m")), "toxic-distances")
     totals = seen.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     bad, good = (totals[0] or 0) + 1, (totals[1] or 0) + 1
-    found = {r["d"]: (r["bad"], r["good"]) for r in seen.select("toxic", F.explode("d").alias("d")).groupBy("d").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).collect()}
-    mean, out = float(np.mean(list(lexicon.terms.values()))), [1.0]
-    for d in (1, 2):
-        b, g = found.get(d, (0, 0))
-        gain = np.log((b + 0.5) / bad) - np.log((g + 0.5) / good) if b + g else 0.0
-        share = ((b + g) * min(1.0, max(0.0, gain / mean)) + prior) / (b + g + prior)
-        out.append(max(least, float(share)))
-    return tuple(out)
+    mean, out = float(np.mean(list(lexicon.terms.values()))), {}
+    for r in seen.select("toxic", F.inline("m")).groupBy("d", "w").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).collect():
+        gain = np.log((r["bad"] + 0.5) / bad) - np.log((r["good"] + 0.5) / good)
+        n = r["bad"] + r["good"]
+        out[(r["d"], r["w"])] = max(least, float((n * min(1.0, max(0.0, gain / mean)) + prior) / (n + prior)))
+    return out
 
 
 def learn_context(rows: DataFrame, lexicon: Lexicon, least: int = 20) -> dict[str, float]:
