@@ -124,6 +124,28 @@ def test_knn_blocks_agree_with_one_product(spark):
     assert isinstance(got, pd.DataFrame)
 
 
+def test_balls_skip_cells_and_lose_nothing(spark):
+    """Clusters, equal vectors, zero vectors and rows without one: as one matrix product gives, though most cells are never met."""
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(12, 16))
+    x = np.concatenate([c + 0.05 * r.normal(size=(40, 16)) for c in centres] + [np.tile(centres[0], (5, 1)), np.zeros((3, 16))])
+    df = spark.createDataFrame([*((i, list(map(float, v))) for i, v in enumerate(x)), (900, None)], "id long, v array<double>")
+    near, work = V.ball_search(df.where("id % 3 = 0 or id >= 480"), df, "id", "v", 4, pivots=16, block=16, rows_a_pivot=20)
+    n = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+    s = np.round(n @ n.T, 12) + 0.0
+    want = {}
+    for i in [i for i in range(len(x)) if i % 3 == 0 or i >= 480]:
+        others = np.array([j for j in range(len(x)) if j != i])
+        want[i] = others[np.lexsort((others, -s[i, others]))[:4]].tolist()
+    got = near.toPandas().sort_values(["source_id", "neighbor_rank"]).groupby("source_id")["neighbor_id"].agg(list).to_dict()
+    # Equal vectors may differ in the last bit of their products, so similarities are held against each other, not names.
+    assert got.keys() == want.keys()
+    assert all(np.allclose(s[i, got[i]], s[i, want[i]], atol=1e-11) and len(set(got[i])) == 4 for i in want)
+    met = work.where("source_id < 480").agg({"n_visited": "avg", "n_cells": "max"}).first()
+    assert met["avg(n_visited)"] < 0.4 * met["max(n_cells)"]
+    assert V.cosine_knn(df, df.where("id < 0"), "id", "v", 4).count() == 0
+
+
 def test_late_rows_are_dropped_by_the_stream(spark, tmp_path):
     """Files come one by one; a row for a slot that the watermark has passed changes nothing, and open slots are not written."""
     from datetime import datetime

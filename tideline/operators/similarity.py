@@ -1,4 +1,4 @@
-"""Similarity of embeddings: exact cosine neighbours in blocks, and what they say about labels; and SVD by Gram sums."""
+"""Similarity of embeddings: exact cosine neighbours by balls around pivots, and what they say about labels; and SVD by Gram sums."""
 
 from __future__ import annotations
 
@@ -9,40 +9,158 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.sources.shared import staged
 
-def _blocks(df: DataFrame, id_: str, vector: str, rows: int, total: int, prefix: str) -> DataFrame:
-    """Rows of about ``rows`` vectors each: ids and vectors as arrays."""
-    df = df.where(F.col(vector).isNotNull())
-    block = F.pmod(F.xxhash64(id_), F.lit(max(1, -(-total // rows)))).alias("block")
-    packed = df.select(block, F.struct(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).alias("x"))
-    return packed.groupBy("block").agg(F.collect_list("x").alias("x")).select(F.col("x.id").alias(f"{prefix}_ids"), F.flatten("x.v").alias(f"{prefix}_flat"))
 
+BAND = 0.25  # radians; at most 13 bands around a pivot
+NEAR = "source_id long, neighbor_id long, similarity double"
 
-def cosine_knn(queries: DataFrame, table: DataFrame, id_: str, vector: str, k: int, block: int = 1024) -> DataFrame:
-    """The k nearest rows of each query by cosine similarity (itself left out), ties by id: exact.
 
-    Queries and rows meet as blocks of vectors, one matrix product for each
-    pair of blocks; only the k best of a query leave a pair. A zero vector is
-    similar to nothing (similarity 0). Rows without a vector are left out.
-    """
-    q = _blocks(queries, id_, vector, block, queries.count(), "q")
-    t = _blocks(table, id_, vector, block, table.count(), "t")
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(float)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+
+
+def _pivots(table: DataFrame, id_: str, vector: str, pivots: int) -> np.ndarray:
+    """Unit vectors far from each other, each the farthest from those before, of the first 32 rows a pivot by a hash of the id."""
+    rows = table.orderBy(F.xxhash64(id_), id_).limit(32 * pivots).select(F.col(vector).cast("array<double>").alias("v")).toPandas()
+    if rows.empty:
+        return np.empty((0, 0))
+    x = _unit(rows["v"])
+    x = x[np.linalg.norm(x, axis=1) > 0.5]
+    chosen, nearest = [], np.full(len(x), -2.0)
+    while len(chosen) < min(pivots, len(x)) and (not chosen or nearest.min() < 1 - 1e-9):
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, x @ x[chosen[-1]])
+    return x[chosen] if chosen else np.empty((0, len(rows["v"].iloc[0])))
 
-    def meet(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _placed(df: DataFrame, id_: str, vector: str, pivots: np.ndarray) -> DataFrame:
+    """id, unit vector, the nearest pivot and the angle to it. A zero vector has pivot -1 and angle 0."""
+
+    def place(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for q_ids, q_flat, t_ids, t_flat in batch.itertuples(index=False):
-                a, b = (np.asarray(x, float).reshape(len(n), -1) for x, n in ((q_flat, q_ids), (t_flat, t_ids)))
-                a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30) for x in (a, b))
-                s, t_ids = a @ b.T, np.asarray(t_ids)
-                for i, own in enumerate(q_ids):
-                    s[i, t_ids == own] = -2
-                    best = np.lexsort((t_ids, -np.round(s[i], 12)))[:k]
-                    best = best[s[i, best] > -2]
-                    yield pd.DataFrame({"source_id": own, "neighbor_id": t_ids[best], "similarity": s[i, best]})
-
-    pairs = q.crossJoin(t).mapInPandas(meet, "source_id long, neighbor_id long, similarity double")
+            if len(batch):
+                x = _unit(batch["v"])
+                s = x @ pivots.T if len(pivots) else np.zeros((len(x), 1))
+                zero = np.linalg.norm(x, axis=1) < 0.5
+                angle = np.arccos(np.clip(s.max(1), -1, 1))
+                yield pd.DataFrame({"id": batch["id"], "v": list(x), "pivot": np.where(zero, -1, s.argmax(1)), "angle": np.where(zero, 0.0, angle)})
+
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    return rows.mapInPandas(place, "id long, v array<double>, pivot int, angle double")
+
+
+def _bounds(x: np.ndarray, cells: pd.DataFrame, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each query and cell, the largest similarity that a row of the cell may have, and the angle to its pivot.
+
+    By the triangle inequality of angles a row at angle r from the pivot lies at
+    least |a - r| from a query at angle a. Zero vectors are similar to nothing.
+    """
+    number = cells["pivot"].to_numpy()
+    angle = np.arccos(np.clip(x @ pivots.T, -1, 1))[:, np.maximum(number, 0)] if len(pivots) else np.zeros((len(x), len(cells)))
+    apart = np.maximum(0, np.maximum(angle - cells["hi"].to_numpy(), cells["lo"].to_numpy() - angle))
+    none = (np.linalg.norm(x, axis=1) < 0.5)[:, None] | (number < 0)[None, :]
+    return np.where(none, 0.0, np.cos(apart)), angle
+
+
+def _met(queries: DataFrame, rows: DataFrame, k: int, block: int) -> DataFrame:
+    """The k best rows of each query in each block of the cells it goes to, none below its least similarity.
+
+    ``queries`` has cell, id, v and least; ``rows`` has cell, id and v. A cell
+    becomes a grid of blocks of about ``block`` queries by ``block`` rows, so no
+    task holds a whole cell.
+    """
+    n_q, n_t = (df.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias(n)) for df, n in ((queries, "n_q"), (rows, "n_t")))
+    grid = F.broadcast(n_q.join(n_t, "cell"))  # one row for each cell
+
+    def dealt(df: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64("id"), F.col(own_n)).cast("int").alias(own)
+        return df.join(grid, "cell").select("cell", *(c for c in ("id", "v", "least") if c in df.columns), mine, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)).alias(other))
+
+    a, b = dealt(queries, "i", "n_q", "j", "n_t"), dealt(rows, "j", "n_t", "i", "n_q")
+
+    def meet(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"source_id": np.empty(0, np.int64), "neighbor_id": np.empty(0, np.int64), "similarity": np.empty(0)})]
+        if len(q) and len(t):
+            t = t.sort_values("id")
+            ids, vectors = t["id"].to_numpy(), np.stack(t["v"].to_numpy())
+            for at in range(0, len(q), 512):
+                part = q.iloc[at : at + 512]
+                s = np.stack(part["v"].to_numpy()) @ vectors.T
+                s[part["id"].to_numpy()[:, None] == ids[None, :]] = -2
+                for own, least, x in zip(part["id"], part["least"], s, strict=True):
+                    likely = np.flatnonzero(x >= max(least, -1.5))
+                    if len(likely) > k:  # those that may be among the k best, ties by id with them
+                        kth = np.partition(x[likely], len(likely) - k)[len(likely) - k]
+                        likely = likely[x[likely] >= kth - 1e-11]
+                    best = likely[np.lexsort((ids[likely], -np.round(x[likely], 12)))[:k]]
+                    out.append(pd.DataFrame({"source_id": own, "neighbor_id": ids[best], "similarity": x[best]}))
+        return pd.concat(out)
+
+    keys = ("cell", "i", "j")
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(meet, NEAR)
+
+
+def _best(near: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("source_id").orderBy(F.desc(F.round("similarity", 12)), "neighbor_id")
-    return pairs.withColumn("neighbor_rank", F.row_number().over(w).cast("long")).where(F.col("neighbor_rank") <= k)
+    return near.withColumn("neighbor_rank", F.row_number().over(w).cast("long")).where(F.col("neighbor_rank") <= k)
+
+
+def ball_search(queries: DataFrame, table: DataFrame, id_: str, vector: str, k: int, pivots: int = 64, block: int = 4096, rows_a_pivot: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """The rows of cosine_knn, and source_id, n_cells and n_visited: how many cells a query had to meet.
+
+    Rows lie in cells: a pivot, and a band of angles around it. A query first
+    meets one cell near to it with more than k rows, which gives a k-th best
+    similarity; then it meets only those cells whose bound reaches that. What
+    reaches the driver is the pivots (one for ``rows_a_pivot`` rows, ``pivots``
+    at most) and one row for each cell, however many rows there are. Vectors without any structure lie at much the same angle
+    from all pivots, and then nearly every cell has to be met.
+    """
+    spark = table.sparkSession
+    known = table.where(F.col(vector).isNotNull())
+    centres = _pivots(known, id_, vector, max(1, min(pivots, known.count() // rows_a_pivot)))
+    rows = staged(_placed(table, id_, vector, centres).withColumn("band", F.floor(F.col("angle") / BAND).cast("int")), "ball-rows")
+    cells = rows.groupBy("pivot", "band").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count("*").alias("n")).orderBy("pivot", "band").toPandas()
+    if cells.empty:
+        return spark.createDataFrame([], NEAR + ", neighbor_rank long"), spark.createDataFrame([], "source_id long, n_cells long, n_visited long")
+    cells["cell"] = np.arange(len(cells))
+    numbered = F.broadcast(spark.createDataFrame(cells[["pivot", "band", "cell"]], "pivot int, band int, cell int"))
+    rows = rows.join(numbered, ["pivot", "band"]).select("cell", "id", "v")
+
+    def home(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                bound, angle = _bounds(np.stack(batch["v"].to_numpy()), cells, centres)
+                liked = np.where(cells["n"].to_numpy() > k, bound - 0.01 * angle, -9.0)
+                yield batch.assign(cell=liked.argmax(1))[["id", "v", "cell"]]
+
+    asked = staged(_placed(queries, id_, vector, centres).select("id", "v").mapInPandas(home, "id long, v array<double>, cell int").dropDuplicates(["id"]), "ball-queries")
+    first = staged(_met(asked.withColumn("least", F.lit(-2.0)), rows, k, block), "ball-first")
+    kth = _best(first, k).where(F.col("neighbor_rank") == k).select(F.col("source_id").alias("id"), (F.col("similarity") - 1e-9).alias("least"))
+    asked = asked.join(kth, "id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
+
+    def others(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                bound, _ = _bounds(np.stack(batch["v"].to_numpy()), cells, centres)
+                reach = bound >= batch["least"].to_numpy()[:, None]
+                reach[np.arange(len(batch)), batch["cell"]] = False
+                yield batch.assign(cells=[np.flatnonzero(x) for x in reach])[["id", "v", "least", "cells"]]
+
+    going = staged(asked.mapInPandas(others, "id long, v array<double>, least double, cells array<int>"), "ball-visits")
+    second = _met(going.select("id", "v", "least", F.explode("cells").alias("cell")), rows, k, block)
+    work = going.select(F.col("id").alias("source_id"), F.lit(len(cells)).cast("long").alias("n_cells"), (F.size("cells") + 1).cast("long").alias("n_visited"))
+    return _best(first.unionByName(second), k), work
+
+
+def cosine_knn(queries: DataFrame, table: DataFrame, id_: str, vector: str, k: int, pivots: int = 64, block: int = 4096) -> DataFrame:
+    """The k nearest rows of each query by cosine similarity (itself left out), ties by id: exact, by ball_search.
+
+    A zero vector is similar to nothing (similarity 0). Rows without a vector
+    are left out; no rows give none. Ids are distinct, in queries and in rows.
+    """
+    return ball_search(queries, table, id_, vector, k, pivots, block)[0]
 
 
 def neighbor_purity(neighbors: DataFrame, labels: DataFrame, id_: str, label: str) -> DataFrame:
