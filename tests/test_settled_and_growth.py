@@ -50,3 +50,23 @@ def test_equal_totals_share_a_rank_and_have_no_z(spark, events):
     assert got == want
     got.sort(key=lambda r: r["day"])
     assert [r["percentile_rank"] for r in got] == [0.8, 0.8, 1.0, 0.2, 0.8] and [r["z"] for r in got[:3]] == [None] * 3
+
+
+@pytest.fixture(scope="module")
+def orders(spark, tmp_path_factory):
+    """Five orders of one customer, two of an amount of 0.6 by other orders of their lines, and a customer without any."""
+    folder = tmp_path_factory.mktemp("orders")
+    lines = {1: (0.1,), 2: (0.2,), 3: (0.3,), 4: (0.3, 0.2, 0.1), 5: (0.1, 0.2, 0.3)}
+    spark.createDataFrame([(1,), (2,)], "c_custkey long").write.parquet(f"{folder}/customer.parquet")
+    spark.createDataFrame([(k, 1, "1-URGENT", START + timedelta(days=k)) for k in lines], "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate timestamp_ntz").write.parquet(f"{folder}/orders.parquet")
+    rows = [(k, 20.0 + 10 * i, v, "A") for k, values in lines.items() for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "l_orderkey long, l_quantity double, l_extendedprice double, l_returnflag string").coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+def test_a_plan_without_templates_has_no_scores(spark, orders):
+    got, want = both(spark, orders, "r07_reject_plans")
+    assert got == want and len(got) == 30
+    empty = [r for r in got if r["o_custkey"] == 2]
+    assert len(empty) == 15 and all((r["n_filled"], r["robust"], r["fragility"], r["fit"]) == (0, None, None, None) for r in empty)
+    assert {r["reasons"] for r in empty} == {"incomplete_horizon;missing_small;missing_large"}

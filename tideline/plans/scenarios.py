@@ -14,6 +14,8 @@ from tideline.sources.shared import staged
 
 TEMPLATES = """t0 AS (SELECT o_orderkey AS template_id, o_custkey, o_orderpriority AS slot, CAST(o_orderdate AS DATE) AS day, count(*) AS size, count(DISTINCT l_returnflag) AS kinds, sum(l_extendedprice) AS amount FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3, 4),
  sl AS (SELECT slot, count(*) AS n FROM t0 GROUP BY 1), templates AS (SELECT t0.*, n / (SELECT count(*) FROM t0)::DOUBLE AS support FROM t0 JOIN sl USING (slot)), usual AS (SELECT o_custkey, avg(amount) AS usual_amount, avg(size)::DOUBLE AS usual_size FROM templates GROUP BY 1)"""
+# As in fusion: amounts that are compared with quantiles of amounts are settled first, and so are the quantiles.
+SETTLED_TEMPLATES = TEMPLATES.replace("sum(l_extendedprice)", "round(sum(l_extendedprice), 6)")
 SCORE = "least(greatest(0.30 * least(greatest(1 - abs(amount * factor - usual_amount) / greatest(usual_amount, 1), 0), 1) + 0.15 * least(greatest(1 - abs(greatest(size + shift, 1) - usual_size) / greatest(usual_size, 1), 0), 1) + 0.15 * least(greatest(kinds / greatest(size + shift, 1)::DOUBLE, 0), 1) + 0.25 * support + 0.15 * (1 - support), 0), 1)"
 GRID = "g AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {f}::DOUBLE, {s})" for n, f, s in C.STRESSES) + ") v(stress, factor, shift))"
 
@@ -28,6 +30,11 @@ def templates(spark, d) -> DataFrame:
     return t.join(n.crossJoin(F.broadcast(total)).select("slot", (F.col("n") / F.col("total")).alias("support")), "slot")
 
 
+def settled(t: DataFrame) -> DataFrame:
+    """Templates with amounts that don't depend on the order in which they were summed."""
+    return t.withColumn("amount", F.round("amount", 6))
+
+
 def stressed(spark, d) -> DataFrame:
     return C.score_under_stress(C.with_usual(templates(spark, d), ["o_custkey"]))
 
@@ -78,18 +85,20 @@ PLAN_SLOTS = f"""{PLAN_TEMPLATES}, hz AS (SELECT unnest([{", ".join(map(str, P.H
  rk AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, is_weekend, season, strategy ORDER BY score DESC, template_id) AS rank, least(count(*) OVER (PARTITION BY o_custkey, is_weekend, season, strategy), {P.CYCLE}) AS n FROM sc),
  sg AS (SELECT unnest([{", ".join(repr(x) for x in P.PLAN_STRATEGIES)}]) AS strategy), slots AS (SELECT dk.o_custkey, sg.strategy, horizon, slot_no, planned_date, dayname(planned_date) AS planned_day_of_week, CAST(rank AS INTEGER) AS rank, template_id, score FROM dk CROSS JOIN sg LEFT JOIN rk ON rk.o_custkey = dk.o_custkey AND rk.is_weekend = dk.is_weekend AND rk.season = dk.season AND rk.strategy = sg.strategy AND rk.rank = slot_no % n + 1)"""
 
+SETTLED_SLOTS = PLAN_SLOTS.replace(TEMPLATES, SETTLED_TEMPLATES).replace("quantile_cont(amount, 0.05) AS lo, quantile_cont(amount, 0.95) AS hi", "round(quantile_cont(amount, 0.05), 6) AS lo, round(quantile_cont(amount, 0.95), 6) AS hi")
 
-def plan_inputs(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+
+def plan_inputs(spark, d, settle: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Templates with all that plans ask of them (staged), all customers, and the day after the last order."""
-    t = templates(spark, d)
+    t = settled(templates(spark, d)) if settle else templates(spark, d)
     li = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("template_id")).agg(F.bool_or(F.col("l_quantity") <= 25).alias("has_small"), F.bool_or(F.col("l_quantity") > 25).alias("has_large"))
-    band = E.exact_quantiles(t, [], "amount", [0.05, 0.95]).select("q")
+    band = E.exact_quantiles(t, [], "amount", [0.05, 0.95]).select(F.transform("q", lambda x: F.round(x, 6)).alias("q") if settle else "q")
     full = C.with_usual(t, ["o_custkey"]).join(li, "template_id").crossJoin(F.broadcast(band)).withColumn("is_core", F.col("amount").between(F.col("q")[0], F.col("q")[1])).drop("q")
     return staged(full, "plan-templates"), load(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")), t.agg(F.date_add(F.max("day"), 1).alias("start"))
 
 
-def plan_of(spark, d) -> tuple[DataFrame, DataFrame]:
-    t, customers, start = plan_inputs(spark, d)
+def plan_of(spark, d, settle: bool = False) -> tuple[DataFrame, DataFrame]:
+    t, customers, start = plan_inputs(spark, d, settle)
     return t, P.plan_slots(t, customers, start, "o_custkey", least_day=3, least_season=2, least_core=2)
 
 
@@ -100,16 +109,17 @@ def r06_plan_slots(spark, d):
 
 
 def _stress_sql() -> str:
-    scores = ", ".join(f"avg({_share(C.WEIGHTS, f, s)}) AS s{i}" for i, (_, f, s) in enumerate(C.STRESSES))
+    """Means over the filled dates; a plan without any has none. least() and greatest() skip nulls, so empty dates are left out by a filter."""
+    scores = ", ".join(f"avg({_share(C.WEIGHTS, f, s)}) FILTER (template_id IS NOT NULL) AS s{i}" for i, (_, f, s) in enumerate(C.STRESSES))
     fits = " + ".join(_share({"amount_fit": 1.0}, f, s) for _, f, s in C.STRESSES)
-    return f"{scores}, avg(({fits}) / {len(C.STRESSES)}) AS fit"
+    return f"{scores}, avg(({fits}) / {len(C.STRESSES)}) FILTER (template_id IS NOT NULL) AS fit"
 
 
 _S = [f"s{i}" for i in range(len(C.STRESSES))]
 _LIMIT = {k: "CASE " + " ".join(f"WHEN horizon <= {row[0]} THEN {row[k]}" for row in P.PLAN_LIMITS) + " END" for k in (1, 2, 3)}
 
 
-@query(f"""WITH {PLAN_SLOTS}, x AS (SELECT s.*, f.* EXCLUDE (template_id, o_custkey, slot), f.slot AS signature FROM slots s LEFT JOIN full_t f USING (template_id)),
+@query(f"""WITH {SETTLED_SLOTS}, x AS (SELECT s.*, f.* EXCLUDE (template_id, o_custkey, slot), f.slot AS signature FROM slots s LEFT JOIN full_t f USING (template_id)),
  g AS (SELECT o_custkey, strategy, horizon, count(template_id) AS n_filled, bool_and(is_core) AS in_band, bool_and(coalesce(has_small, false)) AS has_small, bool_and(coalesce(has_large, false)) AS has_large, {_stress_sql()} FROM x GROUP BY 1, 2, 3),
  c1 AS (SELECT o_custkey, strategy, horizon, max(n) AS most_t FROM (SELECT o_custkey, strategy, horizon, template_id, count(*) AS n FROM x WHERE template_id IS NOT NULL GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3), c2 AS (SELECT o_custkey, strategy, horizon, max(n) AS most_s FROM (SELECT o_custkey, strategy, horizon, signature, count(*) AS n FROM x WHERE template_id IS NOT NULL GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
  c3 AS (SELECT DISTINCT a.o_custkey, a.strategy, a.horizon, true AS again FROM x a JOIN x b ON a.o_custkey = b.o_custkey AND a.strategy = b.strategy AND a.horizon = b.horizon AND a.signature = b.signature AND b.slot_no < a.slot_no AND b.slot_no >= a.slot_no - {_LIMIT[3].replace("horizon", "a.horizon")}),
@@ -120,7 +130,7 @@ _LIMIT = {k: "CASE " + " ".join(f"WHEN horizon <= {row[0]} THEN {row[k]}" for ro
  SELECT o_custkey, strategy, horizon, n_filled, round(robust + 1e-9, 5) AS robust, round(fragility + 1e-9, 5) AS fragility, round(fit + 1e-9, 5) AS fit, reasons, reasons = '' AS promoted FROM y""")
 def r07_reject_plans(spark, d):
     """All reasons against each plan of r06_plan_slots, with its robust score, fragility and fit under eight stresses."""
-    t, slots = plan_of(spark, d)
+    t, slots = plan_of(spark, d, settle=True)
     facts = P.under_stress(t).join(t.select("template_id", F.col("slot").alias("signature"), "amount", "is_core", "has_small", "has_large"), "template_id")
     required = ["has_small", "has_large"]
     judged = P.rejection_reasons(P.plan_summary(slots, facts, "o_custkey", required), required)
