@@ -70,3 +70,9 @@ def test_a_plan_without_templates_has_no_scores(spark, orders):
     empty = [r for r in got if r["o_custkey"] == 2]
     assert len(empty) == 15 and all((r["n_filled"], r["robust"], r["fragility"], r["fit"]) == (0, None, None, None) for r in empty)
     assert {r["reasons"] for r in empty} == {"incomplete_horizon;missing_small;missing_large"}
+
+
+def test_equal_amounts_meet_a_pressure_alike(spark, orders):
+    got, want = both(spark, orders, "r11_r12_rerank")
+    assert got == want
+    assert {r["template_id"]: r["adjusted"] for r in got}[4] == {r["template_id"]: r["adjusted"] for r in got}[5]

@@ -161,11 +161,11 @@ def r09_r10_next_item(spark, d):
     return s.select("slot", "kinds", "n", F.round("share", 6).alias("share"), F.round(score + 1e-9, 6).alias("score"), place.cast("long").alias("place"))
 
 
-@query(f"WITH {TEMPLATES}, x AS (SELECT avg(amount) AS mean_amount, coalesce(CAST(NULL AS DOUBLE), quantile_cont(amount, 0.75)) AS pressure FROM templates), s AS (SELECT template_id, o_custkey, support * CASE WHEN pressure > mean_amount THEN 0.6 ELSE 0.8 END + CASE WHEN amount > pressure THEN -0.1 ELSE 0.1 END AS adjusted FROM templates, x) SELECT template_id, round(adjusted + 1e-9, 6) AS adjusted, row_number() OVER (PARTITION BY o_custkey ORDER BY round(adjusted, 6) DESC, template_id) AS place FROM s")
+@query(f"WITH {SETTLED_TEMPLATES}, x AS (SELECT avg(amount) AS mean_amount, coalesce(CAST(NULL AS DOUBLE), round(quantile_cont(amount, 0.75), 6)) AS pressure FROM templates), s AS (SELECT template_id, o_custkey, support * CASE WHEN pressure > mean_amount THEN 0.6 ELSE 0.8 END + CASE WHEN amount > pressure THEN -0.1 ELSE 0.1 END AS adjusted FROM templates, x) SELECT template_id, round(adjusted + 1e-9, 6) AS adjusted, row_number() OVER (PARTITION BY o_custkey ORDER BY round(adjusted, 6) DESC, template_id) AS place FROM s")
 def r11_r12_rerank(spark, d):
     """Ranks under a pressure that is one row of context, which a caller may override."""
-    t = templates(spark, d)
-    quarter = E.exact_quantiles(t, [], "amount", [0.75]).select(F.coalesce(F.lit(None).cast("double"), F.col("q")[0]).alias("pressure"))
+    t = settled(templates(spark, d))
+    quarter = E.exact_quantiles(t, [], "amount", [0.75]).select(F.coalesce(F.lit(None).cast("double"), F.round(F.col("q")[0], 6)).alias("pressure"))
     x = t.agg(F.avg("amount").alias("mean_amount")).crossJoin(quarter)
     adjusted = F.col("support") * F.when(F.col("pressure") > F.col("mean_amount"), 0.6).otherwise(0.8) + F.when(F.col("amount") > F.col("pressure"), -0.1).otherwise(0.1)
     s = t.crossJoin(F.broadcast(x)).select("template_id", "o_custkey", adjusted.alias("a"))
