@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import duckdb
 import pytest
 
+from tideline.operators import timeseries as TS
 from tideline.plans import registry
 
 START = datetime(2024, 1, 1, 8)
@@ -76,3 +77,20 @@ def test_equal_amounts_meet_a_pressure_alike(spark, orders):
     got, want = both(spark, orders, "r11_r12_rerank")
     assert got == want
     assert {r["template_id"]: r["adjusted"] for r in got}[4] == {r["template_id"]: r["adjusted"] for r in got}[5]
+
+
+@pytest.fixture(scope="module")
+def sparse(spark):
+    """A gap of a year beside a single slot, a slot without a value, and rows without an entity."""
+    rows = [(1, START, 1.0), (1, START + timedelta(minutes=30), None), (1, START + timedelta(days=365), 2.0), (2, START, 3.0), (None, START, 4.0), (None, START + timedelta(minutes=15), 5.0), (3, None, 6.0)]
+    return spark.createDataFrame(rows, "e long, slot timestamp_ntz, v double")
+
+
+def test_steps_between_rows_are_made_without_a_join(sparse):
+    grid = TS.slot_spine(sparse, "e", "slot")
+    assert "Join" not in grid._jdf.queryExecution().executedPlan().toString()
+    got = {(r["e"], r["slot"]): r["v"] for r in grid.collect()}
+    assert len(got) == 365 * 96 + 1 + 1 + 2
+    assert {k: v for k, v in got.items() if v is not None} == {(1, START): 1.0, (1, START + timedelta(days=365)): 2.0, (2, START): 3.0}
+    days = TS.spine(sparse.selectExpr("e", "cast(slot as date) as day", "v").where("v in (1, 2, 3)"), "e", "day")
+    assert days.count() == 366 + 1 and days.where("v is not null").count() == 3 and dict(days.dtypes)["day"] == "date"

@@ -23,18 +23,28 @@ CHUNK_ROWS = 1 << 18  # an entity with more rows is cut into chunks of time
 CHUNKS = 256
 
 
+def _spread(df: DataFrame, e: str, t: str, step: str, held: Sequence[str] = ()) -> DataFrame:
+    """Each row, and rows without values for the steps up to the entity's next row; ``held`` columns keep theirs.
+
+    Only the given rows are shuffled; the steps between them are made where
+    their row lies, so nothing of the grid's size is moved, sorted or joined.
+    """
+    known = df.where(F.col(t).isNotNull()).withColumn("_next", F.lead(t).over(by(e, t)))
+    last = F.greatest(F.col(t), (F.col("_next") - F.expr(step)).cast(df.schema[t].dataType))
+    steps = known.select("*", F.posexplode(F.sequence(F.col(t), last, F.expr(step))).alias("_nth", "_step"))
+    # Rows without an entity span a grid, but their values belong to nobody.
+    own, first = F.col(e).isNotNull(), F.col("_nth") == 0
+    return steps.select(e, F.col("_step").alias(t), *(F.when(own if c in held else own & first, F.col(c)).alias(c) for c in df.columns if c not in (e, t)))
+
+
 def spine(df: DataFrame, e: str, day: str) -> DataFrame:
     """A row for each entity and day from its first to its last; values are null where a day had none."""
-    ends = df.groupBy(e).agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
-    days = ends.select(e, F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias(day))
-    return days.join(df, [e, day], "left")
+    return _spread(df, e, day, "interval 1 day")
 
 
-def slot_spine(df: DataFrame, e: str, slot: str, minutes: int = 15) -> DataFrame:
-    """As spine, with slots of some minutes."""
-    ends = df.groupBy(e).agg(F.min(slot).alias("lo"), F.max(slot).alias("hi"))
-    slots = ends.select(e, F.explode(F.sequence("lo", "hi", F.expr(f"interval {minutes} minutes"))).alias(slot))
-    return slots.join(df, [e, slot], "left")
+def slot_spine(df: DataFrame, e: str, slot: str, minutes: int = 15, held: Sequence[str] = ()) -> DataFrame:
+    """As spine, with slots of some minutes, on one grid; ``held`` columns keep their value up to the next slot that has a row."""
+    return _spread(df, e, slot, f"interval {minutes} minutes", held)
 
 
 def by(e: str | Sequence[str], *order) -> Window:
