@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tideline.operators import timeseries as TS
 from tideline.plans import registry
@@ -107,3 +108,16 @@ def test_fill_moves_hours_and_not_slots(spark, events):
     assert got == want and len(got) == 4 * 96 + 1
     plan = registry.QUERIES["j07_ffill_align"](spark, str(events))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.index("Generate") < plan.index("Exchange")  # printed from the last step to the first
+
+
+def test_personal_data_is_learned_from_all_documents(spark, monkeypatch):
+    from tideline.llm import pii
+
+    seen = []
+    rows = pii.learning_rows
+    monkeypatch.setattr(pii, "learning_rows", lambda docs: seen.append(docs) or rows(docs))
+    texts = ["write to ann.lee@mail%d.example.com or call +49 151 234 56%03d", "host 10.0.%d.7 has no %03d mail", "plain words only"]
+    docs = spark.range(60_000).selectExpr("id as doc_id").withColumn("text", F.lit(None).cast("string"))
+    few = spark.createDataFrame([(60_000 + i, t % ((i, i) if "%" in t else ())) for i in range(150) for t in texts[i % 3 : i % 3 + 1]], "doc_id long, text string")
+    model = pii.learn(docs.unionByName(few), rounds=2)
+    assert model.trees and seen[0].where("text is not null").count() == 150 and seen[0].count() == 60_150

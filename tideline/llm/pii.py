@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import in_sample, sample_share, stage_table
+from tideline.llm.common import stage_table
 
 KINDS = ("email", "ip", "card", "phone")
 # Base patterns. Possessive repeats and the look-behind give the same matches without rescanning long runs.
@@ -50,6 +50,7 @@ SPELLED = r"(?i)[\[(](?:at|dot|@|\.)[\])]|\b(?:at|dot)\b"
 CAPITAL = r"\.[A-Z][a-z]"
 BARE_AT = r"(?i)^(?!.* dot | ?.*[\[(]dot[\])]).* at "
 BLOCK = 256
+ROWS_A_TASK = 100_000  # distinct learning rows
 
 
 def _spans(text: Column, kind: str, pattern: str, needs: str) -> Column:
@@ -301,9 +302,11 @@ def lowest_margin(rows: list[tuple[float, int, int, float, float]], precision: f
     return best
 
 
-def learn(docs: DataFrame, max_docs: int = 8_000, rounds: int = 24, depth: int = 4, precision: float = 0.95, least_support: int = 20, window: int = 50) -> Boosted:
-    """Boosted trees and thresholds from learning_rows of a sample of about ``max_docs`` documents.
+def learn(docs: DataFrame, rounds: int = 24, depth: int = 4, precision: float = 0.95, least_support: int = 20, window: int = 50) -> Boosted:
+    """Boosted trees and thresholds from learning_rows of all documents.
 
+    Equal rows are one row with their number as its weight, so what the trees
+    read is the distinct forms of proposals, whatever the number of documents.
     A kind's threshold is the lowest_margin of its held-out proposals that are
     admissible; a kind with less support than asked gets none, and then only
     its base spans are found.
@@ -313,18 +316,20 @@ def learn(docs: DataFrame, max_docs: int = 8_000, rounds: int = 24, depth: int =
     from pyspark.ml.functions import vector_to_array
 
     spark = docs.sparkSession
-    share = sample_share(docs.count(), max_docs)
-    rows = stage_table(spark, learning_rows(docs.where(in_sample("doc_id", share))).withColumn("label", F.col("right").cast("double")), "pii-proposals")
+    rows = learning_rows(docs).groupBy("held", "kind", "right", "weight", *FEATURES).agg(F.count("*").alias("n"))
+    rows = stage_table(spark, rows.withColumn("label", F.col("right").cast("double")).withColumn("times", F.col("n").cast("double")), "pii-proposals")
     kinds = {r["label"] for r in rows.where("not held").select("label").distinct().collect()}
     if len(kinds) < 2:
         return Boosted((), (), {})
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-    # The sample is bounded, and every level of every tree is a job of its own: few tasks each.
-    model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7).fit(data.where("not held").coalesce(2))
+    # Every level of every tree is a job of its own: few tasks each, but more of them where there are more rows.
+    learned = data.where("not held").coalesce(2 + rows.where("not held").count() // ROWS_A_TASK)
+    model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7, weightCol="times").fit(learned)
     draft = Boosted(tuple(_tree(t._call_java("rootNode")) for t in model.trees), tuple(map(float, model.treeWeights)), {})
     held = model.transform(data.where("held").where(admissible({c: F.col(c) for c in ("kind", *FEATURES)})))
-    held = held.select("kind", "right", "weight", F.round(vector_to_array("rawPrediction")[1], 3).alias("margin")).groupBy("kind", "margin")
-    held = held.agg(F.count_if("right").alias("right"), F.count("*").alias("n"), F.sum(F.when(F.col("right"), F.col("weight")).otherwise(0.0)).alias("weight_right"), F.sum("weight").alias("weight")).collect()
+    held = held.select("kind", "right", "weight", "n", F.round(vector_to_array("rawPrediction")[1], 3).alias("margin")).groupBy("kind", "margin")
+    right, weight = F.col("right"), F.col("weight") * F.col("n")
+    held = held.agg(F.sum(F.when(right, F.col("n")).otherwise(0)).alias("right"), F.sum("n").alias("n"), F.sum(F.when(right, weight).otherwise(0.0)).alias("weight_right"), F.sum(weight).alias("weight")).collect()
     found = {k: lowest_margin([(r["margin"], r["right"], r["n"], r["weight_right"], r["weight"]) for r in held if r["kind"] == k], precision, least_support, window) for k in KINDS}
     return Boosted(draft.trees, draft.weights, {k: t for k, t in found.items() if t is not None})
 
