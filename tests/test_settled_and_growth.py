@@ -1,11 +1,13 @@
 """Queries on tables whose sums, ties or missing rows told the query and its SQL apart, and steps whose work must not outgrow the input."""
 
+from collections import Counter
 from datetime import datetime, timedelta
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tideline.llm import packing
 from tideline.operators import timeseries as TS
 from tideline.plans import registry
 
@@ -121,3 +123,19 @@ def test_personal_data_is_learned_from_all_documents(spark, monkeypatch):
     few = spark.createDataFrame([(60_000 + i, t % ((i, i) if "%" in t else ())) for i in range(150) for t in texts[i % 3 : i % 3 + 1]], "doc_id long, text string")
     model = pii.learn(docs.unionByName(few), rounds=2)
     assert model.trees and seen[0].where("text is not null").count() == 150 and seen[0].count() == 60_150
+
+
+@pytest.mark.parametrize(("pairs", "equal"), [(49, 0), (51, 0), (55, 0), (0, 300)])
+def test_packing_is_searched_alike_however_many_lengths_and_pieces(pairs, equal, caplog):
+    """Fourteen pieces that only the exhaustive search puts into four sequences, beside rows of two or three pieces that fill one: 98 to 110 lengths fit beside the largest, or there are 614 pieces."""
+    pieces = Counter(17 * x for x in [30, 30, 27, 25, 21, 20, 16, 16, 15, 11, 10, 8, 5, 5])
+    for a in range(75 - pairs, 75):
+        pieces.update([870, a, 150 - a])
+    pieces.update({1019: equal, 1: equal} if equal else {})
+    plan = packing.complete_bins(pieces, 1020)
+    assert sum((Counter({x: k * n for x, k in Counter(f).items()}) for f, n in plan), Counter()) == pieces and all(sum(f) <= 1020 for f, _ in plan)
+    assert sum(n for _, n in plan) == 4 + pairs + equal and not caplog.records
+
+
+def test_pieces_of_length_one_need_no_deep_search():
+    assert packing.dominates((600, 600), (1,) * 1200) and packing.dominates((9, 9, 5), (9, 9, 2, 3)) and not packing.dominates((9, 9, 5), (9, 7, 7))

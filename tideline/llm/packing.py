@@ -13,8 +13,10 @@ from __future__ import annotations
 import logging
 import math
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -64,6 +66,9 @@ def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     """
     if sum(b) > sum(a) or (b and b[0] > a[0]):
         return False
+    # Pieces that both have may stay in their places, and what is of length 1 fits wherever there is room.
+    a, b = (tuple((Counter(x) - Counter(y)).elements()) for x, y in ((a, b), (b, a)))
+    b = tuple(x for x in b if x > 1)
     left = list(a)
 
     def place(i: int) -> bool:
@@ -130,78 +135,94 @@ def fillings(counts: np.ndarray, room: int, width: int = 24) -> list[tuple[int,
     return kept
 
 
-def all_fillings(counts: np.ndarray, room: int, most: int) -> tuple[list[tuple[int, ...]], bool]:
-    """Every way to fill ``room`` to which no piece that is left can be added, without dominated ones; and whether that took no more than ``most`` trials."""
+def all_fillings(counts: np.ndarray, room: int, effort: list[int]) -> Iterator[tuple[int, ...]]:
+    """Every way to fill ``room`` to which no piece that is left can be added, as it is asked for.
+
+    Each step takes one from ``effort``, which searches may share; below zero the ways end early.
+    """
     lengths = [int(x) for x in np.flatnonzero(counts[: room + 1])[::-1] if x]
-    found: list[tuple[int, ...]] = []
-    tried = 0
-
-    def extend(i: int, chosen: tuple[int, ...], left: int) -> bool:
-        nonlocal tried
-        if i == len(lengths):
-            tried += 1
-            used = Counter(chosen)
-            if not any(x <= left and counts[x] > used[x] for x in lengths):
-                found.append(chosen)
-            return tried <= most
-        x = lengths[i]
-        return all(extend(i + 1, chosen + (x,) * n, left - n * x) for n in range(min(int(counts[x]), left // x), -1, -1))
-
-    # The recursion is as deep as there are lengths, and what it looks at is bounded by its leaves.
-    if len(lengths) > 100 or not extend(0, (), room):
-        return found, False
-    kept: list[tuple[int, ...]] = []
-    for x in sorted(found, key=lambda x: (-sum(x), len(x), tuple(-y for y in x))):
-        if not any(dominates(y, x) for y in kept):
-            kept.append(x)
-    return kept, True
+    free, below = [int(counts[x]) for x in lengths], [-x for x in lengths]
+    chosen: list[int] = []
+    i, left = 0, room
+    while True:
+        effort[0] -= 1
+        if effort[0] < 0:
+            return
+        fits = bisect_left(below, -left)
+        i = max(i, fits)
+        while i < len(lengths) and not free[i]:
+            i += 1
+        if i < len(lengths):
+            chosen.append(i)
+            free[i] -= 1
+            left -= lengths[i]
+            continue
+        if not any(free[fits:]):
+            yield tuple(lengths[j] for j in chosen)
+        if not chosen:
+            return
+        i = chosen.pop()
+        free[i] += 1
+        left += lengths[i]
+        i += 1
 
 
-def exhaust(counts: np.ndarray, capacity: int, best: Plan, bound: int, nodes: int) -> tuple[Plan, bool]:
+def exhaust(counts: np.ndarray, capacity: int, best: Plan, bound: int, nodes: int, width: int = 24) -> tuple[Plan, bool]:
     """The least plan of all, if it is found within ``nodes`` fillings; and whether the search came to its end.
 
-    The largest piece left is put into every undominated filling in turn, one
-    sequence at a time, so fewer repeats are tried too. A state that was
-    reached with as few sequences before is not searched again. Each sequence is
-    a level of the search, so over 400 pieces (far out of reach of ``nodes``)
-    the best plan so far is given back as not proven.
+    The largest piece left is put into every undominated filling in turn,
+    those of fillings() first, and each is repeated as often as the counts
+    allow, then once less, down to once. A state that was reached with as few
+    sequences before is not searched again. However many lengths and pieces
+    there are, the search is the same: it ends after ``nodes`` fillings or 64
+    steps for each of them in looking for fillings, and keeps its own stack.
     """
-    best_bins, least = sum(n for _, n in best), {}
+    best_bins, least, effort, seen = sum(n for _, n in best), {}, [64 * nodes], 0
     lengths = np.arange(capacity + 1)
-    work = 0
 
-    def search(left: np.ndarray, plan: Plan) -> bool:
-        nonlocal best, best_bins, work
-        if not left.any():
-            if len(plan) < best_bins:
-                best, best_bins = list(plan), len(plan)
-            return True
-        need = len(plan) - (-int((lengths * left).sum()) // capacity)
-        key = left.tobytes()
-        if need >= best_bins or least.get(key, best_bins) <= len(plan):
-            return True
-        least[key] = len(plan)
+    def steps(left: np.ndarray) -> Iterator[tuple[tuple[int, ...], int]]:
         largest = int(np.flatnonzero(left)[-1])
-        rest = left.copy()
+        rest, room = left.copy(), capacity - largest
         rest[largest] -= 1
-        ways, whole = all_fillings(rest, capacity - largest, 8 * nodes)
-        for way in ways:
-            work += 1
-            if work > nodes:
-                return False
-            after = rest.copy()
-            for x in way:
-                after[x] -= 1
-            if not search(after, [*plan, ((largest, *way), 1)]):
-                return False
+        kept: list[tuple[int, ...]] = []
+        # A piece that fills the room dominates all else, however often.
+        exact = not room or rest[room] > 0
+        for way in chain(fillings(rest, room, width), () if exact else all_fillings(rest, room, effort)):
+            if any(dominates(y, way) for y in kept):
+                continue
+            kept.append(way)
+            filling = (largest, *way)
+            most = min(int(left[x]) // m for x, m in Counter(filling).items())
+            yield from ((filling, times) for times in range(most, most - 1 if exact else 0, -1))
+
+    stack, plan = [(0, counts, steps(counts))], []
+    while stack:
+        bins, left, options = stack[-1]
+        step = next(options, None)
+        if effort[0] < 0 or (step and seen == nodes):
+            return best, False
+        if step is None:
+            stack.pop()
+            del plan[len(stack) - 1 :]
+            continue
+        seen += 1
+        after, reached = left.copy(), bins + step[1]
+        for x in step[0]:
+            after[x] -= step[1]
+        if reached - (-int((lengths * after).sum()) // capacity) >= best_bins:
+            continue
+        if not after.any():
+            best, best_bins = [*plan, step], reached
             if best_bins <= bound:
-                return True
-        return whole
-
-    if int(counts.sum()) > 400:
-        return best, False
-    ended = search(counts, [])
-    return best, ended
+                return best, True
+            continue
+        key = after.tobytes()
+        if least.get(key, best_bins) <= reached:
+            continue
+        least[key] = reached
+        stack.append((reached, after, steps(after)))
+        plan.append(step)
+    return best, True
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -294,7 +315,7 @@ def complete_bins(histogram: dict[int, int], capacity: int = 1024, nodes: int =
         elif wasted + total <= (best_bins - 1) * capacity:
             stack.append((after, options(after), 0, wasted))
     if best_bins > bound:
-        best, proven = exhaust(every, capacity, best, bound, nodes)
+        best, proven = exhaust(every, capacity, best, bound, nodes, width)
         best_bins = sum(n for _, n in best)
         if not proven and best_bins > bound:
             logging.getLogger(__name__).warning("the search ended after %d fillings with %d sequences; %d are the least that could do", seen, best_bins, bound)
