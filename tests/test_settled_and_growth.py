@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.llm import packing
+from tideline.operators import planning as P
 from tideline.operators import timeseries as TS
 from tideline.plans import registry
 
@@ -139,3 +140,21 @@ def test_packing_is_searched_alike_however_many_lengths_and_pieces(pairs, equal,
 
 def test_pieces_of_length_one_need_no_deep_search():
     assert packing.dominates((600, 600), (1,) * 1200) and packing.dominates((9, 9, 5), (9, 9, 2, 3)) and not packing.dominates((9, 9, 5), (9, 7, 7))
+
+
+def test_plans_of_gathered_and_dealt_out_templates_are_the_same(spark):
+    """Entities with no, few and many templates, one row of entities twice, ties of scores, and dates on both sides of a weekend and a season."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("template_id") * 7 % 366).cast("int"))
+    t = spark.range(1, 700).select(F.when(F.col("id") < 500, 1).when(F.col("id") < 520, 2).otherwise(F.col("id") % 40 + 3).cast("long").alias("e"), F.col("id").alias("template_id"))
+    t = t.select("*", day.alias("day"), (F.col("template_id") % 23 * 10.0).alias("amount"), (F.col("template_id") % 5 + 1).alias("size"), (F.col("template_id") % 3 + 1).alias("kinds"), F.lit(0.2).alias("support"), F.lit(90.0).alias("usual_amount"), F.lit(3.0).alias("usual_size"), (F.col("template_id") % 3 > 0).alias("is_core"))
+    start, entities = spark.createDataFrame([(datetime(2024, 2, 27).date(),)], "start date"), spark.sql("select id as e from range(1, 50) union all select 2L union all select null")
+    found = {g: sorted(map(repr, P.plan_slots(t, entities, start, "e", gathered=g).collect())) for g in (0, 100, 4096)}
+    assert found[0] == found[100] == found[4096] and len(found[0]) == 51 * 5 * 15
+    plan = P.plan_slots(t, entities, start, "e")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") <= 6  # ranks take no sort of all templates by strategy
+
+
+def test_component_scores_are_worked_out_once(spark):
+    t = spark.createDataFrame([(1, 90.0, 3, 2, 0.2, 100.0, 3.0)], "template_id long, amount double, size long, kinds long, support double, usual_amount double, usual_size double")
+    for scored in (P.with_scores(t), P.under_stress(t)):
+        assert scored._jdf.queryExecution().optimizedPlan().toString().count("Project") == 2

@@ -2,7 +2,8 @@
 
 A pool of templates is ranked once for each entity, kind of day and strategy,
 and holds as many templates as a horizon can ask for, so a date looks its
-template up by rank; no plan is built step by step.
+template up by rank; no plan is built step by step. All entities have the same
+dates, so dates and kinds of days are a few rows that are sent to every task.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from tideline.functions.scalars import season
 from tideline.operators.evaluation import exact_quantiles
 from tideline.operators.scenarios import STRESSES, WEIGHTS, clip, component_scores
+from tideline.sources.shared import staged
 
 # Shares of the component scores by strategy; the cycle of ranks; limits by horizon (longest horizon, most of one
 # template, most of one signature as a share, and days in which a signature may not return); floors and ceiling of a plan.
@@ -48,18 +50,42 @@ def day_kind(day: str) -> list[Column]:
     return [F.dayofweek(day).isin(1, 7).alias("is_weekend"), season(F.month(day)).alias("season")]
 
 
-def ranked_pools(templates: DataFrame, wanted: DataFrame, e: str, least_day: int = 12, least_season: int = 8, least_core: int = 8, cycle: int = CYCLE) -> DataFrame:
-    """e, is_weekend, season, strategy and ``best``: the pool's templates by rank, ``cycle`` at most.
+def with_scores(templates: DataFrame) -> DataFrame:
+    """The templates and ``scores``, one by strategy. The component scores are columns first, so each is worked out once: one expression of all takes about six times as long."""
+    parts = _parts()
+    t = templates.select("*", *(c.alias(f"_{n}") for n, c in parts.items()))
+    scores = F.array(*(F.round(weighted({n: F.col(f"_{n}") for n in parts}, w) + 1e-9, 6) for w in PLAN_STRATEGIES.values()))
+    return t.withColumn("scores", scores).drop(*(f"_{n}" for n in parts))
+
+
+def ranked_pools(templates: DataFrame, kinds: DataFrame, e: str, least_day: int = 12, least_season: int = 8, least_core: int = 8, cycle: int = CYCLE) -> DataFrame:
+    """e, the columns of ``kinds``, strategy and ``best``: the pool's templates by rank, ``cycle`` at most.
 
     A pool is all templates of the entity; of these the ones of the same kind of
     day if they are enough, of these the ones of the season, of these the ones in
-    the core band. ``wanted`` has distinct entities and kinds of days. Ranks are
-    taken in hash buckets first, so an entity with many templates is dealt out.
+    the core band. ``kinds`` has a row for each kind of day. An entity's templates
+    are gathered once and filtered and ranked in place, so they must be few: see
+    dealt_pools.
     """
+    own = with_scores(templates).select(e, F.struct("template_id", "is_core", *(c.alias(f"t_{n}") for c, n in zip(day_kind("day"), ("weekend", "season"), strict=True)), "scores").alias("t")).groupBy(e).agg(F.collect_list("t").alias("pool"))
+    met = own.crossJoin(F.broadcast(kinds))
+    for least, same in ((least_day, lambda x: x["t_weekend"] == F.col("is_weekend")), (least_season, lambda x: x["t_season"] == F.col("season")), (least_core, lambda x: x["is_core"])):
+        met = met.withColumn("_same", F.filter("pool", same)).withColumn("pool", F.when(F.size("_same") >= least, F.col("_same")).otherwise(F.col("pool"))).drop("_same")
+
+    def best(i: int) -> Column:
+        """By the fields in which structs are sorted: no score last, then the largest score, then the least id."""
+        ordered = F.sort_array(F.transform("pool", lambda x: F.struct(x["scores"][i].isNull().alias("none"), (-x["scores"][i]).alias("score"), x["template_id"].alias("template_id"))))
+        return F.transform(F.slice(ordered, 1, cycle), lambda x, at: F.struct((at + 1).alias("rank"), x["template_id"].alias("template_id"), (-x["score"]).alias("score")))
+
+    return met.select(e, *kinds.columns, F.inline(F.array(*(F.struct(F.lit(n).alias("strategy"), best(i).alias("best")) for i, n in enumerate(PLAN_STRATEGIES)))))
+
+
+def dealt_pools(templates: DataFrame, kinds: DataFrame, e: str, least_day: int = 12, least_season: int = 8, least_core: int = 8, cycle: int = CYCLE) -> DataFrame:
+    """The rows of ranked_pools for entities with very many templates: ranks are taken in hash buckets first, so an entity is dealt out."""
     same = {"day": F.col("t_weekend") == F.col("is_weekend"), "season": F.col("t_season") == F.col("season"), "core": F.col("is_core")}
     keys = [e, "is_weekend", "season"]
-    own = templates.select("*", *(c.alias(f"t_{n}") for c, n in zip(day_kind("day"), ("weekend", "season"), strict=True)))
-    met = own.join(wanted, e)
+    own = with_scores(templates).select(e, "template_id", "is_core", "scores", *(c.alias(f"t_{n}") for c, n in zip(day_kind("day"), ("weekend", "season"), strict=True)))
+    met = own.crossJoin(F.broadcast(kinds.select(*keys[1:])))
     number = lambda *names: F.count(F.when(_all([same[x] for x in names]), 1))
     counts = met.groupBy(*keys).agg(number("day").alias("d"), number("season").alias("s"), number("day", "season").alias("ds"), number("core").alias("c"), number("day", "core").alias("dc"), number("season", "core").alias("sc"), number("day", "season", "core").alias("dsc"))
     by_day = F.col("d") >= least_day
@@ -67,13 +93,13 @@ def ranked_pools(templates: DataFrame, wanted: DataFrame, e: str, least_day: int
     in_core = F.when(by_day & by_season, F.col("dsc")).when(by_day, F.col("dc")).when(by_season, F.col("sc")).otherwise(F.col("c")) >= least_core
     uses = counts.select(*keys, by_day.alias("by_day"), by_season.alias("by_season"), in_core.alias("in_core"))
     pool = met.join(uses, keys).where((same["day"] | ~F.col("by_day")) & (same["season"] | ~F.col("by_season")) & (same["core"] | ~F.col("in_core")))
-    parts = _parts()
-    scores = F.inline(F.array(*(F.struct(F.lit(n).alias("strategy"), F.round(weighted(parts, w) + 1e-9, 6).alias("score")) for n, w in PLAN_STRATEGIES.items())))
+    scores = F.inline(F.array(*(F.struct(F.lit(n).alias("strategy"), F.col("scores")[i].alias("score")) for i, n in enumerate(PLAN_STRATEGIES))))
     scored = pool.select(*keys, "template_id", scores).withColumn("_b", F.pmod(F.xxhash64("template_id"), F.lit(64)))
     order = (F.desc("score"), "template_id")
     few = scored.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "strategy", "_b").orderBy(*order))).where(F.col("_n") <= cycle)
     best = few.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "strategy").orderBy(*order))).where(F.col("rank") <= cycle)
-    return best.groupBy(*keys, "strategy").agg(F.array_sort(F.collect_list(F.struct("rank", "template_id", "score"))).alias("best"))
+    pools = best.groupBy(*keys, "strategy").agg(F.array_sort(F.collect_list(F.struct("rank", "template_id", "score"))).alias("best"))
+    return pools.join(F.broadcast(kinds), keys[1:]).select(e, *kinds.columns, "strategy", "best")
 
 
 def _all(conditions: Sequence[Column]) -> Column:
@@ -83,32 +109,42 @@ def _all(conditions: Sequence[Column]) -> Column:
     return out
 
 
-def plan_dates(entities: DataFrame, start: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
-    """A row for each entity, horizon and date of it; ``start`` is one row with the first date."""
+def plan_dates(start: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
+    """A row for each kind of day: is_weekend, season and ``dates``, those of each horizon; ``start`` is one row with the first date."""
     slots = F.inline(F.array(*(F.struct(F.lit(h).alias("horizon"), F.lit(k).alias("slot_no")) for h in horizons for k in range(h))))
-    dated = entities.crossJoin(F.broadcast(start)).select(*entities.columns, "start", slots)
-    dated = dated.withColumn("planned_date", F.date_add("start", F.col("slot_no"))).drop("start")
-    return dated.select("*", F.date_format("planned_date", "EEEE").alias("planned_day_of_week"), *day_kind("planned_date"))
+    dated = start.select("start", slots).withColumn("planned_date", F.date_add("start", F.col("slot_no")))
+    dated = dated.select(F.struct("horizon", "slot_no", "planned_date", F.date_format("planned_date", "EEEE").alias("planned_day_of_week")).alias("date"), *day_kind("planned_date"))
+    return dated.groupBy("is_weekend", "season").agg(F.collect_list("date").alias("dates"))
 
 
-def plan_slots(templates: DataFrame, entities: DataFrame, start: DataFrame, e: str, horizons: Sequence[int] = HORIZONS, **least: int) -> DataFrame:
+def plan_slots(templates: DataFrame, entities: DataFrame, start: DataFrame, e: str, horizons: Sequence[int] = HORIZONS, gathered: int = 4096, **least: int) -> DataFrame:
     """The template of each entity, strategy, horizon and date: that of rank (date's number modulo the pool's size) in the date's pool; null if the entity has none.
 
-    ``templates`` has e, template_id, day, amount, size, kinds, support, usual_amount, usual_size and is_core.
+    ``templates`` has e, template_id, day, amount, size, kinds, support,
+    usual_amount, usual_size and is_core. It is read more than once. Entities
+    with more than ``gathered`` templates are dealt out, with the same result.
     """
-    dates = plan_dates(entities.select(e), start, horizons)
-    wanted = dates.select(e, "is_weekend", "season").distinct()
-    pools = ranked_pools(templates, wanted, e, **least)
-    strategies = F.explode(F.array(*map(F.lit, PLAN_STRATEGIES))).alias("strategy")
-    found = dates.select("*", strategies).join(pools, [e, "is_weekend", "season", "strategy"], "left")
-    pick = F.col("best")[F.col("slot_no") % F.size("best")]
-    return found.select(e, "strategy", "horizon", "slot_no", "planned_date", "planned_day_of_week", pick["rank"].cast("int").alias("rank"), pick["template_id"].alias("template_id"), pick["score"].alias("score"))
+    kinds, entities = plan_dates(start, horizons), entities.select(e)
+    many = staged(templates.groupBy(e).agg(F.count("*").alias("_n")).where((F.col("_n") > gathered) & F.col(e).isNotNull()).select(e), "plan-many")
+    hot = bool(many.head(1))
+    few = templates.join(many, e, "left_anti") if hot else templates
+    pools = ranked_pools(few, kinds, e, **least)
+    if hot:
+        pools = pools.unionByName(dealt_pools(templates.join(many, e, "left_semi"), kinds, e, **least))
+    # Entities without a template have no pool: all their dates are empty.
+    empty = kinds.select(*kinds.columns, F.explode(F.array(*map(F.lit, PLAN_STRATEGIES))).alias("strategy"), F.lit(None).cast(pools.schema["best"].dataType).alias("best"))
+    found = entities.join(pools, e).unionByName(entities.join(templates.select(e), e, "left_anti").crossJoin(F.broadcast(empty)))
+    dated = found.select(e, "strategy", "best", F.inline("dates"))
+    pick = F.get("best", F.col("slot_no") % F.nullif(F.size("best"), F.lit(0)))
+    return dated.select(e, "strategy", "horizon", "slot_no", "planned_date", "planned_day_of_week", pick["rank"].cast("int").alias("rank"), pick["template_id"].alias("template_id"), pick["score"].alias("score"))
 
 
 def under_stress(templates: DataFrame) -> DataFrame:
     """template_id with the score and the fit of its amount under each stress, as arrays in the order of the stresses."""
     parts = [_parts(factor, shift) for _, factor, shift in STRESSES]
-    return templates.select("template_id", F.array(*(weighted(p, WEIGHTS) for p in parts)).alias("scores"), F.array(*(p["amount_fit"] for p in parts)).alias("fits"))
+    t = templates.select("template_id", *(c.alias(f"_{n}{i}") for i, p in enumerate(parts) for n, c in p.items()))
+    scores = [weighted({n: F.col(f"_{n}{i}") for n in p}, WEIGHTS) for i, p in enumerate(parts)]
+    return t.select("template_id", F.array(*scores).alias("scores"), F.array(*(f"_amount_fit{i}" for i in range(len(parts)))).alias("fits"))
 
 
 def plan_summary(slots: DataFrame, facts: DataFrame, e: str, required: Sequence[str]) -> DataFrame:

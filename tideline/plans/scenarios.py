@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import scalars as S
@@ -20,10 +20,10 @@ SCORE = "least(greatest(0.30 * least(greatest(1 - abs(amount * factor - usual_am
 GRID = "g AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {f}::DOUBLE, {s})" for n, f, s in C.STRESSES) + ") v(stress, factor, shift))"
 
 
-def templates(spark, d) -> DataFrame:
-    """Orders with what their lines add up to, and the share of orders in their slot. Written once: counts, means and scores all read it."""
+def templates(spark, d, *more: Column) -> DataFrame:
+    """Orders with what their lines (``more``: further sums of them) add up to, and the share of orders in their slot. Written once: counts, means and scores all read it."""
     o = load(spark, d, "orders").select(F.col("o_orderkey").alias("template_id"), "o_custkey", F.col("o_orderpriority").alias("slot"), F.to_date("o_orderdate").alias("day"))
-    li = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("template_id")).agg(F.count("*").alias("size"), F.count_distinct("l_returnflag").alias("kinds"), F.sum("l_extendedprice").alias("amount"))
+    li = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("template_id")).agg(F.count("*").alias("size"), F.count_distinct("l_returnflag").alias("kinds"), F.sum("l_extendedprice").alias("amount"), *more)
     t = staged(o.join(li, "template_id"), "templates")
     n = t.groupBy("slot").agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("total"))
@@ -90,10 +90,10 @@ SETTLED_SLOTS = PLAN_SLOTS.replace(TEMPLATES, SETTLED_TEMPLATES).replace("quanti
 
 def plan_inputs(spark, d, settle: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Templates with all that plans ask of them (staged), all customers, and the day after the last order."""
-    t = settled(templates(spark, d)) if settle else templates(spark, d)
-    li = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("template_id")).agg(F.bool_or(F.col("l_quantity") <= 25).alias("has_small"), F.bool_or(F.col("l_quantity") > 25).alias("has_large"))
+    t = templates(spark, d, F.bool_or(F.col("l_quantity") <= 25).alias("has_small"), F.bool_or(F.col("l_quantity") > 25).alias("has_large"))
+    t = settled(t) if settle else t
     band = E.exact_quantiles(t, [], "amount", [0.05, 0.95]).select(F.transform("q", lambda x: F.round(x, 6)).alias("q") if settle else "q")
-    full = C.with_usual(t, ["o_custkey"]).join(li, "template_id").crossJoin(F.broadcast(band)).withColumn("is_core", F.col("amount").between(F.col("q")[0], F.col("q")[1])).drop("q")
+    full = C.with_usual(t, ["o_custkey"]).crossJoin(F.broadcast(band)).withColumn("is_core", F.col("amount").between(F.col("q")[0], F.col("q")[1])).drop("q")
     return staged(full, "plan-templates"), load(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")), t.agg(F.date_add(F.max("day"), 1).alias("start"))
 
 
