@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.llm import packing
+from tideline.operators import models as M
 from tideline.operators import planning as P
 from tideline.operators import timeseries as TS
 from tideline.plans import registry
@@ -158,3 +159,12 @@ def test_component_scores_are_worked_out_once(spark):
     t = spark.createDataFrame([(1, 90.0, 3, 2, 0.2, 100.0, 3.0)], "template_id long, amount double, size long, kinds long, support double, usual_amount double, usual_size double")
     for scored in (P.with_scores(t), P.under_stress(t)):
         assert scored._jdf.queryExecution().optimizedPlan().toString().count("Project") == 2
+
+
+def test_class_weights_send_no_rows_to_the_driver(spark, tmp_path):
+    """A small file of many rows joins the weights by class: what is broadcast is a row for each class, and the rows stay in their tasks."""
+    spark.range(4000).selectExpr("id", "cast(id % 2 as double) as label").repartition(4).write.parquet(f"{tmp_path}/rows")
+    weighted = M.class_weights(spark.read.parquet(f"{tmp_path}/rows").where("id < 3001"))
+    assert {r["label"]: round(r["weight"], 6) for r in weighted.collect()} == {0.0: round(3001 / 2 / 1501, 6), 1.0: round(3001 / 2 / 1500, 6)}
+    plan = weighted._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan

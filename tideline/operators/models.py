@@ -70,7 +70,7 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     c = df.groupBy(label).agg(F.count("*").alias("_n"))
     total = c.agg(F.sum("_n").alias("_all"), F.count("*").alias("_classes"))
     w = c.crossJoin(F.broadcast(total)).select(label, (F.col("_all") / (F.col("_classes") * F.col("_n"))).alias("weight"))
-    return df.join(w, label)
+    return df.join(F.broadcast(w), label)
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
