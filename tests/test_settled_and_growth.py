@@ -4,12 +4,15 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tideline.llm import packing
 from tideline.operators import models as M
 from tideline.operators import planning as P
+from tideline.operators import similarity as V
 from tideline.operators import timeseries as TS
 from tideline.plans import registry
 
@@ -168,3 +171,16 @@ def test_class_weights_send_no_rows_to_the_driver(spark, tmp_path):
     assert {r["label"]: round(r["weight"], 6) for r in weighted.collect()} == {0.0: round(3001 / 2 / 1501, 6), 1.0: round(3001 / 2 / 1500, 6)}
     plan = weighted._jdf.queryExecution().executedPlan().toString()
     assert "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
+
+
+def test_neighbour_search_takes_large_batches_in_parts(spark):
+    """A worker's arrays of rows by pivots or cells have one size, however many rows Arrow hands over at once."""
+
+    class Taken:
+        where = select = lambda self, *_: self
+        mapInPandas = lambda self, f, _: f
+
+    x = np.random.default_rng(3).normal(size=(5000, 4))
+    placed = list(V._placed(Taken(), "id", "v", np.eye(4))(iter([pd.DataFrame({"id": np.arange(5000), "v": list(x)}), pd.DataFrame({"id": [], "v": []})])))
+    assert max(map(len, placed)) <= 512 and pd.concat(placed)["id"].tolist() == list(range(5000))
+    assert pd.concat(placed)["pivot"].tolist() == x.argmax(1).tolist()

@@ -21,6 +21,13 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
 
+def _slices(batches: Iterable[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
+    """Batches in parts, so that what a worker holds of rows times cells has one size, whatever Arrow's batches and the number of cells up to the pivots' bound."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.iloc[i : i + rows]
+
+
 def _pivots(table: DataFrame, id_: str, vector: str, pivots: int) -> np.ndarray:
     """Unit vectors far from each other, each the farthest from those before, of the first 32 rows a pivot by a hash of the id."""
     rows = table.orderBy(F.xxhash64(id_), id_).limit(32 * pivots).select(F.col(vector).cast("array<double>").alias("v")).toPandas()
@@ -39,13 +46,12 @@ def _placed(df: DataFrame, id_: str, vector: str, pivots: np.ndarray) -> DataFra
     """id, unit vector, the nearest pivot and the angle to it. A zero vector has pivot -1 and angle 0."""
 
     def place(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                x = _unit(batch["v"])
-                s = x @ pivots.T if len(pivots) else np.zeros((len(x), 1))
-                zero = np.linalg.norm(x, axis=1) < 0.5
-                angle = np.arccos(np.clip(s.max(1), -1, 1))
-                yield pd.DataFrame({"id": batch["id"], "v": list(x), "pivot": np.where(zero, -1, s.argmax(1)), "angle": np.where(zero, 0.0, angle)})
+        for batch in _slices(batches):
+            x = _unit(batch["v"])
+            s = x @ pivots.T if len(pivots) else np.zeros((len(x), 1))
+            zero = np.linalg.norm(x, axis=1) < 0.5
+            angle = np.arccos(np.clip(s.max(1), -1, 1))
+            yield pd.DataFrame({"id": batch["id"], "v": list(x), "pivot": np.where(zero, -1, s.argmax(1)), "angle": np.where(zero, 0.0, angle)})
 
     rows = df.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     return rows.mapInPandas(place, "id long, v array<double>, pivot int, angle double")
@@ -81,12 +87,11 @@ def _met(queries: DataFrame, rows: DataFrame, k: int, block: int) -> DataFrame:
     a, b = dealt(queries, "i", "n_q", "j", "n_t"), dealt(rows, "j", "n_t", "i", "n_q")
 
     def meet(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"source_id": np.empty(0, np.int64), "neighbor_id": np.empty(0, np.int64), "similarity": np.empty(0)})]
+        sources, others, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         if len(q) and len(t):
             t = t.sort_values("id")
             ids, vectors = t["id"].to_numpy(), np.stack(t["v"].to_numpy())
-            for at in range(0, len(q), 512):
-                part = q.iloc[at : at + 512]
+            for part in _slices([q], 128):
                 s = np.stack(part["v"].to_numpy()) @ vectors.T
                 s[part["id"].to_numpy()[:, None] == ids[None, :]] = -2
                 for own, least, x in zip(part["id"], part["least"], s, strict=True):
@@ -95,8 +100,10 @@ def _met(queries: DataFrame, rows: DataFrame, k: int, block: int) -> DataFrame:
                         kth = np.partition(x[likely], len(likely) - k)[len(likely) - k]
                         likely = likely[x[likely] >= kth - 1e-11]
                     best = likely[np.lexsort((ids[likely], -np.round(x[likely], 12)))[:k]]
-                    out.append(pd.DataFrame({"source_id": own, "neighbor_id": ids[best], "similarity": x[best]}))
-        return pd.concat(out)
+                    sources.append(np.full(len(best), own))
+                    others.append(ids[best])
+                    scores.append(x[best])
+        return pd.DataFrame({"source_id": np.concatenate(sources), "neighbor_id": np.concatenate(others), "similarity": np.concatenate(scores)})
 
     keys = ("cell", "i", "j")
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(meet, NEAR)
@@ -129,11 +136,10 @@ def ball_search(queries: DataFrame, table: DataFrame, id_: str, vector: str, k:
     rows = rows.join(numbered, ["pivot", "band"]).select("cell", "id", "v")
 
     def home(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                bound, angle = _bounds(np.stack(batch["v"].to_numpy()), cells, centres)
-                liked = np.where(cells["n"].to_numpy() > k, bound - 0.01 * angle, -9.0)
-                yield batch.assign(cell=liked.argmax(1))[["id", "v", "cell"]]
+        for batch in _slices(batches):
+            bound, angle = _bounds(np.stack(batch["v"].to_numpy()), cells, centres)
+            liked = np.where(cells["n"].to_numpy() > k, bound - 0.01 * angle, -9.0)
+            yield batch.assign(cell=liked.argmax(1))[["id", "v", "cell"]]
 
     asked = staged(_placed(queries, id_, vector, centres).select("id", "v").mapInPandas(home, "id long, v array<double>, cell int").dropDuplicates(["id"]), "ball-queries")
     first = staged(_met(asked.withColumn("least", F.lit(-2.0)), rows, k, block), "ball-first")
@@ -141,12 +147,11 @@ def ball_search(queries: DataFrame, table: DataFrame, id_: str, vector: str, k:
     asked = asked.join(kth, "id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
 
     def others(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                bound, _ = _bounds(np.stack(batch["v"].to_numpy()), cells, centres)
-                reach = bound >= batch["least"].to_numpy()[:, None]
-                reach[np.arange(len(batch)), batch["cell"]] = False
-                yield batch.assign(cells=[np.flatnonzero(x) for x in reach])[["id", "v", "least", "cells"]]
+        for batch in _slices(batches):
+            bound, _ = _bounds(np.stack(batch["v"].to_numpy()), cells, centres)
+            reach = bound >= batch["least"].to_numpy()[:, None]
+            reach[np.arange(len(batch)), batch["cell"]] = False
+            yield batch.assign(cells=[np.flatnonzero(x) for x in reach])[["id", "v", "least", "cells"]]
 
     going = staged(asked.mapInPandas(others, "id long, v array<double>, least double, cells array<int>"), "ball-visits")
     second = _met(going.select("id", "v", "least", F.explode("cells").alias("cell")), rows, k, block)
