@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.sources.shared import staged
+
 
 def ratio(a: Column, b: Column) -> Column:
     """A share that is 0 where there is nothing to share."""
@@ -164,7 +166,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequ
     """
     times = F.col(weight) if weight else F.lit(1)
     held = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"), times.cast("long").alias("_w"))
-    edges = held.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.percentile_approx("v", [k / (cuts + 1) for k in range(1, cuts + 1)], 4 * cuts).alias("_edges"))
+    # Written once: rows are placed by them twice below, and a second sketch of the same values may cut elsewhere, as it depends on the order in which tasks end.
+    edges = staged(held.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.percentile_approx("v", [k / (cuts + 1) for k in range(1, cuts + 1)], 4 * cuts).alias("_edges")), "quantile-edges")
     seen = held.groupBy(*keys, "v").agg(F.sum("_w").alias("_c"))
     # One row for each group; its size grows with the groups, so Spark chooses how to join it.
     seen = (seen.join(edges, list(keys)) if keys else seen.crossJoin(F.broadcast(edges))).withColumn("_b", F.size(F.filter("_edges", lambda x: x < F.col("v")))).drop("_edges")

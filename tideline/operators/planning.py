@@ -45,7 +45,7 @@ def _parts(factor: float = 1.0, shift: int = 0) -> dict[str, Column]:
     return component_scores(F.col("amount") * factor, size, F.col("kinds").cast("double"), F.col("support"), F.col("usual_amount"), F.col("usual_size"))
 
 
-def day_kind(day: str) -> list[Column]:
+def day_kind(day: str | Column) -> list[Column]:
     """Whether a date is at a weekend, and its season: what a date asks of its pool."""
     return [F.dayofweek(day).isin(1, 7).alias("is_weekend"), season(F.month(day)).alias("season")]
 
@@ -139,12 +139,12 @@ def plan_slots(templates: DataFrame, entities: DataFrame, start: DataFrame, e: s
     return dated.select(e, "strategy", "horizon", "slot_no", "planned_date", "planned_day_of_week", pick["rank"].cast("int").alias("rank"), pick["template_id"].alias("template_id"), pick["score"].alias("score"))
 
 
-def under_stress(templates: DataFrame) -> DataFrame:
-    """template_id with the score and the fit of its amount under each stress, as arrays in the order of the stresses."""
+def under_stress(templates: DataFrame, *kept: str) -> DataFrame:
+    """template_id (and the columns ``kept``) with the score and the fit of its amount under each stress, as arrays in the order of the stresses."""
     parts = [_parts(factor, shift) for _, factor, shift in STRESSES]
-    t = templates.select("template_id", *(c.alias(f"_{n}{i}") for i, p in enumerate(parts) for n, c in p.items()))
+    t = templates.select("template_id", *kept, *(c.alias(f"_{n}{i}") for i, p in enumerate(parts) for n, c in p.items()))
     scores = [weighted({n: F.col(f"_{n}{i}") for n in p}, WEIGHTS) for i, p in enumerate(parts)]
-    return t.select("template_id", F.array(*scores).alias("scores"), F.array(*(f"_amount_fit{i}" for i in range(len(parts)))).alias("fits"))
+    return t.select("template_id", *kept, F.array(*scores).alias("scores"), F.array(*(f"_amount_fit{i}" for i in range(len(parts)))).alias("fits"))
 
 
 def plan_summary(slots: DataFrame, facts: DataFrame, e: str, required: Sequence[str]) -> DataFrame:
@@ -154,19 +154,112 @@ def plan_summary(slots: DataFrame, facts: DataFrame, e: str, required: Sequence[
     a flag for each required part. No stress is a row: a plan's scores are means by stress.
     """
     keys = [e, "strategy", "horizon"]
-    filled = slots.select(*keys, "slot_no", "template_id").join(facts, "template_id", "left")
     n = len(STRESSES)
+    filled = slots.select(*keys, "slot_no", "template_id").join(facts, "template_id", "left")
     # What is gathered is as long as the horizon.
     days = F.transform(F.array_sort(F.collect_list(F.when(F.col("template_id").isNotNull(), F.struct("slot_no", "template_id", "signature")))), lambda x: F.struct(x["template_id"].alias("template_id"), x["signature"].alias("signature")))
     plans = filled.groupBy(*keys).agg(
         F.count("template_id").alias("n_filled"), days.alias("days"), F.bool_and("is_core").alias("in_band"), F.avg("amount").alias("mean_amount"), *(F.bool_and(F.coalesce(F.col(c), F.lit(False))).alias(c) for c in required),
-        *(F.avg(F.col("scores")[i]).alias(f"s{i}") for i in range(n)), F.avg(F.aggregate("fits", F.lit(0.0), lambda a, x: a + x) / n).alias("fit"),
+        *(F.avg(F.col("scores")[i]).alias(f"s{i}") for i in range(n)), F.avg(_mean_fit()).alias("fit"),
     )
+    return _with_toughness(plans, [*keys, "n_filled", "days", "in_band", "mean_amount", *required])
+
+
+def _mean_fit() -> Column:
+    return F.aggregate("fits", F.lit(0.0), lambda a, x: a + x) / len(STRESSES)
+
+
+def _with_toughness(plans: DataFrame, kept: Sequence[str]) -> DataFrame:
+    """The columns ``kept``, and the robust score, fragility and fit of plans whose means by stress are s0, s1, ..."""
+    n = len(STRESSES)
     scores = [F.col(f"s{i}") for i in range(n)]
     mean = sum(scores[1:], scores[0]) / n
     spread = F.sqrt(sum(((s - mean) * (s - mean) for s in scores[1:]), (scores[0] - mean) * (scores[0] - mean)) / n)
     robust = clip(0.8 * mean + 0.2 * F.least(*scores) - 0.5 * spread, 0.0, 1.0)
-    return plans.select(*keys, "n_filled", "days", "in_band", "mean_amount", *required, robust.alias("robust"), (F.greatest(*scores) - F.least(*scores)).alias("fragility"), "fit")
+    return plans.select(*kept, robust.alias("robust"), (F.greatest(*scores) - F.least(*scores)).alias("fragility"), "fit")
+
+
+def summed_plans(templates: DataFrame, entities: DataFrame, start: DataFrame, e: str, required: Sequence[str], horizons: Sequence[int] = HORIZONS, gathered: int = 4096, **least: int) -> DataFrame:
+    """The rows of plan_summary over plan_slots, with no row for a date: plans are summed where an entity's templates are gathered.
+
+    ``templates`` has what plan_slots asks for, and signature and a flag for each
+    required part. It is read more than once. What is shuffled is the templates,
+    once, by entity. Entities with more than ``gathered`` templates go by way of
+    plan_slots; they are few, and so are their dates.
+    """
+    entities = entities.select(e)
+    many = staged(templates.groupBy(e).agg(F.count("*").alias("_n")).where((F.col("_n") > gathered) & F.col(e).isNotNull()).select(e), "plan-many")
+    if not many.head(1):
+        return _gathered_plans(templates, templates, entities, start, e, required, horizons, **least)
+    plans = _gathered_plans(templates.join(many, e, "left_anti"), templates, entities.join(many, e, "left_anti"), start, e, required, horizons, **least)
+    slots = staged(plan_slots(templates.join(many, e, "left_semi"), entities.join(many, e, "left_semi"), start, e, horizons, gathered, **least), "plan-slots")
+    met = staged(templates.join(slots.select("template_id").distinct(), "template_id", "left_semi"), "plan-met")
+    facts = under_stress(met).join(met.select("template_id", "signature", "amount", "is_core", *required), "template_id")
+    return plans.unionByName(plan_summary(slots, facts, e, required))
+
+
+def _judged(templates: DataFrame, required: Sequence[str]) -> DataFrame:
+    """The templates with ``fact``, what a plan sums of them; ``values`` are the scores by stress, the mean fit and the amount."""
+    t = under_stress(templates, *(c for c in templates.columns if c != "template_id"))
+    values = F.array(*(F.col("scores")[i] for i in range(len(STRESSES))), _mean_fit(), F.col("amount").cast("double"))
+    return t.withColumn("fact", F.struct("signature", "is_core", *required, values.alias("values"))).drop("scores", "fits")
+
+
+def _gathered_plans(templates: DataFrame, all_templates: DataFrame, entities: DataFrame, start: DataFrame, e: str, required: Sequence[str], horizons: Sequence[int], least_day: int = 12, least_season: int = 8, least_core: int = 8, cycle: int = CYCLE) -> DataFrame:
+    """summed_plans of entities with few templates. All that a plan needs lies in one row of its entity, so nothing is shuffled after the gathering."""
+    spark, n = templates.sparkSession, len(STRESSES)
+    asks = [e, "template_id", "day", "amount", "size", "kinds", "support", "usual_amount", "usual_size", "is_core", "signature", *required]
+    few = templates.where(F.col(e).isNotNull()).select(*asks)
+    # A date meets all rows with its template's id. Nearly always that is the template's own row, so only ids that come again are gathered by id.
+    again = staged(all_templates.groupBy("template_id").agg(F.count("*").alias("_n")).where("_n > 1").select("template_id"), "plan-again")
+    facts = F.array("fact")
+    if again.head(1):
+        twins = _judged(all_templates.select(*asks).join(again, "template_id", "left_semi"), required).groupBy("template_id").agg(F.collect_list("fact").alias("twins"))
+        few, facts = few.join(twins, "template_id", "left"), F.coalesce("twins", facts)
+    # As many tasks as keep the gathered rows, which are larger than the shuffled ones, in memory.
+    parts = max(spark.sparkContext.defaultParallelism, -(-templates.count() // 65536))
+    rows = few.unionByName(entities.select(e, F.lit(1).alias("asked")), allowMissingColumns=True).repartition(parts, e)
+    t = F.struct("template_id", "is_core", *(c.alias(f"t_{x}") for c, x in zip(day_kind("day"), ("weekend", "season"), strict=True)), "scores", facts.alias("facts"))
+    own = with_scores(_judged(rows, required)).groupBy(e).agg(F.collect_list(F.when(F.col("asked").isNull(), t)).alias("pool"), F.count("asked").cast("int").alias("times")).where("times > 0")
+
+    # Kinds of days are an array, and so are the pools by kind.
+    dated = start.select(F.transform(F.sequence(F.lit(0), F.lit(max(horizons) - 1)), lambda k: F.struct(*day_kind(F.date_add("start", k)))).alias("dates"))
+    dated = dated.select("dates", F.array_distinct("dates").alias("day_kinds")).select("day_kinds", F.transform("dates", lambda x: F.array_position("day_kinds", x).cast("int") - 1).alias("kind_of"))
+    met = own.crossJoin(F.broadcast(dated)).withColumn("pools", F.array_repeat("pool", F.size("day_kinds"))).drop("pool")
+    for least, same in ((least_day, lambda x, kind: x["t_weekend"] == kind["is_weekend"]), (least_season, lambda x, kind: x["t_season"] == kind["season"]), (least_core, lambda x, kind: x["is_core"])):
+        met = met.withColumn("some", F.zip_with("pools", "day_kinds", lambda pool, kind: F.filter(pool, lambda x: same(x, kind))))
+        met = met.withColumn("pools", F.zip_with("some", "pools", lambda some, pool: F.when(F.size(some) >= least, some).otherwise(pool))).drop("some")
+
+    def best(i: int) -> Column:
+        """In the order of ranked_pools."""
+        ordered = lambda pool: F.sort_array(F.transform(pool, lambda x: F.struct(x["scores"][i].isNull().alias("none"), (-x["scores"][i]).alias("score"), x["template_id"].alias("template_id"), x["facts"].alias("facts"))))
+        return F.transform("pools", lambda pool: F.slice(ordered(pool), 1, cycle))
+
+    def pick(kind: Column, slot_no: Column) -> Column:
+        ranks = F.get("best", kind)
+        return F.get(ranks, slot_no % F.nullif(F.size(ranks), F.lit(0)))
+
+    def filled(x: Column, slot_no: Column) -> Column:
+        """A date's rows, as the join of its template's id with the facts, which are joined from two sides, would give them."""
+        return F.transform(F.flatten(F.array_repeat(x["facts"], F.size(x["facts"]))), lambda f: F.struct(slot_no.alias("slot_no"), x["template_id"].alias("template_id"), *(f[c].alias(c) for c in ("signature", "is_core", *required, "values"))))
+
+    chosen = met.select(e, "times", "kind_of", F.inline(F.array(*(F.struct(F.lit(x).alias("strategy"), best(i).alias("best")) for i, x in enumerate(PLAN_STRATEGIES)))))
+    chosen = chosen.select(e, "times", "strategy", F.transform("kind_of", pick).alias("picks")).withColumn("horizon", F.explode(F.array(*map(F.lit, horizons)))).withColumn("picks", F.slice("picks", 1, F.col("horizon")))
+    held = chosen.select("*", F.flatten(F.filter(F.transform("picks", filled), lambda x: x.isNotNull())).alias("rows"))
+    zeros, known = F.array_repeat(F.lit(0.0), n + 2), lambda x: F.when(x.isNull(), 0.0).otherwise(1.0)
+    held = held.select(
+        "*", F.aggregate("rows", zeros, lambda a, r: F.zip_with(a, r["values"], lambda x, y: x + F.coalesce(y, F.lit(0.0)))).alias("sums"), F.aggregate("rows", zeros, lambda a, r: F.zip_with(a, r["values"], lambda x, y: x + known(y))).alias("counts"),
+        F.sort_array(F.flatten(F.array_repeat(F.transform("rows", lambda r: F.struct(r["slot_no"].alias("slot_no"), r["template_id"].alias("template_id"), r["signature"].alias("signature"))), F.col("times")))).alias("sorted"),
+    )
+    mean = lambda i: F.col("sums")[i] / F.nullif(F.col("counts")[i], F.lit(0.0))
+    any_row = lambda test: F.exists("rows", lambda r: F.coalesce(test(r), F.lit(False)))
+    no_gap = F.forall("picks", lambda x: x.isNotNull())
+    plans = held.select(
+        e, "strategy", "horizon", (F.size("rows") * F.col("times")).cast("long").alias("n_filled"), F.transform("sorted", lambda x: F.struct(x["template_id"].alias("template_id"), x["signature"].alias("signature"))).alias("days"),
+        F.when(any_row(lambda r: ~r["is_core"]), False).when(any_row(lambda r: r["is_core"]), True).alias("in_band"), mean(n + 1).alias("mean_amount"), *((no_gap & ~any_row(lambda r, c=c: ~F.coalesce(r[c], F.lit(False)))).alias(c) for c in required),
+        *(mean(i).alias(f"s{i}") for i in range(n)), mean(n).alias("fit"),
+    )
+    return _with_toughness(plans, [e, "strategy", "horizon", "n_filled", "days", "in_band", "mean_amount", *required])
 
 
 def limit_of(horizon: Column, field: int) -> Column:

@@ -25,9 +25,10 @@ def templates(spark, d, *more: Column) -> DataFrame:
     o = load(spark, d, "orders").select(F.col("o_orderkey").alias("template_id"), "o_custkey", F.col("o_orderpriority").alias("slot"), F.to_date("o_orderdate").alias("day"))
     li = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("template_id")).agg(F.count("*").alias("size"), F.count_distinct("l_returnflag").alias("kinds"), F.sum("l_extendedprice").alias("amount"), *more)
     t = staged(o.join(li, "template_id"), "templates")
-    n = t.groupBy("slot").agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("total"))
-    return t.join(n.crossJoin(F.broadcast(total)).select("slot", (F.col("n") / F.col("total")).alias("support")), "slot")
+    n = staged(t.groupBy("slot").agg(F.count("*").alias("n")), "template-slots")
+    support = n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("total")))).select("slot", (F.col("n") / F.col("total")).alias("support"))
+    # A few slots hold all templates, which would go to as many tasks; many slots are left to Spark.
+    return t.join(F.broadcast(support) if n.count() <= 1000 else support, "slot")
 
 
 def settled(t: DataFrame) -> DataFrame:
@@ -97,15 +98,13 @@ def plan_inputs(spark, d, settle: bool = False) -> tuple[DataFrame, DataFrame, D
     return staged(full, "plan-templates"), load(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")), t.agg(F.date_add(F.max("day"), 1).alias("start"))
 
 
-def plan_of(spark, d, settle: bool = False) -> tuple[DataFrame, DataFrame]:
-    t, customers, start = plan_inputs(spark, d, settle)
-    return t, P.plan_slots(t, customers, start, "o_custkey", least_day=3, least_season=2, least_core=2)
+LEAST = {"least_day": 3, "least_season": 2, "least_core": 2}
 
 
 @query(f"WITH {PLAN_SLOTS} SELECT * FROM slots")
 def r06_plan_slots(spark, d):
     """A template for each date of three horizons by five strategies, for every customer; pools are the customer's own orders."""
-    return plan_of(spark, d)[1]
+    return P.plan_slots(*plan_inputs(spark, d), "o_custkey", **LEAST)
 
 
 def _stress_sql() -> str:
@@ -130,10 +129,9 @@ _LIMIT = {k: "CASE " + " ".join(f"WHEN horizon <= {row[0]} THEN {row[k]}" for ro
  SELECT o_custkey, strategy, horizon, n_filled, round(robust + 1e-9, 5) AS robust, round(fragility + 1e-9, 5) AS fragility, round(fit + 1e-9, 5) AS fit, reasons, reasons = '' AS promoted FROM y""")
 def r07_reject_plans(spark, d):
     """All reasons against each plan of r06_plan_slots, with its robust score, fragility and fit under eight stresses."""
-    t, slots = plan_of(spark, d, settle=True)
-    facts = P.under_stress(t).join(t.select("template_id", F.col("slot").alias("signature"), "amount", "is_core", "has_small", "has_large"), "template_id")
+    t, customers, start = plan_inputs(spark, d, settle=True)
     required = ["has_small", "has_large"]
-    judged = P.rejection_reasons(P.plan_summary(slots, facts, "o_custkey", required), required)
+    judged = P.rejection_reasons(P.summed_plans(t.withColumnRenamed("slot", "signature"), customers, start, "o_custkey", required, **LEAST), required)
     return judged.select("o_custkey", "strategy", "horizon", "n_filled", *(F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("robust", "fragility", "fit")), F.array_join("reasons", ";").alias("reasons"), "promoted")
 
 
