@@ -214,3 +214,30 @@ def test_quantiles_place_their_rows_by_one_sketch(spark):
     found = E.exact_quantiles(spark.range(1001).selectExpr("id % 2 as g", "cast(id as double) as x"), ["g"], "x", [0.5])
     assert "percentile_approx" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r["g"]: r["q"][0] for r in found.collect()} == {0: 500.0, 1: 500.0}
+
+
+@pytest.fixture(scope="module")
+def vectors(spark, tmp_path_factory):
+    """Vectors in clusters, with ties, a zero vector, one that is missing and one id that comes twice."""
+    folder = tmp_path_factory.mktemp("vectors")
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(12, 6))[np.arange(700) % 12] + 0.1 * rng.normal(size=(700, 6))
+    x[40:50], x[60] = x[40], 0
+    rows = [(i, x[i].tolist() if i != 70 else None, i % 4) for i in range(700)] + [(90, x[90].tolist(), 2)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3).write.parquet(f"{folder}/embeddings.parquet")
+    return folder
+
+
+def test_every_row_has_its_purity_and_gap(spark, vectors):
+    got = {r["source_id"] for r in registry.QUERIES["l05_l06_neighbor_purity_and_gap"](spark, str(vectors)).collect()}
+    assert got == set(range(700)) - {70}
+    assert "% 50" not in registry.ORACLE["l05_l06_neighbor_purity_and_gap"] and "% 50" in registry.ORACLE["l03_cosine_knn"]
+
+
+def test_neighbours_of_all_rows_are_those_of_the_search_by_queries(spark, vectors):
+    t = spark.read.parquet(f"{vectors}/embeddings.parquet")
+    rows = lambda df: sorted((r["source_id"], r["neighbor_rank"], r["neighbor_id"], round(r["similarity"], 9)) for r in df.collect())
+    want = rows(V.cosine_knn(t, t, "vec_id", "embedding", 5, pivots=8))
+    found = V.cosine_knn_all(t, "vec_id", "embedding", 5, pivots=8, block=64, rows_a_pivot=50)
+    assert rows(found) == want and "Exchange hashpartitioning(cell" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(V.cosine_knn_all(t, "vec_id", "embedding", 5)) == want and V.cosine_knn_all(t.where("vec_id < 0"), "vec_id", "embedding", 5).count() == 0

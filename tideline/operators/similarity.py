@@ -168,6 +168,88 @@ def cosine_knn(queries: DataFrame, table: DataFrame, id_: str, vector: str, k: i
     return ball_search(queries, table, id_, vector, k, pivots, block)[0]
 
 
+def _merged(best: np.ndarray, who: np.ndarray, s: np.ndarray, ids: np.ndarray) -> None:
+    """Puts into each row's k best (``best``, their ids in ``who``) those of ``s``, similarities to ``ids``, that are better; ties by id. Nothing under -1.5 counts."""
+    k = best.shape[1]
+    least = np.maximum(best[:, -1], -1.5)
+    fresh = best[:, -1] < -1.5
+    if fresh.any() and s.shape[1] > k:
+        least[fresh] = np.maximum(least[fresh], np.partition(s[fresh], s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+    row, at = np.nonzero(s >= np.maximum(least - 1e-11, -1.5)[:, None])
+    if not len(row):
+        return
+    changed = np.unique(row)
+    row, x, i = np.concatenate([np.repeat(changed, k), row]), np.concatenate([best[changed].ravel(), s[row, at]]), np.concatenate([who[changed].ravel(), ids[at]])
+    order = np.lexsort((i, -np.round(x, 12), row))
+    row, x, i = row[order], x[order], i[order]
+    first = np.searchsorted(row, changed)
+    place = first[:, None] + np.arange(k)[None, :]  # a changed row has k entries at least
+    best[changed], who[changed] = x[place], i[place]
+
+
+def cosine_knn_all(table: DataFrame, id_: str, vector: str, k: int, pivots: int = 64, block: int = 8192, rows_a_pivot: int = 1024) -> DataFrame:
+    """The rows of cosine_knn where every row of the table is a query, with nothing shuffled but the rows, once.
+
+    Rows lie in the cells of ball_search and are written in the order of the
+    cells, ``block`` rows to a file. A task has the rows of one file as its
+    queries, meets its own file first and then, the likeliest first, those files
+    that hold a cell whose bound reaches a query's k-th best so far. It holds two
+    files at a time, whatever the number of rows, and writes no more than the k
+    best. Without structure in the vectors all pairs are met: time is quadratic,
+    disk is not. Of queries with one id one counts, as in cosine_knn.
+    """
+    spark = table.sparkSession
+    known = table.where(F.col(vector).isNotNull())
+    n = known.count()
+    centres = _pivots(known, id_, vector, max(1, min(pivots, n // rows_a_pivot)))
+    placed = _placed(table, id_, vector, centres).withColumn("band", F.floor(F.col("angle") / BAND).cast("int"))
+    cells = placed.groupBy("pivot", "band").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count("*").alias("n")).orderBy("pivot", "band").toPandas()
+    if cells.empty:
+        return spark.createDataFrame([], NEAR + ", neighbor_rank long")
+    parts = max(-(-n // block), min(spark.sparkContext.defaultParallelism, -(-n // 512)))
+    numbered = F.broadcast(spark.createDataFrame(cells.assign(cell=np.arange(len(cells)))[["pivot", "band", "cell"]], "pivot int, band int, cell int"))
+    rows = placed.join(numbered, ["pivot", "band"]).select("cell", "id", "v")
+    again = staged(rows.groupBy("id").agg(F.count("*").alias("_n"), F.min(F.xxhash64("v")).alias("_first")).where("_n > 1").drop("_n"), "ball-again")
+    repeated = bool(again.head(1))
+    rows = rows.join(again, "id", "left").withColumn("asks", F.coalesce(F.xxhash64("v") == F.col("_first"), F.lit(True))) if repeated else rows.withColumn("asks", F.lit(True))
+    rows = staged(rows.select("cell", "id", "v", "asks").repartitionByRange(parts, "cell", F.xxhash64("id")).sortWithinPartitions("cell"), "ball-rows")
+    held = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.collect_set("cell").alias("cells")).orderBy("file").collect()
+    files, cells_of = [r["file"] for r in held], [np.array(sorted(r["cells"])) for r in held]
+
+    def read(url: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(url)
+        t = pq.read_table(path, filesystem=system, columns=["cell", "id", "v", "asks"]).combine_chunks()
+        return *(t.column(c).to_numpy() for c in ("cell", "id")), t.column("v").combine_chunks().flatten().to_numpy().reshape(len(t), -1), t.column("asks").to_numpy()
+
+    def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own in (int(i) for batch in batches for i in batch["id"]):
+            _, source, q, asks = read(files[own])
+            source, q = source[asks], q[asks]
+            best, who = np.full((len(q), k), -9.0), np.zeros((len(q), k), np.int64)
+            near = [_bounds(q[i : i + 512], cells, centres)[0] for i in range(0, len(q), 512)]
+            likely = [max((float(b[:, c].max()) for b in near), default=-9.0) for c in cells_of]
+            for j in sorted(range(len(files)), key=lambda j: (j != own, -likely[j])):
+                met = None
+                for at, bound in zip(range(0, len(q), 512), near, strict=True):
+                    mine = slice(at, at + 512)
+                    reached = cells_of[j][(bound[:, cells_of[j]] >= best[mine, -1][:, None] - 1e-9).any(axis=0)]
+                    if not len(reached):
+                        continue
+                    met = met or read(files[j])
+                    take = np.isin(met[0], reached)
+                    s = q[mine] @ met[2][take].T
+                    s[source[mine][:, None] == met[1][take][None, :]] = -2
+                    _merged(best[mine], who[mine], s, met[1][take])
+            row, rank = np.nonzero(best > -1.5)
+            yield pd.DataFrame({"source_id": source[row], "neighbor_id": who[row, rank], "similarity": best[row, rank], "neighbor_rank": rank + 1})
+
+    found = spark.range(0, len(files), 1, len(files)).mapInPandas(search, NEAR + ", neighbor_rank long")
+    return found.dropDuplicates(["source_id", "neighbor_rank"]) if repeated else found
+
+
 def neighbor_purity(neighbors: DataFrame, labels: DataFrame, id_: str, label: str) -> DataFrame:
     """Of each query, the share of its neighbours that have its label."""
     a = labels.select(F.col(id_).alias("source_id"), F.col(label).alias("own"))
