@@ -240,4 +240,6 @@ def test_neighbours_of_all_rows_are_those_of_the_search_by_queries(spark, vector
     want = rows(V.cosine_knn(t, t, "vec_id", "embedding", 5, pivots=8))
     found = V.cosine_knn_all(t, "vec_id", "embedding", 5, pivots=8, block=64, rows_a_pivot=50)
     assert rows(found) == want and "Exchange hashpartitioning(cell" not in found._jdf.queryExecution().executedPlan().toString()
+    floats = t.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    assert rows(V.cosine_knn_all(floats, "vec_id", "embedding", 5, pivots=8, block=64, rows_a_pivot=50)) == rows(V.cosine_knn(floats, floats, "vec_id", "embedding", 5))
     assert rows(V.cosine_knn_all(t, "vec_id", "embedding", 5)) == want and V.cosine_knn_all(t.where("vec_id < 0"), "vec_id", "embedding", 5).count() == 0

@@ -42,8 +42,8 @@ def _pivots(table: DataFrame, id_: str, vector: str, pivots: int) -> np.ndarray:
     return x[chosen] if chosen else np.empty((0, len(rows["v"].iloc[0])))
 
 
-def _placed(df: DataFrame, id_: str, vector: str, pivots: np.ndarray) -> DataFrame:
-    """id, unit vector, the nearest pivot and the angle to it. A zero vector has pivot -1 and angle 0."""
+def _placed(df: DataFrame, id_: str, vector: str, pivots: np.ndarray, kind: str = "") -> DataFrame:
+    """id, unit vector (or the vector itself, as an array of ``kind``), the nearest pivot and the angle to it. A zero vector has pivot -1 and angle 0."""
 
     def place(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _slices(batches):
@@ -51,10 +51,10 @@ def _placed(df: DataFrame, id_: str, vector: str, pivots: np.ndarray) -> DataFra
             s = x @ pivots.T if len(pivots) else np.zeros((len(x), 1))
             zero = np.linalg.norm(x, axis=1) < 0.5
             angle = np.arccos(np.clip(s.max(1), -1, 1))
-            yield pd.DataFrame({"id": batch["id"], "v": list(x), "pivot": np.where(zero, -1, s.argmax(1)), "angle": np.where(zero, 0.0, angle)})
+            yield pd.DataFrame({"id": batch["id"], "v": batch["v"] if kind else list(x), "pivot": np.where(zero, -1, s.argmax(1)), "angle": np.where(zero, 0.0, angle)})
 
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    return rows.mapInPandas(place, "id long, v array<double>, pivot int, angle double")
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.col(vector).cast(f"array<{kind or 'double'}>").alias("v"))
+    return rows.mapInPandas(place, f"id long, v array<{kind or 'double'}>, pivot int, angle double")
 
 
 def _bounds(x: np.ndarray, cells: pd.DataFrame, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +202,9 @@ def cosine_knn_all(table: DataFrame, id_: str, vector: str, k: int, pivots: int
     known = table.where(F.col(vector).isNotNull())
     n = known.count()
     centres = _pivots(known, id_, vector, max(1, min(pivots, n // rows_a_pivot)))
-    placed = _placed(table, id_, vector, centres).withColumn("band", F.floor(F.col("angle") / BAND).cast("int"))
+    # Floats stay floats on disk: unit vectors, which are doubles, would take twice as much.
+    kind = "float" if known.schema[vector].dataType.simpleString() == "array<float>" else "double"
+    placed = _placed(table, id_, vector, centres, kind).withColumn("band", F.floor(F.col("angle") / BAND).cast("int"))
     cells = placed.groupBy("pivot", "band").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count("*").alias("n")).orderBy("pivot", "band").toPandas()
     if cells.empty:
         return spark.createDataFrame([], NEAR + ", neighbor_rank long")
@@ -222,7 +224,8 @@ def cosine_knn_all(table: DataFrame, id_: str, vector: str, k: int, pivots: int
 
         system, path = fs.FileSystem.from_uri(url)
         t = pq.read_table(path, filesystem=system, columns=["cell", "id", "v", "asks"]).combine_chunks()
-        return *(t.column(c).to_numpy() for c in ("cell", "id")), t.column("v").combine_chunks().flatten().to_numpy().reshape(len(t), -1), t.column("asks").to_numpy()
+        x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(t), -1)
+        return *(t.column(c).to_numpy() for c in ("cell", "id")), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30), t.column("asks").to_numpy()
 
     def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for own in (int(i) for batch in batches for i in batch["id"]):
